@@ -9,7 +9,7 @@ from ..worktable import materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Documents of a source are dealt by a seeded hash into so many slots; only one slot is ever ordered.
-SLOTS = 1 << 14
+SLOTS = 1 << 12
 #: The table of sources is broadcast up to this many sources and shuffled beyond.
 BROADCAST_SOURCES = 10_000
 

@@ -11,11 +11,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def stratified(df: DataFrame, label: str, key: str, per_label: int, max_labels: int = 256, seed: int = 5) -> DataFrame:
-    """About ``per_label`` rows of each of the ``max_labels`` most frequent labels, by a hash of ``key``."""
+def stratified(df: DataFrame, label: str, key: str, per_label: int | dict, max_labels: int = 256, seed: int = 5) -> DataFrame:
+    """About ``per_label`` rows (or as many as it gives for the label) of each of the ``max_labels`` most frequent labels, by a hash of ``key``."""
     counts = df.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     keep = F.lit(False)
     for r in counts:
-        keep = keep | ((F.col(label) == r[0]) & (draw < min(1.0, per_label / max(1, r["count"]))))
+        wanted = per_label.get(r[0], 0) if isinstance(per_label, dict) else per_label
+        keep = keep | ((F.col(label) == r[0]) & (draw < min(1.0, wanted / max(1, r["count"]))))
     return df.filter(keep)

@@ -1,0 +1,401 @@
+"""The text operators against brute force on small tables: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+pytest.importorskip("phenoframe.llm")
+from phenoframe.llm import (  # noqa: E402
+    ann, bpe, dedup_exact, language_id, mixing, ngram_join, substring_dedup, textops, token_files, toxicity, url_filter,
+)
+
+SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def texts(seed: int = 1, n: int = 60) -> list[str | None]:
+    """Invented texts with exact, near and partial copies, odd white space, and one long text of a repeated word."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("aeioustrnlé") for _ in range(rng.randint(1, 6)))
+    shared = [word() for _ in range(45)]
+    out: list[str | None] = []
+    for _ in range(n):
+        body = [word() for _ in range(rng.randint(0, 120))]
+        if rng.random() < 0.3:
+            at = rng.randint(0, len(body))
+            body[at:at] = shared[rng.randint(0, 20) :]
+        out.append(rng.choice([" ", "\n", "  ", "\t "]).join(body))
+    for _ in range(25):  # near copies of one text
+        body = SPLIT.findall(out[3] or "") + shared
+        if body:
+            body[rng.randrange(len(body))] = word()
+        out.append(" ".join(body))
+    out += [out[5], out[5], (out[5] or "").upper(), None, "", "   ", "one two", "One  two", "one", "ab " * 3000, "x y", "a\u00a0 b\u2003 c", "<|endoftext|> tail <|endoftext|>"]
+    return out
+
+
+def documents(spark, values, **more):
+    langs, sources = ["en", "fr", None], ["s1", "s2", "s3", None]
+    rows = [(i, t, langs[i % 3], sources[i % 4] if i % 5 else "s1", None) for i, t in enumerate(values)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for name in ("keep_id", "n", "token", "doc", "id", "b", "kind"):  # names that the operators use inside
+        df = df.selectExpr("*", f"'clash' AS {name}")
+    return df
+
+
+@pytest.fixture(scope="module")
+def values():
+    return texts()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, values):
+    return documents(spark, values).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_words_and_hashes_keep_document_borders():
+    column = pa.array(["a b", "", "b c ", " d"], pa.large_string())
+    (_, _, data, offsets), = textops.blocks(column)
+    start, end, first = textops.words(data, offsets)
+    assert [bytes(data[a:z]).decode() for a, z in zip(start, end, strict=True)] == ["a", "b", "b", "c", "d"]
+    assert first.tolist() == [0, 2, 2, 4, 5]
+    h = textops.span_hashes(data, start, end)
+    assert h[1] == h[2] and len(set(h.tolist())) == 4
+
+
+def test_exact_dedup(docs, values, nothing):
+    groups = defaultdict(list)
+    for i, t in enumerate(values):
+        groups[(t or "").translate(LOWER)].append(i)
+    expected = {
+        (i, max(g), len(g), i == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g
+    }
+    assert {tuple(r) for r in dedup_exact.exact_dedup(docs).collect()} == expected
+    # A filter of one word lets every row through, with the same result.
+    assert {tuple(r) for r in dedup_exact.exact_dedup(docs, max_cells=64).collect()} == expected
+    assert dedup_exact.exact_dedup(nothing).count() == 0
+
+
+def test_exact_dedup_hot_group(spark):
+    df = spark.range(0, 3000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'Same', concat('t', id)) AS text")
+    out = dedup_exact.exact_dedup(df).filter("group_size > 1").collect()
+    assert len(out) == 1000 and {r["keep_id"] for r in out} == {2997}
+
+
+def test_mixing(docs, values, nothing):
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == len(values)
+    size = {i: len(SPLIT.findall(t or "")) for i, t in enumerate(values)}
+    assert all(r["size"] == size[r["doc_id"]] and r["taken"] <= 3 * r["size"] for r in rows)
+    by = defaultdict(list)
+    for r in rows:
+        by[r["source"]].append(r)
+    order = sorted((s for s in by if s is not None)) + [None]
+    have = {s: sum(r["size"] for r in by[s]) for s in order}
+    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+    target, total = {}, sum(have.values())
+    while True:  # clamp and share again until none is above its cap
+        free = [s for s in order if s not in target]
+        level = (total - sum(target.values())) / sum(weight[s] for s in free)
+        over = [s for s in free if level * weight[s] > 3 * have[s]]
+        if not over:
+            target |= {s: level * weight[s] for s in free}
+            break
+        target |= {s: 3.0 * have[s] for s in over}
+    for s in order:
+        assert all(abs(r["target"] - target[s]) < 1e-6 and r["source_size"] == have[s] for r in by[s])
+        assert abs(sum(r["taken"] for r in by[s]) - target[s]) <= 1
+    again = {(r["doc_id"], r["taken"]) for r in mixing.mix(docs.repartition(3)).collect()}
+    assert again == {(r["doc_id"], r["taken"]) for r in rows}
+    assert mixing.mix(nothing).count() == 0
+
+
+def test_mixing_clamps(spark):
+    df = spark.createDataFrame([(1, "a " * 10, "a"), (2, "b " * 1000, "b"), (3, "", "c"), (4, None, "d")], "doc_id long, text string, source string")
+    got = {r["source"]: (r["target"], r["taken"]) for r in mixing.mix(df).collect()}
+    assert got["a"] == (30.0, 30) and got["c"] == (0.0, 0) and got["d"] == (0.0, 0)
+    assert got["b"] == (980.0, 980)
+
+
+def test_substring_dedup(docs, values, nothing):
+    seen, expected = set(), {}
+    for i, t in enumerate(values):
+        w = SPLIT.findall(t or "")
+        keep = [True] * len(w)
+        for s in range(len(w) - 19):
+            key = tuple(w[s : s + 20])
+            if key in seen:
+                keep[s : s + 20] = [False] * 20
+            seen.add(key)
+        kept = " ".join(x for x, k in zip(w, keep, strict=True) if k)
+        expected[i] = (len(w), keep.count(False), hashlib.sha256(kept.encode()).hexdigest(), kept)
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.substring_dedup(docs, text=True).collect()}
+    assert got == expected
+    assert sum(v[1] for v in expected.values()) > 3000
+    assert substring_dedup.substring_dedup(nothing).count() == 0
+
+
+def test_substring_dedup_other_lengths(docs, values):
+    for length in (3, 12):
+        seen, gone = set(), {}
+        for i, t in enumerate(values):
+            w = SPLIT.findall(t or "")
+            keep = [True] * len(w)
+            for s in range(len(w) - length + 1):
+                key = tuple(w[s : s + length])
+                if key in seen:
+                    keep[s : s + length] = [False] * length
+                seen.add(key)
+            gone[i] = keep.count(False)
+        assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(docs, length=length).collect()} == gone
+
+
+def test_ngram_join(docs, values, nothing):
+    sets = {}
+    for i, t in enumerate(values):
+        w = SPLIT.findall((t or "").translate(LOWER))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, a in sets.items():
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    expected = {(i, len(s), find(i)) for i, s in sets.items()}
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs).collect()}
+    assert got == expected
+    assert max(Counter(c for _, _, c in expected).values()) > 5
+    assert ngram_join.ngram_join(nothing).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    body = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(None, body), (1, body), (1, body), (2, body + " end")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(df).collect()}
+    assert set(got) == {None, 1, 2} and set(got.values()) == {None}
+    removed = Counter((r["doc_id"], r["n_removed"]) for r in substring_dedup.substring_dedup(df).collect())
+    assert removed == {(None, 0): 1, (1, 40): 2, (2, 40): 1}
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.default_tokenizer())
+
+
+def test_bpe(docs, values, nothing, tokenizer):
+    expected = {}
+    for i, t in enumerate(values):
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+        text = tokenizer.decode(ids, skip_special_tokens=False)
+        expected[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    assert {r["doc_id"]: tuple(r)[1:] for r in bpe.digests(docs).collect()} == expected
+    whole = {r["doc_id"]: (r["ids"], r["decoded"]) for r in bpe.encode(docs, decode=True).collect()}
+    assert all(len(whole[i][0]) == expected[i][0] and whole[i][1] == (t or "") for i, t in enumerate(values))
+    assert bpe.digests(nothing).count() == 0
+
+
+def test_bpe_repairs_joins(tokenizer):
+    e = bpe.ChunkEncoder(bpe.default_tokenizer())
+    rng = random.Random(3)
+    alphabet = ["a", "b", " ", "  ", "\n", "\u00a0", "\u3000", "\u2028", "\x1c", "\x85", "'s", "7", "é", "日", "한", ".", "<|endoftext|>", "\t"]
+    cases = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    column = pa.array(cases, pa.large_string())
+    for i, j, data, offsets in textops.blocks(column):
+        ids, first = e.encode(data, offsets)
+        for k in range(i, j):
+            assert ids[first[k - i] : first[k - i + 1]].tolist() == tokenizer.encode(cases[k], add_special_tokens=False).ids, repr(cases[k])
+
+
+def test_token_files(docs, values, nothing, tokenizer, tmp_path):
+    folder = f"file://{tmp_path}/tokens"
+    manifest = token_files.write_tokens(docs, folder, shards=3, sequence=16)
+    got = {r["doc_id"]: tuple(r)[1:] for r in token_files.read_tokens(manifest, folder).collect()}
+    start, expected = 0, {}
+    for i, t in enumerate(values):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        expected[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert got == expected
+    kept = 0
+    for path in sorted((tmp_path / "tokens").glob("shard-*.arrow")):
+        file = pa.ipc.open_file(pa.memory_map(str(path)))
+        assert file.schema.field("ids").type == pa.list_(pa.uint16(), 16)
+        kept += sum(sum(file.get_batch(k).column(1).flatten().to_pylist()) for k in range(file.num_record_batches))
+    assert kept == start
+    assert token_files.read_tokens(token_files.write_tokens(nothing, folder + "0"), folder + "0").count() == 0
+
+
+def test_url_filter(spark):
+    cases = {
+        None: ("", "", None), "no scheme": ("", "", None), "http://A.Example.ORG/es/1?x#y": ("a.example.org", "/es/1", "example.org/es/"),
+        "http://example.org/en/12": ("example.org", "/en/12", "example.org/en/1"), "https://x.org": ("x.org", "", None),
+        "x://y.org/#a": ("y.org", "/", "org/"), "http://xorg/": ("xorg", "/", None), "http://b.com/de/": ("b.com", "/de/", "com/de/"),
+        "http://b.com/fr/a?http://c.org/": ("b.com", "/fr/a", "com/fr/"), "http://notexample.org/es/": ("notexample.org", "/es/", "org/"), "://": ("", "", None),
+    }
+    rows = [(i, u, "<p>cheap pills here</p>") for i, u in enumerate(cases)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS tokens")
+    got = {r["page_id"]: r for r in url_filter.url_filter(df).collect()}
+    rules = dict(url_filter.RULES)
+    for i, (host, path, rule) in enumerate(cases.values()):
+        r = got[i]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert r["verdict"] == rules[rule] if rule else r["verdict"] in ("allow", "block")
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert url_filter.url_filter(empty).count() == 0
+
+
+def test_segmenter_and_bayes():
+    s = url_filter.Segmenter([("cheap", 50), ("pills", 40), ("che", 2), ("ap", 1), ("news", 30)])
+    assert s.split("cheappills") == ["cheap", "pills"] and s.split("newszzz")[0] == "news" and s.split("") == []
+    m = url_filter.NaiveBayes([("block", "h:pills", 9), ("allow", "h:news", 9), ("allow", "h:pills", 1)], {"block": 9, "allow": 9})
+    assert m.score(["h:pills"]) > 0.5 > m.score(["h:news"])
+
+
+def test_language_id(spark, nothing):
+    rng = random.Random(5)
+    make = {"en": ["the", "and", "thing", "ing", "was"], "de": ["und", "der", "schön", "über", "nicht"], "fr": ["été", "que", "les", "être", "eaux"]}
+    rows = []
+    for i in range(600):
+        lang = ["en", "de", "fr"][i % 3]
+        rows.append((i, " ".join(rng.choice(make[lang]) for _ in range(rng.randint(5, 40))), lang if i % 7 else None))
+    rows += [(1000, None, "en"), (1001, "", "en"), (1002, "123 !! 456", "de"), (1003, "über " * 20_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'z' AS label", "1 AS score")
+    got = {r["doc_id"]: r for r in language_id.language_id(df, steps=150).collect()}
+    assert [got[k]["lang_pred"] for k in (1000, 1001, 1002, 1003)] == ["und", "und", "und", "de"]
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(got[i]["held_out"] == (i in set(held)) for i in range(600))
+    assert sum(got[i]["lang_pred"] == ["en", "de", "fr"][i % 3] for i in held) > 0.97 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert language_id.language_id(nothing).count() == 0
+    unlabelled = df.withColumn("lang", df["lang"].substr(1, 0)).filter("doc_id < 5").selectExpr("doc_id", "text", "cast(null as string) AS lang")
+    assert {r["lang_pred"] for r in language_id.language_id(unlabelled).collect()} == {"und"}
+
+
+def test_gradients_of_the_network():
+    rng = np.random.default_rng(0)
+    d = language_id.Direction(3, rng)
+    d.p = {k: v.astype(np.float64) for k, v in d.p.items()}
+    x = rng.integers(1, 5, (4, 2))
+    weight = rng.normal(size=(4, 2, 3))
+    loss = lambda: float((d.run(x) * weight).sum())
+    keep: list = []
+    d.run(x, keep)
+    grad = d.back(x, keep, weight)
+    for k, v in d.p.items():
+        at = (int(x[0, 0]), 1) if k[0] == "x" else (1, 2)
+        v[at] += 1e-3
+        up = loss()
+        v[at] -= 2e-3
+        down = loss()
+        v[at] += 1e-3
+        assert abs((up - down) / 2e-3 - grad[k][at]) < 2e-2 * max(1, abs(grad[k][at])), k
+
+
+def test_toxicity(spark, nothing):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("aeioustrnl") for _ in range(rng.randint(2, 5)))
+    rows, labels = [], []
+    for i in range(2000):
+        body = [word() for _ in range(rng.randint(5, 60))]
+        bad = rng.random() < 0.2
+        if bad:
+            body.insert(rng.randrange(len(body)), rng.choice(["Idiotz", "moronz"]))
+        rows.append((i, " ".join(body)))
+        labels.append((i, int(bad)))
+    rows += [(5000, None), (5001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS label", "2 AS toxic")
+    known = spark.createDataFrame([*labels, (7, None), (None, 1)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(df, known).collect()}
+    held = [(i, y) for i, y in labels if got[i]["held_out"]]
+    assert sum(got[i]["predicted"] == y for i, y in held) > 0.97 * len(held)
+    assert got[5000]["score"] == got[5001]["score"] and got[5000]["predicted"] == 0
+    none = toxicity.toxicity(df, known.filter("toxic > 1")).collect()
+    assert len(none) == len(rows) and {r["predicted"] for r in none} == {0}
+    assert toxicity.toxicity(nothing, known).count() == 0
+
+
+def test_factorization_machine_learns_pairs():
+    """Term 1 alone and term 2 alone are harmless; together they are not."""
+    rng = np.random.default_rng(2)
+    docs, y = [], []
+    for _ in range(3000):
+        a, b = rng.random(2) < 0.5
+        noise = rng.integers(10, 60, 5)
+        docs.append(np.unique(np.array([*noise, *([1] if a else []), *([2] if b else [])])))
+        y.append(float(a and b))
+    m = toxicity.FactorizationMachine.fit(docs, np.array(y), 0.0, epochs=12)
+    row = lambda *t: m.score(np.zeros(len(t), np.int64), np.array(t), 1)[0]
+    assert row(1, 2) > 0.5 > max(row(1), row(2), row(30))
+
+
+def _nearest(vectors, query_every=20, k=20):
+    good = {
+        i: np.array(v, float) for i, v in vectors
+        if v is not None and i is not None and len(v) == 8 and None not in v and np.isfinite(np.array(v, float)).all() and any(v)
+    }
+    out = {}
+    for q in good:
+        if q % query_every == 0:
+            out[q] = sorted(((-float((good[q] * good[i]).sum()), i) for i in good if i != q))[:k]
+    return out
+
+
+def test_nearest_neighbours(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(600)]
+    rows += [(600 + i, [1.0] + [0.0] * 7) for i in range(300)]  # one very common vector
+    rows += [(2000, None), (2020, [0.0] * 8), (2040, [float("nan")] + [1.0] * 7), (2060, [None] + [1.0] * 7), (2080, [1.0]), (2100, [float("inf")] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS id", "2 AS cell")
+    expected = _nearest(rows)
+    got = defaultdict(list)
+    for r in ann.nearest_neighbours(df, index_rows=100, query_rows=16).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((-r["score"], r["vec_id"]))
+    assert set(got) == set(expected)
+    for q, e in expected.items():
+        assert [i for _, i in got[q]] == [i for _, i in e]
+        assert np.allclose([s for s, _ in got[q]], [s for s, _ in e], rtol=0, atol=1e-12)
+    # Fewer pairs are visited on purpose: recall stays above 0.9 with half of the rows.
+    some = ann.nearest_neighbours(df, least=1, visit=0.5).collect()
+    hits = sum(r["vec_id"] in {i for _, i in expected[r["query_id"]]} for r in some)
+    common = sum(q >= 600 for q in expected) * 20
+    assert hits >= 0.9 * (sum(map(len, expected.values())) - common)
+    few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
+    assert ann.nearest_neighbours(few).count() == 2
+    assert ann.nearest_neighbours(df.limit(0)).count() == 0
+
+
+def test_multi_sequence_walk():
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=6), rng.normal(size=5)
+    counts = rng.integers(0, 9, (6, 5))
+    order = sorted(((-(a[i] + b[j]), i, j) for i in range(6) for j in range(5)))
+    for wanted in (1, 20, 60):
+        seen, low = 0, None
+        for s, i, j in order:
+            seen, low = seen + counts[i, j], -s
+            if seen >= wanted:
+                break
+        assert np.isclose(ann.traverse(a, b, counts, wanted), low)
