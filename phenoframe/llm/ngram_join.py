@@ -14,8 +14,8 @@ from . import packing as P
 from . import textops as T
 from .skew import components, with_group
 
-#: Document frequencies are told apart up to this; the order above it is that of the ids.
-MOST = 255
+#: Document frequencies are kept as SCALE times their binary logarithm, in a byte; ties go by the id.
+SCALE = 8
 #: Multipliers that give the second and third token order; fixed values.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -105,7 +105,7 @@ def shared_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: in
         first = np.flatnonzero(np.diff(i, prepend=i[:1] ^ np.uint64(1))) if len(i) else np.zeros(0, np.int64)
         df = np.repeat(np.diff(np.append(first, len(i))), np.diff(np.append(first, len(i))))
         keep = df > 1
-        d, i, df = d[keep], i[keep], np.minimum(df[keep], MOST)
+        d, i, df = d[keep], i[keep], np.minimum(np.log2(df[keep]) * SCALE, 255)
         # The bucket that the ids came from goes along as kind - 2.
         own = table.column("b")[0].as_py()
         out = [(b, own + 2, P.pack_numbers(x), P.pack_ids(y), z.astype(np.uint8).tobytes()) for b, x, y, z in P.by_bucket(P.bucket_of(d, bits), d, i, df)]
@@ -193,31 +193,37 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, size = b.column(0).to_numpy(), b.column(1).to_numpy()
-            found = []
+            found, shared = [], []
             for k in range(b.num_rows):
                 ids = np.frombuffer(b.column(2)[k].as_buffer(), "<u8")
+                shared.append(len(ids))
                 found.append(prefix(ids, np.frombuffer(b.column(3)[k].as_buffer(), np.uint8), int(size[k]), percent, 0).astype(np.int64))
             count = np.array([len(f) for f in found], np.int64)
             token = np.concatenate([*found, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(doc, count)), pa.array(np.repeat(size, count))], ["token", "doc", "n"])
-
-    posts = reps.mapInArrow(post, "token long, doc long, n long")
-    lists = posts.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("doc", "n")).alias("hub")).filter("m > 1")
-    lists = materialize(lists.select("token", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n")), "join-lists")
+            # How many of the set's shared tokens stand at this place of the order or after it.
+            left = np.repeat(np.array(shared, np.int64), count) - T.ranges(np.zeros(len(count), np.int64), count)
+            columns = [pa.array(token), pa.array(np.repeat(doc, count)), pa.array(np.repeat(size, count)), pa.array(left)]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "doc", "n", "rest"])
+
+    posts = reps.mapInArrow(post, "token long, doc long, n long, rest long")
+    lists = posts.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("doc", "n", "rest")).alias("hub")).filter("m > 1")
+    lists = materialize(lists.select("token", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.rest").alias("hub_rest")), "join-lists")
     posts = materialize(posts.join(lists, "token"), "join-posts")
-    near = F.expr(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
+    # A similar pair has all it shares at or after the first token that it shares: enough must be left on both sides there.
+    fits = "100 * least({0}n, {1}n) >= {2} * greatest({0}n, {1}n) AND (100 + {2}) * least({0}rest, {1}rest) >= {2} * ({0}n + {1}n)"
+    near = F.expr(fits.format("", "hub_", percent))
     first = materialize(posts.filter(near & (F.col("doc") != F.col("hub"))).select(F.col("doc").alias("x"), F.col("hub").alias("y")).distinct(), "join-pairs")
     links = materialize(_verified(first, reps, percent), "join-links")
     roots = materialize(components(links), "join-roots")
 
     # Lists that still span several components: all their pairs across components.
     own = roots.select(F.col("node").alias("doc"), "root")
-    placed = materialize(posts.join(own, "doc", "left").select("token", "doc", "n", F.coalesce("root", "doc").alias("root")), "join-placed")
+    placed = materialize(posts.join(own, "doc", "left").select("token", "doc", "n", "rest", F.coalesce("root", "doc").alias("root")), "join-placed")
     open_lists = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
     still = materialize(placed.join(materialize(open_lists, "join-open"), "token"), "join-still")
     l, r = still.alias("l"), still.alias("r")
-    across = l.join(r, F.expr(f"l.token = r.token AND l.doc > r.doc AND l.root <> r.root AND 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)"))
-    pairs = across.select(F.col("l.doc").alias("x"), F.col("r.doc").alias("y")).distinct()
+    across = l.join(r, F.expr("l.token = r.token AND l.doc > r.doc AND l.root <> r.root AND " + fits.format("l.", "r.", percent)))
+    pairs = materialize(across.select(F.col("l.doc").alias("x"), F.col("r.doc").alias("y")).distinct(), "join-across")
     more = materialize(_verified(materialize(pairs.join(first, ["x", "y"], "left_anti"), "join-pairs"), reps, percent), "join-links")
     if not more.isEmpty():
         roots = materialize(components(links.union(more)), "join-roots")
