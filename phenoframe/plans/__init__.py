@@ -1 +1,3 @@
 """See the package README."""
+
+from . import registry, layouts  # noqa: F401, I001  (layouts adds its queries to the registry)
