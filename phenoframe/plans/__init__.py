@@ -1,3 +1,3 @@
 """See the package README."""
 
-from . import registry, layouts, summaries  # noqa: F401, I001  (the latter two add their queries to the registry)
+from . import registry, layouts, summaries, library  # noqa: F401, I001  (the others add their queries to the registry)

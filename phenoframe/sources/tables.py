@@ -54,3 +54,101 @@ def load_library(index: DataFrame, runs: DataFrame, species: str = "") -> DataFr
     chosen = index.filter(F.lower("species") == species.lower()) if species else index
     keep = chosen.select("run_id", F.col("run_id").alias("_library_run_id"), F.col("experiment_type").alias("_library_experiment_type"))
     return runs.join(keep, "run_id")
+
+
+#: What a crop table lacks is filled with these.
+CROP_DEFAULTS = {"string": "", "int": 0, "bigint": 0, "boolean": False}
+
+
+def consolidate_metadata(frames: list[DataFrame], columns: dict[str, str], fov: str = "fov_id") -> DataFrame:
+    """All crop tables by name with typed defaults; field ids of each file are shifted by the sum of max + 1 of the files before (1 for a file without ids)."""
+    out, offset = [], 0
+    for f in frames:
+        have = f.columns
+        filled = f.select(*[
+            F.coalesce(F.col(c).cast(t), F.lit(CROP_DEFAULTS[t])).alias(c) if c in have else F.lit(CROP_DEFAULTS[t]).cast(t).alias(c) for c, t in columns.items()
+        ])
+        out.append(filled.withColumn(fov, (F.col(fov) + offset).cast(columns[fov])))
+        last = f.agg(F.max(fov)).first()[0] if fov in have else None
+        offset += 1 if last is None else int(last) + 1
+    return consolidate(out)
+
+
+def annotate(df: DataFrame, pathways: DataFrame, gene: str) -> DataFrame:
+    """Adds ``pathway`` by gene in any case; what has none is Unannotated. ``pathways``: (gene, pathway), the smallest pathway of a gene counts."""
+    names = pathways.groupBy(F.lower(F.trim("gene")).alias("_gene")).agg(F.min("pathway").alias("pathway"))
+    x = df.withColumn("_gene", F.lower(F.trim(gene))).join(names, "_gene", "left")
+    return x.withColumn("pathway", F.coalesce("pathway", F.lit("Unannotated"))).drop("_gene")
+
+
+def search_runs(index: DataFrame, species: str = "", experiment_type: str = "", text: str = "") -> DataFrame:
+    """Runs of a species and type, with ``text`` in their id or conditions; any case, empty arguments match all."""
+    if species:
+        index = index.filter(F.lower("species") == species.lower())
+    if experiment_type:
+        index = index.filter(F.lower("experiment_type") == experiment_type.lower())
+    if text:
+        low = F.lit(text.lower())
+        index = index.filter(F.contains(F.lower("run_id"), low) | F.coalesce(F.contains(F.lower("condition_labels"), low), F.lit(False)))
+    return index
+
+
+def relink(df: DataFrame, path: str, old: str, new: str) -> DataFrame:
+    """Replaces a path's prefix; backslashes become slashes and ``changed`` tells which rows had the prefix."""
+    plain = F.replace(F.col(path), F.lit("\\"), F.lit("/"))
+    old, new = old.replace("\\", "/").rstrip("/"), new.replace("\\", "/").rstrip("/")
+    hit = F.coalesce((plain == old) | F.startswith(plain, F.lit(old + "/")), F.lit(False))
+    return df.withColumn("changed", hit).withColumn(path, F.when(hit, F.concat(F.lit(new), F.substr(plain, F.lit(len(old) + 1)))).otherwise(F.col(path)))
+
+
+def register_run(index: DataFrame, run: DataFrame) -> DataFrame:
+    """The index with the run's row in place of one of the same id; a blank species is unknown."""
+    known = F.when(F.trim("species") != "", F.col("species")).otherwise("unknown")
+    return index.join(run.select("run_id"), "run_id", "left_anti").select(index.columns).unionByName(run.withColumn("species", known), allowMissingColumns=True)
+
+
+def remove_run(index: DataFrame, run_id: str) -> DataFrame:
+    return index.filter(~F.col("run_id").eqNullSafe(F.lit(run_id)))
+
+
+def write_distances(pairs: DataFrame, path: str, params: dict[str, str]) -> None:
+    """Long pairs as Parquet and the parameters as JSON beside them."""
+    pairs.write.mode("overwrite").parquet(f"{path}/pairs")
+    spark = pairs.sparkSession
+    spark.createDataFrame(sorted(params.items()), "name string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/params")
+
+
+def read_distances(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
+    rows = spark.read.schema("name string, value string").json(f"{path}/params").collect()  # a few parameters
+    return spark.read.parquet(f"{path}/pairs"), {r["name"]: r["value"] for r in rows}
+
+
+def scan_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row for each readable JSON file, with its path; unreadable ones are left out."""
+    raw = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").schema(f"{schema}, _bad string").json(path)
+    return raw.select("*", F.col("_metadata.file_path").alias("file_path")).filter("_bad IS NULL").drop("_bad")
+
+
+def fingerprint_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, modified, sha256) of files."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+
+
+def append_labels(df: DataFrame, path: str) -> None:
+    """Appends to a label log; absent columns take their defaults (split train, model none)."""
+    for name, value in (("split", "train"), ("model_at_label", "none")):
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(value))
+    df.write.mode("append").parquet(path)
+
+
+def record_session(log: DataFrame, session: DataFrame) -> DataFrame:
+    """The session log with the given sessions in place of older entries of the same id."""
+    return log.join(session.select("session_id"), "session_id", "left_anti").select(log.columns).unionByName(session, allowMissingColumns=True)
+
+
+def union_sources(own: DataFrame, library: DataFrame, path: str) -> DataFrame:
+    """Own files first, then the library's that are not among them, each path once."""
+    first = own.dropDuplicates([path])
+    return first.unionByName(library.dropDuplicates([path]).join(first.select(path), path, "left_anti"), allowMissingColumns=True)
