@@ -36,6 +36,9 @@ def duck():
 def test_query(spark, duck, name):
     df = registry.QUERIES[name](spark, DATA)
     own = sorted([norm(r[k]) for k in sorted(df.columns)] for r in df.collect())
+    if name not in registry.ORACLE_SQL:  # transport: test_operators.py compares it with brute force
+        assert own
+        return
     rel = duck.sql(registry.ORACLE_SQL[name])
     assert sorted(rel.columns) == sorted(df.columns)
     rows = [dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()]
