@@ -84,3 +84,21 @@ def cell_uid(run: Column, well: Column, fov: Column, cell: Column) -> Column:
 def ratio(a: Column, b: Column, least: float = 1e-9) -> Column:
     """a / b, or 0 where b is below ``least``."""
     return F.when(b < least, F.lit(0.0)).otherwise(F.try_divide(a, b))
+
+
+def run_id_of(path: Column) -> Column:
+    """The folder that holds a file, or the one above it where that is a features folder."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: p != "")
+    near = F.try_element_at(parts, F.lit(-2))
+    return F.when(near.isin("04_features", "features"), F.try_element_at(parts, F.lit(-3))).otherwise(near)
+
+
+def class_label(gene: Column, drug: Column, concentration: Column, condition: Column) -> Column:
+    """The gene, else the drug with its concentration, else the whole condition; blanks count as absent."""
+    full = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.coalesce(full(gene), F.when(full(drug).isNotNull(), F.concat_ws("_", full(drug), full(concentration))), full(condition))
+
+
+def control_tokens(lists: Column) -> Column:
+    """The distinct trimmed tokens of a comma list; distinct over runs by explode and distinct."""
+    return F.array_distinct(F.filter(F.transform(F.split(lists, ","), lambda t: F.trim(t)), lambda t: t != ""))

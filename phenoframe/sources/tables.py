@@ -152,3 +152,31 @@ def union_sources(own: DataFrame, library: DataFrame, path: str) -> DataFrame:
     """Own files first, then the library's that are not among them, each path once."""
     first = own.dropDuplicates([path])
     return first.unionByName(library.dropDuplicates([path]).join(first.select(path), path, "left_anti"), allowMissingColumns=True)
+
+
+def remap(df: DataFrame, inventory: DataFrame, path: str) -> DataFrame:
+    """Adds ``found``: the path where the inventory has it, else a file of the same name, nearest the root and then first by name; null if unresolved."""
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    inv = inventory.select(F.col(path).alias("_p")).distinct()
+    by_name = inv.groupBy(name(F.col("_p")).alias("_n")).agg(F.min_by("_p", F.struct(F.size(F.split("_p", "/")), "_p")).alias("_near"))
+    x = df.join(inv, F.col(path) == F.col("_p"), "left").withColumn("_n", name(F.col(path))).join(by_name, "_n", "left")
+    return x.withColumn("found", F.coalesce("_p", "_near")).drop("_p", "_n", "_near")
+
+
+def register_model(registry: DataFrame, model: DataFrame) -> DataFrame:
+    """The registry with the model as its last entry (``position``), in place of one of the same name."""
+    rest = registry.join(model.select("model_name"), "model_name", "left_anti").select(registry.columns)
+    last = registry.agg(F.max("position")).first()[0] or 0
+    return rest.unionByName(model.withColumn("position", F.lit(last + 1)), allowMissingColumns=True)
+
+
+def latest_model(registry: DataFrame, model_type: str | None = None) -> DataFrame:
+    """The last entry, of a type if one is given."""
+    own = registry.filter(F.col("model_type") == model_type) if model_type else registry
+    return own.orderBy(F.desc("position")).limit(1)
+
+
+def update_model_runs(registry: DataFrame, name: str, runs: list[str]) -> DataFrame:
+    """Adds run ids to a model's sorted set."""
+    more = F.array_sort(F.array_union("run_ids", F.array(*[F.lit(x) for x in runs])))
+    return registry.withColumn("run_ids", F.when(F.col("model_name") == name, more).otherwise(F.col("run_ids")))

@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from phenoframe.functions import shapes
-from phenoframe.operators import focus, layout, regions, sampling, summaries, transport
+from phenoframe.functions import labels, shapes
+from phenoframe.operators import focus, layout, models, regions, sampling, sites, summaries, transport
 from phenoframe.sources import tables
 from phenoframe.streaming import intake
 
@@ -109,8 +109,8 @@ def test_transport_jobs(spark):
 
 def test_choose_k_and_noise(spark):
     assert transport.choose_k(spark.createDataFrame([(2, 0.5), (3, 0.52), (4, 0.3)], "k int, silhouette double")) == 2
-    labels = spark.createDataFrame([(0, 1, 0), (0, 2, 0), (0, 3, -1), (0, 4, -1), (1, 1, 5), (1, 2, 6)], "seed int, id int, label int")
-    assert [tuple(r) for r in transport.co_association(labels, 2).collect()] == [(1, 2, 0.5)]
+    found = spark.createDataFrame([(0, 1, 0), (0, 2, 0), (0, 3, -1), (0, 4, -1), (1, 1, 5), (1, 2, 6)], "seed int, id int, label int")
+    assert [tuple(r) for r in transport.co_association(found, 2).collect()] == [(1, 2, 0.5)]
 
 
 def test_zclip_and_weights(spark):
@@ -152,3 +152,39 @@ def test_streams_keep_tables_current(spark, tmp_path):
     arrive([("a", 2, 1, 3.0), ("b", 0, 1, 9.0)])
     assert sorted((r["k"], r["v"]) for r in intake.current_labels(spark, f"{tmp_path}/latest").collect()) == [("a", 3.0), ("b", 2.0)]
     assert sorted(r["v"] for r in spark.read.parquet(f"{tmp_path}/kept").collect()) == [2.0, 3.0, 9.0]
+
+
+def test_feature_model(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(b), None, int(a + 0.1 * b > 0), "train" if i % 4 else "test") for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y int, split string")
+    model, used = models.train_feature_model(df, ["a", "b", "c"], "y", "split", rounds=5)
+    test = df.filter("split = 'test'")
+    assert used == ["a", "b"] and models.evaluate_model(model, test, used, "y").first()["auc"] > 0.9
+    top = models.permutation_importance(model, test, used, "y", "id", repeats=2).collect()
+    assert top[0]["feature"] == "a" and top[0]["mean"] > 0.2
+    with pytest.raises(ValueError, match="hold-out"):
+        models.train_feature_model(test, ["a"], "y", "split")
+    with pytest.raises(ValueError, match="no such features"):
+        models.score(model, test.drop("a"), used)
+
+
+def test_model_registry(spark):
+    reg = spark.createDataFrame([("m1", "cnn", ["r1"], 1), ("m2", "ae", [], 2)], "model_name string, model_type string, run_ids array<string>, position int")
+    new = spark.createDataFrame([("m1", "cnn", ["r9"])], "model_name string, model_type string, run_ids array<string>")
+    both = tables.register_model(reg, new)
+    assert both.count() == 2 and tables.latest_model(both).first()["model_name"] == "m1" and tables.latest_model(both, "ae").first()["model_name"] == "m2"
+    assert tables.update_model_runs(both, "m1", ["r9", "a"]).filter("model_name = 'm1'").first()["run_ids"] == ["a", "r9"]
+
+
+def test_names(spark):
+    df = spark.createDataFrame([("/d/run1/04_features/f.csv", " NT1 ,WT,, NT1"), ("d\\run2\\f.csv", "")], "p string, c string")
+    rows = df.select(labels.run_id_of(F.col("p")).alias("r"), labels.control_tokens(F.col("c")).alias("t")).collect()
+    assert [(x["r"], x["t"]) for x in rows] == [("run1", ["NT1", "WT"]), ("run2", [])]
+
+
+def test_sites_near_a_border(spark):
+    px = spark.createDataFrame([("i", y, x, float(10 * (y == x == 4))) for y in range(9) for x in range(9)], "img string, y int, x int, value double")
+    s = spark.createDataFrame([("i", 1, 4, 4), ("i", 2, 0, 0)], "img string, site int, y int, x int")
+    assert {r["site"]: r["amplitude"] for r in sites.peak_amplitude(px, s, ["img"], 3, 1).collect()} == {1: 10.0, 2: None}
+    assert {r["snr"] for r in sites.annulus_snr(px, s, ["img"], 1.0).collect()} == {0.0}  # flat rings
