@@ -9,16 +9,29 @@ from pyspark.sql import functions as F
 RANGES = 4096
 
 
-def rank_metrics(pairs: DataFrame, distance: str, groups: DataFrame, k: int) -> DataFrame:
-    """Per profile: ap (mean precision at hits) and knn (share of hits among the k nearest); profiles without a positive are left out.
-
-    ``groups``: (id, grp). Rows without a group and groups of one are dropped first."""
-    counted = groups.groupBy("grp").agg(F.count("*").alias("_n")).filter("_n > 1").select("grp")
-    g = groups.join(counted, "grp", "left_semi").select("id", "grp")
+SCOPES = ("all", "cross_gene", "replicate")
+
+
+def rank_metrics(pairs: DataFrame, distance: str, groups: DataFrame, k: int, scope: str = "all") -> DataFrame:
+    """Per profile: ap (mean precision at hits) and knn (share of hits among the k nearest candidates); profiles without a positive are left out.
+
+    ``groups``: (id, grp), and for the other scopes key, the profile's gene. Scope ``all``: positives share the group. ``cross_gene``: profiles of the own key are no
+    candidates, so positives are of other keys of the group. ``replicate``: positives share the key. Keys count trimmed and in any case. Rows without a
+    group are dropped, as are groups of one row (of one key under ``cross_gene``)."""
+    if scope not in SCOPES:
+        raise ValueError(f"scope is one of {SCOPES}")
+    key = F.lower(F.trim(F.col("key").cast("string"))) if scope != "all" else F.col("id").cast("string")
+    keyed = groups.select("id", "grp", key.alias("key")).filter("grp IS NOT NULL")
+    enough = F.countDistinct("key") if scope == "cross_gene" else F.count("*")
+    counted = keyed.groupBy("grp").agg(enough.alias("_n")).filter("_n > 1").select("grp")
+    g = keyed.join(counted, "grp", "left_semi")
     both = pairs.select("i", "j", distance).union(pairs.select("j", "i", distance))
-    x = both.join(g.withColumnRenamed("id", "i").withColumnRenamed("grp", "gi"), "i").join(g.withColumnRenamed("id", "j").withColumnRenamed("grp", "gj"), "j")
+    x = both.join(g.selectExpr("id AS i", "grp AS gi", "key AS ki"), "i").join(g.selectExpr("id AS j", "grp AS gj", "key AS kj"), "j")
+    if scope == "cross_gene":
+        x = x.filter("NOT ki <=> kj")
+    hit = F.col("ki") == F.col("kj") if scope == "replicate" else F.col("gi") == F.col("gj")
     w = Window.partitionBy("i").orderBy(distance, "j")
-    x = x.withColumn("hit", (F.col("gi") == F.col("gj")).cast("int")).withColumn("rank", F.row_number().over(w))
+    x = x.withColumn("hit", F.coalesce(hit, F.lit(False)).cast("int")).withColumn("rank", F.row_number().over(w))
     x = x.withColumn("hits", F.sum("hit").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return x.groupBy(F.col("i").alias("id")).agg(
         F.avg(F.when(F.col("hit") == 1, F.col("hits") / F.col("rank"))).alias("ap"), F.avg(F.when(F.col("rank") <= k, F.col("hit"))).alias("knn")

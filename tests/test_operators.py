@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phenoframe.functions import labels, shapes
-from phenoframe.operators import focus, layout, models, regions, sampling, sites, summaries, transport
+from phenoframe.operators import focus, layout, models, ranking, regions, sampling, sites, summaries, transport
 from phenoframe.sources import tables
 from phenoframe.streaming import intake
 
@@ -188,3 +188,26 @@ def test_sites_near_a_border(spark):
     s = spark.createDataFrame([("i", 1, 4, 4), ("i", 2, 0, 0)], "img string, site int, y int, x int")
     assert {r["site"]: r["amplitude"] for r in sites.peak_amplitude(px, s, ["img"], 3, 1).collect()} == {1: 10.0, 2: None}
     assert {r["snr"] for r in sites.annulus_snr(px, s, ["img"], 1.0).collect()} == {0.0}  # flat rings
+
+
+def test_scopes_of_rank_metrics(spark):
+    """A gene of five replicates: the other genes of its group fill 4 of 5 places across genes, its own replicates all 5 otherwise."""
+    genes = [("A", "hadA", 5), ("A", "hadB", 3), ("A", "hadC", 1), ("B", "xx", 5), ("B", "yy", 3)]
+    rows = [(n, gene, grp) for n, (grp, gene) in enumerate((grp, gene) for grp, gene, count in genes for _ in range(count))]
+    far = lambda a, b: 0.05 if a[1] == b[1] else 0.5 if a[2] == b[2] else 1.0
+    pairs = spark.createDataFrame([(a[0], b[0], far(a, b)) for a in rows for b in rows if a[0] < b[0]], "i int, j int, d double")
+    groups = spark.createDataFrame([*rows, (99, "lone", "C"), (98, "none", None)], "id int, key string, grp string")
+    got = {s: {r["id"]: r for r in ranking.rank_metrics(pairs, "d", groups, 5, s).collect()} for s in ranking.SCOPES}
+    assert abs(got["cross_gene"][0]["knn"] - 0.8) < 1e-9 and got["all"][0]["knn"] == 1 and len(got["all"]) == 17
+    assert abs(got["replicate"][0]["knn"] - 0.8) < 1e-9 and 8 not in got["replicate"]  # four other replicates; a gene of one has none
+    with pytest.raises(ValueError, match="scope"):
+        ranking.rank_metrics(pairs, "d", groups, 5, "other")
+
+
+def test_read_features_and_library(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("cell_uid,area\na,1.5\nb,NaN\n")
+    assert [r["area"] for r in tables.read_features(spark, f"{tmp_path}/f.csv").orderBy("cell_uid").collect()] == [1.5, None]
+    index = spark.createDataFrame([("r1", "Msm", "t"), ("r2", "Mtb", "t")], "run_id string, species string, experiment_type string")
+    runs = spark.createDataFrame([("r1", 1), ("r2", 2), ("r3", 3)], "run_id string, n int")
+    assert [r["_library_run_id"] for r in tables.load_library(index, runs, "msm").collect()] == ["r1"]
+    assert tables.load_library(index, runs).count() == 2
