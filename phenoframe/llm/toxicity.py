@@ -45,8 +45,10 @@ class FactorizationMachine:
 
     @classmethod
     def fit(cls, docs: list[np.ndarray], labels: np.ndarray, prior_shift: float, k: int = 4, least: int = 4, apart: float = 4.0, epochs: int = 12, decay: float = 2e-4, seed: int = 3):
-        """``docs``: distinct buckets of each text. Terms of fewer than ``least`` texts are left out, and
-        rare ones whose share of toxic texts is within ``apart`` standard errors of all texts'."""
+        """``docs``: distinct buckets of each text. Only terms of fewer than ``least`` texts are left out.
+
+        The first ``epochs`` rounds fit the terms that go with a class (whose share of toxic texts is ``apart`` standard errors from all
+        texts' or more) and frequent ones; as many more rounds fit every term to what these leave, the others in small steps."""
         if not docs or not (0 < labels.sum() < len(labels)):
             rate = float(labels.mean()) if len(labels) else 0.0
             return cls(4.0 if rate > 0.5 else -4.0, np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros((0, k), np.float32))
@@ -54,14 +56,19 @@ class FactorizationMachine:
         bad = np.bincount(np.searchsorted(values, np.concatenate([d for d, y in zip(docs, labels, strict=True) if y > 0])), minlength=len(values))
         rate = labels.mean()
         z = np.abs(bad - counts * rate) / np.sqrt(counts * rate * (1 - rate))
-        # Rare terms stay if they go with one class; frequent ones stay for what they mean in pairs.
-        index = values[(counts >= least) & ((z >= apart) | (counts >= 0.2 * len(docs)))]
-        own = [np.searchsorted(index, d[np.isin(d, index, assume_unique=True)]).astype(np.int32) for d in docs]
+        enough = counts >= least
+        index, clear = values[enough], ((z >= apart) | (counts >= 0.2 * len(docs)))[enough]
+        every = [np.searchsorted(index, d[np.isin(d, index, assume_unique=True)]).astype(np.int32) for d in docs]
         rng = np.random.default_rng(seed)
         n = len(index)
         w, v = np.zeros(n, np.float64), rng.normal(0, 0.01, (n, k))
-        gw, gv, bias, gb = np.full(n, 1e-6), np.full((n, k), 1e-6), 0.0, 1e-6
-        for epoch in range(epochs):
+        # Large first sums keep the steps of unclear terms in proportion to their evidence.
+        gw, gv, bias, gb = np.where(clear, 1e-6, 1e-2), np.where(clear[:, None], np.full(k, 1e-6), 0.3), 0.0, 1e-6
+        rate_w, rate_v = np.where(clear, 0.3, 0.03), np.where(clear, 0.02, 0.1)[:, None]
+        own = [x[clear[x]] for x in every]
+        for epoch in range(2 * epochs):
+            if epoch == epochs:
+                own = every
             order = rng.permutation(len(own))
             for at in range(0, len(order), 32):
                 part = order[at : at + 32]
@@ -82,8 +89,8 @@ class FactorizationMachine:
                 gw[u] += dw**2
                 gv[u] += dv**2
                 gb += err.mean() ** 2
-                w[u] -= 0.3 * dw / np.sqrt(gw[u])
-                v[u] -= 0.02 * dv / np.sqrt(gv[u])
+                w[u] -= rate_w[u] * dw / np.sqrt(gw[u])
+                v[u] -= rate_v[u] * dv / np.sqrt(gv[u])
                 bias -= 0.1 * err.mean() / np.sqrt(gb)
         return cls(bias + prior_shift, index, w.astype(np.float32), v.astype(np.float32))
 

@@ -351,6 +351,25 @@ def test_factorization_machine_learns_pairs():
     assert row(1, 2) > 0.5 > max(row(1), row(2), row(30))
 
 
+def test_factorization_machine_learns_rare_pairs_of_neutral_terms():
+    """Terms 1 and 2 stand in 5% of texts each and are as often toxic as all texts; a third of their texts has both and is toxic."""
+    rng = np.random.default_rng(5)
+    docs, y = [], []
+    for _ in range(7500):
+        own, u = rng.integers(100, 2100, 12).tolist(), rng.random()
+        if u < 5 / 60:
+            own += [1, 2] if u < 1 / 60 else [1] if u < 3 / 60 else [2]
+            toxic = u < 1 / 60
+        else:
+            toxic = rng.random() < 1 / 3
+            own += [3] if toxic else []
+        docs.append(np.unique(own))
+        y.append(float(toxic))
+    m = toxicity.FactorizationMachine.fit(docs, np.array(y), 0.0)
+    row = lambda *t: m.score(np.zeros(len(t), np.int64), np.array(t), 1)[0]
+    assert row(1, 2) > 0.5 > max(row(1), row(2), row(200)) and row(3) > 0.5
+
+
 def _nearest(vectors, query_every=20, k=20):
     good = {
         i: np.array(v, float) for i, v in vectors
