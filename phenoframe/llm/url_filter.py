@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..worktable import materialize
+from .skew import HOT_SHARE
+
 #: The rules of the query, as host + path prefix and verdict.
 RULES = (
     ("org/", "allow"),
@@ -19,7 +22,7 @@ RULES = (
     ("com/de/", "block"),
 )
 MAX_WORD = 24
-#: Tables of words that go to the executors hold so many of the most frequent words at most.
+#: The table of words that goes to the executors holds so many of the most frequent words at most.
 MAX_WORDS = 50_000
 OUTPUT = "page_id long, host string, path string, rule string, verdict string, score double, words array<string>"
 
@@ -94,7 +97,7 @@ def tokens_of(host: str, path: str, segmenter: Segmenter, known: dict[str, list[
     if host not in known:
         if len(known) > 100_000:
             known.clear()
-        known[host] = [f"h:{w}" for part in _PARTS.findall(host) for w in segmenter.split(part[:256])]
+        known[host] = [f"h:{w}" for part in _PARTS.findall(host) for w in segmenter.split(part)]
     out = list(known[host])
     for part in _PARTS.findall(path.lower()):
         out.append(f"p:#{len(part)}" if part[0].isdecimal() else f"p:{part}")
@@ -102,7 +105,7 @@ def tokens_of(host: str, path: str, segmenter: Segmenter, known: dict[str, list[
 
 
 class NaiveBayes:
-    """Multinomial naive Bayes with add-one smoothing from (verdict, token, count) and (verdict, rows)."""
+    """Multinomial naive Bayes with add-one smoothing from (verdict, token, count) and (verdict, rows): the small form of ``token_weights``."""
 
     def __init__(self, counts: list[tuple[str, str, int]], rows: dict[str, int]):
         vocabulary = {t for _, t, _ in counts}
@@ -122,6 +125,25 @@ class NaiveBayes:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
 
 
+def token_weights(counts: DataFrame, rows: dict[str, int], hot: int) -> tuple[float, dict[str, float], DataFrame]:
+    """Multinomial naive Bayes with add-one smoothing from one row (token, n, block, allow) per token and the rows of each verdict.
+
+    The log odds of block: of the verdicts; of the tokens that stand more than ``hot`` times in all urls; and (token, weight) of the
+    others. Totals are taken over all tokens of ruled urls; a token of none of them weighs 0."""
+    n = sum(rows.values())
+    prior = math.log((rows.get("block", 0) + 1) / (n + 2)) - math.log((rows.get("allow", 0) + 1) / (n + 2))
+    seen = F.col("block") + F.col("allow") > 0
+    size, block, allow = counts.agg(F.count_if(seen), F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("allow"), F.lit(0))).first()
+    total = math.log(size + 1 + allow) - math.log(size + 1 + block)
+    weight = F.when(seen, F.lit(total) + F.log(F.col("block") + 1) - F.log(F.col("allow") + 1)).otherwise(F.lit(0.0)).alias("weight")
+    often = {r["token"]: r["weight"] for r in counts.filter(F.col("n") > hot).select("token", weight).collect()}
+    return prior, often, counts.filter((F.col("n") <= hot) & seen).select("token", weight)
+
+
+def probability(log_odds: float) -> float:
+    return 1 / (1 + math.exp(-max(-50.0, min(50.0, log_odds))))
+
+
 def url_filter(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", rules=RULES, max_words: int = MAX_WORDS
 ) -> DataFrame:
@@ -130,8 +152,8 @@ def url_filter(
     The words of ``text_col`` over all rows give the unigram model; the urls that a rule decides train the
     classifier (counts over all of them), which decides the rest. Null urls and urls without :// have empty
     host and path, no rule, and the verdict of the prior. Without any training row, allow. Repeated rows are
-    judged alike; extra columns are ignored. Both models sent to the executors hold ``max_words``
-    entries a class at most."""
+    judged alike; extra columns are ignored. The unigram model sent to the executors holds the ``max_words`` most frequent words;
+    the classifier's counts stay in a table, of which only tokens with over 1 / HOT_SHARE of all (and so HOT_SHARE at most) are sent."""
     urls = pages.select(
         F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")
     )
@@ -141,26 +163,34 @@ def url_filter(
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[str]] = {}
         for b in batches:
-            tokens = [tokens_of(h, p, segmenter, known) for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(tokens, pa.list_(pa.string()))], ["verdict", "tokens"])
+            tokens = [tokens_of(h, p, segmenter, known) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens, pa.list_(pa.string()))], ["page_id", "host", "path", "rule", "tokens"])
 
-    ruled = urls.filter("rule IS NOT NULL").select("host", "path", verdict_of(F.col("rule"), rules).alias("verdict"))
-    counts = (
-        ruled.mapInArrow(tokenise, "verdict string, tokens array<string>").select("verdict", F.explode("tokens").alias("token"))
-        .groupBy("verdict", "token").count().orderBy(F.desc("count"), "token", "verdict").limit(2 * max_words).collect()
+    tokenised = urls.select("page_id", "host", "path", "rule").mapInArrow(tokenise, "page_id long, host string, path string, rule string, tokens array<string>")
+    cut = materialize(tokenised.withColumn("row", F.monotonically_increasing_id()), "url-tokens")
+    judged = cut.withColumn("verdict", verdict_of(F.col("rule"), rules))
+    counts = judged.select("verdict", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("block"), F.count_if(F.col("verdict") == "allow").alias("allow")
     )
-    rows = {r["verdict"]: r["count"] for r in ruled.groupBy("verdict").count().collect()}
-    model = NaiveBayes([(r["verdict"], r["token"], r["count"]) for r in counts], rows)
+    counts = materialize(counts, "url-counts")
+    rows = {r["verdict"]: r["count"] for r in judged.filter("verdict IS NOT NULL").groupBy("verdict").count().collect()}
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    prior, often, weights = token_weights(counts, rows, total // HOT_SHARE)
     decided = {r: v for r, v in rules}
 
+    # The frequent tokens are summed where the urls are, the others by a join; a token of no ruled url meets no weight.
+    some = cut.select("row", F.explode("tokens").alias("token"))
+    some = some.filter(~F.col("token").isin(list(often))) if often else some
+    found = some.join(weights, "token").groupBy("row").agg(F.array_sort(F.collect_list("weight")).alias("parts"))
+    joined = cut.join(found.hint("shuffle_hash"), "row", "left").select("page_id", "host", "path", "rule", "tokens", "parts")
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[str]] = {}
         for b in batches:
-            tokens = [tokens_of(h, p, segmenter, known) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            score = [model.score(t) for t in tokens]
+            tokens, parts = b.column(4).to_pylist(), b.column(5).to_pylist()
+            score = [probability(prior + math.fsum([often.get(t, 0.0) for t in x] + (y or []))) for x, y in zip(tokens, parts, strict=True)]
             verdict = [decided.get(r) or ("block" if s > 0.5 else "allow") for r, s in zip(b.column(3).to_pylist(), score, strict=True)]
-            found = [[t[2:] for t in x if t[0] == "h"] for x in tokens]
-            more = [pa.array(verdict, pa.string()), pa.array(score, pa.float64()), pa.array(found, pa.list_(pa.string()))]
+            words = [[t[2:] for t in x if t[0] == "h"] for x in tokens]
+            more = [pa.array(verdict, pa.string()), pa.array(score, pa.float64()), pa.array(words, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(b.columns[:4] + more, ["page_id", "host", "path", "rule", "verdict", "score", "words"])
 
-    return urls.select("page_id", "host", "path", "rule").mapInArrow(judge, OUTPUT)
+    return joined.mapInArrow(judge, OUTPUT)

@@ -267,6 +267,28 @@ def test_url_filter(spark):
     assert url_filter.url_filter(empty).count() == 0
 
 
+def test_url_filter_counts_every_token_in_both_classes(spark):
+    """One class holds most urls and has many words; the word of the other is as telling in every table size."""
+    rng = random.Random(3)
+    urls = [f"http://a{i}.org/w{''.join(rng.choice('abcdefgh') for _ in range(8))}/both" for i in range(300)] + ["http://b.com/de/rare/both"] * 5
+    urls += ["http://c.net/rare", "http://c.net/both", "http://c.net/none", "http://" + "x" * 300 + "tail.net/"]
+    df = spark.createDataFrame([(i, u, "a") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    counts, rows, cut, segmenter = Counter(), Counter(), {}, url_filter.Segmenter([("a", len(urls))])
+    got = {r["page_id"]: r for r in url_filter.url_filter(df, max_words=2).collect()}
+    for i, r in got.items():
+        cut[i] = url_filter.tokens_of(r["host"], r["path"], segmenter, {})
+        if r["rule"]:
+            rows[r["verdict"]] += 1
+            counts.update((r["verdict"], t) for t in cut[i])
+    m = url_filter.NaiveBayes([(v, t, c) for (v, t), c in counts.items()], dict(rows))
+    assert len(got) == len(urls) and rows == {"allow": 300, "block": 5}
+    for i, r in got.items():
+        assert abs(r["score"] - m.score(cut[i])) < 1e-9
+        assert r["words"] == [t[2:] for t in cut[i] if t[0] == "h"]
+    assert got[305]["verdict"] == "block" and got[306]["verdict"] == "allow"
+    assert "".join(got[308]["words"]) == "x" * 300 + "tailnet"
+
+
 def test_segmenter_and_bayes():
     s = url_filter.Segmenter([("cheap", 50), ("pills", 40), ("che", 2), ("ap", 1), ("news", 30)])
     assert s.split("cheappills") == ["cheap", "pills"] and s.split("newszzz")[0] == "news" and s.split("") == []
