@@ -1,6 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, n-gram Jaccard join, mixing, BPE encoding.
 
-Every stage takes all rows that the stage before it kept, and all but the last return the columns of ``documents``."""
+Every stage takes all rows that the stage before it kept, and all but the last return the columns of ``documents``.
+Each row is a document of its own: stages select by a key that they give to every row, so null and repeated ids
+lose nothing and multiply nothing. Rows of equal text leave exact dedup as one row, whatever their ids."""
 
 from __future__ import annotations
 
@@ -10,34 +12,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenoframe.llm import bpe, dedup_exact, language_id, mixing, ngram_join
-from phenoframe.worktable import new_path
+from phenoframe.worktable import materialize, new_path
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids (each once)."""
-    return docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+#: The surrogate key of a stage's rows.
+KEY = "_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows of docs with a key of their own, written so that it stays the same. Keys of all partitions alternate, so they are close."""
+    rows = materialize(docs.withColumn(KEY, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(KEY, 33)
+    parts = rows.agg(F.coalesce(F.max(part), F.lit(0)) + 1).first()[0]
+    return rows.withColumn(KEY, F.col(KEY).bitwiseAND(F.lit((1 << 33) - 1)) * F.lit(parts) + part)
+
+
+def _keep(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key is among keys (each once), without it."""
+    return rows.join(keys.hint("shuffle_hash"), KEY, "left_semi").drop(KEY)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: texts in which no language can be told (``und``) go."""
-    tagged = language_id.language_id(docs).filter("lang_pred <> 'und'")
-    return _keep(docs, tagged.select("doc_id"))
+    rows = _numbered(docs)
+    tagged = language_id.language_id(rows, key_col=KEY).filter("lang_pred <> 'und'")
+    return _keep(rows, tagged.select(KEY))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact dedup: of equal texts the one with the largest doc_id stays."""
-    return _keep(docs, dedup_exact.exact_dedup(docs).filter("kept").select("doc_id"))
+    """Exact dedup: of equal texts one row with the largest doc_id stays; a null id only where its group has no other."""
+    rows = _numbered(docs)
+    judged = dedup_exact.exact_dedup(rows.withColumn("_id", F.struct("doc_id", KEY)), "_id")
+    return _keep(rows, judged.filter("kept").select(F.col(f"doc_id.{KEY}").alias(KEY)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: the document with the smallest doc_id of each component stays."""
-    return _keep(docs, ngram_join.ngram_join(docs).filter("doc_id = component_id").select("doc_id"))
+    """N-gram Jaccard join: one row with the smallest doc_id of each component stays; a null id only where no other is in it."""
+    rows = _numbered(docs)
+    placed = ngram_join.ngram_join(rows, KEY).select(F.col("doc_id").alias(KEY), "component_id")
+    placed = placed.join(rows.select(KEY, "doc_id").hint("shuffle_hash"), KEY)
+    least = placed.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", KEY)).alias("least"))
+    return _keep(rows, least.select(F.col(f"least.{KEY}").alias(KEY)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: a document appears as often as the mix takes it, a part counting once."""
-    taken = mixing.mix(docs).filter("size > 0 AND taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    repeated = docs.join(taken.hint("shuffle_hash"), "doc_id")
+    """Mixing: a row appears as often as the mix takes it, a part counting once."""
+    rows = _numbered(docs)
+    # Null ids are ordered by their texts, so that they are dealt as others are.
+    named = rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.xxhash64("text").cast("string"))))
+    taken = mixing.mix(named, "_id", key_col=KEY).filter("size > 0 AND taken > 0")
+    taken = taken.select(KEY, F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    repeated = rows.join(taken.hint("shuffle_hash"), KEY)
     return repeated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
 
 

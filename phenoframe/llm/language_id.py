@@ -184,13 +184,16 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label:
 
 
 def language_id(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 600, steps: int = 350
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 600, steps: int = 350,
+    key_col: str | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     Learns from about ``per_label`` texts of each label outside the held-out fold, then tags every byte of
     every whole text in windows of WINDOW bytes and averages. ``und`` with score 0 for null texts, texts without a letter, and when
-    there is nothing to learn from. Ties go to the smaller label. Repeated rows get the same answer; extra columns are ignored. No shuffle."""
+    there is nothing to learn from. Ties go to the smaller label. Repeated rows get the same answer; extra columns are ignored but
+    for ``key_col`` (long), which goes along with its row. No shuffle."""
+    more = [key_col] if key_col else []
     tagger = fit(docs, id_col, text_col, label_col, per_label, steps)
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
@@ -206,11 +209,11 @@ def language_id(
                 pred[i:j] = np.array(m.labels, object)[best]
                 score[i:j] = np.clip(p[np.arange(j - i), best], 0, 1)
             pred[~letters], score[~letters] = "und", 0.0
-            out = [b.column(0), b.column(1), pa.array(pred.tolist(), pa.string()), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "lang_pred", "score"])
+            out = [b.column(0), b.column(1), pa.array(pred.tolist(), pa.string()), pa.array(score), *b.columns[4:]]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "lang_pred", "score", *more])
 
     own = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"),
-        F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False)).alias("letters"), F.col(text_col).alias("text"),
+        F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False)).alias("letters"), F.col(text_col).alias("text"), *more,
     )
-    return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", {c} long" for c in more))

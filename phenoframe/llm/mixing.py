@@ -49,19 +49,21 @@ def targets(sizes: DataFrame, max_epochs: float = 3.0) -> DataFrame:
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    max_epochs: float = 3.0, seed: int = 13,
+    max_epochs: float = 3.0, seed: int = 13, key_col: str | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken.
 
     A source with target T and size S repeats all documents floor(T / S) times. Of the fraction that is left,
     documents are taken in seeded order until it is filled, the last of them in part. No document
     exceeds ``max_epochs`` times its size. Null texts have size 0; null sources are one source; sizes of 0
-    only give target 0. Equal ids within a source are ordered by size. Reruns agree, whatever the partitioning."""
+    only give target 0. Equal ids within a source are ordered by size. Reruns agree, whatever the partitioning. ``key_col`` is a
+    column that goes along and tells rows of equal ids apart; it has no part in the seeded order but behind id and size."""
+    more = [key_col] if key_col else []
     key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
     sized = materialize(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-            key.alias("key"), F.pmod(F.shiftright(key, 20), F.lit(SLOTS)).cast("int").alias("slot"),
+            key.alias("key"), F.pmod(F.shiftright(key, 20), F.lit(SLOTS)).cast("int").alias("slot"), *more,
         ),
         "mix-sizes",
     )
@@ -89,10 +91,10 @@ def mix(
     outside = d.filter("cut_slot IS NULL OR slot <> cut_slot").withColumn(
         "part", F.when(F.col("slot") < F.col("cut_slot"), F.col("size")).otherwise(F.lit(0))
     )
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "size", *more).rowsBetween(Window.unboundedPreceding, -1)
     filled = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     inside = d.filter("slot = cut_slot").withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - filled)))
     both = outside.unionByName(inside)
     return both.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"), *more
     )

@@ -56,6 +56,49 @@ def test_stages_keep_what_they_should(spark, tmp_path):
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
+def _stages(spark, tmp_path, rows):
+    """The rows after each stage but the last."""
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in docs.collect())
+    return kept
+
+
+def _body(rng, n=40):
+    return " ".join("".join(rng.choice("aeioustrnl") for _ in range(6)) for _ in range(n))
+
+
+def test_repeated_rows(spark, tmp_path):
+    """A row that stands eight times leaves exact dedup once; different texts of one id neither merge nor multiply."""
+    rng = random.Random(4)
+    rows = [(i, _body(rng), "en", f"src{i % 2}", 1) for i in range(40)]
+    rows += [(7, rows[7][1], "en", "src1", 1)] * 7 + [(8, _body(rng), "en", "src0", 1)] * 3
+    kept = _stages(spark, tmp_path, rows)
+    once = sorted((False, i, t) for i, t in {(r[0], r[1]) for r in rows})
+    assert len(kept["language_id"]) == 50 and kept["exact_dedup"] == once and kept["ngram_join"] == once
+    # A mix takes each row three times at most, and all words of the table within a row's length and the parts.
+    assert set(kept["mixing"]) <= set(once) and max(map(kept["mixing"].count, once)) <= 3
+    assert len(kept["mixing"]) <= len(once) + 2
+
+
+def test_null_ids(spark, tmp_path):
+    """Documents without an id stay, each by itself; one goes only for an equal or a near one."""
+    rng = random.Random(5)
+    rows = [(i, _body(rng), "en", "src0", 1) for i in range(20)] + [(None, _body(rng), "en", "src0", 1) for _ in range(4)]
+    more = [(None, rows[20][1], "en", "src0", 1), (None, rows[3][1].upper(), "en", "src0", 1), (None, rows[21][1] + " end", "en", "src0", 1), (None, rows[4][1] + " end", "en", "src0", 1)]
+    kept = _stages(spark, tmp_path, rows + more)
+    assert len(kept["language_id"]) == 28
+    assert kept["exact_dedup"] == sorted((r[0] is None, r[0] or 0, r[1]) for r in rows + more[2:])
+    pair = {rows[21][1], more[2][1]}
+    texts = [t for none, _, t in kept["ngram_join"] if none]
+    assert sum(not none for none, _, _ in kept["ngram_join"]) == 20
+    assert len(texts) == 4 and len(pair & set(texts)) == 1 and set(texts) - pair == {rows[i][1] for i in (20, 22, 23)}
+    assert sorted(set(kept["mixing"])) == kept["ngram_join"]
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
