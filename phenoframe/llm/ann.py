@@ -99,7 +99,7 @@ def nearest_neighbours(
 
     Queries are the rows whose id divides by ``query_every``; candidates are all rows but the query's own.
     Both halves get ``centroids`` centroids from about ``sample`` rows (a documented, bounded sample); every row is indexed. A query visits
-    pairs until it has seen ``visit`` of all rows, ``least`` at least. Vectors whose entries spread evenly in all
+    pairs until it has seen ``visit`` times the number of all rows, ``least`` at least, equal vectors counting ``k`` + 1 times at most. Vectors whose entries spread evenly in all
     directions need the large default share for a recall of 0.9; clustered ones need far less. Index and queries are cut into blocks of at
     most about ``index_rows`` and ``query_rows`` rows, a pair of cells larger than a block being split by a hash of
     the id, so no task holds more than two blocks. Vectors null, zero, of another length than the most, or with null or
@@ -134,6 +134,11 @@ def nearest_neighbours(
     counts = np.zeros(len(c1) * n2, np.int64)  # centroids squared values at most
     for r in index.groupBy("cell").count().collect():
         counts[r["cell"]] = r["count"]
+    # Of equal vectors k + 1 can be of use to a query, so no more of them count as visited.
+    useful = np.zeros(len(counts), np.int64)
+    alike = index.groupBy("cell", F.xxhash64("v").alias("h")).count()
+    for r in alike.groupBy("cell").agg(F.sum(F.least(F.col("count"), F.lit(k + 1))).alias("n")).collect():
+        useful[r["cell"]] = r["n"]
     # Blocks of the index: cells in order, a new block every ``index_rows`` rows; a larger cell has blocks of its own.
     block, own, at, filled = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
     for cell, n in enumerate(counts.tolist()):
@@ -161,7 +166,7 @@ def nearest_neighbours(
     entries = entries.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grid = counts.reshape(len(c1), n2)
+        grid = useful.reshape(len(c1), n2)
         for b in batches:
             q = _matrix(b.column(1), dim)
             near1, near2 = q[:, :half] @ c1.T, q[:, half:] @ c2.T

@@ -428,6 +428,19 @@ def test_nearest_neighbours(spark):
     assert ann.nearest_neighbours(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("common", [300, 1200])
+def test_nearest_neighbours_beside_a_common_vector(spark, common):
+    """One vector of a third or two thirds of all rows uses up none of the visits: recall of all queries, and of those of other vectors."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(600)] + [(600 + i, [1.0] + [0.0] * 7) for i in range(common)]
+    expected = _nearest(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(df, least=1, visit=0.5).collect()
+    for queries in (set(expected), {q for q in expected if q < 600}):
+        hits = sum(r["query_id"] in queries and r["vec_id"] in {i for _, i in expected[r["query_id"]]} for r in got)
+        assert hits >= 0.9 * sum(len(expected[q]) for q in queries), hits / sum(len(expected[q]) for q in queries)
+
+
 def test_multi_sequence_walk():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=6), rng.normal(size=5)
