@@ -147,7 +147,7 @@ def shared_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: in
             mark.append(np.array([i[x:y].sum(), scramble[x:y].sum(), s], np.uint64).tobytes() if full else None)
         return pa.table([pa.array(own), pa.array(size), pa.array(ids, pa.binary()), pa.array(df, pa.binary()), pa.array(mark, pa.binary())], schema=result)
 
-    own = docs.select(P.keyed(id_col).alias("doc"), F.col(text_col).alias("text"))
+    own = P.keyed(docs, id_col, text_col)
     sent = own.mapInArrow(send, P.DDL)
     counted = sent.groupBy("b").applyInArrow(count, P.DDL)
     return counted.groupBy("b").applyInArrow(gather, "doc long, n long, ids binary, df binary, mark binary")
@@ -177,7 +177,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are lower-cased A-Z and split at ASCII white space. Documents link when the Jaccard similarity of their shingle sets is
     ``percent`` or more. Empty and null texts have an empty set, and stand alone. Rows that repeat an id count as one
-    document and give one row. A null id is a document of its own. Extra columns are ignored.
+    document and give one row. Each null id is a document of its own and counts as smaller than all others. Extra columns are ignored.
 
     Equal sets are one class, and only its representative is joined. Candidates share a token in the prefix under the rarest-first order.
     First every document is checked against the smallest one of each posting list; what is then in one component needs

@@ -8,22 +8,30 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..worktable import materialize
+
 ID_BITS = 46
 NULL_ID = -(1 << 63)
+NULL_END = -(1 << 62)
 #: Pairs a task gathers before it packs them.
 GATHER = 3_000_000
 
 
-def keyed(id_col: str) -> Column:
-    """A row's id as long; a null id stands as the smallest long and is turned back by ``unkeyed``."""
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text): a row's id as long, each null id standing as a long of its own below ``NULL_END``, which ``unkeyed`` turns back.
+
+    With null ids the rows are written, so that every use has the same keys. Ids below ``NULL_END`` (-2^62) would be taken for null."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    if own.filter("doc IS NULL").isEmpty():
+        return own
+    return materialize(own.withColumn("doc", F.coalesce("doc", F.lit(NULL_ID) + F.monotonically_increasing_id())), "keyed")
 
 
 def unkeyed(column: Column) -> Column:
-    return F.when(column != F.lit(NULL_ID), column)
+    return F.when(column >= F.lit(NULL_END), column)
 
 
 def bucket_bits(partitions: int) -> int:

@@ -117,7 +117,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     also starts earlier begins, packed (see packing.unpack_numbers)."""
     spark = docs.sparkSession
     bits = P.bucket_bits(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    own = docs.select(P.keyed(id_col).alias("doc"), F.col(text_col).alias("text"))
+    own = P.keyed(docs, id_col, text_col)
     heavy = heavy_prefixes(own, length, 1 << bits)
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,9 +248,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A word goes if a window of ``length`` words that covers it also starts earlier: in a document of smaller id, or
     earlier in the same one. Null and empty texts have no words. Rows that repeat an id and its text are one document and
-    are answered alike. A null id counts as the smallest. Extra columns are ignored. An empty table gives an empty result."""
-    own = docs.select(P.keyed(id_col).alias("doc"), F.col(text_col).alias("text"))
-    spans = repeats(docs, id_col, text_col, length)
+    are answered alike. Each null id is a document of its own; null ids count as the smallest. Extra columns are ignored. An empty table gives an empty result."""
+    own = P.keyed(docs, id_col, text_col)
+    spans = repeats(own, "doc", "text", length)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -198,6 +198,17 @@ def test_null_and_repeated_ids(spark):
     assert removed == {(None, 0): 1, (1, 40): 2, (2, 40): 1}
 
 
+def test_null_ids_are_documents_of_their_own(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "xy")
+    rows = [(None, one), (None, two), (None, one), (5, one), (6, two), (7, "z " + two)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["n_shingles"]) for r in ngram_join.ngram_join(df).collect())
+    assert got == {(None, 36): 3, (5, 36): 1, (6, 36): 1, (7, 37): 1}
+    removed = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(df).collect())
+    # The first null id of each text keeps it; it goes from all the others.
+    assert removed == {(None, 40, 0): 2, (None, 40, 40): 1, (5, 40, 40): 1, (6, 40, 40): 1, (7, 41, 40): 1}
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
