@@ -1,8 +1,8 @@
 """Packed exchange of (document, 46-bit id) pairs: one row per task and bucket instead of one row per pair.
 
-Ids are the upper 46 bits of 64-bit hashes. The upper bits choose the bucket, so the others fit into five bytes;
-document ids of a row are sorted and kept as differences in the narrowest type. Two different hashes that share an id only
-add a candidate; nothing is lost."""
+Ids are the upper 46 bits of 64-bit hashes and serve to find candidates only: two hashes that share an id add one, and what
+is found is compared by wider hashes. The upper bits choose the bucket, so the others fit into five bytes;
+document ids of a row are sorted and kept as differences in the narrowest type."""
 
 from __future__ import annotations
 
@@ -14,29 +14,50 @@ from pyspark.sql import functions as F
 from ..worktable import materialize
 
 ID_BITS = 46
-NULL_ID = -(1 << 63)
-NULL_END = -(1 << 62)
+#: Keys from here on stand for rows without a usable id.
+OWN = 1 << 62
+#: Bytes of pairs that a bucket should hold.
+BUCKET_BYTES = 32 << 20
 #: Pairs a task gathers before it packs them.
 GATHER = 3_000_000
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, text): a row's id as long, each null id standing as a long of its own below ``NULL_END``, which ``unkeyed`` turns back.
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, text) with a key ``doc`` of each row's own, and (doc, name) for the rows whose key isn't their id.
 
-    With null ids the rows are written, so that every use has the same keys. Ids below ``NULL_END`` (-2^62) would be taken for null."""
+    A row without an id, and all but one of the rows that repeat an id (the one whose text has the least hash keeps it), get keys
+    above every id. Such rows are looked for first; where there are none, the id is the key and nothing is written."""
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    if own.filter("doc IS NULL").isEmpty():
-        return own
-    return materialize(own.withColumn("doc", F.coalesce("doc", F.lit(NULL_ID) + F.monotonically_increasing_id())), "keyed")
-
-
-def unkeyed(column: Column) -> Column:
-    return F.when(column >= F.lit(NULL_END), column)
-
-
-def bucket_bits(partitions: int) -> int:
-    """Buckets are a power of two, at least 64 and the number of shuffle partitions."""
-    return max(6, int(partitions - 1).bit_length())
+    if own.groupBy("doc").count().filter("count > 1 OR doc IS NULL").isEmpty():
+        return own, None
+    rows = materialize(own.withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("text")), "keyed")
+    named, nameless = rows.filter("doc IS NOT NULL"), rows.filter("doc IS NULL")
+    heads = named.groupBy("doc").agg(F.min(F.struct("h", "row"))["row"].alias("head"))
+    fresh = F.lit(OWN) + F.col("row")
+    named = named.join(heads, "doc").select(F.when(F.col("row") == F.col("head"), F.col("doc")).otherwise(fresh).alias("doc"), "text", F.col("doc").alias("name"))
+    table = materialize(named.unionByName(nameless.select(fresh.alias("doc"), "text", F.lit(None).cast("long").alias("name"))), "keyed")
+    return table.select("doc", "text"), table.filter(F.col("doc") >= OWN).select("doc", "name")
+
+
+def unkeyed(df: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """``df`` with keys in ``columns`` turned back into ids."""
+    for c in columns if names is not None else ():
+        name = names.select(F.col("doc").alias(c), F.col("name").alias("_name"))
+        df = df.join(name, c, "left").withColumn(c, F.when(F.col(c) >= OWN, F.col("_name")).otherwise(F.col(c))).drop("_name")
+    return df
+
+
+def sampled(own: DataFrame, docs: int) -> tuple[DataFrame, int]:
+    """About ``docs`` documents by a hash of their key, and the number of all. Samples steer balance only, never a result."""
+    total = max(1, own.count())
+    draw = F.pmod(F.xxhash64(F.lit(6), "doc"), F.lit(1 << 20))
+    return own.filter(draw < (1 << 20) * min(1.0, docs / total)), total
+
+
+def bucket_bits(partitions: int, size: float = 0.0) -> int:
+    """Buckets are a power of two, at least 64, the number of shuffle partitions, and what splits ``size`` bytes into BUCKET_BYTES."""
+    wanted = max(64, partitions, int(size / BUCKET_BYTES))
+    return min(24, int(wanted - 1).bit_length())
 
 
 def bucket_of(docs: np.ndarray, bits: int) -> np.ndarray:

@@ -1,10 +1,10 @@
 """Substring dedup by prefix-partitioned suffix trees that are cut off at the length of a repeat.
 
 Every start of a window of WINDOW words is a suffix, of which the first WINDOW words matter. Suffixes are split into groups by
-a prefix whose length varies: it is longer where a prefix is so frequent that its group would not fit into memory. A group's
-subtree is held as the sorted fingerprints of its suffixes at depth WINDOW; an internal node at that depth is a run of equal
-fingerprints, and all but the earliest of its leaves start a repeat. Neighbouring repeats of a document merge to
-maximal ones.
+a prefix whose length varies: it is longer where a prefix is so frequent that its group would not fit into a bucket (packing.BUCKET_BYTES). The label of a
+suffix is a row of symbols, each standing for STEP words, and a 128-bit digest of the whole window. A group sorts its suffixes by their labels, takes the lengths of the
+common prefixes of neighbours, and reads the internal nodes off them as runs; those as deep as a window hold its copies, and all
+but the earliest of their leaves start a repeat. Neighbouring repeats of a document merge to maximal ones.
 
 Two things keep the exchange small. Only suffixes that may repeat are sent: the least hashed ANCHOR-gram of a window (the same in every copy of
 it) must occur twice. And each task sends only the first of its equal suffixes; the others already are repeats.
@@ -20,14 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..worktable import materialize
 from . import packing as P
 from . import textops as T
 
 ANCHOR = 10
-#: Prefix lengths tried in turn; a window's whole length is the last resort.
-PREFIXES = (4, 8, 12, 16)
+#: Words a symbol stands for; prefix lengths are its multiples, a window's whole length being the last resort.
+STEP = 4
 #: Documents whose prefixes are counted to choose the lengths; this steers balance only, never the result.
 SAMPLE_DOCS = 2000
+#: Bytes of a suffix on its way, about.
+SUFFIX_BYTES = 30
+
+
+def steps_of(length: int) -> list[int]:
+    """The depths at which the symbols of a label end."""
+    return [*range(STEP, length, STEP), length]
 
 
 def _slide(a: np.ndarray, width: int, pick) -> np.ndarray:
@@ -40,8 +48,8 @@ def _slide(a: np.ndarray, width: int, pick) -> np.ndarray:
     return a
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, first word of each document, anchor-gram hashes, least anchor of each window, whether the window is inside a document)."""
+def windows(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(word hashes, first word of each document, anchor-gram hashes, least anchor of each window, whether the window is inside a document, spans of the words)."""
     start, end, first = T.words(data, offsets)
     h = T.span_hashes(data, start, end)
     anchor = min(ANCHOR, length)
@@ -50,12 +58,12 @@ def windows(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     low = _slide(g, length - anchor + 1, np.minimum) if count else np.zeros(0, np.uint64)
     last = np.repeat(first[1:], np.diff(first))
     ok = np.arange(count) + length <= last[:count]
-    return h, first, g, low, ok
+    return h, first, g, low, ok, (start, end)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, 46-bit id) of the anchors of each document, twice where one occurs more than once."""
-    h, first, g, low, ok = windows(data, offsets, length)
+    _, first, g, low, ok, _ = windows(data, offsets, length)
     if not ok.any():
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     reach = len(g) - len(low)  # a gram is an anchor if it is the least of some window around it
@@ -70,14 +78,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 
 def prefix_keys(h: np.ndarray, at: np.ndarray, length: int, heavy: dict[int, np.ndarray]) -> np.ndarray:
     """The hash of each suffix's prefix, of the least length at which it isn't heavy."""
-    steps = [p for p in PREFIXES if p < length]
-    key = np.zeros(len(at), np.uint64)
-    left = np.arange(len(at))
-    for p in [*steps, length]:
-        own = np.zeros(len(left), np.uint64)
-        for k, m in enumerate(T._multipliers(p)):
-            own += h[at[left] + k] * m
-        own = T.mix(own)
+    key, left = np.zeros(len(at), np.uint64), np.arange(len(at))
+    for p in steps_of(length):
+        own = T.ngrams(h, p)[at[left]]
         key[left] = own
         if p == length or not len(heavy.get(p, ())):
             break
@@ -87,41 +90,85 @@ def prefix_keys(h: np.ndarray, at: np.ndarray, length: int, heavy: dict[int, np.
     return key
 
 
-def heavy_prefixes(docs: DataFrame, length: int, groups: int) -> dict[int, np.ndarray]:
-    """Prefixes that hold over 1 / (4 * groups) of the suffixes of a sample of documents: 4 * groups a length at most."""
-    total = max(1, docs.count())
-    draw = F.pmod(F.xxhash64(F.lit(6), "doc"), F.lit(1 << 20))
-    sample = docs.filter(draw < (1 << 20) * min(1.0, SAMPLE_DOCS / total)).limit(4 * SAMPLE_DOCS)
-    steps = [p for p in PREFIXES if p < length]
+def labels(h: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """16-bit symbols of the suffixes, one column for each STEP words."""
+    out, done = [], 0
+    for p in steps_of(length):
+        out.append((T.ngrams(h, p - done)[at + done] >> np.uint64(48)).astype(np.uint16))
+        done = p
+    return np.stack(out, 1)
+
+
+def tree(symbols: np.ndarray, f1: np.ndarray, f2: np.ndarray, doc: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """A suffix tree as (its leaves in order, words in common with the leaf before); of equal suffixes the earliest comes first.
+
+    Leaves are sorted by symbols, then by digest; only equal digests have the whole window in common."""
+    order = np.lexsort((at, doc, f2, f1, *symbols.T[::-1]))
+    if not len(order):
+        return order, np.zeros(0, np.int64)
+    a, b = order[1:], order[:-1]
+    depth = np.concatenate([[0], steps_of(length)])
+    equal = np.logical_and.accumulate(symbols[a] == symbols[b], axis=1).sum(1)
+    whole = (f1[a] == f1[b]) & (f2[a] == f2[b])
+    return order, np.insert(np.where(whole, length, depth[np.minimum(equal, len(depth) - 2)]), 0, 0)
+
+
+def nodes(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The internal nodes of at least this depth: their first leaves and the leaves after their last."""
+    inside = np.append(common >= depth, False)
+    after = np.append(inside[1:], False)
+    return np.flatnonzero(after & ~inside), np.flatnonzero(inside & ~after) + 1
+
+
+def heavy_prefixes(docs: DataFrame, length: int, partitions: int) -> tuple[int, dict[int, np.ndarray]]:
+    """(bits of the number of groups, prefixes that hold over 1 / (4 * groups) of the suffixes of a sample of documents, 4 * groups a length at most)."""
+    sample, total = P.sampled(docs, SAMPLE_DOCS)
+    steps = steps_of(length)[:-1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, data, offsets in T.blocks(T.column(b, "text")):
-                h, _, _, _, ok = windows(data, offsets, length)
+            for i, j, data, offsets in T.blocks(T.column(b, "text")):
+                h, _, _, _, ok, _ = windows(data, offsets, length)
                 for p in steps:
                     value, n = np.unique(T.ngrams(h, p)[: len(ok)][ok], return_counts=True)
                     often = n > 1
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(often.sum(), p, np.int32)), pa.array(value[often].view(np.int64)), pa.array(n[often])], ["p", "value", "n"]
                     )
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([int(ok.sum())])], ["p", "value", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([0, -1], pa.int32()), pa.array([0, 0], pa.int64()), pa.array([int(ok.sum()), j - i])], ["p", "value", "n"])
 
-    counts = sample.mapInArrow(count, "p int, value long, n long").groupBy("p", "value").agg(F.sum("n").alias("n"))
-    seen = counts.orderBy(F.col("p") > 0, F.desc("n"), "value").limit(1 + 4 * groups * max(1, len(steps))).collect()
-    every = sum(r["n"] for r in seen if r["p"] == 0)
-    return {p: np.array([r["value"] for r in seen if r["p"] == p and r["n"] * 4 * groups > every], np.int64).view(np.uint64) for p in steps}
+    counts = materialize(sample.mapInArrow(count, "p int, value long, n long").groupBy("p", "value").agg(F.sum("n").alias("n")), "dedup-prefixes")
+    seen = {r["p"]: r["n"] for r in counts.filter("p <= 0").collect()}
+    every = seen.get(0, 0)
+    bits = P.bucket_bits(partitions, every / max(1, seen.get(-1, 0)) * total * SUFFIX_BYTES)
+    # Each length has fewer than 4 * groups prefixes with so large a share.
+    found = counts.filter((F.col("p") > 0) & (F.col("n") * (4 << bits) > every)).collect()
+    return bits, {p: np.array([r["value"] for r in found if r["p"] == p], np.int64).view(np.uint64) for p in steps}
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20) -> DataFrame:
-    """(doc, starts): for each document with repeats the numbers of the words at which a window of ``length`` words that
+    """(doc, starts) for documents of unique, non-null ids: for each with repeats the numbers of the words at which a window of ``length`` words that
     also starts earlier begins, packed (see packing.unpack_numbers)."""
-    spark = docs.sparkSession
-    bits = P.bucket_bits(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    own = P.keyed(docs, id_col, text_col)
-    heavy = heavy_prefixes(own, length, 1 << bits)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    bits, heavy = heavy_prefixes(own, length, partitions)
+    width = len(steps_of(length))
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, i, held = [], [], 0
+
+        def flush():
+            # Two of a task's equal anchors tell the bucket that they repeat; the others go straight to their documents.
+            docs_, ids = np.concatenate(d), np.concatenate(i)
+            order = np.lexsort((docs_, ids))
+            docs_, ids = docs_[order], ids[order]
+            more = np.zeros(len(ids), bool)
+            more[2:] = ids[2:] == ids[:-2]
+            out = P.send_ids(docs_[~more], ids[~more], bits)
+            for b, x, y in P.by_bucket(P.bucket_of(docs_[more], bits), docs_[more], ids[more]):
+                out.append((b, 1, P.pack_numbers(x), b"", y.astype("<u8").tobytes()))
+            return P.rows(out, P.SCHEMA).to_batches()
+
         for b in batches:
             doc = b.column(0).to_numpy()
             for a, z, data, offsets in T.blocks(T.column(b, "text")):
@@ -130,25 +177,27 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 i.append(ids)
                 held += len(ids)
                 if held > P.GATHER:
-                    yield from P.rows(P.send_ids(np.concatenate(d), np.concatenate(i), bits), P.SCHEMA).to_batches()
+                    yield from flush()
                     d, i, held = [], [], 0
         if held:
-            yield from P.rows(P.send_ids(np.concatenate(d), np.concatenate(i), bits), P.SCHEMA).to_batches()
+            yield from flush()
 
     def often(table: pa.Table) -> pa.Table:
         d, i = P.received_ids(table, bits)
         order = np.argsort(i, kind="stable")
         d, i = d[order], i[order]
         same = i[1:] == i[:-1]
-        keep = np.append(same, False) | np.insert(same, 0, False)
+        keep = np.append(same, False) | np.insert(same, 0, False) if len(i) else np.zeros(0, bool)
         source = table.column("b")[0].as_py()
-        return P.rows([(b, source, P.pack_numbers(x), P.pack_ids(y), b"") for b, x, y in P.by_bucket(P.bucket_of(d[keep], bits), d[keep], i[keep])], P.SCHEMA)
+        out = [(b, source + 2, P.pack_numbers(x), P.pack_ids(y), b"") for b, x, y in P.by_bucket(P.bucket_of(d[keep], bits), d[keep], i[keep])]
+        passing = table.filter(pa.compute.equal(table.column("kind"), 1))
+        return pa.concat_tables([P.rows(out, P.SCHEMA), passing.select(P.SCHEMA.names).cast(P.SCHEMA)])
 
     def to_docs(table: pa.Table) -> pa.Table:
         d, i = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for source, x, y in zip(*(table.column(c).to_pylist() for c in ("kind", "docs", "ids")), strict=True):
+        for kind, x, y, whole in zip(*(table.column(c).to_pylist() for c in ("kind", "docs", "ids", "more")), strict=True):
             d.append(P.unpack_numbers(x))
-            i.append(P.unpack_ids(y, source, bits))
+            i.append(np.frombuffer(whole, "<u8") if kind == 1 else P.unpack_ids(y, kind - 2, bits))
         d, i = np.concatenate(d), np.concatenate(i)
         order = np.lexsort((i, d))
         d, i = d[order], i[order]
@@ -161,14 +210,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         held = 0
 
         def flush():
-            doc, at, print_, key = (np.concatenate(c) for c in zip(*parts, strict=True))
+            doc, at, f1, f2, key, symbols = (np.concatenate(c) for c in zip(*parts, strict=True))
             order = np.lexsort((at, doc))
-            doc, at, print_, key = doc[order], at[order], print_[order], key[order]
-            _, head, back = np.unique(print_, return_index=True, return_inverse=True)
-            first = (doc[head][back] == doc) & (at[head][back] == at)
+            doc, at, f1, f2, key, symbols = (x[order] for x in (doc, at, f1, f2, key, symbols))
+            first = np.zeros(len(doc), bool)
+            first[T.distinct(np.zeros(len(doc), np.int64), f1, f2)] = True
+            bucket = (key[first] >> np.uint64(64 - bits)).astype(np.int64)
             out = [
-                (b, 0, P.pack_numbers(x), P.pack_unsigned(y), p.astype("<u8").tobytes())
-                for b, x, y, p in P.by_bucket((key[first] >> np.uint64(64 - bits)).astype(np.int64), doc[first], at[first], print_[first])
+                (b, 0, P.pack_numbers(x), P.pack_unsigned(y), p.astype("<u8").tobytes() + q.astype("<u8").tobytes() + s.astype("<u2").tobytes())
+                for b, x, y, p, q, s in P.by_bucket(bucket, doc[first], at[first], f1[first], f2[first], symbols[first])
             ]
             out += _starts(doc[~first], at[~first], bits)
             return P.rows(out, P.SCHEMA).to_batches()
@@ -176,7 +226,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         for b in batches:
             doc, some = b.column(0).to_numpy(), b.column(2)
             for a, z, data, offsets in T.blocks(T.column(b, "text")):
-                h, first, _, low, ok = windows(data, offsets, length)
+                h, first, _, low, ok, (start, end) = windows(data, offsets, length)
                 known = [np.frombuffer(some[k].as_buffer(), "<u8") | np.uint64((k - a) << P.ID_BITS) for k in range(a, z)]
                 at = np.flatnonzero(ok)
                 row = np.searchsorted(first, at, "right") - 1
@@ -185,31 +235,31 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 at, row = at[hit], row[hit]
                 if not len(at):
                     continue
-                parts.append((doc[a:z][row], at - first[row], T.ngrams(h, length)[at], prefix_keys(h, at, length, heavy)))
+                second = T.ngrams(T.span_hashes(data, start, end, 1), length, 1)[at]
+                parts.append((doc[a:z][row], at - first[row], T.ngrams(h, length)[at], second, prefix_keys(h, at, length, heavy), labels(h, at, length)))
                 held += len(at)
-                if held > P.GATHER // 2:
+                if held > P.GATHER // 4:
                     yield from flush()
                     parts, held = [], 0
         if held:
             yield from flush()
 
     def subtree(table: pa.Table) -> pa.Table:
-        d, s, f, out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
-        for b, kind, x, y, p in zip(*(table.column(c).to_pylist() for c in ("b", "kind", "docs", "ids", "more")), strict=True):
-            if kind:
-                out.append((b, 1, x, y, b""))
-            else:
+        d, s, f1, f2, symbols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros((0, width), np.uint16)]
+        for kind, x, y, p in zip(*(table.column(c).to_pylist() for c in ("kind", "docs", "ids", "more")), strict=True):
+            if kind == 0:
                 d.append(P.unpack_numbers(x))
                 s.append(P.unpack_unsigned(y))
-                f.append(np.frombuffer(p, "<u8"))
-        d, s, f = np.concatenate(d), np.concatenate(s), np.concatenate(f)
-        order = np.lexsort((s, d, f))  # the leaves, node by node, earliest first
-        d, s, f = d[order], s[order], f[order]
-        head = np.ones(len(f), bool)
-        head[1:] = f[1:] != f[:-1]
-        lead = np.maximum.accumulate(np.where(head, np.arange(len(f)), 0))
-        again = (d != d[lead]) | (s != s[lead])
-        return P.rows(out + _starts(d[again], s[again], bits), P.SCHEMA)
+                n = len(s[-1])
+                f1.append(np.frombuffer(p, "<u8", n))
+                f2.append(np.frombuffer(p, "<u8", n, 8 * n))
+                symbols.append(np.frombuffer(p, "<u2", n * width, 16 * n).reshape(n, width))
+        d, s = np.concatenate(d), np.concatenate(s)
+        leaves, common = tree(np.concatenate(symbols), np.concatenate(f1), np.concatenate(f2), d, s, length)
+        first, last = nodes(common, length)
+        again = leaves[T.ranges(first + 1, last - first - 1)]
+        passing = table.filter(pa.compute.equal(table.column("kind"), 1))
+        return pa.concat_tables([P.rows(_starts(d[again], s[again], bits), P.SCHEMA), passing.select(P.SCHEMA.names).cast(P.SCHEMA)])
 
     def to_starts(table: pa.Table) -> pa.Table:
         d, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -223,10 +273,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         packed = [P.pack_numbers(np.unique(s[a:z])) for a, z in zip(first.tolist(), np.append(first, len(d))[1:].tolist(), strict=True)]
         return pa.table({"doc": pa.array(doc, pa.int64()), "starts": pa.array(packed, pa.binary())})
 
-    some = own.mapInArrow(send_anchors, P.DDL).groupBy("b").applyInArrow(often, P.DDL).groupBy("b").applyInArrow(to_docs, "doc long, anchors binary")
+    def grouped(df: DataFrame):
+        return df.repartition(1 << bits, "b").groupBy("b")
+
+    some = grouped(grouped(own.mapInArrow(send_anchors, P.DDL)).applyInArrow(often, P.DDL)).applyInArrow(to_docs, "doc long, anchors binary")
     sent = own.join(some.hint("shuffle_hash"), "doc").select("doc", "text", "anchors").mapInArrow(send_suffixes, P.DDL)
-    found = sent.groupBy("b").applyInArrow(subtree, P.DDL)
-    return found.groupBy("b").applyInArrow(to_starts, "doc long, starts binary")
+    return grouped(grouped(sent).applyInArrow(subtree, P.DDL)).applyInArrow(to_starts, "doc long, starts binary")
 
 
 def _starts(doc: np.ndarray, at: np.ndarray, bits: int) -> list[tuple]:
@@ -247,9 +299,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, n_words, n_removed, kept_sha256, and with ``text`` the kept words joined by one space.
 
     A word goes if a window of ``length`` words that covers it also starts earlier: in a document of smaller id, or
-    earlier in the same one. Null and empty texts have no words. Rows that repeat an id and its text are one document and
-    are answered alike. Each null id is a document of its own; null ids count as the smallest. Extra columns are ignored. An empty table gives an empty result."""
-    own = P.keyed(docs, id_col, text_col)
+    earlier in the same one. Null and empty texts have no words. A row without an id, and a row that repeats an id, are documents of their own,
+    which come after all others. Extra columns are ignored. An empty table gives an empty result."""
+    own, keys = P.keyed(docs, id_col, text_col)
     spans = repeats(own, "doc", "text", length)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,4 +331,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = ["doc", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + text]
     joined = own.join(spans.hint("shuffle_hash"), "doc", "left").select("doc", "text", "starts")
     out = joined.mapInArrow(drop, "doc long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * text)
-    return out.withColumn("doc_id", P.unkeyed(F.col("doc"))).select("doc_id", *names[1:])
+    return P.unkeyed(out.withColumnRenamed("doc", "doc_id"), keys, "doc_id").select("doc_id", *names[1:])

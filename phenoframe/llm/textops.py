@@ -6,6 +6,7 @@ documents and about ``BLOCK`` bytes, so memory is bounded by the longest documen
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,19 +22,12 @@ SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACE_BYTES)] = True
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE_VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-
-
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _INVERSE):
-        a = np.full(size + 1, base, np.uint64)
-        a[0] = 1
-        out.append(np.cumprod(a, dtype=np.uint64))
-    return out[0], out[1]
+#: Start values and scramblers of the two hash lanes; arbitrary fixed values.
+_START = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
+_SCRAMBLE = ((0xD6E8FEB86659FD93, 32), (0xFF51AFD7ED558CCD, 31))
+#: Spans of more bytes than this are hashed by BLAKE2 one by one.
+LONG_SPAN = 512
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,13 +70,31 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans by differences of one running polynomial over the block."""
-    size = len(data)
-    up, down = _powers(1 << max(20, int(size).bit_length()))
-    total = np.zeros(size + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * up[:size], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+def _scramble(x: np.ndarray, lane: int) -> np.ndarray:
+    factor, shift = _SCRAMBLE[lane]
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(shift))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans: eight bytes after eight go through a keyed, non-linear scramble.
+
+    The two lanes are independent, so a pair of both is a hash of 128 bits."""
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    size = end - start
+    h = _scramble(_START[lane] + size.astype(np.uint64), lane)
+    long = np.flatnonzero(size > LONG_SPAN)
+    live, at = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    while len(live):
+        left = size[live] - at
+        h[live] = _scramble(h[live] ^ (eight[start[live] + at] & _MASKS[np.minimum(left, 8)]), lane)
+        at += 8
+        live = live[left > 8]
+    for k in long.tolist():
+        digest = hashlib.blake2b(data[start[k] : end[k]], digest_size=16, key=b"spans").digest()
+        h[k] = int.from_bytes(digest[8 * lane : 8 * lane + 8], "little")
+    return h
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,20 +107,36 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data).astype(np.uint8)
 
 
-@lru_cache(maxsize=8)
-def _multipliers(n: int) -> np.ndarray:
-    return np.random.default_rng(n).integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
+@lru_cache(maxsize=64)
+def _multipliers(n: int, lane: int = 0) -> np.ndarray:
+    return np.random.default_rng(n + 1000 * lane).integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
 
 
-def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
+def ngrams(hashes: np.ndarray, n: int, lane: int = 0) -> np.ndarray:
     """Hashes of all runs of n consecutive values (document borders are the caller's matter)."""
     size = len(hashes) - n + 1
     if size <= 0:
         return np.zeros(0, np.uint64)
     total = np.zeros(size, np.uint64)
-    for k, m in enumerate(_multipliers(n)):
+    for k, m in enumerate(_multipliers(n, lane)):
         total += hashes[k : k + size] * m
-    return mix(total)
+    return _scramble(total, lane)
+
+
+def distinct(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places, in order, of the first of each distinct (row, a, b); rows ascend, a and b are the lanes of one hash."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    key = a ^ mix(row.astype(np.uint64) + np.uint64(1))
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    x, y = order[1:][same], order[:-1][same]
+    if ((a[x] != a[y]) | (b[x] != b[y]) | (row[x] != row[y])).any():  # one lane doesn't tell them apart
+        order = np.lexsort((b, a, row))
+        x, y = order[1:], order[:-1]
+        same = (a[x] == a[y]) & (b[x] == b[y]) & (row[x] == row[y])
+    head = np.insert(~same, 0, True)
+    return np.sort(np.minimum.reduceat(order, np.flatnonzero(head)))
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:

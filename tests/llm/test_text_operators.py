@@ -192,10 +192,17 @@ def test_ngram_join(docs, values, nothing):
 def test_null_and_repeated_ids(spark):
     body = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(None, body), (1, body), (1, body), (2, body + " end")], "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(df).collect()}
-    assert set(got) == {None, 1, 2} and set(got.values()) == {None}
+    got = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.ngram_join(df).collect())
+    assert got == {(None, 1): 1, (1, 1): 2, (2, 1): 1}
     removed = Counter((r["doc_id"], r["n_removed"]) for r in substring_dedup.substring_dedup(df).collect())
-    assert removed == {(None, 0): 1, (1, 40): 2, (2, 40): 1}
+    assert removed == {(None, 40): 1, (1, 0): 1, (1, 40): 1, (2, 40): 1}
+    # Rows that repeat an id with another text share nothing with it.
+    rows = [(1, body), (1, " ".join(f"v{i}" for i in range(40))), (1, "only these"), (2, " ".join(f"v{i}" for i in range(40)) + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_shingles"]) for r in ngram_join.ngram_join(df).collect())
+    assert got == {(1, 36): 2, (1, 1): 1, (2, 37): 1}
+    removed = {(r["doc_id"], r["n_words"]): r["n_removed"] for r in substring_dedup.substring_dedup(df).collect()}
+    assert removed[2, 41] + sum(v for (i, n), v in removed.items() if (i, n) == (1, 40)) in (0, 40) and removed[1, 2] == 0
 
 
 def test_null_ids_are_documents_of_their_own(spark):
@@ -205,8 +212,90 @@ def test_null_ids_are_documents_of_their_own(spark):
     got = Counter((r["doc_id"], r["n_shingles"]) for r in ngram_join.ngram_join(df).collect())
     assert got == {(None, 36): 3, (5, 36): 1, (6, 36): 1, (7, 37): 1}
     removed = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(df).collect())
-    # The first null id of each text keeps it; it goes from all the others.
-    assert removed == {(None, 40, 0): 2, (None, 40, 40): 1, (5, 40, 40): 1, (6, 40, 40): 1, (7, 41, 40): 1}
+    # Null ids come last, so the others keep their texts.
+    assert removed == {(None, 40, 40): 3, (5, 40, 0): 1, (6, 40, 0): 1, (7, 41, 40): 1}
+
+
+def _thue_morse(a: str, b: str, rounds: int = 10) -> str:
+    x = a
+    for _ in range(rounds):
+        x += x.translate(str.maketrans(a + b, b + a))
+    return x
+
+
+def test_words_that_polynomial_hashes_confuse(spark, tokenizer):
+    """Two words of 1,024 letters that a polynomial modulo a power of two gives one hash for any base."""
+    one, two = _thue_morse("a", "z"), _thue_morse("z", "a")
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, one), (2, two), (3, f"{one} {tail}"), (4, f"{two} {tail}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (16, 3), 4: (16, 3)}
+    assert all(r["n_removed"] == 0 for r in substring_dedup.substring_dedup(df).collect())
+    encoded = {r["doc_id"]: list(r["ids"]) for r in bpe.encode(df).collect()}
+    assert encoded == {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in rows}
+
+
+def test_one_lane_alone_decides_nothing():
+    """Where one lane of a hash is equal, the other one still tells sets, shingles and suffixes apart."""
+    low = np.arange(9, dtype=np.uint64) // np.uint64(2)
+    high = np.arange(9, dtype=np.uint64)
+    assert ngram_join.similar((low, high), (low, np.where(high < 8, high, 99).astype(np.uint64)), 75)
+    assert not ngram_join.similar((low, high), (low, high + np.uint64(1)), 75)
+    row, low = np.zeros(300, np.int64), np.arange(300, dtype=np.uint64) % np.uint64(7)
+    assert len(textops.distinct(row, low, np.arange(300, dtype=np.uint64) // np.uint64(2))) == len({(i % 7, i // 2) for i in range(300)})
+    f = np.array([5, 5, 5, 9], np.uint64)
+    leaves, common = substring_dedup.tree(np.zeros((4, 5), np.uint16), f, np.array([1, 2, 1, 1], np.uint64), np.array([3, 1, 2, 0]), np.zeros(4, np.int64), 20)
+    first, last = substring_dedup.nodes(common, 20)
+    assert [leaves[a:z].tolist() for a, z in zip(first, last)] == [[2, 0]]  # equal in both digests, the smaller document first
+
+
+def test_suffix_tree_nodes():
+    """Nodes of every depth against the runs that their labels form."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 2, (200, 20))
+    h = np.random.default_rng(1).integers(1, 1 << 63, 2, dtype=np.uint64)[words.ravel()]
+    at = np.arange(200) * 20
+    prints = textops.ngrams(h, 20)[at]
+    leaves, common = substring_dedup.tree(substring_dedup.labels(h, at, 20), prints, prints, np.arange(200), np.zeros(200, np.int64), 20)
+    for depth in (4, 8, 12, 20):
+        first, last = substring_dedup.nodes(common, depth)
+        got = sorted(sorted(leaves[a:z].tolist()) for a, z in zip(first, last))
+        groups = defaultdict(list)
+        for i, w in enumerate(words):
+            groups[tuple(w[:depth])].append(i)
+        assert got == sorted(g for g in groups.values() if len(g) > 1)
+
+
+def test_ngram_join_list_of_unlike_members(spark):
+    """Three hundred texts that share one passage and are otherwise unlike, a chain of near copies across them, and a hot passage."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeioustrnl") for _ in range(5))
+    passage = [word() for _ in range(24)]
+    rows = [(i, " ".join(passage[: 12 + i % 12] + [word() for _ in range(rng.randint(4, 30))])) for i in range(300)]
+    edits = [word() for _ in range(6)]
+    for i in range(300, 420):  # copies whose edits come from a few places and words
+        body = list(passage) + passage[:16][::-1]
+        for _ in range(rng.randint(0, 3)):
+            body[rng.randrange(40)] = rng.choice(edits)
+        rows.append((i, " ".join(body)))
+    test_pairs = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in test_pairs}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, a in test_pairs.items():
+        for j in range(i):
+            b = test_pairs[j]
+            if 100 * len(a & b) >= 75 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(df).collect()}
+    assert got == {i: find(i) for i in test_pairs}
 
 
 @pytest.fixture(scope="module")
