@@ -25,8 +25,9 @@ HOT = 255
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Documents in which tokens of a hundredth of all documents or more are looked for (about so many).
 SAMPLE_DOCS = 2000
-#: Rounds in which the members of open lists meet one member, before the members that are still apart meet each other.
-HUB_ROUNDS = 3
+#: The members of open lists meet one member a round, until meeting each other takes this many comparisons a member at most, a round links
+#: fewer than one in so many of them, or so many rounds have passed. This is a matter of cost; the result is the same.
+FEW, HUB_ROUNDS = 64, 6
 SIGNATURE = ("s0", "s1", "s2", "s3")
 
 
@@ -196,9 +197,8 @@ def shared_sets(own: DataFrame, n: int, percent: int) -> DataFrame:
         return pa.table(columns, names=["doc", "n", "m1", "m2", "shared", "central", *SIGNATURE, "p0", "p1", "p2"])
 
     ddl = "doc long, n long, m1 long, m2 long, shared long, central long, s0 long, s1 long, s2 long, s3 long, p0 array<long>, p1 array<int>, p2 array<int>"
-    sent = own.mapInArrow(send, P.DDL).repartition(1 << bits, "b")
-    counted = sent.groupBy("b").applyInArrow(count, P.DDL).repartition(1 << bits, "b")
-    return counted.groupBy("b").applyInArrow(gather, ddl)
+    counted = P.by_buckets(own.mapInArrow(send, P.DDL), size).applyInArrow(count, P.DDL)
+    return P.by_buckets(counted, size).applyInArrow(gather, ddl)
 
 
 def _in_sorted(x: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -280,30 +280,34 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         met = met.filter(F.expr(_differ("x", "y", percent))).filter("arrays_overlap(xp1, yp1) AND arrays_overlap(xp2, yp2)")
         return materialize(verified(materialize(met.select("x", "y"), "join-pairs"), own, n, percent), "join-links")
 
-    links, still = None, posts.withColumn("root", F.col("doc"))
+    links, roots, still, few = None, None, posts.withColumn("root", F.col("doc")), False
     for k in range(HUB_ROUNDS + 1):
-        if k < HUB_ROUNDS:
+        if few or k == HUB_ROUNDS:
+            full = materialize(still.join(reps.select("doc", "shared", *SIGNATURE), "doc"), "join-still")
+            l, r = full.alias("l"), full.alias("r")
+            across = l.join(r, F.expr("l.token = r.token AND l.doc > r.doc AND l.root <> r.root AND " + fits.format("l.", "r.") + " AND " + _differ("l.", "r.", percent)))
+            found = links_of(across.select(F.col("l.doc").alias("x"), F.col("r.doc").alias("y")))
+        else:
             hub = F.max(F.struct("central", (-F.col("doc")).alias("minus"), "root", F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("rest").alias("hub_rest")))
             hubs = materialize(still.groupBy("token").agg(hub.alias("h")).select("token", "h.hub", "h.hub_n", "h.hub_rest", F.col("h.root").alias("hub_root")), "join-hubs")
             near = still.join(hubs, "token").filter(F.expr(fits.format("", "hub_")) & (F.col("root") != F.col("hub_root")))
             found = links_of(near.select(F.col("doc").alias("x"), F.col("hub").alias("y")))
             still = still.join(hubs.select(F.col("token"), F.col("hub").alias("doc")), ["token", "doc"], "left_anti")
-        else:
-            full = materialize(still.join(reps.select("doc", "shared", *SIGNATURE), "doc"), "join-still")
-            l, r = full.alias("l"), full.alias("r")
-            across = l.join(r, F.expr("l.token = r.token AND l.doc > r.doc AND l.root <> r.root AND " + fits.format("l.", "r.") + " AND " + _differ("l.", "r.", percent)))
-            found = links_of(across.select(F.col("l.doc").alias("x"), F.col("r.doc").alias("y")))
         links = found if links is None else links.union(found)
-        roots = materialize(components(links), "join-roots")
-        if k == HUB_ROUNDS:
+        if roots is None or not found.isEmpty():
+            roots = materialize(components(links), "join-roots")
+        if few or k == HUB_ROUNDS:
             break
         # Lists whose members are in different components, without those that have met all others.
         placed = still.drop("root").join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
         placed = materialize(placed, "join-placed")
-        open_lists = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-        still = materialize(placed.join(materialize(open_lists, "join-open"), "token"), "join-still")
-        if still.isEmpty():
+        spread = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).filter("low < high")
+        spread = materialize(spread.select("token", "m"), "join-open")
+        members, work = spread.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.col("m") * F.col("m").cast("double")), F.lit(0.0))).first()
+        if not members:
             break
+        few = work <= FEW * members or found.count() * FEW < members
+        still = materialize(placed.join(spread.select("token"), "token"), "join-still")
 
     of_class = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("doc", "class", F.coalesce("root", "class").alias("root"))
     members = of_class.select("doc", "class", "root").unionByName(roots.select(F.col("node").alias("doc"), F.col("node").alias("class"), "root"))

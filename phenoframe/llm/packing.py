@@ -60,6 +60,12 @@ def bucket_bits(partitions: int, size: float = 0.0) -> int:
     return min(24, int(wanted - 1).bit_length())
 
 
+def by_buckets(df: DataFrame, size: float):
+    """``df`` grouped by bucket, over as many partitions as ``size`` bytes need where the session has fewer."""
+    parts = int(size / (2 * BUCKET_BYTES))
+    return (df.repartition(parts, "b") if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df).groupBy("b")
+
+
 def bucket_of(docs: np.ndarray, bits: int) -> np.ndarray:
     from .textops import mix
 

@@ -120,8 +120,8 @@ def nodes(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(after & ~inside), np.flatnonzero(inside & ~after) + 1
 
 
-def heavy_prefixes(docs: DataFrame, length: int, partitions: int) -> tuple[int, dict[int, np.ndarray]]:
-    """(bits of the number of groups, prefixes that hold over 1 / (4 * groups) of the suffixes of a sample of documents, 4 * groups a length at most)."""
+def heavy_prefixes(docs: DataFrame, length: int, partitions: int) -> tuple[float, int, dict[int, np.ndarray]]:
+    """(bytes of all suffixes, bits of the number of groups, prefixes that hold over 1 / (4 * groups) of the suffixes of a sample of documents, 4 * groups a length at most)."""
     sample, total = P.sampled(docs, SAMPLE_DOCS)
     steps = steps_of(length)[:-1]
 
@@ -140,10 +140,11 @@ def heavy_prefixes(docs: DataFrame, length: int, partitions: int) -> tuple[int,
     counts = materialize(sample.mapInArrow(count, "p int, value long, n long").groupBy("p", "value").agg(F.sum("n").alias("n")), "dedup-prefixes")
     seen = {r["p"]: r["n"] for r in counts.filter("p <= 0").collect()}
     every = seen.get(0, 0)
-    bits = P.bucket_bits(partitions, every / max(1, seen.get(-1, 0)) * total * SUFFIX_BYTES)
+    size = every / max(1, seen.get(-1, 0)) * total * SUFFIX_BYTES
+    bits = P.bucket_bits(partitions, size)
     # Each length has fewer than 4 * groups prefixes with so large a share.
     found = counts.filter((F.col("p") > 0) & (F.col("n") * (4 << bits) > every)).collect()
-    return bits, {p: np.array([r["value"] for r in found if r["p"] == p], np.int64).view(np.uint64) for p in steps}
+    return size, bits, {p: np.array([r["value"] for r in found if r["p"] == p], np.int64).view(np.uint64) for p in steps}
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20) -> DataFrame:
@@ -151,7 +152,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     also starts earlier begins, packed (see packing.unpack_numbers)."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    bits, heavy = heavy_prefixes(own, length, partitions)
+    size, bits, heavy = heavy_prefixes(own, length, partitions)
     width = len(steps_of(length))
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,12 +274,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         packed = [P.pack_numbers(np.unique(s[a:z])) for a, z in zip(first.tolist(), np.append(first, len(d))[1:].tolist(), strict=True)]
         return pa.table({"doc": pa.array(doc, pa.int64()), "starts": pa.array(packed, pa.binary())})
 
-    def grouped(df: DataFrame):
-        return df.repartition(1 << bits, "b").groupBy("b")
-
-    some = grouped(grouped(own.mapInArrow(send_anchors, P.DDL)).applyInArrow(often, P.DDL)).applyInArrow(to_docs, "doc long, anchors binary")
+    some = P.by_buckets(own.mapInArrow(send_anchors, P.DDL), size).applyInArrow(often, P.DDL)
+    some = P.by_buckets(some, size).applyInArrow(to_docs, "doc long, anchors binary")
     sent = own.join(some.hint("shuffle_hash"), "doc").select("doc", "text", "anchors").mapInArrow(send_suffixes, P.DDL)
-    return grouped(grouped(sent).applyInArrow(subtree, P.DDL)).applyInArrow(to_starts, "doc long, starts binary")
+    found = P.by_buckets(sent, size).applyInArrow(subtree, P.DDL)
+    return P.by_buckets(found, size).applyInArrow(to_starts, "doc long, starts binary")
 
 
 def _starts(doc: np.ndarray, at: np.ndarray, bits: int) -> list[tuple]:
