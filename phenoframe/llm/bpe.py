@@ -3,7 +3,7 @@
 A text is cut in two levels, both by its content alone, so the same passage is cut alike in every document:
 *pieces* begin where white space follows other text; *chunks* are runs of pieces whose end is chosen by a
 rolling hash over the last pieces. A chunk seen before, in whatever document, is looked up; otherwise it is
-put together from its pieces, of which only new ones reach the tokenizer. A join between pieces is safe when the
+put together from its pieces, of which only new ones reach the tokenizer. What a hash finds is compared byte by byte before it is used. A join between pieces is safe when the
 tokenizer's pattern cannot reach across it. Other joins are repaired: both sides are re-encoded together
 and stay joined unless this agrees exactly with the two sides apart.
 """
@@ -24,9 +24,11 @@ from . import textops as T
 
 #: A chunk ends after a piece where the rolling hash of the last ROLL pieces is 0 modulo CHUNK: CHUNK pieces on average.
 ROLL, CHUNK = 3, 12
-#: Ids held for reuse by a Python worker, of pieces and of chunks; beyond it the store starts anew (its contents are never wrong).
+#: Ids held for reuse by a Python worker, of pieces and of chunks; beyond it the store starts anew.
 STORE_IDS = 6_000_000
 BLOCK = 1 << 21
+#: Bytes around a join up to which it is tried; a longer stretch stays one piece, which costs time only.
+REPAIR = 4096
 
 
 def default_tokenizer() -> str:
@@ -42,8 +44,14 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _grown(a: np.ndarray, size: int) -> np.ndarray:
+    while size > len(a):
+        a = np.concatenate([a, np.zeros_like(a)])
+    return a
+
+
 class Store:
-    """Id sequences by 64-bit content hash: sorted hashes beside one growing array of ids."""
+    """Id sequences by content: sorted 64-bit hashes beside growing arrays of the ids and of the bytes that they stand for."""
 
     def __init__(self, limit: int = STORE_IDS):
         self.limit = limit
@@ -51,23 +59,24 @@ class Store:
 
     def clear(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.first = np.zeros(1 << 12, np.int64)
-        self.used = 0
-
-    def add(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
-        """``keys``: sorted and not yet here."""
-        n, total = len(self.keys), self.used + len(ids)
-        while total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(keys) + 1 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        self.ids, self.bytes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 18, np.uint8)
+        self.first, self.first_byte = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.used = self.used_bytes = 0
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """``keys``: sorted and not yet here; the ids of each and the span of data that they stand for."""
+        n, size = len(self.keys), end - start
+        total, total_bytes = self.used + len(ids), self.used_bytes + int(size.sum())
+        self.ids, self.bytes = _grown(self.ids, total), _grown(self.bytes, total_bytes)
+        self.first, self.first_byte = (_grown(a, n + len(keys) + 1) for a in (self.first, self.first_byte))
         self.ids[self.used : total] = ids
+        self.bytes[self.used_bytes : total_bytes] = data[T.ranges(start, size)]
         self.first[n + 1 : n + 1 + len(keys)] = self.used + np.cumsum(lengths)
+        self.first_byte[n + 1 : n + 1 + len(keys)] = self.used_bytes + np.cumsum(size)
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
         self.slots = np.insert(self.slots, at, np.arange(n, n + len(keys)))
-        self.used = total
+        self.used, self.used_bytes = total, total_bytes
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The slots of keys, -1 where there is none."""
@@ -76,6 +85,18 @@ class Store:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.slots[at], -1)
 
+    def unlike(self, slots: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which spans of data are not the bytes of their slot."""
+        a, size = self.first_byte[slots], end - start
+        other = self.first_byte[slots + 1] - a != size
+        same = np.flatnonzero(~other)
+        if len(same):
+            wrong = self.bytes[T.ranges(a[same], size[same])] != data[T.ranges(start[same], size[same])]
+            if wrong.any():
+                owner = np.repeat(same, size[same])
+                other[owner[wrong]] = True
+        return other
+
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the slots one after another, and the number of each."""
         first = self.first[slots]
@@ -165,7 +186,7 @@ class ChunkEncoder:
                     continue
                 k = np.searchsorted(border, x, "right")
                 a, z = border[k - 1], border[k] if k < len(border) else len(data)
-                if z - a <= 4096 and self._agrees(data[a:x].tobytes(), data[x:z].tobytes()):
+                if z - a <= REPAIR and self._agrees(data[a:x].tobytes(), data[x:z].tobytes()):
                     start[x] = True
                     border = np.insert(border, k, x)
         return np.flatnonzero(start)
@@ -186,7 +207,8 @@ class ChunkEncoder:
         first[1:] = last[:-1]
         first[heads] = True
         c_at = np.flatnonzero(first)  # first piece of each chunk
-        c_hash = T.span_hashes(data, start[c_at], np.append(start[c_at[1:]], len(data)))
+        c_start, c_end = start[c_at], np.append(start[c_at[1:]], len(data))
+        c_hash = T.span_hashes(data, c_start, c_end)
         if self.chunks.used > self.chunks.limit:
             self.chunks.clear()
         distinct, where, inverse = np.unique(c_hash, return_index=True, return_inverse=True)
@@ -197,13 +219,24 @@ class ChunkEncoder:
             count = np.append(c_at[1:], len(h))[where[new]] - a
             ids, length = self._pieces(data, start, end, h, T.ranges(a, count))
             per = np.add.reduceat(length, np.cumsum(count) - count)
-            self.chunks.add(distinct[new], ids, per)
+            self.chunks.add(distinct[new], ids, per, data, c_start[where[new]], c_end[where[new]])
             slots = self.chunks.find(distinct)
-        ids, length = self.chunks.gather(slots[inverse])
+        slots = slots[inverse]
+        ids, length = self.chunks.gather(slots)
+        ids, length = self._mended(ids, length, self.chunks.unlike(slots, data, c_start, c_end), data, c_start, c_end)
         # Tokens before each document: the chunks before its first byte.
-        before = np.searchsorted(start[c_at], offsets)
+        before = np.searchsorted(c_start, offsets)
         return ids, np.concatenate([[0], np.cumsum(length)])[before]
 
+    def _mended(self, ids, length, wrong, data, start, end) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of spans with those encoded anew whose bytes are not the ones that their hash found."""
+        if not wrong.any():
+            return ids, length
+        parts = np.split(ids, np.cumsum(length)[:-1])
+        for k in np.flatnonzero(wrong).tolist():
+            parts[k], _ = self._encode([data[start[k] : end[k]].tobytes()])
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
     def _pieces(self, data, start, end, h, which) -> tuple[np.ndarray, np.ndarray]:
         """Ids and lengths of the pieces ``which``, the new ones encoded by the tokenizer."""
         if self.pieces.used > self.pieces.limit:
@@ -214,9 +247,10 @@ class ChunkEncoder:
         if len(new):
             at = which[where[new]]
             ids, length = self._encode_pieces(data, start[at], end[at])
-            self.pieces.add(distinct[new], ids, length)
+            self.pieces.add(distinct[new], ids, length, data, start[at], end[at])
             slots = self.pieces.find(distinct)
-        return self.pieces.gather(slots[inverse])
+        slots = slots[inverse]
+        return self._mended(*self.pieces.gather(slots), self.pieces.unlike(slots, data, start[which], end[which]), data, start[which], end[which])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids as UTF-8, with broken sequences replaced."""
@@ -238,7 +272,7 @@ def encoder(path: str) -> ChunkEncoder:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, decode: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (array of int), and with ``decode`` the decoded text too.
 
-    Null texts count as empty and give no ids. Nothing shuffles."""
+    Null texts count as empty and give no ids. Long texts are encoded whole. No rows give none. Repeated rows give repeated rows; extra columns are ignored. Nothing shuffles."""
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +293,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, made while the ids are at hand.
 
-    Null texts count as empty. Repeated rows give repeated rows; extra columns are ignored."""
+    Null texts count as empty. Long texts are taken whole. No rows give none. Repeated rows give repeated rows; extra columns are ignored."""
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -317,6 +317,25 @@ def test_bpe(docs, values, nothing, tokenizer):
     assert bpe.digests(nothing).count() == 0
 
 
+def test_bpe_compares_bytes(values, tokenizer, monkeypatch):
+    """With hashes of four bits nearly everything is confused, yet the ids are the tokenizer's."""
+    plain = textops.span_hashes
+    monkeypatch.setattr(textops, "span_hashes", lambda *a, **k: plain(*a, **k) & np.uint64(15))
+    some = [t for t in values if t][:20]
+    e = bpe.ChunkEncoder(bpe.default_tokenizer())
+    offsets = np.cumsum([0, *(len(t.encode()) for t in some)])
+    ids, first = e.encode(np.frombuffer("".join(some).encode(), np.uint8), offsets)
+    assert [ids[a:z].tolist() for a, z in zip(first[:-1], first[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_bpe_long_stretches(tokenizer):
+    """A stretch too long to try its joins stays one piece."""
+    text = "x" * 3000 + "\u00a0 " + "y" * 3000 + "\u00a0\u00a0 z" * 2000
+    data = np.frombuffer(text.encode(), np.uint8)
+    ids, _ = bpe.ChunkEncoder(bpe.default_tokenizer()).encode(data, np.array([0, len(data)]))
+    assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_repairs_joins(tokenizer):
     e = bpe.ChunkEncoder(bpe.default_tokenizer())
     rng = random.Random(3)
