@@ -51,33 +51,44 @@ def traverse(near1: np.ndarray, near2: np.ndarray, counts: np.ndarray, wanted: i
     return last if seen >= wanted else -np.inf
 
 
-def top_inside(q_ids, q, limit, x_ids, x, cells1, cells2, c1, c2, k: int):
-    """The best k entries of one block for each query of another, exactly scored, among the pairs that the query visited."""
-    order = np.argsort(x_ids, kind="stable")
-    x_ids, x, cells1, cells2 = x_ids[order], x[order], cells1[order], cells2[order]
-    # Of equal vectors only the k + 1 smallest ids of the block can be among a query's best k.
-    _, group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
-    by = np.argsort(group, kind="stable")
-    sizes = np.bincount(group)
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.arange(len(by)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    keep = rank <= k
-    x_ids, x, cells1, cells2 = x_ids[keep], x[keep], cells1[keep], cells2[keep]
-    half = c1.shape[1]
-    near = (q[:, :half] @ c1.T)[:, cells1] + (q[:, half:] @ c2.T)[:, cells2]
-    s = q @ x.T
-    s[(near < limit[:, None] - 1e-9) | (q_ids[:, None] == x_ids[None, :])] = -np.inf
-    if len(x_ids) > k:
-        least = np.partition(s, len(x_ids) - k, axis=1)[:, len(x_ids) - k]
-        row, at = np.nonzero((s >= (least - 1e-9)[:, None]) & (s > -np.inf))
-    else:
-        row, at = np.nonzero(s > -np.inf)
-    exact = (q[row] * x[at]).sum(1)
-    order = np.lexsort((x_ids[at], -exact, row))
-    row, at, exact = row[order], at[order], exact[order]
-    first = np.searchsorted(row, np.arange(len(q)))
-    best = (np.arange(len(row)) - first[row]) < k
-    return q_ids[row[best]], x_ids[at[best]], exact[best]
+class Block:
+    """The entries of one block of the index, cell by cell."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, cell: np.ndarray, n2: int, k: int):
+        # Of equal vectors only the k + 1 smallest ids of the block can be among a query's best k.
+        order = np.argsort(ids, kind="stable")
+        ids, x, cell = ids[order], x[order], cell[order]
+        _, group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
+        by = np.argsort(group, kind="stable")
+        sizes = np.bincount(group)
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        keep = np.flatnonzero(rank <= k)
+        keep = keep[np.argsort(cell[keep], kind="stable")]
+        self.ids, self.x, self.k = ids[keep], x[keep], k
+        cells, first = np.unique(cell[keep], return_index=True)
+        self.one, self.two, self.first = cells // n2, cells % n2, np.append(first, len(keep))
+
+    def best(self, q_ids: np.ndarray, q: np.ndarray, low: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best k entries for each query among the cells that it visits, those whose sum is not below ``low``; others are not scored."""
+        half, k = c1.shape[1], self.k
+        visits = (q[:, :half] @ c1.T)[:, self.one] + (q[:, half:] @ c2.T)[:, self.two] >= low[:, None] - 1e-9
+        s = np.full((len(q), len(self.ids)), -np.inf)
+        for c in np.flatnonzero(visits.any(0)).tolist():
+            who, a, z = np.flatnonzero(visits[:, c]), self.first[c], self.first[c + 1]
+            s[who, a:z] = q[who] @ self.x[a:z].T
+        s[q_ids[:, None] == self.ids[None, :]] = -np.inf
+        if len(self.ids) > k:
+            least = np.partition(s, len(self.ids) - k, axis=1)[:, len(self.ids) - k]
+            row, at = np.nonzero((s >= (least - 1e-9)[:, None]) & (s > -np.inf))
+        else:
+            row, at = np.nonzero(s > -np.inf)
+        exact = (q[row] * self.x[at]).sum(1)
+        order = np.lexsort((self.ids[at], -exact, row))
+        row, at, exact = row[order], at[order], exact[order]
+        first = np.searchsorted(row, np.arange(len(q)))
+        best = (np.arange(len(row)) - first[row]) < k
+        return q_ids[row[best]], self.ids[at[best]], exact[best]
 
 
 def usable(vector: Column) -> Column:
@@ -93,16 +104,16 @@ def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
 
 def nearest_neighbours(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, query_every: int = 20,
-    centroids: int = 64, visit: float = 0.5, least: int = 2000, sample: int = 20_000, index_rows: int = 4096, query_rows: int = 2048,
+    centroids: int = 192, visit: float = 0.33, least: int = 1000, sample: int = 20_000, index_rows: int = 4096, query_rows: int = 1024,
 ) -> DataFrame:
     """The ``k`` nearest of each query by inner product: query_id, rank, vec_id, score.
 
     Queries are the rows whose id divides by ``query_every``; candidates are all rows but the query's own.
     Both halves get ``centroids`` centroids from about ``sample`` rows (a documented, bounded sample); every row is indexed. A query visits
     pairs until it has seen ``visit`` times the number of all rows, ``least`` at least, equal vectors counting ``k`` + 1 times at most. Vectors whose entries spread evenly in all
-    directions need the large default share for a recall of 0.9; clustered ones need far less. Index and queries are cut into blocks of at
-    most about ``index_rows`` and ``query_rows`` rows, a pair of cells larger than a block being split by a hash of
-    the id, so no task holds more than two blocks. Vectors null, zero, of another length than the most, or with null or
+    directions need the large default share for a recall of 0.9; clustered ones need far less. The index is cut into blocks of at
+    most about ``index_rows`` rows, a pair of cells larger than a block being split by a hash of
+    the id. It moves once; queries are sent to the blocks that they visit, and stream past each in pieces of ``query_rows``, being scored against the cells they visit only. Vectors null, zero, of another length than the most, or with null or
     non-finite components take no part; neither do rows without an id. Ties go to the smaller id. Repeated ids are entries of their own
     but never each other's neighbours. An empty table gives an empty result."""
     good = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(
@@ -153,8 +164,6 @@ def nearest_neighbours(
     blocks = int(at + (filled > 0))
     last = block + own - 1
     wanted = min(rows, max(least, int(visit * rows)))
-    q_blocks = max(1, -(-rows // query_every // query_rows))
-
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cell, salt = b.column(2).to_numpy(), b.column(3).to_numpy()
@@ -163,8 +172,6 @@ def nearest_neighbours(
 
     salt = F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(1 << 30)).cast("int")
     entries = index.withColumn("salt", salt).mapInArrow(place, "id long, v array<double>, cell int, b int")
-    entries = entries.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = useful.reshape(len(c1), n2)
         for b in batches:
@@ -184,19 +191,33 @@ def nearest_neighbours(
 
     asked = index.filter(F.col("id") % query_every == 0).select("id", "v")
     asked = asked.mapInArrow(walk, "id long, v array<double>, low double, seen array<int>")
-    asked = asked.select("id", "v", "low", F.explode("seen").alias("b"), F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(q_blocks)).cast("int").alias("qb"))
-
-    def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if left.num_rows and right.num_rows:
-            q, x = (_matrix(t.column("v").combine_chunks(), dim) for t in (left, right))
-            cell = right.column("cell").to_numpy()
-            found = top_inside(
-                left.column("id").to_numpy(), q, left.column("low").to_numpy(), right.column("id").to_numpy(), x, cell // n2, cell % n2, c1, c2, k
-            )
-        return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
-
-    found = asked.groupBy("b", "qb").cogroup(entries.groupBy("b", "qb")).applyInArrow(search, "query_id long, vec_id long, score double")
+    asked = asked.select(F.explode("seen").alias("b"), F.lit(1).alias("kind"), "id", "v", F.lit(0).alias("cell"), "low")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, index = None, [], None
+        for batch in batches:
+            b, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.diff(b * 2 + kind)) + 1
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)], strict=True):
+                if a == z:
+                    continue
+                ids, v = batch.column(2).slice(a, z - a).to_numpy(), _matrix(batch.column(3).slice(a, z - a), dim)
+                if b[a] != now:
+                    now, parts, index = b[a], [], None
+                if kind[a] == 0:
+                    parts.append((ids, v, batch.column(4).slice(a, z - a).to_numpy()))
+                    continue
+                if index is None:
+                    index = Block(*(np.concatenate(p) for p in zip(*parts, strict=True)), n2, k)
+                low = batch.column(5).slice(a, z - a).to_numpy()
+                for i in range(0, z - a, query_rows):
+                    found = index.best(ids[i : i + query_rows], v[i : i + query_rows], low[i : i + query_rows], c1, c2)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
+
+    placed = entries.select("b", F.lit(0).alias("kind"), "id", "v", "cell", F.lit(0.0).alias("low"))
+    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // 8)
+    meeting = placed.unionByName(asked).repartition(parts, "b").sortWithinPartitions("b", "kind")
+    found = meeting.mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
