@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from . import textops as T
 from .sampling import held_out, stratified
 
+#: Texts that the network is fitted on at most, about.
+MAX_SAMPLE = 100_000
 WINDOW = 48
 LETTER = r"\p{L}"
 
@@ -155,13 +157,13 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, steps: int) -> ByteTagger | None:
-    """Fit on about ``per_label`` texts a label (a documented, bounded sample), one piece of 512 characters of each from a seeded place."""
+    """Fit on about ``per_label`` texts a label, MAX_SAMPLE at most in all (a documented, bounded sample), one piece of 512 characters of each from a seeded place."""
     known = docs.filter(F.col(label_col).isNotNull() & ~held_out(id_col) & F.coalesce(F.col(text_col), F.lit("")).rlike(LETTER))
     size = F.length(text_col)
     place = F.pmod(F.xxhash64(F.lit(9), F.col(id_col).cast("string")), F.greatest(F.lit(1), size - 512)) + 1
     piece = F.substring(F.col(text_col), place.cast("int"), F.lit(512))
     own = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), piece.alias("text"))
-    rows = stratified(own, "label", "id", per_label).limit(256 * 4 * per_label).collect()
+    rows = stratified(own, "label", "id", per_label, max_rows=MAX_SAMPLE).collect()  # MAX_SAMPLE rows, about, at most
     rows.sort(key=lambda r: (r["label"], r["id"] is None, r["id"], r["text"]))
     labels = sorted({r["label"] for r in rows})
     if not labels:
@@ -189,7 +191,8 @@ def language_id(
 ) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
-    Learns from about ``per_label`` texts of each label outside the held-out fold, then tags every byte of
+    Learns from about ``per_label`` texts of each label outside the held-out fold, however many labels there are (beyond MAX_SAMPLE texts in all they share
+    that number, rarer ones giving fewer), then tags every byte of
     every whole text in windows of WINDOW bytes and averages. ``und`` with score 0 for null texts, texts without a letter, and when
     there is nothing to learn from. Ties go to the smaller label. Repeated rows get the same answer; extra columns are ignored but
     for ``key_col`` (long), which goes along with its row. No shuffle."""

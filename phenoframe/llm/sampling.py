@@ -11,12 +11,18 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def stratified(df: DataFrame, label: str, key: str, per_label: int | dict, max_labels: int = 256, seed: int = 5) -> DataFrame:
-    """About ``per_label`` rows (or as many as it gives for the label) of each of the ``max_labels`` most frequent labels, by a hash of ``key``."""
-    counts = df.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
+def stratified(df: DataFrame, label: str, key: str, per_label: int | dict, max_rows: int | None = None, seed: int = 5) -> DataFrame:
+    """About ``per_label`` rows (or as many as it gives for the label) of each label, by a hash of ``key``.
+
+    With ``max_rows``, labels share about so many rows where they are too many for ``per_label`` each; none is left out. The table
+    of labels is joined, so its size decides how it travels."""
+    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    keep = F.lit(False)
-    for r in counts:
-        wanted = per_label.get(r[0], 0) if isinstance(per_label, dict) else per_label
-        keep = keep | ((F.col(label) == r[0]) & (draw < min(1.0, wanted / max(1, r["count"]))))
-    return df.filter(keep)
+    if isinstance(per_label, dict):
+        wanted = F.lit(0)
+        for value, n in per_label.items():
+            wanted = F.when(F.col(label) == value, F.lit(n)).otherwise(wanted)
+    else:
+        labels = counts.count() if max_rows else 1
+        wanted = F.lit(min(per_label, max(1, max_rows // max(1, labels))) if max_rows else per_label)
+    return df.join(counts, label).filter(draw * F.col("_n") < wanted).select(df.columns)

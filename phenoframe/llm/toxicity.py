@@ -125,10 +125,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     """Fit on about ``per_class`` toxic labelled texts and twice as many others outside the held-out fold (a documented, bounded sample)."""
     known = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    sample = stratified(known, "label", "id", {1: per_class, 0: 2 * per_class}).limit(4 * per_class)
+    sample = stratified(known, "label", "id", {1: per_class, 0: 2 * per_class})
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     own = texts.join(F.broadcast(sample), "id").select("id", "label", "text")  # 4 * per_class small rows at most
-    rows = own.mapInArrow(_featurise, "id long, label int, terms binary").limit(4 * per_class).collect()
+    rows = own.mapInArrow(_featurise, "id long, label int, terms binary").collect()
     rows.sort(key=lambda r: (r["id"] is None, r["id"], r["label"], r["terms"]))
     y = np.array([r["label"] for r in rows], float)
     took = {c: max(1, int((y == c).sum())) for c in (0, 1)}
