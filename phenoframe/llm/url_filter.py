@@ -21,9 +21,10 @@ RULES = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
-MAX_WORD = 24
-#: The table of words that goes to the executors holds so many of the most frequent words at most.
-MAX_WORDS = 50_000
+#: Runs of letters, and of digits.
+PARTS = r"[\p{L}\p{Nl}\p{No}]+|\p{Nd}+"
+#: Words of so many letters or more are found by so many first letters, shorter ones by all of them.
+HEAD = 8
 OUTPUT = "page_id long, host string, path string, rule string, verdict string, score double, words array<string>"
 
 
@@ -54,32 +55,38 @@ def verdict_of(rule: Column, rules=RULES) -> Column:
     return out
 
 
-def word_counts(texts: DataFrame, column: str, limit: int = MAX_WORDS) -> list[tuple[str, int]]:
-    """Counts of the lower-cased words of a column over all rows; the ``limit`` most frequent ones, ties by word."""
+def word_counts(texts: DataFrame, column: str) -> DataFrame:
+    """(w, n): counts of the lower-cased words of a column over all rows, tags left out."""
     visible = F.regexp_replace(F.lower(F.coalesce(F.col(column), F.lit(""))), r"<[^<>]*>", " ")
-    words = texts.select(F.explode(F.split(visible, r"[^\p{L}]+")).alias("w")).filter(F.length("w").between(1, MAX_WORD))
-    counts = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(limit)
-    return [(r["w"], r["count"]) for r in counts.collect()]
+    words = texts.select(F.explode(F.split(visible, r"[^\p{L}]+")).alias("w")).filter("w <> ''")
+    return words.groupBy("w").agg(F.count("*").alias("n"))
 
 
 class Segmenter:
-    """The most probable split of a name into known words; unknown stretches cost more the longer they are."""
+    """The most probable split of a name into known words; an unknown stretch costs more the longer it is.
 
-    def __init__(self, counts: list[tuple[str, int]]):
-        total = sum(c for _, c in counts) + 1
+    ``total`` is the number of all words, one more than those of ``counts`` if it isn't given."""
+
+    def __init__(self, counts: list[tuple[str, int]], total: int | None = None):
+        total = total or sum(c for _, c in counts) + 1
         self.log = {w: math.log(c / total) for w, c in counts}
+        self.sizes = sorted({len(w) for w, _ in counts})
         self.unknown = -math.log(total)
-        self.longest = max((len(w) for w, _ in counts), default=1)
 
     def split(self, name: str) -> list[str]:
-        best, back = [0.0], [0]
+        # best and back: the best split of what stands before each place, and where its last word begins; run: the best that ends in an unknown stretch.
+        best, back, run, run_at = [0.0], [0], -math.inf, 0
         for end in range(1, len(name) + 1):
-            score, at = -math.inf, 0
-            for start in range(max(0, end - max(self.longest, 1)), end):
-                word = name[start:end]
-                s = best[start] + self.log.get(word, self.unknown - 3.0 * len(word))
-                if s > score:
-                    score, at = s, start
+            fresh = best[end - 1] + self.unknown
+            run, run_at = (run, run_at) if run >= fresh else (fresh, end - 1)
+            run -= 3.0
+            score, at = run, run_at
+            for size in self.sizes:
+                if size > end:
+                    break
+                p = self.log.get(name[end - size : end])
+                if p is not None and best[end - size] + p > score:
+                    score, at = best[end - size] + p, end - size
             best.append(score)
             back.append(at)
         out, end = [], len(name)
@@ -92,16 +99,49 @@ class Segmenter:
 _PARTS = re.compile(r"[^\W\d_]+|\d+")
 
 
-def tokens_of(host: str, path: str, segmenter: Segmenter, known: dict[str, list[str]]) -> list[str]:
-    """Tokens of a host (h:word, after segmentation) and of a path (p:word; numbers count by their length)."""
-    if host not in known:
-        if len(known) > 100_000:
-            known.clear()
-        known[host] = [f"h:{w}" for part in _PARTS.findall(host) for w in segmenter.split(part)]
-    out = list(known[host])
-    for part in _PARTS.findall(path.lower()):
-        out.append(f"p:#{len(part)}" if part[0].isdecimal() else f"p:{part}")
-    return out
+def tokens_of(host: str, path: str, segmenter: Segmenter) -> list[str]:
+    """Tokens of a host (h:word, after segmentation) and of a path (p:word; numbers count by their length): the small form of ``tokenised``."""
+    out = [f"h:{w}" for part in _PARTS.findall(host) for w in segmenter.split(part)]
+    return out + [f"p:#{len(part)}" if part[0].isdecimal() else f"p:{part}" for part in _PARTS.findall(path.lower())]
+
+
+def segmented(hosts: DataFrame, words: DataFrame) -> DataFrame:
+    """(host, words) of distinct hosts: each part of a name is split once, by the words that stand in it.
+
+    Words meet the names by a join: shorter ones on their letters, longer ones on their first HEAD letters. So no task holds the table of words."""
+    cut = materialize(hosts.select("host", F.posexplode(F.regexp_extract_all("host", F.lit(PARTS), F.lit(0))).alias("at", "part")), "url-parts")
+    parts = materialize(cut.select("part").distinct(), "url-names")
+    size = F.length("part")
+    total, longest = words.agg(F.coalesce(F.sum("n"), F.lit(0)) + 1, F.coalesce(F.max(F.length("w")), F.lit(0))).first()
+    at = parts.select("part", F.explode(F.sequence(F.lit(1), size)).alias("i"))
+    short = at.select("part", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD - 1), size - F.col("i") + 1)), lambda n: F.col("part").substr(F.col("i"), n))).alias("w"))
+    short = short.distinct().join(words.filter(F.length("w") < HEAD), "w").select("part", "w", "n")
+    slices = at.filter(size - F.col("i") + 1 >= HEAD).select("part", F.col("part").substr(F.col("i"), F.lit(longest)).alias("slice"))
+    slices = slices.withColumn("head", F.substring("slice", 1, HEAD))
+    long = words.filter(F.length("w") >= HEAD).withColumn("head", F.substring("w", 1, HEAD))
+    long = slices.join(long, "head").filter(F.col("slice").startswith(F.col("w"))).select("part", "w", "n").distinct()
+    found = short.unionByName(long).groupBy("part").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known = b.column(1).to_pylist()
+            out = [Segmenter([(k["w"], k["n"]) for k in x or []], total).split(p) for p, x in zip(b.column(0).to_pylist(), known, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["part", "pieces"])
+
+    pieces = parts.join(found, "part", "left").select("part", "known").mapInArrow(split, "part string, pieces array<string>")
+    back = cut.join(materialize(pieces, "url-pieces"), "part").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "pieces"))).alias("all"))
+    return materialize(back.select("host", F.flatten("all.pieces").alias("words")), "url-hosts")
+
+
+def tokenised(urls: DataFrame, words: DataFrame) -> DataFrame:
+    """``urls`` with the words of the host, and all tokens (see ``tokens_of``)."""
+    hosts = segmented(urls.select("host").distinct(), words)
+    path = F.transform(
+        F.regexp_extract_all(F.lower("path"), F.lit(PARTS), F.lit(0)),
+        lambda p: F.concat(F.lit("p:"), F.when(p.rlike(r"^\p{Nd}"), F.concat(F.lit("#"), F.length(p).cast("string"))).otherwise(p)),
+    )
+    met = urls.join(hosts, "host", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    return met.withColumn("tokens", F.concat(F.transform("words", lambda w: F.concat(F.lit("h:"), w)), path))
 
 
 class NaiveBayes:
@@ -144,30 +184,20 @@ def probability(log_odds: float) -> float:
     return 1 / (1 + math.exp(-max(-50.0, min(50.0, log_odds))))
 
 
-def url_filter(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", rules=RULES, max_words: int = MAX_WORDS
-) -> DataFrame:
+def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", rules=RULES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score (probability of block), words.
 
     The words of ``text_col`` over all rows give the unigram model; the urls that a rule decides train the
-    classifier (counts over all of them), which decides the rest. Null urls and urls without :// have empty
+    classifier (counts over all of them), which decides the rest; a tie is allow. Null urls and urls without :// have empty
     host and path, no rule, and the verdict of the prior. Without any training row, allow. Repeated rows are
-    judged alike; extra columns are ignored. The unigram model sent to the executors holds the ``max_words`` most frequent words;
-    the classifier's counts stay in a table, of which only tokens with over 1 / HOT_SHARE of all (and so HOT_SHARE at most) are sent."""
+    judged alike; extra columns are ignored; long urls are taken whole; no pages give no rows. All words and tokens count and stay in tables;
+    only tokens with over 1 / HOT_SHARE of all (and so HOT_SHARE at most) are sent to the tasks."""
     urls = pages.select(
         F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")
     )
     urls = urls.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    segmenter = Segmenter(word_counts(pages, text_col, max_words))
-
-    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[str]] = {}
-        for b in batches:
-            tokens = [tokens_of(h, p, segmenter, known) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens, pa.list_(pa.string()))], ["page_id", "host", "path", "rule", "tokens"])
-
-    tokenised = urls.select("page_id", "host", "path", "rule").mapInArrow(tokenise, "page_id long, host string, path string, rule string, tokens array<string>")
-    cut = materialize(tokenised.withColumn("row", F.monotonically_increasing_id()), "url-tokens")
+    cut = tokenised(urls, materialize(word_counts(pages, text_col), "url-words"))
+    cut = materialize(cut.select("page_id", "host", "path", "rule", "words", "tokens").withColumn("row", F.monotonically_increasing_id()), "url-tokens")
     judged = cut.withColumn("verdict", verdict_of(F.col("rule"), rules))
     counts = judged.select("verdict", F.explode("tokens").alias("token")).groupBy("token").agg(
         F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("block"), F.count_if(F.col("verdict") == "allow").alias("allow")
@@ -182,15 +212,14 @@ def url_filter(
     some = cut.select("row", F.explode("tokens").alias("token"))
     some = some.filter(~F.col("token").isin(list(often))) if often else some
     found = some.join(weights, "token").groupBy("row").agg(F.array_sort(F.collect_list("weight")).alias("parts"))
-    joined = cut.join(found.hint("shuffle_hash"), "row", "left").select("page_id", "host", "path", "rule", "tokens", "parts")
+    joined = cut.join(found.hint("shuffle_hash"), "row", "left").select("page_id", "host", "path", "rule", "tokens", "parts", "words")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tokens, parts = b.column(4).to_pylist(), b.column(5).to_pylist()
             score = [probability(prior + math.fsum([often.get(t, 0.0) for t in x] + (y or []))) for x, y in zip(tokens, parts, strict=True)]
             verdict = [decided.get(r) or ("block" if s > 0.5 else "allow") for r, s in zip(b.column(3).to_pylist(), score, strict=True)]
-            words = [[t[2:] for t in x if t[0] == "h"] for x in tokens]
-            more = [pa.array(verdict, pa.string()), pa.array(score, pa.float64()), pa.array(words, pa.list_(pa.string()))]
+            more = [pa.array(verdict, pa.string()), pa.array(score, pa.float64()), b.column(6)]
             yield pa.RecordBatch.from_arrays(b.columns[:4] + more, ["page_id", "host", "path", "rule", "verdict", "score", "words"])
 
     return joined.mapInArrow(judge, OUTPUT)
