@@ -85,11 +85,37 @@ def test_exact_dedup(docs, values, nothing):
         (i, max(g), len(g), i == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g
     }
     assert {tuple(r) for r in dedup_exact.exact_dedup(docs).collect()} == expected
-    # A filter of one word lets every row through, with the same result.
-    assert {tuple(r) for r in dedup_exact.exact_dedup(docs, max_cells=64).collect()} == expected
+    # A filter of one word lets every row through, and one that isn't broadcast meets the rows by a join, with the same result.
+    assert {tuple(r) for r in dedup_exact.exact_dedup(docs, bits_per_row=0).collect()} == expected
+    assert {tuple(r) for r in dedup_exact.exact_dedup(docs, broadcast_words=0).collect()} == expected
     assert dedup_exact.exact_dedup(nothing).count() == 0
 
 
+def test_bloom_words_miss_no_repeat(spark):
+    """Hashes that stand one to five times, in few words: every repeated one has all its bits marked."""
+    rng = random.Random(6)
+    hashes = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(400)]
+    rows = [(h,) for i, h in enumerate(hashes) for _ in range(1 + (i % 8 == 0) * rng.randint(0, 4))]
+    df = spark.createDataFrame(rows, "h long").repartition(5)
+    for words in (8, 256):
+        masks = {r["word"]: r["mask"] for r in dedup_exact.repeated_bits(df, words).collect()}
+        one = {h: 0 for h in hashes}
+        for h, n in Counter(h for h, in rows).items():
+            bits = 0
+            for k in (40, 52):
+                bits |= 1 << ((h & (1 << 64) - 1) >> k & 63)
+            one[h] = bits
+            assert n == 1 or masks.get(h % words, 0) & ((1 << 64) - 1) & bits == bits
+        passed = sum(masks.get(h % words, 0) & ((1 << 64) - 1) & one[h] != one[h] for h in hashes)
+        assert words == 8 or passed > 200  # a larger filter lets most others pass
+
+
+def test_exact_dedup_null_and_repeated_rows(spark):
+    rows = [(None, "a"), (None, "A"), (3, "a"), (3, "A"), (None, "b"), (4, None), (4, ""), (5, "x" * 200_000)]
+    got = Counter(tuple(r)[:4] for r in dedup_exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(None, 3, 4, False): 2, (3, 3, 4, True): 2, (None, None, 1, True): 1, (4, 4, 2, True): 2, (5, 5, 1, True): 1}
+
+
 def test_exact_dedup_hot_group(spark):
     df = spark.range(0, 3000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'Same', concat('t', id)) AS text")
     out = dedup_exact.exact_dedup(df).filter("group_size > 1").collect()
@@ -389,23 +415,50 @@ def test_url_filter(spark):
 def test_url_filter_counts_every_token_in_both_classes(spark):
     """One class holds most urls and has many words; the word of the other is as telling in every table size."""
     rng = random.Random(3)
-    urls = [f"http://a{i}.org/w{''.join(rng.choice('abcdefgh') for _ in range(8))}/both" for i in range(300)] + ["http://b.com/de/rare/both"] * 5
+    urls = [f"http://a{i}.org/w{''.join(rng.choice('abcdefgh') for _ in range(8))}/both" for i in range(300)] + ["http://b.com/de/rare/both"] * 30
     urls += ["http://c.net/rare", "http://c.net/both", "http://c.net/none", "http://" + "x" * 300 + "tail.net/"]
     df = spark.createDataFrame([(i, u, "a") for i, u in enumerate(urls)], "page_id long, url string, html string")
     counts, rows, cut, segmenter = Counter(), Counter(), {}, url_filter.Segmenter([("a", len(urls))])
-    got = {r["page_id"]: r for r in url_filter.url_filter(df, max_words=2).collect()}
+    got = {r["page_id"]: r for r in url_filter.url_filter(df).collect()}
     for i, r in got.items():
-        cut[i] = url_filter.tokens_of(r["host"], r["path"], segmenter, {})
+        cut[i] = url_filter.tokens_of(r["host"], r["path"], segmenter)
         if r["rule"]:
             rows[r["verdict"]] += 1
             counts.update((r["verdict"], t) for t in cut[i])
     m = url_filter.NaiveBayes([(v, t, c) for (v, t), c in counts.items()], dict(rows))
-    assert len(got) == len(urls) and rows == {"allow": 300, "block": 5}
+    assert len(got) == len(urls) and rows == {"allow": 300, "block": 30}
     for i, r in got.items():
         assert abs(r["score"] - m.score(cut[i])) < 1e-9
         assert r["words"] == [t[2:] for t in cut[i] if t[0] == "h"]
-    assert got[305]["verdict"] == "block" and got[306]["verdict"] == "allow"
-    assert "".join(got[308]["words"]) == "x" * 300 + "tailnet"
+    assert got[330]["verdict"] == "block" and got[331]["verdict"] == "allow"
+    assert "".join(got[333]["words"]) == "x" * 300 + "tailnet"
+
+
+def test_segmentation_against_all_splits(spark):
+    """Viterbi words of hosts against the best of all splits, with words shorter and longer than the join's key, and a very long url."""
+    rng = random.Random(9)
+    lexicon = ["cheap", "pills", "che", "ap", "international", "internationals", "nation", "al", "newspaper", "news", "paper", "s", "ünder"]
+    html = [" ".join(rng.choice(lexicon) for _ in range(20)) + f"<p>{rng.choice(lexicon)}" for _ in range(30)]
+    names = ["".join(rng.choice([*lexicon, "zz", "q"]) for _ in range(3))[:15] for _ in range(27)] + ["x9news2paper", "", "internationalnewspaper" * 400]
+    df = spark.createDataFrame([(i, f"http://{n}.net/News/12?q", h) for i, (n, h) in enumerate(zip(names, html))], "page_id long, url string, html string")
+    counts = Counter(w for h in html for w in re.split(r"[^a-zü]+", re.sub(r"<[^<>]*>", " ", h)) if w)
+    total = sum(counts.values()) + 1
+
+    def cost(words):
+        return sum(np.log(counts[w] / total) if w in counts else -np.log(total) - 3 * len(w) for w in words)
+
+    def splits(name):
+        for cuts in range(1 << max(0, len(name) - 1)):
+            ends = [k + 1 for k in range(len(name) - 1) if cuts >> k & 1] + [len(name)]
+            yield [name[a:z] for a, z in zip([0, *ends[:-1]], ends)]
+
+    got = {r["page_id"]: r for r in url_filter.url_filter(df).collect()}
+    segmenter = url_filter.Segmenter(list(counts.items()))
+    for i, n in enumerate(names):
+        assert got[i]["words"] == [w for p in re.findall(r"[^\W\d_]+|\d+", n + ".net") for w in segmenter.split(p)]
+        if 0 < len(n) < 16 and n.isalpha():
+            assert abs(cost(got[i]["words"][: -len(segmenter.split("net"))]) - max(map(cost, splits(n)))) < 1e-9
+    assert got[29]["words"][:4] == ["international", "newspaper"] * 2 and got[29]["host"] == names[29] + ".net"
 
 
 def test_segmenter_and_bayes():
