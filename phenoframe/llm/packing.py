@@ -19,7 +19,7 @@ OWN = 1 << 62
 #: Bytes of pairs that a bucket should hold.
 BUCKET_BYTES = 32 << 20
 #: Pairs a task gathers before it packs them.
-GATHER = 3_000_000
+GATHER = 1_000_000
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
