@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,18 +22,24 @@ def work_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _root(spark: SparkSession) -> str:
-    return f"{work_dir(spark)}/phenoframe/{spark.sparkContext.applicationId}"
+_SCOPE: ContextVar[str] = ContextVar("work table scope", default="")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete the work tables of this application; call it when no result that was read from them is in use any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return f"{work_dir(spark)}/phenoframe/{_SCOPE.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Work tables made inside are deleted at the end: write what is to stay before that, to a path made outside."""
+    inner = f"{_SCOPE.get()}scope-{uuid.uuid4().hex}/"
+    token = _SCOPE.set(inner)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/phenoframe/{inner}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
