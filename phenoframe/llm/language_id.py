@@ -195,7 +195,7 @@ def language_id(
     that number, rarer ones giving fewer), then tags every byte of
     every whole text in windows of WINDOW bytes and averages. ``und`` with score 0 for null texts, texts without a letter, and when
     there is nothing to learn from. Ties go to the smaller label. Repeated rows get the same answer; extra columns are ignored but
-    for ``key_col`` (long), which goes along with its row. No shuffle."""
+    for ``key_col``, of any type, which goes along with its row. Long texts are read whole. No shuffle."""
     more = [key_col] if key_col else []
     tagger = fit(docs, id_col, text_col, label_col, per_label, steps)
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
@@ -219,4 +219,4 @@ def language_id(
         F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"),
         F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False)).alias("letters"), F.col(text_col).alias("text"), *more,
     )
-    return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", {c} long" for c in more))
+    return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more))
