@@ -2,7 +2,9 @@
 
 Every stage takes all rows that the stage before it kept, and all but the last return the columns of ``documents``.
 Each row is a document of its own: stages select by a key that they give to every row, so null and repeated ids
-lose nothing and multiply nothing. Rows of equal text leave exact dedup as one row, whatever their ids."""
+lose nothing and multiply nothing. Rows of equal text leave exact dedup as one row, whatever their ids. Null and empty texts leave at
+language ID; texts are taken whole, however long; ties go by doc_id, then by the row's key; no documents give no rows. Columns beyond those
+of ``documents`` go along, but for the names ``_row``, ``_id`` and ``copy``, which must be free. What a stage wrote on its way is deleted once its result stands."""
 
 from __future__ import annotations
 
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenoframe.llm import bpe, dedup_exact, language_id, mixing, ngram_join
-from phenoframe.worktable import materialize, new_path
+from phenoframe.worktable import materialize, new_path, scope
 
 
 #: The surrogate key of a stage's rows.
@@ -33,10 +35,9 @@ def _keep(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: texts in which no language can be told (``und``) go."""
-    rows = _numbered(docs)
-    tagged = language_id.language_id(rows, key_col=KEY).filter("lang_pred <> 'und'")
-    return _keep(rows, tagged.select(KEY))
+    """Language ID, row by row: texts in which no language can be told (``und``) go."""
+    tagged = language_id.language_id(docs.withColumn(KEY, F.struct(*docs.columns)), key_col=KEY)
+    return tagged.filter("lang_pred <> 'und'").select(f"{KEY}.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,6 +89,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
