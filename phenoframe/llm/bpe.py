@@ -25,7 +25,7 @@ from . import textops as T
 #: A chunk ends after a piece where the rolling hash of the last ROLL pieces is 0 modulo CHUNK: CHUNK pieces on average.
 ROLL, CHUNK = 3, 12
 #: Ids held for reuse by a Python worker, of pieces and of chunks; beyond it the store starts anew.
-STORE_IDS = 6_000_000
+STORE_IDS = 2_000_000
 BLOCK = 1 << 21
 #: Bytes around a join up to which it is tried; a longer stretch stays one piece, which costs time only.
 REPAIR = 4096
