@@ -287,7 +287,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
     names = ["doc_id", "n_tokens", "ids", "decoded"][: 3 + decode]
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>" + ", decoded string" * decode)
+    return own.mapInArrow(T.releasing(run), "doc_id long, n_tokens long, ids array<int>" + ", decoded string" * decode)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -310,4 +310,4 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return own.mapInArrow(T.releasing(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

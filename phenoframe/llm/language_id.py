@@ -219,4 +219,4 @@ def language_id(
         F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"),
         F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False)).alias("letters"), F.col(text_col).alias("text"), *more,
     )
-    return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more))
+    return own.mapInArrow(T.releasing(run), "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more))

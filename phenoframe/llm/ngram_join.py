@@ -90,7 +90,7 @@ def common_tokens(own: DataFrame, n: int) -> tuple[np.ndarray, float]:
                 yield pa.RecordBatch.from_arrays([pa.array(value[often].astype(np.int64)), pa.array(times[often])], ["id", "times"])
                 yield pa.RecordBatch.from_arrays([pa.array([-1, -2]), pa.array([j - i, len(h)])], ["id", "times"])
 
-    counts = materialize(sample.mapInArrow(count, "id long, times long").groupBy("id").agg(F.sum("times").alias("times")), "join-common")
+    counts = materialize(sample.mapInArrow(T.releasing(count), "id long, times long").groupBy("id").agg(F.sum("times").alias("times")), "join-common")
     seen = {r["id"]: r["times"] for r in counts.filter("id < 0").collect()}
     rows = max(1, seen.get(-1, 0))
     # A sample of bounded size holds few ids that stand in so many of its documents.
@@ -197,7 +197,7 @@ def shared_sets(own: DataFrame, n: int, percent: int) -> DataFrame:
         return pa.table(columns, names=["doc", "n", "m1", "m2", "shared", "central", *SIGNATURE, "p0", "p1", "p2"])
 
     ddl = "doc long, n long, m1 long, m2 long, shared long, central long, s0 long, s1 long, s2 long, s3 long, p0 array<long>, p1 array<int>, p2 array<int>"
-    counted = P.by_buckets(own.mapInArrow(send, P.DDL), size).applyInArrow(count, P.DDL)
+    counted = P.by_buckets(own.mapInArrow(T.releasing(send), P.DDL), size).applyInArrow(count, P.DDL)
     return P.by_buckets(counted, size).applyInArrow(gather, ddl)
 
 
@@ -238,7 +238,7 @@ def verified(pairs: DataFrame, own: DataFrame, n: int, percent: int) -> DataFram
             ok = np.array([similar(sets[u], sets[v], percent) for u, v in zip(place[: len(x)], place[len(x) :], strict=True)], bool)
             yield pa.RecordBatch.from_arrays([pa.array(x[ok]), pa.array(y[ok])], ["a", "b"])
 
-    return pairs.join(left, "x").join(right, "y").mapInArrow(check, "a long, b long")
+    return pairs.join(left, "x").join(right, "y").mapInArrow(T.releasing(check), "a long, b long")
 
 
 def _differ(a: str, b: str, percent: int) -> str:

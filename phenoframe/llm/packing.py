@@ -17,7 +17,7 @@ ID_BITS = 46
 #: Keys from here on stand for rows without a usable id.
 OWN = 1 << 62
 #: Bytes of pairs that a bucket should hold.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
 #: Pairs a task gathers before it packs them.
 GATHER = 1_000_000
 
@@ -62,7 +62,7 @@ def bucket_bits(partitions: int, size: float = 0.0) -> int:
 
 def by_buckets(df: DataFrame, size: float):
     """``df`` grouped by bucket, over as many partitions as ``size`` bytes need where the session has fewer."""
-    parts = int(size / (2 * BUCKET_BYTES))
+    parts = int(size / (8 * BUCKET_BYTES))
     return (df.repartition(parts, "b") if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df).groupBy("b")
 
 

@@ -274,9 +274,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         packed = [P.pack_numbers(np.unique(s[a:z])) for a, z in zip(first.tolist(), np.append(first, len(d))[1:].tolist(), strict=True)]
         return pa.table({"doc": pa.array(doc, pa.int64()), "starts": pa.array(packed, pa.binary())})
 
-    some = P.by_buckets(own.mapInArrow(send_anchors, P.DDL), size).applyInArrow(often, P.DDL)
+    some = P.by_buckets(own.mapInArrow(T.releasing(send_anchors), P.DDL), size).applyInArrow(often, P.DDL)
     some = P.by_buckets(some, size).applyInArrow(to_docs, "doc long, anchors binary")
-    sent = own.join(some.hint("shuffle_hash"), "doc").select("doc", "text", "anchors").mapInArrow(send_suffixes, P.DDL)
+    sent = own.join(some.hint("shuffle_hash"), "doc").select("doc", "text", "anchors").mapInArrow(T.releasing(send_suffixes), P.DDL)
     found = P.by_buckets(sent, size).applyInArrow(subtree, P.DDL)
     return P.by_buckets(found, size).applyInArrow(to_starts, "doc long, starts binary")
 
@@ -330,5 +330,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     names = ["doc", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + text]
     joined = own.join(spans.hint("shuffle_hash"), "doc", "left").select("doc", "text", "starts")
-    out = joined.mapInArrow(drop, "doc long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * text)
+    out = joined.mapInArrow(T.releasing(drop), "doc long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * text)
     return P.unkeyed(out.withColumnRenamed("doc", "doc_id"), keys, "doc_id").select("doc_id", *names[1:])
