@@ -22,7 +22,11 @@ KEY = "_row"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows of docs with a key of their own, written so that it stays the same. Keys of all partitions alternate, so they are close."""
+    """The rows of docs with a key of their own: doc_id where every row has one and none repeats, and nothing is written.
+
+    Elsewhere rows are written with a number, so that it stays the same. Numbers of all partitions alternate, so they are close."""
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn(KEY, F.col("doc_id"))
     rows = materialize(docs.withColumn(KEY, F.monotonically_increasing_id()), "numbered")
     part = F.shiftright(KEY, 33)
     parts = rows.agg(F.coalesce(F.max(part), F.lit(0)) + 1).first()[0]
