@@ -147,11 +147,10 @@ def heavy_prefixes(docs: DataFrame, length: int, partitions: int) -> tuple[float
     return size, bits, {p: np.array([r["value"] for r in found if r["p"] == p], np.int64).view(np.uint64) for p in steps}
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20) -> DataFrame:
-    """(doc, starts) for documents of unique, non-null ids: for each with repeats the numbers of the words at which a window of ``length`` words that
+def repeats(own: DataFrame, length: int = 20) -> DataFrame:
+    """(doc, starts) of documents (doc, text) of unique, non-null keys: for each with repeats the numbers of the words at which a window of ``length`` words that
     also starts earlier begins, packed (see packing.unpack_numbers)."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    partitions = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size, bits, heavy = heavy_prefixes(own, length, partitions)
     width = len(steps_of(length))
 
@@ -302,7 +301,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     earlier in the same one. Null and empty texts have no words. A row without an id, and a row that repeats an id, are documents of their own,
     which come after all others. Extra columns are ignored. An empty table gives an empty result."""
     own, keys = P.keyed(docs, id_col, text_col)
-    spans = repeats(own, "doc", "text", length)
+    own = own.filter("doc IS NOT NULL")  # never null; so that both joins below share one exchange of the texts
+    spans = repeats(own, length)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
