@@ -199,9 +199,9 @@ def e21_polygon_measures(spark, d):
 
 @query(f"""WITH {OUTLINE}, s AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM v WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 t AS (SELECT s.user_id, s.i, s.n, a.y - b.y AS ty, a.x - b.x AS tx FROM s JOIN s a ON a.user_id = s.user_id AND a.i = (s.i + 1) % s.n JOIN s b ON b.user_id = s.user_id AND b.i = (s.i + s.n - 1) % s.n),
-g AS (SELECT t.user_id, t.n, atan2(abs(t.tx * u.ty - t.ty * u.tx), t.tx * u.tx + t.ty * u.ty) AS a FROM t JOIN t u ON u.user_id = t.user_id AND u.i = (t.i + 1) % t.n)
+g AS (SELECT t.user_id, t.n, CASE WHEN t.n >= 4 THEN atan2(abs(t.tx * u.ty - t.ty * u.tx), t.tx * u.tx + t.ty * u.ty) END AS a FROM t JOIN t u ON u.user_id = t.user_id AND u.i = (t.i + 1) % t.n)
 SELECT user_id, round(avg(a), 5) AS angularity_mean, round(max(a), 5) AS angularity_max, round(median(a), 5) AS angularity_median, round(stddev_pop(a), 5) AS angularity_std, round(max(a) - min(a), 5) AS angularity_amplitude,
-round(stddev_pop(a) / avg(a), 5) AS angularity_variation FROM g WHERE n >= 4 GROUP BY ALL""")
+round(stddev_pop(a) / avg(a), 5) AS angularity_variation FROM g GROUP BY ALL""")
 def e22_angularity(spark, d):
-    a = shapes.angularity(outlines(spark, d), ["user_id"], "event_id", "y", "x").filter("angularity_mean IS NOT NULL")
+    a = shapes.angularity(outlines(spark, d), ["user_id"], "event_id", "y", "x")
     return a.select("user_id", *[r(F.col(c), 5).alias(c) for c in a.columns if c != "user_id"])
