@@ -51,6 +51,10 @@ def traverse(near1: np.ndarray, near2: np.ndarray, counts: np.ndarray, wanted: i
     return last if seen >= wanted else -np.inf
 
 
+#: Cells are scored one by one where they hold so many entries or more, smaller neighbours together.
+TOGETHER = 64
+
+
 class Block:
     """The entries of one block of the index, cell by cell."""
 
@@ -68,15 +72,25 @@ class Block:
         self.ids, self.x, self.k = ids[keep], x[keep], k
         cells, first = np.unique(cell[keep], return_index=True)
         self.one, self.two, self.first = cells // n2, cells % n2, np.append(first, len(keep))
+        # Runs of neighbouring cells that are scored together: one cell each, but for cells of few entries.
+        self.runs, at = [0], 0
+        for c in range(1, len(cells)):
+            if self.first[c] - self.first[at] >= TOGETHER:
+                self.runs.append(c)
+                at = c
+        self.runs.append(len(cells))
 
     def best(self, q_ids: np.ndarray, q: np.ndarray, low: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The best k entries for each query among the cells that it visits, those whose sum is not below ``low``; others are not scored."""
+        """The best k entries for each query among the cells that it visits, those whose sum is not below ``low``; runs of cells that it doesn't visit are not scored."""
         half, k = c1.shape[1], self.k
         visits = (q[:, :half] @ c1.T)[:, self.one] + (q[:, half:] @ c2.T)[:, self.two] >= low[:, None] - 1e-9
         s = np.full((len(q), len(self.ids)), -np.inf)
-        for c in np.flatnonzero(visits.any(0)).tolist():
-            who, a, z = np.flatnonzero(visits[:, c]), self.first[c], self.first[c + 1]
-            s[who, a:z] = q[who] @ self.x[a:z].T
+        for c, d in zip(self.runs[:-1], self.runs[1:], strict=True):
+            who, a, z = np.flatnonzero(visits[:, c:d].any(1)), self.first[c], self.first[d]
+            near = q[who] @ self.x[a:z].T
+            if d - c > 1:
+                near[~np.repeat(visits[who, c:d], np.diff(self.first[c : d + 1]), axis=1)] = -np.inf
+            s[who, a:z] = near
         s[q_ids[:, None] == self.ids[None, :]] = -np.inf
         if len(self.ids) > k:
             least = np.partition(s, len(self.ids) - k, axis=1)[:, len(self.ids) - k]
