@@ -145,7 +145,7 @@ def nearest_neighbours(
     x = np.array([r["v"] for r in picked], np.float64).reshape(-1, dim)
     if not len(x):
         return empty
-    count = max(1, min(centroids, int(np.sqrt(rows))))
+    count = max(1, min(centroids, rows // 50))
     c1, c2 = kmeans(x[:, :half], count, seed=1), kmeans(x[:, half:], count, seed=2)
     n2 = len(c2)
 
