@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .profiles import sscore
+from .quantiles import percentiles
 from .ranking import rank_metrics, top_spread
 
 
@@ -112,7 +113,7 @@ def picks_vs_manual(picks: DataFrame, manual: DataFrame, scene: str) -> DataFram
 
 def summary_join(shapes: DataFrame, df: DataFrame, keys: list[str], intensity: str, name: str) -> DataFrame:
     """The shape summary with the median and 95th percentile of an intensity column of the same keys."""
-    of = df.groupBy(*keys).agg(F.bround(F.median(intensity), 3).alias(f"{name}_median"), F.bround(F.percentile(intensity, F.lit(0.95)), 3).alias(f"{name}_p95"))
+    of = percentiles(df, keys, {"_m": (intensity, 0.5), "_p": (intensity, 0.95)}).select(*keys, F.bround("_m", 3).alias(f"{name}_median"), F.bround("_p", 3).alias(f"{name}_p95"))
     return shapes.join(of, keys, "left")
 
 

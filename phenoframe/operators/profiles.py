@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
+
 
 def profile(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Per key and feature the mean and the CV (sample deviation / mean, 0 where the mean is 0)."""
@@ -43,30 +45,33 @@ def sscore(profiles: DataFrame, control: Column, keys: list[str], columns: list[
 
 
 def summary_table(df: DataFrame, keys: list[str], length: str, width: str, area: str) -> DataFrame:
-    p = lambda c, q: F.percentile(c, F.lit(q))
-    return df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.bround(p(length, 0.5), 3).alias("length_median"), F.bround(p(length, 0.75) - p(length, 0.25), 3).alias("length_iqr"),
-        F.bround(p(width, 0.5), 3).alias("width_median"), F.bround(F.avg(width), 3).alias("width_mean"),
-        F.bround(p(area, 0.5), 3).alias("area_median"), F.bround(F.avg(area), 3).alias("area_mean"),
-    )
+    wanted = {"length_median": (length, 0.5), "_q1": (length, 0.25), "_q3": (length, 0.75), "width_median": (width, 0.5), "area_median": (area, 0.5)}
+    p = percentiles(df, keys, wanted, F.count("*").alias("n"), F.avg(width).alias("width_mean"), F.avg(area).alias("area_mean"))
+    rounded = {c: F.bround(c, 3) for c in ("length_median", "width_median", "width_mean", "area_median", "area_mean")}
+    p = p.withColumns({**rounded, "length_iqr": F.bround(F.col("_q3") - F.col("_q1"), 3)})
+    return p.select(*keys, "n", "length_median", "length_iqr", "width_median", "width_mean", "area_median", "area_mean")
 
 
 def variation(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """n, mean, median, std, p5, p95, mad, cv, robust_cv and dynamic_range per key."""
-    p = lambda q: F.percentile(column, F.lit(q))
-    base = df.groupBy(*keys).agg(
-        F.count(column).alias("n"), F.avg(column).alias("mean"), p(0.5).alias("median"), F.stddev_samp(column).alias("std"), p(0.05).alias("p5"), p(0.95).alias("p95")
-    )
-    mad = df.select(*keys, column).join(base.select(*keys, "median"), keys).groupBy(*keys).agg(F.percentile(F.abs(F.col(column) - F.col("median")), F.lit(0.5)).alias("mad"))
-    return base.join(mad, keys).withColumns({
+    wanted = {"median": (column, 0.5), "p5": (column, 0.05), "p95": (column, 0.95)}
+    base = percentiles(df, keys, wanted, F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"))
+    return base.join(deviations(df, column, keys, base), keys).withColumns({
         "cv": F.try_divide(F.col("std"), F.col("mean")), "robust_cv": F.try_divide(F.col("mad"), F.col("median")),
         "dynamic_range": F.col("p95") / F.greatest(F.col("p5"), F.lit(1e-9)),
     })
 
 
+def deviations(df: DataFrame, column: str, keys: list[str], medians: DataFrame) -> DataFrame:
+    """(keys, mad): the median absolute deviation from the ``median`` of each key."""
+    away = df.select(*keys, column).join(medians.select(*keys, "median"), keys).select(*keys, F.abs(F.col(column) - F.col("median")).alias("_away"))
+    return percentiles(away, keys, {"mad": ("_away", 0.5)})
+
+
 def robust_sigma(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """1.4826 times the median absolute deviation."""
-    return variation(df, column, keys).select(*keys, (F.lit(1.4826) * F.col("mad")).alias("sigma"))
+    medians = percentiles(df, keys, {"median": (column, 0.5)})
+    return deviations(df, column, keys, medians).select(*keys, (F.lit(1.4826) * F.col("mad")).alias("sigma"))
 
 
 def embedding_profiles(df: DataFrame, key: str, vector: str, centred: bool = True) -> DataFrame:

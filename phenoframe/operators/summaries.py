@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import strip_replicate
+from .quantiles import percentiles
 
 
 def log_histogram(df: DataFrame, column: str, keys: list[str], bins: int = 49) -> DataFrame:
     """(keys, bin, share): counts over equal steps of log10 from the least p5 / 1.1 to the largest p95 * 1.1 (each 1 at least), over the group's largest count.
 
     Values outside are left out and the last bin is closed; empty bins give no row."""
-    p = df.groupBy(*keys).agg(F.percentile(column, F.lit(0.05)).alias("p5"), F.percentile(column, F.lit(0.95)).alias("p95"))
+    p = percentiles(df, keys, {"p5": (column, 0.05), "p95": (column, 0.95)})
     every = Window.partitionBy()  # one row a group
     edges = p.select(*keys, F.log10(F.greatest(F.min("p5").over(every) / 1.1, F.lit(1.0))).alias("_lo"), F.log10(F.greatest(F.max("p95").over(every) * 1.1, F.lit(1.0))).alias("_hi"))
     place = F.floor((F.log10(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)

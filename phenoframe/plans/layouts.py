@@ -125,13 +125,14 @@ def e25_merge_sources(spark, d):
     return m.select("well", F.col("p_brand").alias("source"), F.array_join("scenes", ";").alias("scenes"), "conflicts")
 
 
-@query("""SELECT p_type AS name, count(*) AS n_scenes, array_to_string(list(CAST(epoch(o_orderdate) AS BIGINT) ORDER BY p_partkey), ';') AS times FROM part JOIN orders ON o_orderkey = p_partkey WHERE p_size < 30 GROUP BY ALL""")
+@query("""SELECT a.p_type AS name, count(o_orderkey) AS n_scenes, coalesce(array_to_string(list(CAST(epoch(o_orderdate) AS BIGINT) ORDER BY p_partkey) FILTER (o_orderkey IS NOT NULL), ';'), '') AS times
+FROM (SELECT DISTINCT p_type FROM part) a LEFT JOIN part p ON p.p_type = a.p_type AND p.p_type NOT LIKE 'PROMO%' LEFT JOIN orders ON o_orderkey = p_partkey GROUP BY ALL""")
 def c16_backfill_times(spark, d):
-    p = table(spark, d, "part").filter("p_size < 30")
-    lay = p.groupBy(F.col("p_type").alias("stem")).agg(F.collect_list("p_partkey").alias("scenes"))  # of a few thousand parts at sf0.01: a layout
+    p = table(spark, d, "part")
+    lay = p.filter("p_type NOT LIKE 'PROMO%'").groupBy(F.col("p_type").alias("stem")).agg(F.collect_list("p_partkey").alias("scenes"))  # a layout of scenes
     times = table(spark, d, "orders").selectExpr("o_orderkey AS scene", "cast(o_orderdate AS timestamp) AS time")
     arts = p.selectExpr("concat(p_type, '_focused') AS stem").distinct()
-    b = layout.backfill_times(arts, lay, times).withColumn("t", F.transform("times", lambda t: t.cast("long"))).filter(F.size("t") > 0)
+    b = layout.backfill_times(arts, lay, times).withColumn("t", F.transform("times", lambda t: t.cast("long")))
     return b.select(F.regexp_replace("stem", "_focused$", "").alias("name"), F.size("t").cast("long").alias("n_scenes"), F.array_join("t", ";").alias("times"))
 
 

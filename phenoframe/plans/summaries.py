@@ -161,12 +161,12 @@ def labelled(spark, d):
 
 
 @query(f"""WITH {LABELLED}, i AS (SELECT a.vec_id, a.label AS la, b.label AS lb, count(*) AS n FROM a JOIN b ON a.vec_id = b.vec_id AND a.y = b.y AND a.x = b.x WHERE a.label > 0 AND b.label > 0 GROUP BY ALL),
-na AS (SELECT vec_id, label, count(*) AS n FROM a GROUP BY ALL), nb AS (SELECT vec_id, label, count(*) AS n FROM b GROUP BY ALL), u AS (SELECT i.vec_id, la, lb, i.n / (na.n + nb.n - i.n) AS iou FROM i JOIN na ON na.vec_id = i.vec_id AND na.label = la JOIN nb ON nb.vec_id = i.vec_id AND nb.label = lb)
-SELECT vec_id AS image, la, lb, round(iou, 5) AS iou FROM u WHERE iou > 0.5""")
+na AS (SELECT vec_id, label, count(*) AS n FROM a GROUP BY ALL), nb AS (SELECT vec_id, label, count(*) AS n FROM b GROUP BY ALL), u AS (SELECT i.vec_id, la, lb, i.n / (na.n + nb.n - i.n) AS iou FROM i JOIN na ON na.vec_id = i.vec_id AND na.label = la JOIN nb ON nb.vec_id = i.vec_id AND nb.label = lb),
+ra AS (SELECT *, row_number() OVER (PARTITION BY vec_id, la ORDER BY iou DESC, lb) AS r FROM u WHERE iou >= 0.5), rb AS (SELECT *, row_number() OVER (PARTITION BY vec_id, lb ORDER BY iou DESC, la) AS s FROM ra WHERE r = 1)
+SELECT vec_id AS image, la, lb, round(iou, 5) AS iou FROM rb WHERE s = 1""")
 def c10_match_regions(spark, d):
     p = regions.overlaps(*labelled(spark, d), ["image"])
-    m = regions.match_regions(p, ["image"]).filter("iou > 0.5")  # equal shares of one half depend on the order of labels
-    return m.withColumn("iou", r(F.col("iou"), 5))
+    return regions.match_regions(p, ["image"]).withColumn("iou", r(F.col("iou"), 5))
 
 
 @query(f"""WITH {LABELLED}, i AS (SELECT a.vec_id, a.label AS la, b.label AS lb, count(*) AS n FROM a JOIN b ON a.vec_id = b.vec_id AND a.y = b.y AND a.x = b.x WHERE a.label > 0 AND b.label > 0 GROUP BY ALL),

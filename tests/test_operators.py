@@ -100,7 +100,12 @@ def test_transport_jobs(spark):
     rng = np.random.default_rng(2)
     rows = [(c, f"{c}{i}", [float(v) for v in rng.normal(3 if c == "far" else 0, 1, 3)]) for c in ("near1", "near2", "far") for i in range(30)] + [("few", "f", [0.0, 0.0, 0.0])]
     cloud = transport.clouds(spark.createDataFrame(rows, "c string, id string, v array<double>"), "c", "id", "v")
-    d = {(r["i"], r["j"]): r["divergence"] for r in transport.sinkhorn_matrix(cloud).collect()}
+    matrix = transport.sinkhorn_matrix(cloud)
+    d = {(r["i"], r["j"]): r["divergence"] for r in matrix.collect()}
+    assert all(abs(r["distance"] ** 2 - r["divergence"]) < 1e-9 for r in matrix.collect())
+    assert {r["query"]: r["match"] for r in transport.nearest_matches(matrix, "divergence").collect()} == {
+        c: min((v, b if a == c else a) for (a, b), v in d.items() if c in (a, b))[1] for c in ("near1", "near2", "far")
+    }
     assert set(d) == {("far", "near1"), ("far", "near2"), ("near1", "near2")} and d["near1", "near2"] < 0.2 * d["far", "near1"]
     pairs = spark.createDataFrame([("near1", "near2"), ("near1", "far"), ("near1", "few")], "query string, match string")
     p = {r["match"]: r["p_perm"] for r in transport.permutation_test(cloud, pairs, n_perm=30, each=8).collect()}
@@ -211,3 +216,15 @@ def test_read_features_and_library(spark, tmp_path):
     runs = spark.createDataFrame([("r1", 1), ("r2", 2), ("r3", 3)], "run_id string, n int")
     assert [r["_library_run_id"] for r in tables.load_library(index, runs, "msm").collect()] == ["r1"]
     assert tables.load_library(index, runs).count() == 2
+
+
+def test_percentiles_are_exact(spark):
+    from phenoframe.operators.quantiles import percentiles
+
+    even = "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE concat('k', id % 400) END AS k"
+    df = spark.range(60_000).selectExpr(even, "CASE WHEN id % 11 <> 0 THEN exp(xxhash64(id) / 1e18) END AS x", "id % 5 AS y").union(spark.sql("SELECT 'none', CAST(NULL AS double), CAST(NULL AS bigint)"))
+    wanted = {"x5": ("x", 0.05), "x50": ("x", 0.5), "x999": ("x", 0.999), "x0": ("x", 0.0), "x1": ("x", 1.0), "y25": ("y", 0.25), "y50": ("y", 0.5)}
+    got = {r["k"]: r for r in percentiles(df, ["k"], wanted, F.count("*").alias("n")).collect()}
+    plain = df.groupBy("k").agg(F.count("*").alias("n"), *[F.percentile(c, F.lit(q)).alias(name) for name, (c, q) in wanted.items()]).collect()
+    assert {r["k"]: tuple(got[r["k"]][c] for c in ["n", *wanted]) for r in plain} == {r["k"]: tuple(r[c] for c in ["n", *wanted]) for r in plain}
+    assert percentiles(df.filter("false"), ["k"], wanted).count() == 0
