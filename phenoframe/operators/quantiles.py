@@ -37,14 +37,14 @@ def percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, flo
         same = same & F.col(k).eqNullSafe(F.col(f"_k{j}"))
     joined, options, below, hits = x.join(sides, same), [], [], F.lit(False)
     for i, (c, share) in enumerate(wanted.values()):
-        v, at = F.col(f"_c{columns.index(c)}"), F.lit(share) * (F.col(f"_n{i}") - 1)
+        v, at = F.col(f"_c{columns.index(c)}"), F.when(F.col(f"_n{i}") > 0, F.lit(share) * (F.col(f"_n{i}") - 1))
         hit = (v >= F.col(f"_lo{i}")) & (v <= F.col(f"_hi{i}"))
         hits = hits | hit
         options.append(F.when(hit, F.struct(F.lit(i).alias("i"), v.alias("v"), at.alias("at"))))
         below.append(F.struct(F.lit(i).alias("i"), F.count_if(v < F.col(f"_lo{i}")).alias("_n"), F.max(at).alias("at")))
     inside = joined.filter(hits).select(*keys, F.explode(F.array_compact(F.array(*options))).alias("o"))
     inside = inside.groupBy(*keys, "o.i", "o.v").agg(F.count("*").alias("_n"), F.max("o.at").alias("at"))
-    under = joined.groupBy(*keys).agg(F.array(*below).alias("o")).select(*keys, F.explode("o").alias("o"))
+    under = joined.groupBy(*keys).agg(F.array(*below).alias("o")).select(*keys, F.explode("o").alias("o")).filter("o.at IS NOT NULL")
     counted = inside.unionByName(under.select(*keys, "o.i", F.lit(None).cast("double").alias("v"), "o._n", "o.at"))
     order = Window.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = counted.withColumn("upto", F.sum("_n").over(order))
