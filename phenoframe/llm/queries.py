@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, dedup_exact, language_id, mixing, ngram_join, substring_dedup, token_files, toxicity, url_filter
+from . import ann, bpe, dedup_exact, filter_audit, language_id, mixing, ngram_join, quality, substring_dedup, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,11 +73,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_substring_dedup, op3_mixing, op4_bpe, op5_token_files, op6_exact_dedup, op7_ngram_join, op8_language_id,
-        op9_nearest_neighbours, op10_toxicity, pipeline,
+        op9_nearest_neighbours, op10_toxicity, op11_filter_audit, op13_quality, pipeline,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
     "op6_exact_dedup": """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
