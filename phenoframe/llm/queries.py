@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, dedup_exact, filter_audit, language_id, mixing, ngram_join, quality, substring_dedup, token_files, toxicity, url_filter
+from . import ann, bpe, dedup_exact, filter_audit, language_id, mixing, ngram_join, prefix_trie, quality, substring_dedup, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.col("conv_id") - F.col("conv_id") % 20
+    taken = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    return prefix_trie.with_digests(prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), base, taken))
+
+
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -73,12 +79,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_substring_dedup, op3_mixing, op4_bpe, op5_token_files, op6_exact_dedup, op7_ngram_join, op8_language_id,
-        op9_nearest_neighbours, op10_toxicity, op11_filter_audit, op13_quality, pipeline,
+        op9_nearest_neighbours, op10_toxicity, op11_filter_audit, op12_prefix_trie, op13_quality, pipeline,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL,
     "op6_exact_dedup": """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
