@@ -172,7 +172,8 @@ def test_a_full_sketch_and_an_open_one_agree(spark, monkeypatch):
 
 def test_the_sketch_never_takes_a_shared_prefix_for_one_of_its_own(spark):
     """Screened rows are prefixes of one conversation, and almost all of those are screened."""
-    rows = [(c, 1 + k, c // 3 if k < 1 else 1000 + c, k, 0, 0, 0, 1, 3, 3) for c in range(3000) for k in range(3)]
+    state = [[c // 3 if k < 1 else 10000 * k + c for k in range(3)] for c in range(3000)]
+    rows = [(c, 1 + k, s[k], s[k] + 7, s[k - 1] if k else 0, s[k - 1] + 7 if k else 0, 0, 1, 3, 3) for c, s in enumerate(state) for k in range(3)]
     df = spark.createDataFrame(rows, P._PREFIX)
     single = [r for r in P.screened(df).collect() if r["single"]]
     assert all(r["depth"] > 1 for r in single) and len(single) > 0.97 * 6000
