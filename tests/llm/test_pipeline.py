@@ -99,6 +99,22 @@ def test_null_ids(spark, tmp_path):
     assert sorted(set(kept["mixing"])) == kept["ngram_join"]
 
 
+def test_clashing_names(spark, tmp_path):
+    """Columns named as the stages' own go through with their values."""
+    rng = random.Random(6)
+    extra = ["_row", "_ROW2", "__row", "_id", "copy", "_copy", "times", "_times", "_name", "_pair", "key", "slot", "doc", "n"]
+    rows = [(i, _body(rng), "en", "src0", 1, *[100 * i + k for k in range(len(extra))]) for i in range(12)]
+    rows += [rows[3], (None, _body(rng), "en", "src0", 1, *range(len(extra)))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in extra)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == schema.replace(",", "").split()[::2]
+    got = {tuple(r) for r in docs.collect()}
+    assert got == set(rows)
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
@@ -108,5 +124,5 @@ def test_entry_lists_the_queries():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", n)[0] for n in names if n.startswith("op")} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", n)[0] for n in names if n.startswith("op")} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
