@@ -1,3 +1,3 @@
 """See the package README."""
 
-from . import registry, layouts, summaries, library, measures, scoring  # noqa: F401, I001  (the others add their queries to the registry)
+from . import registry, layouts, summaries, library, measures, scoring, detection  # noqa: F401, I001  (the others add their queries to the registry)
