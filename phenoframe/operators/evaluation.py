@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..worktable import materialize
+from . import focus
 from .profiles import sscore
 from .quantiles import percentiles
 from .ranking import rank_metrics, top_spread
@@ -139,67 +141,86 @@ def phase_channel(channels: DataFrame, keys: list[str]) -> DataFrame:
     return channels.groupBy(*keys).agg(first(r"(^|[^a-z0-9])phase([^a-z0-9]|$)").alias("phase"), first("mask").alias("mask"))
 
 
-def suppress_points(points: DataFrame, keys: list[str], row: str, y: str, x: str, value: str, distance: float) -> DataFrame:
+def suppress_points(points: DataFrame, keys: list[str], row: str, y: str, x: str, value: str, distance: float, square: bool = False) -> DataFrame:
     """Points that stay when, brightest first, those closer than ``distance`` to one that stays are dropped; ties go to the smaller row.
 
-    Rounds: a point with no brighter undecided or kept neighbour stays, and its neighbours go. The pairs of neighbours come from a grid join once; each round
-    decides at least the brightest point of every cluster."""
-    from ..worktable import materialize
-
+    ``keys`` name an image: points of others have no part, whatever their rows. ``square`` takes the larger of both axes' distances, and drops
+    at the distance itself. Rounds: a point with no brighter undecided or kept neighbour stays, and its neighbours go. The pairs of neighbours
+    come from a grid join once; each round decides at least the brightest point of every cluster. Points without a finite place stay."""
     cell = lambda c: F.floor(F.col(c) / distance)
-    own = points.select(*keys, row, y, x, value, cell(y).alias("gy"), cell(x).alias("gx"))
+    own = points.filter(_finite(y) & _finite(x)).select(*keys, F.col(row).alias("low"), F.col(y).alias("ly"), F.col(x).alias("lx"), F.col(value).alias("lv"), cell(y).alias("gy"), cell(x).alias("gx"))
     steps = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     near = own.withColumn("s", F.explode(steps)).select(
-        *keys, F.col(row).alias("o"), F.col(y).alias("oy"), F.col(x).alias("ox"), F.col(value).alias("ov"), (F.col("gy") + F.col("s.dy")).alias("gy"), (F.col("gx") + F.col("s.dx")).alias("gx")
+        *keys, F.col("low").alias("high"), F.col("ly").alias("hy"), F.col("lx").alias("hx"), F.col("lv").alias("hv"), (F.col("gy") + F.col("s.dy")).alias("gy"), (F.col("gx") + F.col("s.dx")).alias("gx")
     )
-    brighter = (F.col("ov") > F.col(value)) | ((F.col("ov") == F.col(value)) & (F.col("o") < F.col(row)))
-    pairs = own.join(near, [*keys, "gy", "gx"]).filter(brighter & ((F.col(y) - F.col("oy")) ** 2 + (F.col(x) - F.col("ox")) ** 2 < distance * distance))
-    pairs = materialize(pairs.select(F.col(row).alias("low"), F.col("o").alias("high")), "suppress-pairs")
-    gone = materialize(points.select(F.col(row).alias("low")).limit(0), "suppress-gone")
+    brighter = (F.col("hv") > F.col("lv")) | ((F.col("hv") == F.col("lv")) & (F.col("high") < F.col("low")))
+    down, across = F.abs(F.col("ly") - F.col("hy")), F.abs(F.col("lx") - F.col("hx"))
+    close = F.greatest(down, across) <= distance if square else down**2 + across**2 < distance * distance
+    pairs = materialize(own.join(near, [*keys, "gy", "gx"]).filter(brighter & close).select(*keys, "low", "high"), "suppress-pairs")
+    gone = materialize(pairs.select(*keys, "low").limit(0), "suppress-gone")
+    high, low = [*keys, "high"], [*keys, "low"]
     while not pairs.isEmpty():
         # High points that have no brighter neighbour left stay; their neighbours go, and with them the pairs that they are part of.
-        stay = pairs.select(F.col("high").alias("p")).distinct().join(pairs.select(F.col("low").alias("p")).distinct(), "p", "left_anti")
-        lost = materialize(pairs.join(stay.withColumnRenamed("p", "high"), "high", "left_semi").select("low").distinct(), "suppress-lost")
+        stay = pairs.select(high).distinct().join(pairs.select(*keys, F.col("low").alias("high")).distinct(), high, "left_anti")
+        lost = materialize(pairs.join(stay, high, "left_semi").select(low).distinct(), "suppress-lost")
         gone = materialize(gone.union(lost), "suppress-gone")
-        pairs = pairs.join(lost, "low", "left_anti").join(lost.select(F.col("low").alias("high")), "high", "left_anti")
+        pairs = pairs.join(lost, low, "left_anti").join(lost.withColumnRenamed("low", "high"), high, "left_anti")
         pairs = materialize(pairs, "suppress-pairs")
-    return points.join(gone.select(F.col("low").alias(row)), row, "left_anti")
+    return points.join(gone.withColumnRenamed("low", row), [*keys, row], "left_anti")
 
 
-def nearest_in_field(df: DataFrame, keys: list[str], row: str, y: str, x: str, size: float) -> DataFrame:
-    """(keys, row, field, nearest): cells of the field and the distance to the nearest other one, null if alone.
+def _finite(c: str) -> Column:
+    v = F.col(c).cast("double")
+    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+
 
-    Cells look around in a grid; those that find none within ``size`` look again in one twice as wide, until all have found or are alone in their field."""
-    from ..worktable import materialize
+def nearest_in_field(df: DataFrame, keys: list[str], row: str, y: str, x: str, size: float) -> DataFrame:
+    """(keys, row, field, nearest): rows of the field and the distance to the nearest other one with a finite place; null without such a one, and
+    for rows without a finite place themselves. ``row`` tells the rows of a field apart; rows that repeat it are one point.
 
+    Points look around in a grid; those that find none within ``size`` look again in one twice as wide, until all have found. A field of two
+    points or more is done once the grid is as wide as the field."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("field"))
     base = materialize(df.select(*keys, row, y, x).join(counts, keys), "nearest-cells")
-    open_, done = base.filter("field > 1"), None
-    while True:
+    points = base.filter(_finite(y) & _finite(x)).select(*keys, row, y, x).dropDuplicates([*keys, row])
+    extent = F.greatest(F.max(y) - F.min(y), F.max(x) - F.min(x)).cast("double")
+    fields = points.groupBy(*keys).agg(F.count("*").alias("_n"), extent.alias("_extent")).filter("_n > 1")
+    open_, done = materialize(points.join(fields, keys), "nearest-open"), None
+    while done is None or not open_.isEmpty():
         cell = lambda c, s=size: F.floor(F.col(c) / s)
         own = open_.withColumn("gy", cell(y)).withColumn("gx", cell(x))
         steps = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-        other = base.withColumn("gy", cell(y)).withColumn("gx", cell(x)).withColumn("s", F.explode(steps)).select(
+        other = points.withColumn("gy", cell(y)).withColumn("gx", cell(x)).withColumn("s", F.explode(steps)).select(
             *keys, F.col(row).alias("o"), F.col(y).alias("oy"), F.col(x).alias("ox"), (F.col("gy") + F.col("s.dy")).alias("gy"), (F.col("gx") + F.col("s.dx")).alias("gx")
         )
         d = F.sqrt((F.col(y) - F.col("oy")) ** 2 + (F.col(x) - F.col("ox")) ** 2)
-        met = own.join(other, [*keys, "gy", "gx"]).filter(F.col(row) != F.col("o")).withColumn("_d", d).filter(F.col("_d") <= size)
+        met = own.join(other, [*keys, "gy", "gx"]).filter(F.col(row) != F.col("o")).withColumn("_d", d).filter((F.col("_d") <= size) | (F.col("_extent") <= size))
         found = materialize(met.groupBy(*keys, row).agg(F.min("_d").alias("nearest")), "nearest-found")
         done = found if done is None else done.union(found)
         open_ = materialize(open_.join(found, [*keys, row], "left_anti"), "nearest-open")
-        if open_.isEmpty():
-            break
         size *= 2
-    return base.select(*keys, row, "field").join(done, [*keys, row], "left")
+    at = _finite(y) & _finite(x)
+    return base.join(done, [*keys, row], "left").select(*keys, row, "field", F.when(at, F.col("nearest")).alias("nearest"))
 
 
 def core_elongation(px: DataFrame, site: list[str], value: str, y: str = "y", x: str = "x") -> DataFrame:
-    """(site, elongation): the ratio of the axes of the second moments of the pixels above half the maximum; 1 with fewer than five of them."""
-    half = px.withColumn("_m", F.max(value).over(Window.partitionBy(*site))).filter(F.col(value) > F.col("_m") / 2)
-    s = half.groupBy(*site).agg(F.count("*").alias("n"), F.var_pop(y).alias("a"), F.var_pop(x).alias("b"), F.covar_pop(y, x).alias("c"))
+    """(site, elongation): the ratio of the eigenvalues of the bright core's second moments, weighted by the height above the patch's border.
+
+    The ground is the median of the patch's outer rows and columns; the core holds the pixels of at least half the largest height. 1 with fewer than
+    five of them, where nothing rises above the ground, and where the smaller eigenvalue is 1e-9 or less."""
+    all_ = Window.partitionBy(*site)
+    v = F.col(value).cast("double")
+    edge = sum(((F.col(c) == f(c).over(all_)).cast("int") for c in (y, x) for f in (F.min, F.max)), F.lit(0)) > 0
+    p = px.withColumn("_edge", edge).withColumn("_w", F.greatest(v - F.median(F.when(F.col("_edge"), v)).over(all_), F.lit(0.0)))
+    core = p.filter("_w > 0").withColumn("_top", F.max("_w").over(all_)).filter(F.col("_w") >= 0.5 * F.col("_top"))
+    mean = lambda c: F.sum(F.col("_w") * c) / F.sum("_w")
+    m = core.groupBy(*site).agg(F.count("*").alias("n"), mean(F.col(y)).alias("my"), mean(F.col(x)).alias("mx"))
+    s = core.join(m, site).withColumns({"_a": F.col(y) - F.col("my"), "_b": F.col(x) - F.col("mx")}).groupBy(*site).agg(
+        F.max("n").alias("n"), mean(F.col("_a") ** 2).alias("a"), mean(F.col("_b") ** 2).alias("b"), mean(F.col("_a") * F.col("_b")).alias("c")
+    )
     mid, gap = (F.col("a") + F.col("b")) / 2, F.sqrt(((F.col("a") - F.col("b")) / 2) ** 2 + F.col("c") ** 2)
-    ratio = F.sqrt((mid + gap) / F.greatest(mid - gap, F.lit(1e-12)))
-    return s.select(*site, F.when(F.col("n") < 5, F.lit(1.0)).otherwise(ratio).alias("elongation"))
+    ratio = F.when((F.col("n") >= 5) & (mid - gap > 1e-9), (mid + gap) / (mid - gap)).otherwise(F.lit(1.0))
+    return px.select(*site).distinct().join(s.select(*site, ratio.alias("elongation")), site, "left").fillna(1.0, ["elongation"])
 
 
 def hessian_symmetry(px: DataFrame, site: list[str], value: str, cy: int = 1, cx: int = 1) -> DataFrame:
@@ -215,17 +236,13 @@ def hessian_symmetry(px: DataFrame, site: list[str], value: str, cy: int = 1, cx
     return p.select(*site, F.when(big < 1e-12, F.lit(0.0)).otherwise(small / big).alias("symmetry"))
 
 
-def score_stack(scores: DataFrame, keys: list[str], z: str, metrics: list[str], smooth: bool = False) -> DataFrame:
-    """One row per (keys, z): the metrics, each scaled to its largest value in the stack, their mean as score, and whether the plane is chosen (largest score, ties to the smaller z).
-
-    ``smooth`` averages each metric with its neighbours in z before."""
-    w, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(z)
-    x = scores
-    for m in metrics:
-        x = x.withColumn(m, F.avg(m).over(order.rowsBetween(-1, 1))) if smooth else x
-    for m in metrics:
-        top = F.max(m).over(w)
-        x = x.withColumn(f"{m}_rel", F.when(top > 0, F.col(m) / top).otherwise(F.lit(0.0)))
-    x = x.withColumn("score", sum((F.col(f"{m}_rel") for m in metrics), F.lit(0.0)) / len(metrics))
-    best = F.max(F.struct("score", (-F.col(z)).alias("_z"))).over(w)["_z"]
-    return x.withColumn("chosen", F.col(z) == -best).drop(*[f"{m}_rel" for m in metrics])
+def score_stack(scores: DataFrame, keys: list[str], z: str, metrics: list[str], smooth: bool = False, choose: str = "ensemble") -> DataFrame:
+    """One row per (keys, z): the metrics, their ensemble as ``score``, and whether the plane is chosen by ``choose`` (the ensemble or a metric).
+
+    ``smooth`` takes each metric by 1, 2, 1 with its neighbours in z first (``focus.smooth_z``). The ensemble is the mean of the metrics, each scaled to 0..1 in its
+    stack (``focus.ensemble``); ties go to the plane nearest the middle (``focus.pick_slice``)."""
+    x = scores.withColumnRenamed(z, "z")
+    x = focus.ensemble(focus.smooth_z(x, keys, metrics) if smooth else x, keys, metrics)
+    picked = focus.pick_slice(x, keys, choose).withColumnRenamed("z", "_z")
+    x = x.join(picked, keys).withColumn("chosen", F.col("z") == F.col("_z")).drop("_z")
+    return x.withColumnsRenamed({"ensemble": "score", "z": z})

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import robust
-from .registry import query, r, table
+from ..operators import outlines, robust, spots
+from .measures import points
+from .registry import PIXELS, query, r, table
+from .summaries import pixels
 
 BLEED = """s AS (SELECT o_orderpriority AS well, CASE WHEN o_orderpriority LIKE '5%' AND o_orderkey > 60 THEN -o_totalprice ELSE o_totalprice END AS src,
   CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderpriority LIKE '1%' THEN 0.6 ELSE 0.03 END * CASE WHEN o_orderpriority LIKE '2%' THEN -o_totalprice ELSE o_totalprice END + o_custkey * 7 % 500 AS tgt FROM orders)"""
@@ -24,3 +27,91 @@ def d24_crosstalk_k(spark, d):
     tgt = k * F.when(p.startswith("2"), -mine).otherwise(mine) + F.col("o_custkey") * 7 % 500
     fit = robust.crosstalk_k(table(spark, d, "orders").select(p.alias("well"), src.alias("src"), tgt.alias("tgt")), ["well"], "src", "tgt")
     return fit.select("well", "n_sites", r(F.col("rho")).alias("rho"), r(F.col("fitted_slope"), 8).alias("fitted_slope"), "mode", r(F.col("k"), 8).alias("k"))
+
+
+OUTLINE = """v AS (SELECT l_suppkey AS cell, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS m, l_quantity AS y, l_discount * 1000 AS x FROM lineitem WINDOW o AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice)),
+n AS (SELECT *, coalesce(lead(y) OVER w, first_value(y) OVER w) AS yn, coalesce(lead(x) OVER w, first_value(x) OVER w) AS xn FROM v WHERE m >= 4 WINDOW w AS (PARTITION BY cell ORDER BY i)),
+c AS (SELECT *, sqrt((yn - y) * (yn - y) + (xn - x) * (xn - x)) AS len FROM n),
+g AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY cell ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum, sum(len) OVER (PARTITION BY cell) AS total FROM c)"""
+
+
+@query(f"""WITH {OUTLINE}, t AS (SELECT cell, k, k * any_value(total) / 100 AS pos FROM g, range(100) u(k) WHERE total > 0 GROUP BY cell, k),
+s AS (SELECT t.cell, k, pos, max_by({{'y': y, 'x': x, 'yn': yn, 'xn': xn, 'cum': cum, 'len': len}}, cum) AS s FROM t JOIN g ON t.cell = g.cell AND g.cum <= t.pos AND g.len > 0 GROUP BY ALL)
+SELECT cell, k::INT AS k, round(s.y + (pos - s.cum) / s.len * (s.yn - s.y), 5) AS y, round(s.x + (pos - s.cum) / s.len * (s.xn - s.x), 5) AS x FROM s""")
+def e23_resample_closed(spark, d):
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    v = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("cell"), (F.row_number().over(order) - 1).alias("i"), F.col("l_quantity").alias("y"), (F.col("l_discount") * 1000).alias("x"))
+    out = outlines.resample_closed(v, ["cell"], "i", "y", "x")
+    return out.select("cell", "k", r(F.col("y"), 5).alias("y"), r(F.col("x"), 5).alias("x"))
+
+
+@query("""WITH w AS (SELECT l_orderkey AS cell, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS m, l_quantity AS v, lead(l_quantity) OVER o AS n FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice)),
+d AS (SELECT cell, m, k, v + (CASE WHEN m > 1 THEN k * (m - 1) / 199.0 - i ELSE 0 END) * (coalesce(n, v) - v) AS v FROM w, range(200) u(k) WHERE CASE WHEN m = 1 THEN k = 0 ELSE k * (m - 1) // 199 = i END)
+SELECT cell, round(median(v), 5) AS width_median, round(avg(v), 5) AS width_mean, round(max(v), 5) AS width_max, round(min(v), 5) AS width_min, round(stddev_pop(v), 5) AS width_std,
+round(least(arg_max(k, (v, -k)) / 199.0, 1 - arg_max(k, (v, -k)) / 199.0), 5) AS width_pos_max, round(least(arg_min(k, (v, k)) / 199.0, 1 - arg_min(k, (v, k)) / 199.0), 5) AS width_pos_min,
+CASE WHEN max(m) > 1 THEN round(avg(v) FILTER (k < 20 OR k >= 180), 5) END AS pole_width, CASE WHEN max(m) > 1 THEN round(avg(v) FILTER (k < 20 OR k >= 180) / avg(v) FILTER (k BETWEEN 80 AND 119), 5) END AS pole_taper FROM d GROUP BY cell""")
+def e24_width_profile(spark, d):
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("cell"), (F.row_number().over(order) - 1).alias("i"), F.col("l_quantity").alias("w"))
+    p = outlines.width_profile(s, ["cell"], "i", "w")
+    return p.select("cell", *[r(F.col(c), 5).alias(c) for c in p.columns[1:]])
+
+
+def _atrous_sql(scales: int) -> str:
+    """One pair of queries a scale: an image smoothed down, then across, mirrored at its borders of eight pixels."""
+    parts = ["k AS (SELECT * FROM (VALUES (-2, 0.0625), (-1, 0.25), (0, 0.375), (1, 0.25), (2, 0.0625)) k(o, w))"]
+    for n in range(scales):
+        def fold(c, n=n):
+            at = f"((p.{c} + k.o * {2**n}) % 16 + 16) % 16"
+            return f"CASE WHEN {at} < 8 THEN {at} ELSE 15 - {at} END"
+
+        parts.append(f"h{n} AS (SELECT p.vec_id, p.y, p.x, sum(w * q.v) AS v FROM s{n} p, k JOIN s{n} q ON q.vec_id = p.vec_id AND q.x = p.x AND q.y = {fold('y')} GROUP BY ALL)")
+        parts.append(f"s{n + 1} AS (SELECT p.vec_id, p.y, p.x, sum(w * q.v) AS v FROM h{n} p, k JOIN h{n} q ON q.vec_id = p.vec_id AND q.y = p.y AND q.x = {fold('x')} GROUP BY ALL)")
+    return ", ".join(parts)
+
+
+@query(f"""WITH {PIXELS}, pc AS (SELECT vec_id, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.999) AS hi FROM px GROUP BY ALL), s0 AS (SELECT vec_id, y, x, greatest(0, least(1, (v - lo) / (hi - lo))) AS v FROM px JOIN pc USING (vec_id)), {_atrous_sql(3)},
+pl AS (SELECT vec_id, y, x, 0 AS s, s0.v - s1.v AS p FROM s0 JOIN s1 USING (vec_id, y, x) UNION ALL SELECT vec_id, y, x, 1, s1.v - s2.v FROM s1 JOIN s2 USING (vec_id, y, x) UNION ALL SELECT vec_id, y, x, 2, s2.v - s3.v FROM s2 JOIN s3 USING (vec_id, y, x)),
+m AS (SELECT vec_id, s, median(p) AS m FROM pl GROUP BY ALL), d AS (SELECT vec_id, s, 1.4826 * median(abs(p - m)) AS sd FROM pl JOIN m USING (vec_id, s) GROUP BY ALL)
+SELECT vec_id AS image, y::INT AS y, x::INT AS x, round(sum(CASE WHEN p > 1.5 * sd THEN p ELSE 0 END), 6) AS response FROM pl JOIN d USING (vec_id, s) GROUP BY ALL""")
+def h12_atrous_response(spark, d):
+    out = spots.atrous_response(pixels(spark, d).select("image", "y", "x", "value"), ["image"], (0, 1, 2), 1.5)
+    return out.select("image", "y", "x", r(F.col("response")).alias("response"))
+
+
+@query(f"""WITH {PIXELS}, st AS (SELECT vec_id, 2 + vec_id % 5 AS sy, 1 + vec_id % 6 AS sx FROM embeddings), p AS (SELECT px.vec_id, y, x, sy, sx, v FROM px JOIN st ON st.vec_id = px.vec_id AND abs(y - sy) <= 2 AND abs(x - sx) <= 2),
+e AS (SELECT *, lag(v) OVER d AS u, lead(v) OVER d AS b, lag(v) OVER a AS l, lead(v) OVER a AS r FROM p WINDOW d AS (PARTITION BY vec_id, x ORDER BY y), a AS (PARTITION BY vec_id, y ORDER BY x)),
+g AS (SELECT *, CASE WHEN u IS NULL THEN b - v WHEN b IS NULL THEN v - u ELSE (b - u) / 2 END AS gy, CASE WHEN l IS NULL THEN r - v WHEN r IS NULL THEN v - l ELSE (r - l) / 2 END AS gx FROM e),
+m AS (SELECT *, gx * gx + gy * gy AS m2 FROM g), z AS (SELECT vec_id, max(m2) AS top, sum(m2 * y) / sum(m2) AS cy, sum(m2 * x) / sum(m2) AS cx, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM m GROUP BY ALL),
+w AS (SELECT m.*, m2 / (sqrt((y - cy) * (y - cy) + (x - cx) * (x - cx)) + 1) AS w, gx / sqrt(m2) AS a, gy / sqrt(m2) AS c FROM m JOIN z USING (vec_id) WHERE m2 > 0.0001 * top),
+q AS (SELECT vec_id, sum(w * (1 - a * a)) AS uu, sum(w * (1 - c * c)) AS vv, sum(-w * a * c) AS uv, sum(w * (1 - a * a) * x - w * a * c * y) AS b1, sum(-w * a * c * x + w * (1 - c * c) * y) AS b2, count(*) AS n FROM w GROUP BY ALL),
+f AS (SELECT z.*, CASE WHEN n >= 4 AND abs(uu * vv - uv * uv) >= 1e-12 THEN (uu * b2 - uv * b1) / (uu * vv - uv * uv) END AS fy, CASE WHEN n >= 4 AND abs(uu * vv - uv * uv) >= 1e-12 THEN (vv * b1 - uv * b2) / (uu * vv - uv * uv) END AS fx FROM q JOIN z USING (vec_id)),
+bg AS (SELECT vec_id, median(v) AS bg FROM p JOIN z USING (vec_id) WHERE y IN (y0, y1) OR x IN (x0, x1) GROUP BY ALL)
+SELECT p.vec_id AS image, round(any_value(fy), 4) AS y, round(any_value(fx), 4) AS x, round(sqrt(greatest(sum(greatest(v - bg, 0) * ((p.y - coalesce(fy, sy)) ** 2 + (p.x - coalesce(fx, sx)) ** 2)) / sum(greatest(v - bg, 0)) / 2, 1e-12)), 4) AS sigma
+FROM p JOIN f USING (vec_id) JOIN bg USING (vec_id) GROUP BY p.vec_id""")
+def h22_radial_centres(spark, d):
+    c = spots.radial_centres(pixels(spark, d), points(spark, d), ["image"], 2)
+    return c.select("image", *[r(F.col(k), 4).alias(k) for k in ("y", "x", "sigma")])
+
+
+REGION = "CASE WHEN y = 7 THEN 0 WHEN (x + y) % 8 < 4 THEN 1 ELSE 2 END"
+
+
+@query(f"""WITH {PIXELS}, l AS (SELECT vec_id, y, x, v, {REGION} AS region FROM px), s AS (SELECT vec_id, region, median(v) AS m, stddev_pop(v) AS sd FROM l WHERE region > 0 GROUP BY ALL)
+SELECT a.vec_id AS image, a.region, a.y::INT AS y, a.x::INT AS x, round(a.v - m, 6) AS amplitude FROM l a JOIN s ON s.vec_id = a.vec_id AND s.region = a.region
+WHERE sd >= 1e-9 AND a.v - m > 0.8 * sd AND NOT EXISTS (SELECT 1 FROM l b WHERE b.vec_id = a.vec_id AND b.region = a.region AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 AND b.v > a.v)""")
+def h23_region_candidates(spark, d):
+    px = pixels(spark, d).withColumn("region", F.expr(REGION))
+    return spots.region_candidates(px, ["image"], "region", 1, 0.8).select("image", "region", "y", "x", r(F.col("amplitude")).alias("amplitude"))
+
+
+OBJECTS = "CASE WHEN y < 3 AND x < 3 THEN 1 WHEN y < 3 AND x < 5 THEN 2 WHEN y = 7 AND x = 7 THEN 3 ELSE 0 END"
+
+
+@query(f"""WITH {PIXELS}, l AS (SELECT vec_id, y, x, v, {OBJECTS} AS label FROM px), i AS (SELECT vec_id, label, median(v) AS m FROM l WHERE label > 0 GROUP BY ALL),
+r AS (SELECT o.vec_id, o.label, median(b.v) AS m, count(*) AS n FROM (SELECT DISTINCT vec_id, label FROM l WHERE label > 0) o JOIN l b ON b.vec_id = o.vec_id AND b.label = 0
+  AND EXISTS (SELECT 1 FROM l a WHERE a.vec_id = b.vec_id AND a.label = o.label AND abs(a.y - b.y) + abs(a.x - b.x) <= 2) GROUP BY ALL)
+SELECT i.vec_id AS image, i.label, CASE WHEN n >= 5 THEN round(abs(i.m - r.m) / greatest(r.m, 1e-6), 6) END AS contrast FROM i LEFT JOIN r USING (vec_id, label)""")
+def h24_object_contrast(spark, d):
+    px = pixels(spark, d).withColumn("label", F.expr(OBJECTS))
+    return spots.object_contrast(px, ["image"], "label", 2).withColumn("contrast", r(F.col("contrast")))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import naming as N
-from ..operators import evaluation, pixels, profiles
+from ..operators import evaluation, focus, profiles
+from ..operators import pixels as px_metrics
 from .library import distances
 from .registry import CELLS, PIXELS, RANKED, SSCORE, BOXES, boxes, cell_profiles, cells, query, r, table
+from .summaries import GRAD, pixels
 
 
 @query("""WITH p AS (SELECT p_partkey, p_brand || ':' || p_size AS a, trim(p_type) AS b, CASE WHEN p_partkey % 5 = 0 THEN 'CON' ELSE 'x' END AS c FROM part),
@@ -41,10 +44,16 @@ def b24_resolve_channel(spark, d):
     return found.join(n, "p_brand").select(F.col("p_brand").alias("brand"), "n", "idx", "odd")
 
 
-@query("""SELECT o_orderkey, 'order' || o_custkey AS run, strftime(o_orderdate, '%Y%m%d') || '120000' AS stamp, 'order' || o_custkey || ' (' || strftime(o_orderdate, '%Y-%m-%d') || ')' AS label, 'order-' || o_custkey AS slug FROM orders""")
+@query("""WITH d AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'trained' WHEN 1 THEN 'Order_' || o_custkey || '.v2' ELSE 'plain_' || o_custkey END AS run,
+CASE o_orderkey % 3 WHEN 0 THEN o_custkey::VARCHAR WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') || '_12-30-05' ELSE '' END AS stamp, o_custkey FROM orders)
+SELECT o_orderkey, run, stamp, run || CASE WHEN stamp = '' THEN '' ELSE ' · ' || stamp END || CASE WHEN o_custkey % 2 = 0 THEN ' (acc 0.' || (10 + o_custkey % 90) || ')' ELSE '' END AS label,
+CASE WHEN o_orderkey % 5 = 0 THEN 'model' ELSE 'My-Order_' || o_custkey || '.x' END AS slug FROM d""")
 def b26_parse_run_dir(spark, d):
-    o = table(spark, d, "orders").selectExpr("o_orderkey", "o_custkey", "concat('order', o_custkey, '_', date_format(o_orderdate, 'yyyyMMdd'), '_120000') AS dir")
-    p = o.select("o_orderkey", N.parse_run_dir(F.col("dir")).alias("p"), N.slug(F.concat(F.lit(" Order _"), "o_custkey", F.lit("! "))).alias("slug"))
+    dir_ = "CASE o_orderkey % 3 WHEN 0 THEN concat('trained_', o_custkey) WHEN 1 THEN concat('Order_', o_custkey, '.v2_', date_format(o_orderdate, 'yyyy-MM-dd'), '_12-30-05') ELSE concat('plain_', o_custkey) END"
+    acc = "CASE WHEN o_custkey % 2 = 0 THEN (10 + o_custkey % 90) / 100D END"
+    typed = "CASE WHEN o_orderkey % 5 = 0 THEN ' .-!' ELSE concat('  My  Order_', o_custkey, '.x!! ') END"
+    o = table(spark, d, "orders").selectExpr("o_orderkey", f"{dir_} AS dir", f"{acc} AS acc", f"{typed} AS typed")
+    p = o.select("o_orderkey", N.parse_run_dir(F.col("dir"), F.col("acc")).alias("p"), N.slug(F.col("typed")).alias("slug"))
     return p.select("o_orderkey", "p.run", "p.stamp", "p.label", "slug")
 
 
@@ -153,22 +162,35 @@ def _pixels(spark, d):
     return px.selectExpr("vec_id", "i div 8 AS y", "i % 8 AS x", "cast(v0 AS double) + 1 AS value")
 
 
-@query(f"""WITH {PIXELS}, s AS (SELECT vec_id, v, lead(v, 2) OVER (PARTITION BY vec_id, x ORDER BY y) AS y2 FROM px),
-m AS (SELECT vec_id // 10 AS stack, vec_id % 10 AS z, CASE WHEN avg(v) > 0 THEN var_pop(v) / avg(v) ELSE 0 END AS nv, sum((y2 - v) * (y2 - v)) AS br FROM s GROUP BY vec_id),
-c AS (SELECT *, (coalesce(CASE WHEN max(nv) OVER w > 0 THEN nv / max(nv) OVER w END, 0) + coalesce(CASE WHEN max(br) OVER w > 0 THEN br / max(br) OVER w END, 0)) / 2 AS score FROM m WINDOW w AS (PARTITION BY stack))
-SELECT stack, z, round(score, 6) AS score, row_number() OVER (PARTITION BY stack ORDER BY score DESC, z) = 1 AS chosen FROM c""")
+STEPS = ("nv", "br", "vf", "sml", "lv", "tg")
+SMOOTHED = ", ".join(f"CASE WHEN count(*) OVER s < 3 THEN {c} ELSE (coalesce(lag({c}) OVER o, {c}) + 2 * {c} + coalesce(lead({c}) OVER o, {c})) / 4 END AS {c}" for c in STEPS)
+SCALED = " + ".join(f"CASE WHEN max({c}) OVER s - min({c}) OVER s < 1e-12 THEN 0 ELSE ({c} - min({c}) OVER s) / (max({c}) OVER s - min({c}) OVER s) END" for c in STEPS)
+
+
+@query(f"""WITH {GRAD}, f AS (SELECT *, lead(v, 1) OVER c AS y1, lead(v, 2) OVER c AS y2, lag(v) OVER c AS y_1, lead(v) OVER r AS x1, lag(v) OVER r AS x_1 FROM g3 WINDOW c AS (PARTITION BY vec_id, x ORDER BY y), r AS (PARTITION BY vec_id, y ORDER BY x)),
+m AS (SELECT image AS stack, z, CASE WHEN avg(v) > 0 THEN var_pop(v) / avg(v) ELSE 0 END AS nv, sum((y2 - v) * (y2 - v)) AS br, sum(v * y1) - sum(v * y2) AS vf,
+coalesce(sum(abs(2 * v - y1 - y_1)), 0) + coalesce(sum(abs(2 * v - x1 - x_1)), 0) AS sml, var_pop(lap) AS lv, sum(gx * gx + gy * gy) AS tg FROM f GROUP BY image, z),
+w AS (SELECT stack, z, {SMOOTHED} FROM m WINDOW s AS (PARTITION BY stack), o AS (PARTITION BY stack ORDER BY z)),
+e AS (SELECT stack, z, ({SCALED}) / 6 AS score FROM w WINDOW s AS (PARTITION BY stack)),
+t AS (SELECT *, max(score) OVER s AS best, (count(*) OVER s - 1) / 2 AS mid FROM e WINDOW s AS (PARTITION BY stack)), p AS (SELECT stack, min_by(z, (abs(z - mid), z)) AS zb FROM t WHERE score >= best - 1e-12 GROUP BY stack)
+SELECT stack, z, round(score, 5) AS score, z = zb AS chosen FROM e JOIN p USING (stack)""")
 def h8_score_stack(spark, d):
-    m = pixels.focus_metrics(_pixels(spark, d), ["vec_id"]).selectExpr("vec_id div 10 AS stack", "vec_id % 10 AS z", "normalized_variance", "brenner")
-    s = evaluation.score_stack(m, ["stack"], "z", ["normalized_variance", "brenner"])
-    return s.select("stack", "z", r(F.col("score")).alias("score"), "chosen")
+    """All six metrics of each plane, smoothed along z."""
+    px = pixels(spark, d, "vec_id % 50").withColumnRenamed("image", "stack")
+    key = ["stack", "z"]
+    m = px_metrics.focus_metrics(px, key).join(focus.sharpness(px, key).select(*key, "laplacian_variance", "tenengrad"), key)
+    s = evaluation.score_stack(m, ["stack"], "z", ["normalized_variance", "brenner", "vollath_f4", "sml", "laplacian_variance", "tenengrad"], smooth=True)
+    return s.select("stack", "z", r(F.col("score"), 5).alias("score"), "chosen")
 
 
-@query(f"""WITH RECURSIVE {BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY fov ORDER BY p_retailprice DESC, p_partkey) AS k FROM (SELECT b.*, p.p_retailprice FROM boxes b JOIN part p ON b.p_partkey = p.p_partkey)),
+@query(f"""WITH RECURSIVE {BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY fov ORDER BY p_retailprice DESC, spot) AS k FROM (SELECT b.*, p.p_retailprice, row_number() OVER (PARTITION BY fov ORDER BY b.p_partkey) AS spot FROM boxes b JOIN part p ON b.p_partkey = p.p_partkey)),
 s AS (SELECT DISTINCT fov, 0 AS k, CAST([] AS STRUCT(key BIGINT, y BIGINT, x BIGINT)[]) AS kept FROM o UNION ALL
-SELECT o.fov, o.k, CASE WHEN len(list_filter(s.kept, lambda q: (q.y - o.y0) * (q.y - o.y0) + (q.x - o.x0) * (q.x - o.x0) < 3600)) = 0 THEN list_append(s.kept, {{'key': o.p_partkey, 'y': o.y0, 'x': o.x0}}) ELSE s.kept END FROM s JOIN o ON o.fov = s.fov AND o.k = s.k + 1)
-SELECT unnest(kept).key AS p_partkey FROM (SELECT max_by(kept, k) AS kept FROM s GROUP BY fov)""")
+SELECT o.fov, o.k, CASE WHEN len(list_filter(s.kept, lambda q: (q.y - o.y0) * (q.y - o.y0) + (q.x - o.x0) * (q.x - o.x0) < 3600)) = 0 THEN list_append(s.kept, {{'key': o.spot, 'y': o.y0, 'x': o.x0}}) ELSE s.kept END FROM s JOIN o ON o.fov = s.fov AND o.k = s.k + 1)
+SELECT fov, unnest(kept).key AS spot FROM (SELECT fov, max_by(kept, k) AS kept FROM s GROUP BY fov)""")
 def h17_suppress_points(spark, d):
-    return evaluation.suppress_points(boxes(spark, d), ["fov"], "p_partkey", "y0", "x0", "p_retailprice", 60.0).select("p_partkey")
+    """Spots are numbered anew in every field, so that their numbers repeat over the fields."""
+    b = boxes(spark, d).withColumn("spot", F.row_number().over(Window.partitionBy("fov").orderBy("p_partkey")))
+    return evaluation.suppress_points(b, ["fov"], "spot", "y0", "x0", "p_retailprice", 60.0).select("fov", F.col("spot").cast("long").alias("spot"))
 
 
 @query(f"""WITH {PIXELS}, v AS (SELECT vec_id, sum(v) FILTER (y = 0 AND x = 1) - 2 * sum(v) FILTER (y = 1 AND x = 1) + sum(v) FILTER (y = 2 AND x = 1) AS yy, sum(v) FILTER (y = 1 AND x = 0) - 2 * sum(v) FILTER (y = 1 AND x = 1) + sum(v) FILTER (y = 1 AND x = 2) AS xx,
@@ -179,8 +201,11 @@ def h20_hessian_symmetry(spark, d):
     return evaluation.hessian_symmetry(_pixels(spark, d), ["vec_id"], "value").withColumn("symmetry", r(F.col("symmetry")))
 
 
-@query(f"""WITH {PIXELS}, c AS (SELECT *, v - 0.8 AS w, max(v - 0.8) OVER (PARTITION BY vec_id) AS m FROM px), s AS (SELECT vec_id, count(*) AS n, var_pop(y) AS a, var_pop(x) AS b, covar_pop(y, x) AS c FROM c WHERE w > m / 2 GROUP BY ALL)
-SELECT vec_id, round(CASE WHEN n < 5 THEN 1 ELSE sqrt(((a + b) / 2 + sqrt((a - b) * (a - b) / 4 + c * c)) / greatest((a + b) / 2 - sqrt((a - b) * (a - b) / 4 + c * c), 1e-12)) END, 5) AS elongation FROM s""")
+@query(f"""WITH {PIXELS}, b AS (SELECT vec_id, median(v) AS bg FROM px WHERE y IN (0, 7) OR x IN (0, 7) GROUP BY ALL), w AS (SELECT px.vec_id, y, x, v - bg AS w, max(v - bg) OVER (PARTITION BY px.vec_id) AS top FROM px JOIN b USING (vec_id)),
+c AS (SELECT * FROM w WHERE top > 0 AND w >= top / 2), m AS (SELECT vec_id, count(*) AS n, sum(w) AS t, sum(w * y) / sum(w) AS my, sum(w * x) / sum(w) AS mx FROM c GROUP BY ALL),
+s AS (SELECT vec_id, any_value(n) AS n, sum(w * (y - my) ** 2) / sum(w) AS a, sum(w * (x - mx) ** 2) / sum(w) AS b, sum(w * (y - my) * (x - mx)) / sum(w) AS c FROM c JOIN m USING (vec_id) GROUP BY ALL),
+e AS (SELECT *, (a + b + sqrt((a - b) ** 2 + 4 * c * c)) / 2 AS hi, (a + b - sqrt((a - b) ** 2 + 4 * c * c)) / 2 AS lo FROM s)
+SELECT e0.vec_id, round(CASE WHEN n >= 5 AND lo > 1e-9 THEN hi / lo ELSE 1 END, 4) AS elongation FROM embeddings e0 LEFT JOIN e ON e.vec_id = e0.vec_id""")
 def h21_core_elongation(spark, d):
-    e = evaluation.core_elongation(_pixels(spark, d).withColumn("value", F.col("value") - 0.8), ["vec_id"], "value")
-    return e.withColumn("elongation", r(F.col("elongation"), 5))
+    e = evaluation.core_elongation(_pixels(spark, d), ["vec_id"], "value")
+    return e.withColumn("elongation", r(F.col("elongation"), 4))
