@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import profiles, ranking
-from .sampling import seeded_rank
+from ..worktable import materialize
+from .sampling import nested_subsets, seeded_rank
 
 
 def train_feature_model(df: DataFrame, features: list[str], label: str, split: str, rounds: int = 20, depth: int = 3, seed: int = 0) -> tuple[PipelineModel, list[str]]:
@@ -50,6 +51,44 @@ def evaluate_model(model: PipelineModel, df: DataFrame, features: list[str], lab
     return m.join(ranking.auc(s, label, "p").withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
+def learning_curve(
+    df: DataFrame, features: list[str], label: str, split: str, key: str, points: int = 5, seed: int = 42, train: Callable = train_feature_model,
+) -> DataFrame:
+    """One row for each size of the training set: fraction, n, n_good (label 0), n_bad (label 1), roc_auc, average_precision, balanced_acc, eval_acc on the hold-out.
+
+    ``points`` fractions from a tenth to all (two at least) of the rows of split ``train``, nested and in the classes' proportions (``sampling.nested_subsets``); sizes with
+    too few rows of a class are left out. ``train`` takes (df, features, label, split) and gives a model and its features. No hold-out, or a
+    single class in training, is an error. Rows are written once with a bit mask of the subsets that hold them: a model reads the rows of
+    its bit, and none is copied a subset. All models score the hold-out in one job."""
+    seen = df.groupBy((F.col(split) == "train").alias("train"), F.col(label).alias("label")).count().collect()  # two classes, twice
+    if not any(not r["train"] for r in seen):
+        raise ValueError("a learning curve needs a hold-out")
+    if {r["label"] for r in seen if r["train"]} < {0, 1}:
+        raise ValueError("training needs both classes")
+    steps = max(2, points)
+    fractions = [0.1 + 0.9 * i / (steps - 1) for i in range(steps)]
+    places = F.create_map(*[F.lit(x) for i, f in enumerate(fractions) for x in (f, i)])
+    subsets = nested_subsets(df.filter(F.col(split) == "train"), label, key, fractions, seed)
+    masks = subsets.select(key, F.element_at(places, F.col("fraction")).alias("_i")).groupBy(key).agg(F.bit_or(F.expr("shiftleft(1L, _i)")).alias("_mask"))
+    rows = materialize(df.join(masks, key, "left").select(*features, label, split, "_mask"), "learning-curve")
+    held, scored = rows.filter(F.col(split) != "train").select(*features, label), None
+    sizes = rows.filter("_mask IS NOT NULL").select(label, F.explode(F.lit(list(range(steps)))).alias("_i"), "_mask").filter("_mask & shiftleft(1L, _i) <> 0")
+    sizes = sizes.groupBy("_i").agg(F.count("*").alias("n"), F.count_if(F.col(label) == 0).alias("n_good"), F.count_if(F.col(label) == 1).alias("n_bad"))
+    sizes = materialize(sizes, "learning-sizes")
+    for at in sorted(r["_i"] for r in sizes.collect()):
+        own = rows.filter((F.col(split) != "train") | F.expr(f"_mask & {1 << at}L <> 0"))
+        model, used = train(own, features, label, split)
+        part = score(model, held, used).select(F.lit(at).alias("_i"), label, "p")
+        scored = part if scored is None else scored.unionByName(part)
+    if scored is None:
+        return sizes.sparkSession.createDataFrame([], "fraction double, n long, n_good long, n_bad long, roc_auc double, average_precision double, balanced_acc double, eval_acc double")
+    scored = materialize(scored, "learning-scores")
+    of = profiles.binary_metrics(scored, label, "p", ["_i"]).select("_i", F.col("balanced_accuracy").alias("balanced_acc"), F.col("accuracy").alias("eval_acc"))
+    areas = ranking.auc(scored, label, "p", ["_i"]).select("_i", F.col("auc").alias("roc_auc"), "average_precision")
+    fraction = F.element_at(F.lit(fractions), F.col("_i") + 1).alias("fraction")
+    return sizes.join(of, "_i").join(areas, "_i").select(fraction, "n", "n_good", "n_bad", "roc_auc", "average_precision", "balanced_acc", "eval_acc")
+
+
 def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], label: str, key: str, repeats: int = 5, top: int = 15) -> DataFrame:
     """(feature, mean, std): the drop in balanced accuracy when a feature's values are dealt to other rows, for the ``top`` with a positive mean.
 

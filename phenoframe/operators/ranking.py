@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Scores are dealt into so many ranges; running counts go over the ranges first and then inside each.
-RANGES = 4096
+RANGES = 128
 
 
 SCOPES = ("all", "cross_gene", "replicate")
@@ -47,28 +47,39 @@ def benjamini_hochberg(df: DataFrame, p: str, family: list[str], row: str) -> Da
     return out.drop("_raw").withColumn("significant", F.col("q") <= 0.05)
 
 
-def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
-    """(score, p, n, all_p, all_n, tp, fp) at each distinct score in [0, 1], counting rows at or above it. No task sees all scores."""
-    s = F.col(score).cast("double")
-    by = df.filter(s.isNotNull()).groupBy(s.alias("score")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n"))
-    by = by.withColumn("range", F.floor(F.col("score") * RANGES))
-    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()  # over the ranges, RANGES + 1 rows at most
-    base = by.groupBy("range").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn")).select(
-        "range", F.sum("rp").over(every).alias("all_p"), F.sum("rn").over(every).alias("all_n"), F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("bp"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("bn")
+def roc_curve(df: DataFrame, y: str, score: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, score, p, n, all_p, all_n, tp, fp) at each distinct score, counting rows at or above it, and at +inf, where the curve starts with none.
+
+    Scores are counted before they are sorted, and dealt into ranges of about as many distinct scores each, so no task sees all scores of a key,
+    however they crowd."""
+    keys = keys or []
+    own, s = [*keys, "_all"], F.col(score).cast("double")
+    by = df.filter(s.isNotNull()).groupBy(*keys, s.alias("score")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n")).withColumn("_all", F.lit(1))
+    edges = by.groupBy(*own).agg(F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)], 100 * RANGES).alias("_edges"))
+    by = by.join(edges, own).withColumn("range", F.size(F.filter("_edges", lambda e: e < F.col("score")))).drop("_edges")
+    start = by.groupBy(*own).agg(F.max("range").alias("range")).select(*keys, F.lit(float("inf")).alias("score"), *[F.lit(0).cast("long").alias(c) for c in ("p", "n")], "_all", (F.col("range") + 1).alias("range"))
+    by = by.unionByName(start)
+    every = Window.partitionBy(*own)  # over the ranges, RANGES + 1 rows a key
+    above = every.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    base = by.groupBy(*own, "range").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn")).select(
+        *own, "range", F.sum("rp").over(every).alias("all_p"), F.sum("rn").over(every).alias("all_n"), F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("bp"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("bn")
     )
-    inside = Window.partitionBy("range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return by.join(base, "range").select("score", "p", "n", "all_p", "all_n", (F.col("bp") + F.sum("p").over(inside)).alias("tp"), (F.col("bn") + F.sum("n").over(inside)).alias("fp"))
+    inside = Window.partitionBy(*own, "range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = by.join(base, [*own, "range"])
+    return at.select(*keys, "score", "p", "n", "all_p", "all_n", (F.col("bp") + F.sum("p").over(inside)).alias("tp"), (F.col("bn") + F.sum("n").over(inside)).alias("fp"))
 
 
-def auc(df: DataFrame, y: str, score: str) -> DataFrame:
-    """One row: auc, average_precision, youden (the largest score at which tpr - fpr is largest)."""
-    c = roc_curve(df, y, score)
-    area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0)) / F.max(F.col("all_p") * F.col("all_n"))
-    ap = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("all_p")
+def auc(df: DataFrame, y: str, score: str, keys: list[str] | None = None) -> DataFrame:
+    """One row, or one a key: auc, average_precision, prevalence, youden (the largest score at which tpr - fpr is largest; +inf where none is above 0).
+
+    Null where a class is missing, but for the prevalence."""
+    c = roc_curve(df, y, score, keys)
+    area = F.try_divide(F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0)), F.max(F.col("all_p") * F.col("all_n")))
+    ap = F.try_divide(F.sum(F.coalesce(F.try_divide(F.col("p") * F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))), F.max("all_p"))
     gain = F.col("tp") * F.col("all_n") - F.col("fp") * F.col("all_p")
     best = F.max_by("score", F.struct(gain.alias("j"), "score"))
-    return c.agg(area.alias("auc"), ap.alias("average_precision"), best.alias("youden"))
+    share = F.try_divide(F.max("all_p"), F.max(F.col("all_p") + F.col("all_n")))
+    return c.groupBy(*(keys or [])).agg(area.alias("auc"), ap.alias("average_precision"), share.alias("prevalence"), best.alias("youden"))
 
 
 def draw_key(seed: int, key: Column) -> Column:
@@ -84,17 +95,43 @@ def build_pool(df: DataFrame, key: str, mode: str, n: int, seed: int, score: str
     return df.orderBy(*order, draw_key(seed, F.col(key)), key).limit(n)
 
 
+def seeded_rank(df: DataFrame, groups: list[str], key: str, seed: int, most: int | None = None) -> DataFrame:
+    """Adds ``_rank`` (from 1) and ``_size`` within each group, in the seeded order.
+
+    Ranks are counted inside 4,096 ranges of the order and then shifted by the sizes of the ranges before, so a group that
+    holds a third of all rows is still sorted by many tasks. With ``most``, ranges that begin behind that rank are left out before anything is
+    sorted. Rows whose group is null are left out."""
+    x = df.withColumn("_draw", draw_key(seed, F.col(key))).withColumn("_slot", F.substring("_draw", 1, 3))
+    whole = Window.partitionBy(*groups)  # over ranges, 4,096 a group at most
+    before = whole.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = x.groupBy(*groups, "_slot").agg(F.count("*").alias("_n"))
+    slots = slots.select(*groups, "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_size"))
+    slots = slots.filter(F.col("_before") < most) if most is not None else slots
+    inside = Window.partitionBy(*groups, "_slot").orderBy("_draw", key)
+    return x.join(slots, [*groups, "_slot"]).withColumn("_rank", F.col("_before") + F.row_number().over(inside)).drop("_draw", "_slot", "_before")
+
+
 def cap_sample(df: DataFrame, group: str, key: str, n: int, least: int, seed: int) -> DataFrame:
-    """At most n rows of each group by the seeded order; groups of fewer than ``least`` rows are left out.
-
-    A threshold on the first digits of the order, from the group's size, thins large groups before they are ranked."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("_size")).filter(F.col("_size") >= least)
-    drawn = df.join(sizes, group).withColumn("_draw", draw_key(seed, F.col(key)))
-    place = F.conv(F.substring("_draw", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    # Far more than n rows pass: n + 10 standard deviations + 50, so the n smallest are always among them in practice; all pass if few.
-    drawn = drawn.filter((F.col("_size") <= 4 * n + 200) | (place <= (2.0 * n + 200) / F.col("_size")))
-    w = Window.partitionBy(group).orderBy("_draw", key)
-    return drawn.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r", "_draw", "_size")
+    """At most n rows of each group by the seeded order; groups of fewer than ``least`` rows are left out. Exact, whatever the sizes (``seeded_rank``)."""
+    return seeded_rank(df, [group], key, seed, n).filter((F.col("_rank") <= n) & (F.col("_size") >= least)).drop("_rank", "_size").select(df.columns)
+
+
+def review_sample(scenes: DataFrame, file: str, scene: str, n: int, seed: int, ids: list[int] | None = None) -> DataFrame:
+    """(file, scene): ``n`` scenes of each file by the seeded order (all if it has fewer), or those of ``ids``; a file that lacks one of these is an error, and so
+    is a table without scenes."""
+    own = scenes.select(file, scene).distinct()
+    if ids is None:
+        keyed = own.withColumn("_key", F.concat_ws(":", F.col(file).cast("string"), F.col(scene).cast("string")))
+        sample = cap_sample(keyed, file, "_key", n, 1, seed).select(file, scene)
+        if own.isEmpty():
+            raise ValueError("no scenes")
+        return sample
+    wanted = sorted(set(ids))
+    missing = F.array_except(F.lit(wanted), F.collect_set(F.when(F.col(scene).isin(wanted), F.col(scene).cast("int"))))
+    short = own.groupBy(file).agg(missing.alias("missing")).filter(F.size("missing") > 0).limit(1).collect()
+    if short or own.isEmpty():
+        raise ValueError(f"requested scenes not present in {short[0][file]}: {short[0]['missing']}" if short else "no scenes")
+    return own.filter(F.col(scene).isin(wanted))
 
 
 def top_spread(scores: DataFrame, feature: str, value: str, control: Column, n: int) -> DataFrame:

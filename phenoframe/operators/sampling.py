@@ -5,21 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import draw_key
-
-
-def seeded_rank(df: DataFrame, groups: list[str], key: str, seed: int) -> DataFrame:
-    """Adds ``_rank`` (from 1) and ``_size`` within each group, in the seeded order.
-
-    Ranks are counted inside 4,096 ranges of the order and then shifted by the sizes of the ranges before, so a group that
-    holds a third of all rows is still sorted by many tasks. Rows whose group is null are left out."""
-    x = df.withColumn("_draw", draw_key(seed, F.col(key))).withColumn("_slot", F.substring("_draw", 1, 3))
-    whole = Window.partitionBy(*groups)  # over ranges, 4,096 a group at most
-    before = whole.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = x.groupBy(*groups, "_slot").agg(F.count("*").alias("_n"))
-    slots = slots.select(*groups, "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_size"))
-    inside = Window.partitionBy(*groups, "_slot").orderBy("_draw", key)
-    return x.join(slots, [*groups, "_slot"]).withColumn("_rank", F.col("_before") + F.row_number().over(inside)).drop("_draw", "_slot", "_before")
+from .ranking import seeded_rank
 
 
 def _smallest(df: DataFrame, label: str) -> DataFrame:

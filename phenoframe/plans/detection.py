@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import outlines, robust, spots
+from ..functions import provenance
+from ..operators import components, models, outlines, ranking, robust, spots, transport_job
+from ..sources import results
+from ..worktable import new_path
 from .measures import points
 from .registry import PIXELS, query, r, table
 from .summaries import pixels
@@ -115,3 +120,81 @@ SELECT i.vec_id AS image, i.label, CASE WHEN n >= 5 THEN round(abs(i.m - r.m) /
 def h24_object_contrast(spark, d):
     px = pixels(spark, d).withColumn("label", F.expr(OBJECTS))
     return spots.object_contrast(px, ["image"], "label", 2).withColumn("contrast", r(F.col("contrast")))
+
+
+#: A symmetric 3 x 3 matrix's eigenvalues in closed form, and its eigenvectors as cross products of two rows less the eigenvalue.
+PCA3 = """m AS (SELECT covar_samp(l_quantity, l_quantity) AS a, covar_samp(50 * l_discount, 50 * l_discount) AS b, covar_samp(l_linenumber * 3, l_linenumber * 3) AS c, covar_samp(l_quantity, 50 * l_discount) AS d,
+  covar_samp(l_quantity, l_linenumber * 3) AS e, covar_samp(50 * l_discount, l_linenumber * 3) AS f, avg(l_quantity) AS ma, avg(50 * l_discount) AS mb, avg(l_linenumber * 3) AS mc FROM lineitem),
+q AS (SELECT *, (a + b + c) / 3 AS q, sqrt(((a - (a + b + c) / 3) ** 2 + (b - (a + b + c) / 3) ** 2 + (c - (a + b + c) / 3) ** 2 + 2 * (d * d + e * e + f * f)) / 6) AS p FROM m),
+t AS (SELECT *, acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * p * p * p)))) / 3 AS phi FROM q),
+l AS (SELECT *, unnest([0, 1]) AS comp, unnest([q + 2 * p * cos(phi), 3 * q - (q + 2 * p * cos(phi)) - (q + 2 * p * cos(phi + 2 * pi() / 3))]) AS lam FROM t),
+v AS (SELECT *, d * f - e * (b - lam) AS vx, e * d - (a - lam) * f AS vy, (a - lam) * (b - lam) - d * d AS vz FROM l)"""
+
+
+@query(f"""WITH {PCA3}, u AS (SELECT comp, lam / (a + b + c) AS share, vx / sqrt(vx * vx + vy * vy + vz * vz) AS x, vy / sqrt(vx * vx + vy * vy + vz * vz) AS y, vz / sqrt(vx * vx + vy * vy + vz * vz) AS z, ma, mb, mc FROM v)
+SELECT l_suppkey AS grp, comp::INT AS component, round(any_value(share), 6) AS explains, round(avg(abs((l_quantity - ma) * x + (50 * l_discount - mb) * y + (l_linenumber * 3 - mc) * z)), 4) AS mean_score, count(*) AS n FROM lineitem, u GROUP BY ALL""")
+def g5_components(spark, d):
+    """Three measures and one that is never there, reduced to the components that explain more than 90 % of the variance."""
+    x = table(spark, d, "lineitem").selectExpr("l_suppkey AS grp", "array(l_quantity, 50 * l_discount, cast(NULL AS double), l_linenumber * 3D) AS v")
+    fitted = components.fit_components(x, "v", 0.9, 2, 2)
+    out = components.reduce_vectors(x, "v", fitted, "scores").select("grp", F.posexplode("scores").alias("component", "score"))
+    out = out.groupBy("grp", "component").agg(r(F.avg(F.abs("score")), 4).alias("mean_score"), F.count("*").alias("n"))
+    share = F.element_at(F.lit([float(s) for s in fitted.explains]), F.col("component") + 1)
+    return out.select("grp", "component", r(share).alias("explains"), "mean_score", "n")
+
+
+@query("""WITH c AS (SELECT CASE WHEN label = 0 THEN 'run' || vec_id % 2 || '::c0' ELSE 'c' || label END AS key, CASE WHEN label = 0 THEN 'c0' ELSE 'c' || label END AS condition, 'run' || vec_id % 2 AS run_id FROM embeddings),
+g AS (SELECT key, condition, string_agg(DISTINCT run_id, ',' ORDER BY run_id) AS run_id, least(count(*), 100) AS n_cells_used FROM c GROUP BY ALL HAVING count(*) >= 5)
+SELECT key, condition, run_id, n_cells_used, count(*) OVER () - 1 AS n_pairs, count(*) OVER () * (count(*) OVER () - 1) // 2 AS added, 0 AS again, true AS apart FROM g""")
+def g3_distance_job(spark, d):
+    """Distances of all groups, stored, and asked for once more."""
+    e = table(spark, d, "embeddings").selectExpr("vec_id", "concat('run', vec_id % 2) AS run", "concat('c', label) AS cond", "embedding")
+    path = new_path(spark, "distances")
+    first, second = (transport_job.distance_job(spark, e, path, "run", "cond", "vec_id", "embedding", F.col("cond") == "c0", "v1", merge=True, cap=100, dims=8) for _ in range(2))
+    p = second.pairs
+    ends = p.selectExpr("i AS key", "distance").union(p.selectExpr("j", "distance")).groupBy("key").agg(F.count("*").alias("n_pairs"), (F.min("distance") >= 0).alias("apart"))
+    return second.groups.join(ends, "key").select("key", "condition", "run_id", "n_cells_used", "n_pairs", F.lit(first.added).cast("long").alias("added"), F.lit(second.added).cast("int").alias("again"), "apart")
+
+
+@query("""WITH c AS (SELECT (c_acctbal > 3000)::INT AS y, count(*) AS n FROM customer WHERE c_custkey % 4 > 0 GROUP BY ALL), f AS (SELECT unnest([0.1, 0.55, 1.0]) AS f),
+s AS (SELECT f, y, greatest(round_even(n * f, 0), least(8, n)) AS n FROM c, f WHERE (SELECT min(n) FROM c) >= 8)
+SELECT round(f, 4) AS fraction, sum(n)::BIGINT AS n, (sum(n) FILTER (y = 0))::BIGINT AS n_good, (sum(n) FILTER (y = 1))::BIGINT AS n_bad, true AS scored FROM s GROUP BY f""")
+def g10_learning_curve(spark, d):
+    c = table(spark, d, "customer").selectExpr("c_custkey", "cast(c_nationkey AS double) AS a", "c_acctbal + c_custkey * 7919 % 4000 AS b", "cast(c_acctbal > 3000 AS int) AS y", "CASE WHEN c_custkey % 4 > 0 THEN 'train' ELSE 'test' END AS split")
+    curve = models.learning_curve(c, ["a", "b"], "y", "split", "c_custkey", 3, train=partial(models.train_feature_model, rounds=4, depth=2))
+    sound = [F.col(m).between(0, 1) for m in ("roc_auc", "average_precision", "balanced_acc", "eval_acc")]
+    return curve.select(r(F.col("fraction"), 4).alias("fraction"), "n", "n_good", "n_bad", (sound[0] & sound[1] & sound[2] & sound[3]).alias("scored"))
+
+
+@query("""SELECT 'per_group' AS name, c_mktsegment AS k, count(*) AS n, round(avg(c_acctbal), 4) AS v FROM customer GROUP BY ALL UNION ALL SELECT 'summary', 'all', count(*), round(avg(c_acctbal), 4) FROM customer""")
+def a16_result_tables(spark, d):
+    """Two tables written, once over an older version, and read again from the manifest."""
+    c, path = table(spark, d, "customer"), new_path(spark, "results")
+    numbers = [F.count("*").alias("n"), r(F.avg("c_acctbal"), 4).alias("v")]
+    summary, per_group = c.agg(*numbers).select(F.lit("all").alias("k"), "n", "v"), c.groupBy(F.col("c_mktsegment").alias("k")).agg(*numbers)
+    results.write_results({"summary": summary.limit(0)}, path, {"species": "old"}, ("parquet",))
+    results.write_results({"summary": summary, "per_group": per_group}, path, {"species": "new"})
+    out = results.read_results(spark, path)
+    return out["summary"].select(F.lit("summary").alias("name"), "k", "n", "v").unionByName(out["per_group"].select(F.lit("per_group").alias("name"), "k", "n", "v"))
+
+
+@query("""WITH s AS (SELECT p_partkey, p_partkey % 6 AS i, p_partkey % 3 AS j, 'sha' || p_size || 'abcdefghijkl' AS sha FROM part)
+SELECT p_partkey, CASE WHEN i IN (0, 1) THEN 'classify' WHEN i = 2 THEN 'segment' WHEN j = 0 THEN 'classify' WHEN j = 1 THEN 'segment' ELSE 'unknown' END AS input_stage,
+CASE WHEN i = 0 THEN 'cnn' WHEN i = 1 THEN 'rules' WHEN i = 2 THEN 'none' WHEN j = 1 THEN 'none' ELSE 'unknown' END AS classifier_prefilter, CASE WHEN i = 0 THEN sha ELSE '' END AS sha,
+CASE WHEN i = 0 THEN true WHEN i = 1 THEN false WHEN i = 3 THEN true END AS mask_background, CASE WHEN i = 0 THEN true WHEN i IN (1, 2) THEN false WHEN i = 3 THEN j <> 0 END AS classify_before,
+concat_ws(';', CASE WHEN i IN (0, 3) THEN 'masked' END, CASE WHEN i = 0 THEN 'filtered_by_network:' || substr(sha, 1, 12) WHEN i = 3 AND j <> 0 THEN 'perhaps_filtered' END) AS warnings FROM s""")
+def b25_crop_provenance(spark, d):
+    p = table(spark, d, "part").selectExpr("p_partkey", "p_partkey % 6 AS i", "p_partkey % 3 AS j", "concat('sha', p_size, 'abcdefghijkl') AS sha")
+    signature = F.expr("""CASE i WHEN 0 THEN concat('{"stage": "classify", "model": {"sha256": "', sha, '"}}') WHEN 1 THEN '{"stage": "classify", "model": null}' WHEN 2 THEN '{"stage": "segment", "model": {"sha256": "x"}}'
+      WHEN 3 THEN '{"stage": "crops"}' WHEN 4 THEN '{broken' END""")
+    folder = F.expr("CASE j WHEN 0 THEN '03_classify' WHEN 1 THEN '02_segment' ELSE 'other' END")
+    manifest = F.expr("""CASE WHEN i = 3 THEN concat('{"stages": [{"name": "Classify", "skipped": ', j = 0, '}, {"name": "features", "opts": {"mask_background": true}}]}') WHEN i = 2 THEN '[1]' ELSE '{' END""")
+    attributes = F.expr("""CASE i WHEN 0 THEN map('mask_background', 'TRUE', 'classifier_prefilter', ' CNN ', 'classifier_prefilter_model_sha256', sha) WHEN 1 THEN map('crop_opts', '{"mask_background": 0}', 'classifier_prefilter', 'rules')
+      WHEN 2 THEN map('classifier_prefilter', 'none') ELSE map('classifier_prefilter', 'odd') END""")
+    o = p.select("p_partkey", provenance.input_provenance(signature, folder).alias("p"), provenance.crop_options(manifest, attributes).alias("o"))
+    return o.select("p_partkey", "p.input_stage", "p.classifier_prefilter", F.col("p.classifier_prefilter_model_sha256").alias("sha"), "o.mask_background", F.col("o.classify_before_features").alias("classify_before"), F.array_join(provenance.crop_warnings(F.col("o")), ";").alias("warnings"))
+
+
+@query("""WITH s AS (SELECT DISTINCT o_custkey AS file, o_orderkey AS scene FROM orders) SELECT file, scene FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY md5('5:' || file || ':' || scene), file || ':' || scene) AS k FROM s) WHERE k <= 3""")
+def h11_review_sample(spark, d):
+    return ranking.review_sample(table(spark, d, "orders"), "o_custkey", "o_orderkey", 3, 5).select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("scene"))

@@ -335,10 +335,10 @@ def e7_benjamini_hochberg(spark, d):
 
 @query("""WITH s AS (SELECT l_quantity / 51.0 AS s, count(*) FILTER (l_discount > 0.05) AS p, count(*) FILTER (l_discount <= 0.05) AS n FROM lineitem GROUP BY ALL),
 c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS tot_p, sum(n) OVER () AS tot_n FROM s WINDOW w AS (ORDER BY s DESC))
-SELECT round(sum(n * (tp - p / 2.0)) / max(tot_p * tot_n), 6) AS auc, round(sum(p * tp / (tp + fp)) / max(tot_p), 6) AS average_precision, round(max_by(s, (tp * tot_n - fp * tot_p, s)), 6) AS youden FROM c""")
+SELECT round(sum(n * (tp - p / 2.0)) / max(tot_p * tot_n), 6) AS auc, round(sum(p * tp / (tp + fp)) / max(tot_p), 6) AS average_precision, round(max(tot_p) / max(tot_p + tot_n), 6) AS prevalence, round(max_by(s, (tp * tot_n - fp * tot_p, s)), 6) AS youden FROM c""")
 def e8_auc(spark, d):
     s = table(spark, d, "lineitem").selectExpr("cast(l_discount > 0.05 AS int) AS y", "l_quantity / 51.0D AS s")
-    return ranking.auc(s, "y", "s").select(*[r(F.col(c)).alias(c) for c in ("auc", "average_precision", "youden")])
+    return ranking.auc(s, "y", "s").select(*[r(F.col(c)).alias(c) for c in ("auc", "average_precision", "prevalence", "youden")])
 
 
 @query(f"""WITH {SSCORE} SELECT feature, round(max(score) FILTER (NOT regexp_matches(cond, '\\bL0\\b')) - min(score) FILTER (NOT regexp_matches(cond, '\\bL0\\b')), 4) AS spread,
