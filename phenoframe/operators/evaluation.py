@@ -57,22 +57,41 @@ def compare_genes(profiles: DataFrame, gene: Column, chosen: list[str], control:
     return scores.join(F.broadcast(top), "feature").select(*keys, "feature", "score", "spread")  # n rows
 
 
-def compare_report(fields: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: sums over ``fields`` (n_a, n_b, matched, only_a, only_b, splits, merges, good_a, good_b, seconds) and measures over ``matches`` (iou, area_a, area_b, length_a, length_b).
-
-    Gives counts, the shares matched and of the change in count, the median and 5th percentile of the IoU and its share of 0.9 or more, median relative changes of area and length, and run times."""
-    names = ("n_a", "n_b", "matched", "only_a", "only_b", "splits", "merges", "good_a", "good_b")
-    sums = fields.groupBy(*keys).agg(
-        F.count("*").alias("fields"), *[F.sum(c).alias(c) for c in names],
-        F.median("seconds").alias("seconds_median"), F.avg("seconds").alias("seconds_mean"), F.min("seconds").alias("seconds_min"), F.max("seconds").alias("seconds_max"),
+#: The verdicts of a quality check, and the side of objects in a comparison.
+VERDICTS, REMOVED, ADDED, KEPT = ("edge_cell", "debris", "bad", "good"), "only_A", "only_B", "matched_ref_sample"
+
+
+def compare_report(fields: DataFrame, matches: DataFrame, objects: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key of ``fields``: counts, shares matched, measures of matches and of objects on one side, and run times.
+
+    ``fields``: n_a, n_b, matched, only_a, only_b, splits, merges, good_a, good_b, good_matched_both, seconds. ``matches``: iou, area_a, area_b, length_a, length_b.
+    ``objects``: side (only in A, only in B, or of the sample of matched ones), qc, area, contrast. Gives sums and their shares, the IoU's median, 5th percentile and
+    share of 0.9 or more, median changes of area and length, for each side the share that the quality check rejects, its verdicts' counts,
+    median area and contrast and the share below the matched sample's lower quartile of contrast. Percentiles hold no key in a task; no
+    measure of a key without matches or objects has a value."""
+    names = ("n_a", "n_b", "matched", "only_a", "only_b", "splits", "merges", "good_a", "good_b", "good_matched_both")
+    times = [F.count("*").alias("fields"), *[F.sum(c).alias(c) for c in names], F.avg("seconds").alias("seconds_mean"), F.min("seconds").alias("seconds_min"), F.max("seconds").alias("seconds_max")]
+    sums = percentiles(fields, keys, {"seconds_median": ("seconds", 0.5)}, *times)
+    change = lambda c: F.try_divide(F.col(f"{c}_b"), F.col(f"{c}_a")) - 1
+    m = matches.withColumns({"_area": change("area"), "_length": change("length")}).withColumns({"_area_abs": F.abs("_area"), "_length_abs": F.abs("_length")})
+    wanted = {"iou_median": ("iou", 0.5), "iou_p5": ("iou", 0.05), "area_change": ("_area", 0.5), "area_change_abs": ("_area_abs", 0.5), "length_change": ("_length", 0.5), "length_change_abs": ("_length_abs", 0.5)}
+    of = percentiles(m, keys, wanted, F.avg((F.col("iou") >= 0.9).cast("int")).alias("iou_90"))
+    out = sums.withColumns({
+        "matched_share": F.try_divide(F.col("matched"), F.col("n_a")), "count_change": F.try_divide(F.col("n_b") - F.col("n_a"), F.col("n_a")),
+        "good_change": (F.col("good_b") - F.col("good_a")) / F.greatest(F.col("good_a"), F.lit(1)), "good_both_share": F.col("good_matched_both") / F.greatest(F.col("good_a"), F.lit(1)),
+    }).join(of, keys, "left")
+    quartile = percentiles(objects.filter(F.col("side") == KEPT), keys, {"_quartile": ("contrast", 0.25)})
+    low = objects.join(quartile, keys, "left").withColumn("_low", (F.coalesce(F.col("contrast") < F.col("_quartile"), F.lit(False))).cast("int"))
+    counts = [F.count_if(F.col("qc") == v).alias(v) for v in VERDICTS]
+    sides = percentiles(
+        low, [*keys, "side"], {"area_median": ("area", 0.5), "contrast_median": ("contrast", 0.5)},
+        F.avg((~F.col("qc").eqNullSafe("good")).cast("int")).alias("reject_rate"), F.avg("_low").alias("low_contrast"), *counts,
     )
-    area, length = (F.col(f"{c}_b") / F.col(f"{c}_a") - 1 for c in ("area", "length"))
-    of = matches.groupBy(*keys).agg(
-        F.median("iou").alias("iou_median"), F.percentile("iou", F.lit(0.05)).alias("iou_p5"), F.avg((F.col("iou") >= 0.9).cast("int")).alias("iou_90"),
-        F.median(area).alias("area_change"), F.median(F.abs(area)).alias("area_change_abs"), F.median(length).alias("length_change"), F.median(F.abs(length)).alias("length_change_abs"),
-    )
-    shares = {"matched_share": F.col("matched") / F.col("n_a"), "count_change": (F.col("n_b") - F.col("n_a")) / F.col("n_a"), "good_change": (F.col("good_b") - F.col("good_a")) / F.greatest(F.col("good_a"), F.lit(1))}
-    return sums.withColumns(shares).join(of, keys, "left")
+    each = {KEPT: "kept", REMOVED: "removed", ADDED: "added"}
+    for side, name in each.items():
+        own = sides.filter(F.col("side") == side).select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in ("reject_rate", *VERDICTS, "area_median", "contrast_median", *(() if side == KEPT else ("low_contrast",)))])
+        out = out.join(own, keys, "left").fillna(0, [f"{name}_{v}" for v in VERDICTS])
+    return out
 
 
 def reuse_plan(wanted: DataFrame, stored: DataFrame, key: str) -> DataFrame:
@@ -97,15 +116,16 @@ def first_mismatch(stored: DataFrame, key: str, wanted: dict) -> DataFrame:
 def check_dataset(manifest: DataFrame, data: DataFrame) -> DataFrame:
     """One row per data set of the manifest (name, uid, n, head): name, verdict.
 
-    ``data`` has the same columns as they are now. A stored uid decides: match or mismatch. Without one, rows and head must agree, and the uid is to be filled in (backfill)."""
-    now = data.select("name", F.col("uid").alias("_uid"), F.col("n").alias("_n"), F.col("head").alias("_head"))
-    x = manifest.join(now, "name", "left")
+    ``data`` has the same columns as they are now. Where both have a uid it decides: match, refresh (rows or head are to be brought up to date) or mismatch.
+    Else rows and head must agree, and a uid that only the data have is to be filled in (backfill). Blank uids are none."""
+    full = lambda c: F.nullif(F.trim(c), F.lit(""))
+    now = data.select("name", full(F.col("uid")).alias("_uid"), F.col("n").alias("_n"), F.col("head").alias("_head"))
+    x = manifest.withColumn("uid", full(F.col("uid"))).join(now, "name", "left")
     same = F.col("n").eqNullSafe(F.col("_n")) & F.col("head").eqNullSafe(F.col("_head"))
-    verdict = (
-        F.when(F.col("_n").isNull(), "missing").when(F.col("uid").isNotNull(), F.when(F.col("uid") == F.col("_uid"), F.when(same, "match").otherwise("refresh")).otherwise("mismatch"))
-        .when(same, "backfill").otherwise("mismatch")
-    )
-    return x.select("name", verdict.alias("verdict"))
+    by_uid = F.when(F.col("uid") != F.col("_uid"), "mismatch").when(same, "match").otherwise("refresh")
+    by_rows = F.when(~same, "mismatch").when(F.col("uid").isNull() & F.col("_uid").isNotNull(), "backfill").otherwise("match")
+    both = F.col("uid").isNotNull() & F.col("_uid").isNotNull()
+    return x.select("name", F.when(F.col("_n").isNull(), "missing").when(both, by_uid).otherwise(by_rows).alias("verdict"))
 
 
 def picks_vs_manual(picks: DataFrame, manual: DataFrame, scene: str) -> DataFrame:
@@ -124,21 +144,37 @@ def unit_view(spots: DataFrame, fov: Column, channel: Column, method: Column, re
     return spots.filter(fov & channel & method & (F.col(region) > 0)).groupBy(F.col(region).alias("region_id")).agg(F.count("*").alias("spots"))
 
 
-def resolve_channel(channels: DataFrame, want: str, keys: list[str]) -> DataFrame:
-    """(keys, idx, name, how) of the channel that a name asks for: the exact name first, then the first that contains it; case is ignored."""
-    name, w = F.lower(F.trim("name")), want.strip().lower()
-    how = F.when(name == w, 0).when(name.contains(w), 1)
+def resolve_channel(channels: DataFrame, want: str | int, keys: list[str], strict: bool = False) -> DataFrame:
+    """(keys, idx, name, how) of the channel that a name or an index asks for: the exact name first, then the first that contains it; case is ignored.
+
+    ``how`` is exact, part, index or none. ``strict`` takes a name only as a whole, and makes what isn't found an error that names a key."""
+    name = F.lower(F.trim("name"))
+    if isinstance(want, int):
+        how = F.when(F.col("idx") == want, 2)
+    else:
+        w = want.strip().lower()
+        how = F.when(name == w, 0) if strict else F.when(name == w, 0).when(name.contains(w), 1)
     best = F.min(F.when(how.isNotNull(), F.struct(how.alias("how"), F.col("idx"), F.col("name"))))
     x = channels.groupBy(*keys).agg(best.alias("b"))
-    return x.select(*keys, "b.idx", "b.name", F.when(F.col("b.how") == 0, "exact").when(F.col("b.how") == 1, "part").otherwise("none").alias("how"))
+    if strict:
+        lacking = x.filter("b IS NULL").select(*keys).limit(1).collect()
+        if lacking:
+            raise ValueError(f"no channel {want!r} in {tuple(lacking[0])}")
+    word = F.element_at(F.array(F.lit("exact"), F.lit("part"), F.lit("index")), F.col("b.how") + 1)
+    return x.select(*keys, "b.idx", "b.name", F.coalesce(F.when(F.col("b").isNotNull(), word), F.lit("none")).alias("how"))
+
+
+#: The words of a channel of transmitted light.
+PHASE_WORDS = ("phase", "bright", "brightfield", "tl", "dic")
 
 
 def phase_channel(channels: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, phase, mask): the first channels with the whole word phase, and with mask, in their names."""
-    def first(pattern):
+    """(keys, phase, mask): the first channel whose name has a word of transmitted light, else the first of all; and the first with mask in its name, if any."""
+    def first(pattern: str) -> Column:
         return F.min(F.when(F.lower("name").rlike(pattern), F.col("idx")))
 
-    return channels.groupBy(*keys).agg(first(r"(^|[^a-z0-9])phase([^a-z0-9]|$)").alias("phase"), first("mask").alias("mask"))
+    word = r"\b(?:" + "|".join(PHASE_WORDS) + r")\b"
+    return channels.groupBy(*keys).agg(F.coalesce(first(word), F.min("idx")).alias("phase"), first("mask").alias("mask"))
 
 
 def suppress_points(points: DataFrame, keys: list[str], row: str, y: str, x: str, value: str, distance: float, square: bool = False) -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..worktable import materialize
+
 
 def latest(df: DataFrame, key: str, ts: str, seq: str) -> DataFrame:
     """The last row of each key by time, then by sequence. One aggregation with partial sums, no sort."""
@@ -19,9 +23,15 @@ def feature_matrix(features: DataFrame, labels: DataFrame, key: str, *extra: Dat
     return reduce(lambda d, e: d.join(e, key, "left"), extra, features.join(labels, key, "inner"))
 
 
-def labelled_rows(features: DataFrame, labels: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(labels whose cell exists, labels whose cell is missing)."""
-    return labels.join(features.select(key), key, "left_semi"), labels.join(features.select(key), key, "left_anti")
+def labelled_rows(features: DataFrame, labels: DataFrame, key: str, split: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(labels whose cell exists, labels whose cell is missing), of one split if it is given; an error if labels are there and no cell is.
+
+    Without ``split`` nothing is checked, and nothing is read before the result is."""
+    own = labels if split is None else labels.filter(F.col("split") == split)
+    found, missing = own.join(features.select(key), key, "left_semi"), own.join(features.select(key), key, "left_anti")
+    if split is not None and found.isEmpty() and not missing.isEmpty():
+        raise ValueError(f"no labelled cell of split {split!r} is in the data")
+    return found, missing
 
 
 def overlay_labels(layout: DataFrame, source: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
@@ -32,6 +42,14 @@ def overlay_labels(layout: DataFrame, source: DataFrame, key: str, order: str, f
     return out.withColumn("updated", F.col("_s").isNotNull()).drop("_s")
 
 
+def set_fields(layout: DataFrame, key: str, wells: list[str], values: dict[str, str]) -> DataFrame:
+    """The layout with the given fields set on the wells; a field that it lacks is an error."""
+    lacking = [c for c in values if c not in layout.columns]
+    if lacking:
+        raise ValueError(f"no such fields: {lacking}")
+    return layout.withColumns({c: F.when(F.col(key).isin(wells), F.lit(v)).otherwise(F.col(c)) for c, v in values.items()})
+
+
 def neighbours(df: DataFrame, keys: list[str], row: str, y: str, x: str, radii: list[float]) -> DataFrame:
     """Per row: the number of others within each radius (r0, r1, ...), over a grid as wide as the largest radius.
 
@@ -73,32 +91,78 @@ def overlap_matrix(df: DataFrame, source: str, key: str) -> DataFrame:
     return d.alias("l").join(d.alias("r"), key).groupBy(F.col(f"l.{source}").alias("a"), F.col(f"r.{source}").alias("b")).agg(F.count("*").alias("shared"))
 
 
-def pair_distances(long: DataFrame, key: str, dim: str, value: str) -> DataFrame:
-    """(i, j, euclidean, cosine) for i < j of profile vectors in long form.
+#: Profiles of a block; each pair of blocks is one task's work.
+PROFILES = 64
 
-    Profiles are one row per condition and few; their pairs are made through the dimensions that they share, so nothing is collected."""
-    a = long.select(F.col(key).alias("i"), F.col(dim).alias("d"), F.col(value).alias("x"))
-    b = long.select(F.col(key).alias("j"), F.col(dim).alias("d"), F.col(value).alias("y"))
-    s = a.join(b, "d").filter("i < j").groupBy("i", "j").agg(
-        F.sum((F.col("x") - F.col("y")) ** 2).alias("d2"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") ** 2).alias("xx"), F.sum(F.col("y") ** 2).alias("yy")
-    )
-    return s.select("i", "j", F.sqrt("d2").alias("euclidean"), (1 - F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))).alias("cosine"))
+
+def pair_distances(long: DataFrame, key: str, dim: str, value: str) -> DataFrame:
+    """(i, j, euclidean, cosine) for i < j of profile vectors in long form, over the dimensions that both have; pairs without one are left out.
+
+    A profile is one vector; profiles are dealt into blocks of about 64, and each pair of blocks meets once, so a profile is sent as often as there are
+    blocks, and no dimension gathers all profiles. cosine is null where a vector is zero."""
+    known = long.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
+    vectors = known.groupBy(F.col(key).alias("key")).agg(F.array_sort(F.collect_list(F.struct(F.col(dim).cast("string").alias("d"), F.col(value).cast("double").alias("v")))).alias("p"))
+    vectors = materialize(vectors.select("key", F.transform("p", lambda p: p["d"]).alias("dims"), F.transform("p", lambda p: p["v"]).alias("vals")), "profiles")
+    blocks = max(1, -(-vectors.count() // PROFILES))
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.withColumn("lo", F.least("block", "_o")).withColumn("hi", F.greatest("block", "_o")).drop("_o")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key", ignore_index=True)
+        place = {d: n for n, d in enumerate(sorted(set().union(*pdf["dims"])))}
+        x, has = np.zeros((len(pdf), len(place))), np.zeros((len(pdf), len(place)), bool)
+        for n, (dims, vals) in enumerate(zip(pdf["dims"], pdf["vals"], strict=True)):
+            at = [place[d] for d in dims]
+            x[n, at], has[n, at] = vals, True
+        same, block, keys, out = pdf["lo"][0] == pdf["hi"][0], pdf["block"].to_numpy(), pdf["key"], []
+        for a in range(len(pdf) - 1):
+            other = np.arange(a + 1, len(pdf))
+            other = other if same else other[block[other] != block[a]]
+            both = has[other] & has[a]
+            mine, theirs = np.where(both, x[a], 0.0), np.where(both, x[other], 0.0)
+            far, dot, size = ((mine - theirs) ** 2).sum(1), (mine * theirs).sum(1), np.sqrt((mine**2).sum(1) * (theirs**2).sum(1))
+            for n in np.flatnonzero(both.any(1)).tolist():
+                out.append((keys[a], keys[other[n]], float(np.sqrt(far[n])), float(1 - dot[n] / size[n]) if size[n] else None))
+        return pd.DataFrame(out, columns=["i", "j", "euclidean", "cosine"])
+
+    kind = vectors.schema["key"].dataType.simpleString()
+    return dealt.groupBy("lo", "hi").applyInPandas(meet, f"i {kind}, j {kind}, euclidean double, cosine double")
 
 
 def both_ways(pairs: DataFrame, distance: str) -> DataFrame:
     return pairs.select("i", "j", distance).union(pairs.select("j", "i", distance))
 
 
-def rank_matches(pairs: DataFrame, distance: str, k: int) -> DataFrame:
-    """(query, rank, match, distance): the k nearest of each profile, those at a distance of 1e-9 or less left out."""
+def rank_matches(pairs: DataFrame, distance: str, k: int, queries: list | None = None, targets: list | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """(query, rank, match, distance): the k nearest of each profile, those at a distance of 1e-9 or less left out; ties go to the smaller.
+
+    ``queries`` and ``targets`` are the only ones that ask and are found; ``runs`` (id, run) adds query_run and match_run."""
     w = Window.partitionBy("i").orderBy(distance, "j")
-    near = both_ways(pairs, distance).filter(F.col(distance) > 1e-9).withColumn("rank", F.row_number().over(w))
-    return near.filter(F.col("rank") <= k).select(F.col("i").alias("query"), "rank", F.col("j").alias("match"), F.col(distance).alias("distance"))
+    near = both_ways(pairs, distance).filter(F.col(distance) > 1e-9)
+    near = near if queries is None else near.filter(F.col("i").isin(queries))
+    near = near if targets is None else near.filter(F.col("j").isin(targets))
+    near = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    out = near.select(F.col("i").alias("query"), "rank", F.col("j").alias("match"), F.col(distance).alias("distance"))
+    if runs is None:
+        return out
+    for c in ("query", "match"):
+        out = out.join(runs.select(F.col("id").alias(c), F.col("run").alias(f"{c}_run")), c, "left")
+    return out.select("query", "query_run", "rank", "match", "match_run", "distance")
 
 
 def disambiguate(df: DataFrame, labels: list[str], order: list[Column], target: str) -> DataFrame:
-    """Numbers _1, _2, ... behind labels that occur more than once."""
-    same = Window.partitionBy(*labels)
-    name = F.concat_ws("__", *labels)
-    number = F.row_number().over(same.orderBy(*order))
-    return df.withColumn(target, F.when(F.count("*").over(same) > 1, F.concat(name, F.lit("_"), number)).otherwise(name))
+    """Numbers _1, _2, ... behind labels that occur more than once, in the given order.
+
+    Rows are counted by label and first order value; these counts, not the rows, are added up within a label. Rows are numbered only among those that
+    share both, so a label of many rows is many tasks' work as far as its first order value tells its rows apart. Null labels are labels."""
+    name, x = F.concat_ws("__", *labels), df.withColumn("_first", order[0])
+    whole = Window.partitionBy("_label")
+    x = x.withColumn("_label", F.to_json(F.struct(*labels), {"ignoreNullFields": "false"}))
+    before = whole.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    counts = x.groupBy("_label", "_first").agg(F.count("*").alias("_n"))
+    counts = counts.select(F.col("_label").alias("_l"), F.col("_first").alias("_f"), F.sum("_n").over(whole).alias("_size"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_label", "_first").orderBy(*order)
+    x = x.join(counts, F.col("_label").eqNullSafe(F.col("_l")) & F.col("_first").eqNullSafe(F.col("_f")))
+    number = F.col("_before") + F.row_number().over(inside)
+    out = x.withColumn(target, F.when(F.col("_size") > 1, F.concat(name, F.lit("_"), number.cast("string"))).otherwise(name))
+    return out.drop("_label", "_first", "_l", "_f", "_size", "_before")

@@ -92,16 +92,16 @@ def learning_curve(
 def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], label: str, key: str, repeats: int = 5, top: int = 15) -> DataFrame:
     """(feature, mean, std): the drop in balanced accuracy when a feature's values are dealt to other rows, for the ``top`` with a positive mean.
 
-    Values are exchanged by joining two seeded orders; all features and repeats are scored in one job."""
-    own = df.select(key, label, *features).withColumn("_all", F.lit(1))
-    shuffled = [own.withColumns({"feature": F.lit(""), "repeat": F.lit(0)})]
+    Values are exchanged by joining two seeded orders, once a repeat: a row then holds its own values and those of the row that it met, and its variants
+    are made where it stands, without moving again. All are scored in one job."""
+    own = materialize(df.select(key, label, *features).withColumn("_all", F.lit(1)), "importance-rows")
+    mine = [F.col(c).cast("double").alias(c) for c in features]
+    every = own.select(label, F.lit("").alias("feature"), F.lit(0).alias("repeat"), *mine)
     for k in range(repeats):
         a, b = (seeded_rank(own, ["_all"], key, 2 * k + s).drop("_size", "_all") for s in (0, 1))
         dealt = a.join(b.select("_rank", *[F.col(c).alias(f"_o_{c}") for c in features]), "_rank")
-        shuffled += [dealt.select(key, label, *[F.col(f"_o_{c}" if c == f else c).alias(c) for c in features], F.lit(f).alias("feature"), F.lit(k).alias("repeat")) for f in features]
-    every = shuffled[0].drop("_all")
-    for s in shuffled[1:]:
-        every = every.unionByName(s)
+        variants = [F.struct(F.lit(f).alias("feature"), F.lit(k).alias("repeat"), *[F.col(f"_o_{c}" if c == f else c).cast("double").alias(c) for c in features]) for f in features]
+        every = every.unionByName(dealt.select(label, F.inline(F.array(*variants))))
     m = profiles.binary_metrics(score(model, every, features), label, "p", ["feature", "repeat"])
     base = m.filter("feature = ''").first()["balanced_accuracy"]
     drop = F.lit(base) - F.col("balanced_accuracy")

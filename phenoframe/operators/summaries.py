@@ -118,22 +118,26 @@ def region_intensity(px: DataFrame, region: list[str], channel: str, channels: l
 
 
 def region_geometry(px: DataFrame, region: list[str], px_per_um: float) -> DataFrame:
-    """Area, half-open box, centroid, axis lengths, eccentricity and equivalent diameter from labelled pixels; a pixel adds 1/12 to its second moments."""
+    """Area, half-open box, centroid, axis lengths, eccentricity, orientation and equivalent diameter from labelled pixels; a pixel adds 1/12 to its second moments.
+
+    The orientation is the angle from the row axis to the major axis, in (-pi/2, pi/2]; pi/4 or -pi/4 by the sign of the covariance where both axes are equal."""
     m = px.groupBy(*region).agg(
         F.count("*").alias("area_px"), F.min("y").alias("bbox_y0"), F.min("x").alias("bbox_x0"), (F.max("y") + 1).alias("bbox_y1"), (F.max("x") + 1).alias("bbox_x1"),
         F.avg("y").alias("centroid_y"), F.avg("x").alias("centroid_x"), (F.var_pop("y") + 1 / 12).alias("_yy"), (F.var_pop("x") + 1 / 12).alias("_xx"), F.covar_pop("y", "x").alias("_xy"),
     )
     root = F.sqrt(((F.col("_yy") - F.col("_xx")) / 2) ** 2 + F.col("_xy") ** 2)
     big, small = (F.col("_yy") + F.col("_xx")) / 2 + root, F.greatest((F.col("_yy") + F.col("_xx")) / 2 - root, F.lit(0.0))
+    even = F.when(F.col("_xy") > 0, F.pi() / 4).otherwise(-F.pi() / 4)
+    tilt = F.when(F.abs(F.col("_yy") - F.col("_xx")) < 1e-12, even).otherwise(F.atan2(2 * F.col("_xy"), F.col("_yy") - F.col("_xx")) / 2)
     return m.withColumns({
         "area_um2": F.col("area_px") / px_per_um**2, "major_axis_length_um": 4 * F.sqrt(big) / px_per_um, "minor_axis_length_um": 4 * F.sqrt(small) / px_per_um,
-        "eccentricity": F.sqrt(1 - small / big), "equivalent_diameter_um": F.sqrt(4 * F.col("area_px") / F.pi()) / px_per_um,
+        "eccentricity": F.sqrt(1 - small / big), "orientation": tilt, "equivalent_diameter_um": F.sqrt(4 * F.col("area_px") / F.pi()) / px_per_um,
     }).drop("_yy", "_xx", "_xy")
 
 
 def crosstalk_subtract(px: DataFrame, frame: list[str], target: str, source: str, k: float) -> DataFrame:
     """Adds ``corrected``: max(target - k * max(source - the frame's median of it, 0), 0)."""
-    base = px.groupBy(*frame).agg(F.percentile(source, F.lit(0.5)).alias("_m"))
+    base = percentiles(px, frame, {"_m": (source, 0.5)})
     bleed = k * F.greatest(F.col(source) - F.col("_m"), F.lit(0.0))
     return px.join(base, frame).withColumn("corrected", F.greatest(F.col(target) - bleed, F.lit(0.0))).drop("_m")
 

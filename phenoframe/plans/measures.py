@@ -43,9 +43,18 @@ def d23_channel_stats(spark, d):
     return channels(spark, d).select("scene", "channel", r(F.col("mean"), 3).alias("mean"), r(F.col("std"), 3).alias("std"), r(F.col("skew"), 5).alias("skew"), r(F.col("near_background")).alias("near_background"))
 
 
-@query(f"WITH {CHANNELS} SELECT scene, min_by(channel, (round_even(abs(skew), 1), -near, channel)) AS channel FROM s GROUP BY scene")
+@query(f"""WITH {CHANNELS.replace("SELECT l_returnflag AS scene", "SELECT l_returnflag || l_suppkey % 2 AS scene")}, a AS (SELECT left(scene, 1) AS source, channel, avg(abs(skew)) AS skew, avg(near) AS near FROM s GROUP BY ALL)
+SELECT source, min_by(channel, (round_even(skew, 1), -near, channel)) AS channel FROM a GROUP BY source""")
 def d23_pick_phase(spark, d):
-    return sites.pick_phase(channels(spark, d), ["scene"], "channel")
+    """Two scenes of each source."""
+    px = table(spark, d, "lineitem").selectExpr("l_returnflag AS source", "l_suppkey % 2 AS scene", "l_linenumber AS channel", "l_extendedprice AS value")
+    return sites.pick_phase(sites.channel_stats(px, ["source", "scene", "channel"]), ["source"], "channel")
+
+
+@query(f"""WITH {SITES}, a AS (SELECT vec_id, max(v) FILTER (dy = 0 AND dx = 0) AS peak, median(v) FILTER (dy * dy + dx * dx > 4) AS m, stddev_pop(v) FILTER (dy * dy + dx * dx > 4) AS s FROM n WHERE abs(dy) <= 3 AND abs(dx) <= 3 GROUP BY ALL)
+SELECT vec_id AS image, round((peak - m) / s, 4) AS snr FROM a""")
+def h19_patch_snr(spark, d):
+    return sites.patch_snr(pixels(spark, d), points(spark, d), ["image"], 3).select("image", r(F.col("snr"), 4).alias("snr"))
 
 
 @query(f"""WITH {RANKED}, h AS (SELECT i, rank, (i % 3 = j % 3)::INT AS hit, sum((i % 3 = j % 3)::INT) OVER (PARTITION BY i ORDER BY rank) AS hits FROM ranked),

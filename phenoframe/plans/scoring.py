@@ -35,13 +35,21 @@ def b11_column_selectors(spark, d):
     return p.unpivot(["run_id"], names, "feature", "value").withColumn("value", r(F.col("value"), 5))
 
 
-@query("""SELECT p_brand AS brand, count(*) AS n, min(idx) AS idx, max(CASE WHEN p_type LIKE '%Y' THEN 1 ELSE 0 END) AS odd FROM (SELECT p_brand, p_type, p_size AS idx FROM part WHERE contains(lower(p_type), 'eco')) GROUP BY ALL""")
+@query("""WITH b AS (SELECT p_brand AS brand, min((CASE WHEN lower(trim(p_type)) = 'eco' THEN 0 WHEN contains(lower(p_type), 'eco') THEN 1 END, p_size, p_type)) FILTER (contains(lower(p_type), 'eco')) AS m FROM part GROUP BY ALL),
+i AS (SELECT p_brand AS brand, min(p_type) FILTER (p_size = 7) AS seventh FROM part GROUP BY ALL)
+SELECT brand, m[2] AS idx, m[3] AS name, CASE m[1] WHEN 0 THEN 'exact' WHEN 1 THEN 'part' ELSE 'none' END AS how, seventh, CASE WHEN seventh IS NULL THEN 'none' ELSE 'index' END AS seventh_how FROM b JOIN i USING (brand)""")
 def b24_resolve_channel(spark, d):
-    p = table(spark, d, "part").select("p_brand", F.col("p_type").alias("name"), F.col("p_size").alias("idx"))
-    hits = p.filter(F.lower("name").contains("eco"))
-    found = evaluation.resolve_channel(p, " ECO ", ["p_brand"]).filter("how <> 'none'")
-    n = hits.groupBy("p_brand").agg(F.count("*").alias("n"), F.max(F.col("name").like("%Y").cast("int")).alias("odd"))
-    return found.join(n, "p_brand").select(F.col("p_brand").alias("brand"), "n", "idx", "odd")
+    """By a name, and by an index; brands without such a channel too."""
+    p = table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("name"), F.col("p_size").alias("idx"))
+    by_name, by_index = evaluation.resolve_channel(p, " ECO ", ["brand"]), evaluation.resolve_channel(p, 7, ["brand"])
+    return by_name.join(by_index.select("brand", F.col("name").alias("seventh"), F.col("how").alias("seventh_how")), "brand")
+
+
+@query("""WITH c AS (SELECT o_custkey AS k, o_orderkey AS idx, CASE o_orderkey % 6 WHEN 0 THEN 'DIC-1' WHEN 1 THEN 'Phasemask' WHEN 2 THEN 'mCherry' WHEN 3 THEN 'my TL' ELSE 'phase_x' END AS name FROM orders)
+SELECT k, coalesce(min(idx) FILTER (regexp_matches(lower(name), '\\b(?:phase|bright|brightfield|tl|dic)\\b')), min(idx)) AS phase, min(idx) FILTER (contains(lower(name), 'mask')) AS mask FROM c GROUP BY k""")
+def b24_phase_channel(spark, d):
+    name = F.expr("CASE o_orderkey % 6 WHEN 0 THEN 'DIC-1' WHEN 1 THEN 'Phasemask' WHEN 2 THEN 'mCherry' WHEN 3 THEN 'my TL' ELSE 'phase_x' END")
+    return evaluation.phase_channel(table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("idx"), name.alias("name")), ["k"])
 
 
 @query("""WITH d AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'trained' WHEN 1 THEN 'Order_' || o_custkey || '.v2' ELSE 'plain_' || o_custkey END AS run,
@@ -73,11 +81,13 @@ def b28_reuse_plan(spark, d):
     return evaluation.reuse_plan(wanted, stored, "key").groupBy("decision").agg(F.count("*").alias("n"))
 
 
-@query("""WITH x AS (SELECT c_custkey, c_custkey % 4 AS m, s_suppkey FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey) SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN s_suppkey IS NULL THEN 'missing'
-WHEN m = 0 THEN 'match' WHEN m = 1 THEN 'refresh' WHEN m = 2 THEN 'backfill' ELSE 'mismatch' END AS verdict FROM x) GROUP BY ALL""")
+@query("""WITH x AS (SELECT c_custkey, c_custkey % 5 AS m, s_suppkey FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey) SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN s_suppkey IS NULL THEN 'missing'
+WHEN m = 0 THEN 'match' WHEN m = 1 THEN 'refresh' WHEN m = 2 THEN 'backfill' WHEN m = 4 AND c_custkey % 2 = 0 THEN 'match' ELSE 'mismatch' END AS verdict FROM x) GROUP BY ALL""")
 def b31_check_dataset(spark, d):
-    manifest = table(spark, d, "customer").selectExpr("c_custkey AS name", "CASE WHEN c_custkey % 4 <> 2 THEN c_custkey % 4 END AS uid", "10 AS n", "'h' AS head")
-    now = table(spark, d, "supplier").selectExpr("s_suppkey AS name", "CASE WHEN s_suppkey % 4 = 3 THEN 9 ELSE s_suppkey % 4 END AS uid", "CASE WHEN s_suppkey % 4 = 1 THEN 11 ELSE 10 END AS n", "'h' AS head")
+    """Of m = customer % 5: equal, equal uids with other rows, no stored uid, another uid, and no uid now (rows decide)."""
+    manifest = table(spark, d, "customer").selectExpr("c_custkey AS name", "CASE WHEN c_custkey % 5 <> 2 THEN cast(c_custkey % 5 AS string) ELSE ' ' END AS uid", "10 AS n", "'h' AS head")
+    uid = "CASE s_suppkey % 5 WHEN 3 THEN '9' WHEN 4 THEN NULL ELSE cast(s_suppkey % 5 AS string) END AS uid"
+    now = table(spark, d, "supplier").selectExpr("s_suppkey AS name", uid, "CASE WHEN s_suppkey % 5 = 1 OR (s_suppkey % 5 = 4 AND s_suppkey % 2 = 1) THEN 11 ELSE 10 END AS n", "'h' AS head")
     return evaluation.check_dataset(manifest, now).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
@@ -107,18 +117,37 @@ def c8_nearest_in_field(spark, d):
     return n.select("p_partkey", "field", r(F.col("nearest")).alias("nearest"))
 
 
-@query("""WITH f AS (SELECT o_orderpriority AS k, sum(o_custkey) AS n_a, sum(o_custkey % 100) AS n_b, count(*) AS fields, median(o_totalprice) AS s FROM orders GROUP BY ALL),
-m AS (SELECT o_orderpriority AS k, median(l_discount * 10) AS iou, avg((l_discount * 10 >= 0.9)::INT) AS iou90, median(l_extendedprice / l_quantity / 1000 - 1) AS da, median(abs(l_extendedprice / l_quantity / 1000 - 1)) AS daa FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
-SELECT k, fields, n_a, n_b, round((n_b - n_a) / n_a, 6) AS count_change, round(s, 2) AS seconds_median, round(iou, 6) AS iou_median, round(iou90, 6) AS iou_90, round(da, 6) AS area_change, round(daa, 6) AS area_change_abs FROM f JOIN m USING (k)""")
+SIDES = ", ".join(
+    f"count(*) FILTER (side = '{side}' AND qc = '{v}') AS {name}_{v}" for side, name in (("matched_ref_sample", "kept"), ("only_A", "removed"), ("only_B", "added")) for v in ("edge_cell", "debris", "bad", "good")
+)
+
+
+@query(f"""WITH f AS (SELECT o_orderpriority AS k, count(*) AS fields, sum(o_custkey) AS n_a, sum(o_custkey % 100) AS n_b, sum(o_custkey % 50) AS matched, sum(o_orderkey % 7) AS only_a, sum(o_orderkey % 5) AS only_b, sum(o_orderkey % 3) AS splits, sum(o_orderkey % 2) AS merges,
+sum(o_custkey % 20) AS good_a, sum(o_custkey % 10) AS good_b, sum(o_custkey % 8) AS good_matched_both, median(o_totalprice) AS s, avg(o_totalprice) AS sm FROM orders GROUP BY ALL),
+j AS (SELECT o_orderpriority AS k, lineitem.*, l_extendedprice / (l_quantity * 1000) - 1 AS da, (l_quantity + 1) / (l_linenumber * 5.0) - 1 AS dl FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+m AS (SELECT k, median(l_discount * 10) AS iou, quantile_cont(l_discount * 10, 0.05) AS p5, avg((l_discount * 10 >= 0.9)::INT) AS iou90, median(da) AS da, median(abs(da)) AS daa, median(dl) AS dl, median(abs(dl)) AS dla FROM j GROUP BY ALL),
+o AS (SELECT k, CASE WHEN l_partkey % 3 = 0 THEN 'matched_ref_sample' WHEN l_partkey % 3 = 1 THEN 'only_A' ELSE 'only_B' END AS side, CASE l_suppkey % 5 WHEN 0 THEN 'edge_cell' WHEN 1 THEN 'debris' WHEN 2 THEN 'bad' WHEN 3 THEN 'good' END AS qc, l_extendedprice AS area, l_quantity AS contrast FROM j),
+q AS (SELECT k, quantile_cont(contrast, 0.25) AS q FROM o WHERE side = 'matched_ref_sample' GROUP BY ALL),
+w AS (SELECT k, {SIDES}, avg((qc IS DISTINCT FROM 'good')::INT) FILTER (side = 'only_A') AS rr, avg((qc IS DISTINCT FROM 'good')::INT) FILTER (side = 'matched_ref_sample') AS rk, avg((contrast < q)::INT) FILTER (side = 'only_A') AS rl, avg((contrast < q)::INT) FILTER (side = 'only_B') AS al,
+median(area) FILTER (side = 'only_B') AS aa, median(contrast) FILTER (side = 'only_A') AS rc FROM o JOIN q USING (k) GROUP BY ALL)
+SELECT f.* EXCLUDE (s, sm), round((n_b - n_a) / n_a, 6) AS count_change, round(matched / n_a, 6) AS matched_share, round((good_b - good_a) / good_a, 6) AS good_change, round(good_matched_both / good_a, 6) AS good_both_share, round(s, 2) AS seconds_median, round(sm, 2) AS seconds_mean,
+round(iou, 6) AS iou_median, round(p5, 6) AS iou_p5, round(iou90, 6) AS iou_90, round(da, 6) AS area_change, round(daa, 6) AS area_change_abs, round(dl, 6) AS length_change, round(dla, 6) AS length_change_abs,
+w.* EXCLUDE (k, rr, rk, rl, al, aa, rc), round(rr, 6) AS removed_reject_rate, round(rk, 6) AS kept_reject_rate, round(rl, 6) AS removed_low_contrast, round(al, 6) AS added_low_contrast, round(aa, 2) AS added_area_median, round(rc, 6) AS removed_contrast_median
+FROM f JOIN m USING (k) JOIN w USING (k)""")
 def d26_compare_report(spark, d):
     o = table(spark, d, "orders")
-    zero = [F.lit(0).alias(c) for c in ("matched", "only_a", "only_b", "splits", "merges", "good_a", "good_b")]
-    fields = o.select(F.col("o_orderpriority").alias("k"), F.col("o_custkey").alias("n_a"), (F.col("o_custkey") % 100).alias("n_b"), F.col("o_totalprice").alias("seconds"), *zero)
-    m = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
-        "o_orderpriority AS k", "l_discount * 10 AS iou", "l_quantity * 1000 AS area_a", "l_extendedprice AS area_b", "1.0D AS length_a", "1.0D AS length_b"
-    )
-    x = evaluation.compare_report(fields, m, ["k"])
-    return x.select("k", "fields", "n_a", "n_b", *[r(F.col(c)).alias(c) for c in ("count_change", "iou_median", "iou_90", "area_change", "area_change_abs")], r(F.col("seconds_median"), 2).alias("seconds_median"))
+    names = {"n_a": "o_custkey", "n_b": "o_custkey % 100", "matched": "o_custkey % 50", "only_a": "o_orderkey % 7", "only_b": "o_orderkey % 5", "splits": "o_orderkey % 3", "merges": "o_orderkey % 2"}
+    names |= {"good_a": "o_custkey % 20", "good_b": "o_custkey % 10", "good_matched_both": "o_custkey % 8", "seconds": "o_totalprice"}
+    fields = o.selectExpr("o_orderpriority AS k", *[f"{v} AS {k}" for k, v in names.items()])
+    j = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    m = j.selectExpr("o_orderpriority AS k", "l_discount * 10 AS iou", "l_quantity * 1000 AS area_a", "l_extendedprice AS area_b", "l_linenumber * 5.0D AS length_a", "l_quantity + 1 AS length_b")
+    side = "CASE l_partkey % 3 WHEN 0 THEN 'matched_ref_sample' WHEN 1 THEN 'only_A' ELSE 'only_B' END AS side"
+    qc = "CASE l_suppkey % 5 WHEN 0 THEN 'edge_cell' WHEN 1 THEN 'debris' WHEN 2 THEN 'bad' WHEN 3 THEN 'good' END AS qc"
+    x = evaluation.compare_report(fields, m, j.selectExpr("o_orderpriority AS k", side, qc, "l_extendedprice AS area", "l_quantity AS contrast"), ["k"])
+    counts = [c for c in x.columns if c in names or c.split("_", 1)[0] in ("kept", "removed", "added") and c.split("_", 1)[1] in evaluation.VERDICTS]
+    shares = ["count_change", "matched_share", "good_change", "good_both_share", "iou_median", "iou_p5", "iou_90", "area_change", "area_change_abs", "length_change", "length_change_abs"]
+    shares += ["removed_reject_rate", "kept_reject_rate", "removed_low_contrast", "added_low_contrast", "removed_contrast_median"]
+    return x.select("k", "fields", *counts, *[r(F.col(c)).alias(c) for c in shares], *[r(F.col(c), 2).alias(c) for c in ("seconds_median", "seconds_mean", "added_area_median")])
 
 
 def _keyed(spark, d):

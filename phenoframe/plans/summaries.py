@@ -123,11 +123,11 @@ def d22_region_intensity(spark, d):
 
 @query(f"""WITH {PIXELS}, l AS (SELECT vec_id, y, x, CASE WHEN v > 1 THEN 1 ELSE 2 END AS label FROM px), m AS (SELECT vec_id, label, count(*) AS n, min(y) AS y0, max(x) + 1 AS x1, avg(y) AS cy, var_pop(y) + 1/12 AS yy, var_pop(x) + 1/12 AS xx, covar_pop(y, x) AS xy FROM l GROUP BY ALL)
 SELECT vec_id AS image, label, n AS area_px, CAST(y0 AS INTEGER) AS bbox_y0, CAST(x1 AS INTEGER) AS bbox_x1, round(cy, 5) AS centroid_y, round(n / 100.0, 5) AS area_um2, round(4 * sqrt((yy + xx) / 2 + sqrt(((yy - xx) / 2) ** 2 + xy ** 2)) / 10, 5) AS major_axis_length_um,
-round(sqrt(4 * n / pi()) / 10, 5) AS equivalent_diameter_um FROM m""")
+round(sqrt(4 * n / pi()) / 10, 5) AS equivalent_diameter_um, round(CASE WHEN abs(yy - xx) < 1e-12 THEN CASE WHEN xy > 0 THEN pi() / 4 ELSE -pi() / 4 END ELSE atan2(2 * xy, yy - xx) / 2 END, 4) AS orientation FROM m""")
 def d21_region_geometry(spark, d):
     px = pixels(spark, d).withColumn("label", F.when(F.col("value") > 1, 1).otherwise(2))
     g = summaries.region_geometry(px, ["image", "label"], 10.0)
-    return g.select("image", "label", "area_px", "bbox_y0", "bbox_x1", *[r(F.col(c), 5).alias(c) for c in ("centroid_y", "area_um2", "major_axis_length_um", "equivalent_diameter_um")])
+    return g.select("image", "label", "area_px", "bbox_y0", "bbox_x1", *[r(F.col(c), 5).alias(c) for c in ("centroid_y", "area_um2", "major_axis_length_um", "equivalent_diameter_um")], r(F.col("orientation"), 4).alias("orientation"))
 
 
 @query("""WITH m AS (SELECT l_returnflag AS k, median(l_quantity) AS m FROM lineitem GROUP BY ALL)

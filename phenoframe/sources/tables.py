@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,16 @@ def group_table(wide: DataFrame, gene: str, order: str) -> DataFrame:
     return long.groupBy("scheme", "gene").agg(F.max_by("grp", order).alias("grp"))
 
 
+def read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(scheme, gene, grp) of a CSV, or of a TSV by its suffix; the gene's header in any case, schemes without any group give no rows."""
+    wide = spark.read.csv(path, header=True, sep="\t" if path.lower().endswith((".tsv", ".tab")) else ",")
+    gene = next((c for c in wide.columns if c.strip().lower() == "gene"), None)
+    if gene is None:
+        raise ValueError(f"no column gene in {path}")
+    lines = wide.select(*[F.col(f"`{c}`").alias(c.strip()) for c in wide.columns]).withColumn("_line", F.monotonically_increasing_id())
+    return group_table(lines, gene.strip(), "_line")
+
+
 LABEL_LOG = "cell_uid string, label_idx string, label_name string, labeled_at string, split string"
 
 
@@ -49,6 +59,11 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def valid_labels(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of a label log that are sound, one row with n and n_bad)."""
+    return log.filter(~F.col("bad")).drop("bad"), log.agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"))
+
+
 def load_library(index: DataFrame, runs: DataFrame, species: str = "") -> DataFrame:
     """Rows of the runs of one species (any case; empty: all) with the run's id and experiment type."""
     chosen = index.filter(F.lower("species") == species.lower()) if species else index
@@ -61,17 +76,30 @@ CROP_DEFAULTS = {"string": "", "int": 0, "bigint": 0, "boolean": False}
 
 
 def consolidate_metadata(frames: list[DataFrame], columns: dict[str, str], fov: str = "fov_id") -> DataFrame:
-    """All crop tables by name with typed defaults; field ids of each file are shifted by the sum of max + 1 of the files before (1 for a file without ids)."""
-    out, offset = [], 0
-    for f in frames:
-        have = f.columns
-        filled = f.select(*[
-            F.coalesce(F.col(c).cast(t), F.lit(CROP_DEFAULTS[t])).alias(c) if c in have else F.lit(CROP_DEFAULTS[t]).cast(t).alias(c) for c, t in columns.items()
-        ])
-        out.append(filled.withColumn(fov, (F.col(fov) + offset).cast(columns[fov])))
-        last = f.agg(F.max(fov)).first()[0] if fov in have else None
-        offset += 1 if last is None else int(last) + 1
-    return consolidate(out)
+    """All crop tables by name with typed defaults; field ids of each file are shifted by the sum of max + 1 of the files before (1 for a file without ids).
+
+    One aggregate gives the largest id of all files; the shifts are one row a file."""
+    out = []
+    for n, f in enumerate(frames):
+        filled = [
+            F.coalesce(F.col(c).cast(t), F.lit(CROP_DEFAULTS[t])).alias(c) if c in f.columns else F.lit(CROP_DEFAULTS[t]).cast(t).alias(c) for c, t in columns.items()
+        ]
+        known = F.col(fov).cast("long") if fov in f.columns else F.lit(None).cast("long")
+        out.append(f.select(*filled, known.alias("_known"), F.lit(n).alias("_file")))
+    every = consolidate(out)
+    last = {r["_file"]: r["last"] for r in every.groupBy("_file").agg(F.max("_known").alias("last")).collect()}  # one row a file
+    shifts, at = [], 0
+    for n in range(len(frames)):
+        shifts.append(at)
+        at += 1 if last.get(n) is None else int(last[n]) + 1
+    shift = F.element_at(F.lit(shifts), F.col("_file") + 1)
+    return every.withColumn(fov, (F.col(fov) + shift).cast(columns[fov])).drop("_known", "_file")
+
+
+def shared_attributes(attributes: DataFrame, files: int) -> DataFrame:
+    """(name, value): the attributes (file, name, value) that every one of ``files`` files has with the same value."""
+    same = attributes.groupBy("name").agg(F.countDistinct("file").alias("n"), F.countDistinct("value").alias("v"), F.min("value").alias("value"), F.count_if(F.col("value").isNull()).alias("none"))
+    return same.filter((F.col("n") == files) & (F.col("v") == 1) & (F.col("none") == 0)).select("name", "value")
 
 
 def annotate(df: DataFrame, pathways: DataFrame, gene: str) -> DataFrame:
@@ -107,6 +135,22 @@ def register_run(index: DataFrame, run: DataFrame) -> DataFrame:
     return index.join(run.select("run_id"), "run_id", "left_anti").select(index.columns).unionByName(run.withColumn("species", known), allowMissingColumns=True)
 
 
+def run_row(cells: DataFrame, run: str, condition: str) -> DataFrame:
+    """(run_id, n_cells, n_conditions, condition_labels): what the index says of each run's cells; the labels sorted and joined by commas."""
+    own = cells.groupBy(F.col(run).alias("run_id"), condition).agg(F.count("*").alias("n"))
+    return own.groupBy("run_id").agg(F.sum("n").alias("n_cells"), F.count(condition).alias("n_conditions"), F.array_join(F.array_sort(F.collect_list(condition)), ",").alias("condition_labels"))
+
+
+def update_run(index: DataFrame, run_id: str, fields: dict[str, str]) -> tuple[DataFrame, bool]:
+    """(the index with the given fields of one run set, whether it has the run); a field that it lacks is an error."""
+    lacking = [c for c in fields if c not in index.columns]
+    if lacking:
+        raise ValueError(f"no such fields: {lacking}")
+    own = F.col("run_id").eqNullSafe(F.lit(run_id))
+    there = not index.filter(own).isEmpty()
+    return index.withColumns({c: F.when(own, F.lit(v)).otherwise(F.col(c)) for c, v in fields.items()}), there
+
+
 def remove_run(index: DataFrame, run_id: str) -> DataFrame:
     return index.filter(~F.col("run_id").eqNullSafe(F.lit(run_id)))
 
@@ -123,6 +167,24 @@ def read_distances(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str,
     return spark.read.parquet(f"{path}/pairs"), {r["name"]: r["value"] for r in rows}
 
 
+def wide_distances(pairs: DataFrame, groups: DataFrame, order: str, distance: str) -> DataFrame:
+    """The groups (key, ...) in ``order`` with their distances to the first, second and so on as d_0, d_1, ...; 0 to themselves. For export: as many columns as groups."""
+    names = [r["key"] for r in groups.select("key", order).orderBy(order).collect()]
+    place = F.create_map(*[F.lit(x) for n, k in enumerate(names) for x in (k, f"d_{n}")])
+    both = pairs.select("i", "j", distance).union(pairs.select("j", "i", distance)).unionByName(groups.select(F.col("key").alias("i"), F.col("key").alias("j"), F.lit(0.0).alias(distance)))
+    wide = both.withColumn("_d", F.element_at(place, F.col("j"))).groupBy(F.col("i").alias("key")).pivot("_d", [f"d_{n}" for n in range(len(names))]).agg(F.first(distance))
+    return groups.join(wide, "key")
+
+
+def long_distances(wide: DataFrame, order: str) -> DataFrame:
+    """(i, j, distance) for i before j from the wide form; columns d_<n> count by their number."""
+    columns = sorted((c for c in wide.columns if c.startswith("d_") and c[2:].isdigit()), key=lambda c: int(c[2:]))
+    place = wide.select("key", (F.row_number().over(Window.orderBy(order)) - 1).alias("_n"))  # one row a group
+    long = wide.select("key", F.posexplode(F.array(*columns)).alias("_j", "distance"))
+    ends = place.select(F.col("key").alias("j"), F.col("_n").alias("_j"))
+    return long.join(place, "key").filter("_j > _n").join(ends, "_j").select(F.col("key").alias("i"), "j", "distance")
+
+
 def scan_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row for each readable JSON file, with its path; unreadable ones are left out."""
     raw = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").schema(f"{schema}, _bad string").json(path)
@@ -135,12 +197,23 @@ def fingerprint_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
 
 
+#: Columns that a label log got later, and what older rows have there.
+LATER = {"split": "train", "model_at_label": "none"}
+
+
+def with_later_columns(log: DataFrame) -> DataFrame:
+    """A label log with the later columns, of which rows written before them take the defaults."""
+    return log.withColumns({c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(v)) if c in log.columns else F.lit(v) for c, v in LATER.items()})
+
+
 def append_labels(df: DataFrame, path: str) -> None:
-    """Appends to a label log; absent columns take their defaults (split train, model none)."""
-    for name, value in (("split", "train"), ("model_at_label", "none")):
-        if name not in df.columns:
-            df = df.withColumn(name, F.lit(value))
-    df.write.mode("append").parquet(path)
+    """Appends to a label log; absent columns take their defaults."""
+    with_later_columns(df).write.mode("append").parquet(path)
+
+
+def read_label_table(spark: SparkSession, path: str) -> DataFrame:
+    """A label log written by ``append_labels``, old files with the defaults of columns that they lack."""
+    return with_later_columns(spark.read.option("mergeSchema", True).parquet(path))
 
 
 def record_session(log: DataFrame, session: DataFrame) -> DataFrame:
