@@ -54,18 +54,22 @@ def densify(samples: DataFrame, keys: list[str], order: str, value: str, n: int
     """(keys, k, value): ``n`` places at equal steps from the first to the last sample, by linear interpolation; a single sample stays alone.
 
     ``order`` numbers the samples 0, 1, 2 and so on. Each sample makes the places up to the next one."""
+    return _dense(samples, keys, order, value, n).withColumnsRenamed({"_k": "k", "_value": "value"})
+
+
+def _dense(samples: DataFrame, keys: list[str], order: str, value: str, n: int) -> DataFrame:
     size = samples.groupBy(*keys).agg(F.count("*").alias("_m"))
-    s = samples.select(*keys, F.col(order).cast("long").alias("_i"), F.col(value).cast("double").alias("v")).join(size, keys)
-    s = _with_next(s, keys, "_i", ["v"], F.col("_i") + 1)
+    s = samples.select(*keys, F.col(order).cast("long").alias("_i"), F.col(value).cast("double").alias("_w")).join(size, keys)
+    s = _with_next(s, keys, "_i", ["_w"], F.col("_i") + 1)
     last = F.col("_m") - 1
     ks = F.when(F.col("_m") == 1, F.array(F.lit(0).cast("long"))).when(F.col("_i") == last, F.array(F.lit(n - 1).cast("long")))
     first = lambda i: F.floor((i * (n - 1) + last - 1) / last)  # noqa: E731  (exact for whole numbers of this size)
     low, high = first(F.col("_i")), first(F.col("_i") + 1) - 1
     ks = ks.when(high >= low, F.sequence(low, high))
-    at = s.withColumn("k", F.explode(ks))
-    part = F.when(last > 0, F.col("k") * last / (n - 1) - F.col("_i")).otherwise(F.lit(0.0))
-    between = F.col("v") + part * (F.coalesce("_v", "v") - F.col("v"))
-    return at.select(*keys, F.col("k").cast("int").alias("k"), between.alias("value"))
+    at = s.withColumn("_k", F.explode(ks))
+    part = F.when(last > 0, F.col("_k") * last / (n - 1) - F.col("_i")).otherwise(F.lit(0.0))
+    between = F.col("_w") + part * (F.coalesce("__w", "_w") - F.col("_w"))
+    return at.select(*keys, F.col("_k").cast("int").alias("_k"), between.alias("_value"))
 
 
 def width_profile(samples: DataFrame, keys: list[str], order: str, width: str) -> DataFrame:
@@ -74,11 +78,11 @@ def width_profile(samples: DataFrame, keys: list[str], order: str, width: str) -
     Statistics are over ``DENSE`` interpolated places. Positions of the first largest and first smallest one are folded: 0 is a pole, 0.5 the
     middle. The pole's width is the mean of both outer tenths, its taper that over the mean of the middle fifth (0 where that is not
     positive); both are null for a single sample."""
-    dense = densify(samples, keys, order, width)
-    k, v = F.col("k"), F.col("value")
+    dense = _dense(samples, keys, order, width, DENSE)
+    k, v = F.col("_k"), F.col("_value")
     a = dense.groupBy(*keys).agg(
         F.median(v).alias("width_median"), F.avg(v).alias("width_mean"), F.max(v).alias("width_max"), F.min(v).alias("width_min"), F.stddev_pop(v).alias("width_std"),
-        F.max_by("k", F.struct(v, -k)).alias("_max"), F.min_by("k", F.struct(v, k)).alias("_min"), F.count("*").alias("_n"),
+        F.max_by("_k", F.struct(v, -k)).alias("_max"), F.min_by("_k", F.struct(v, k)).alias("_min"), F.count("*").alias("_n"),
         F.avg(F.when((k < POLE) | (k >= DENSE - POLE), v)).alias("_pole"), F.avg(F.when((k >= MIDDLE[0]) & (k < MIDDLE[1]), v)).alias("_mid"),
     )
     fold = lambda c: F.least(F.col(c) / (DENSE - 1), 1 - F.col(c) / (DENSE - 1))

@@ -113,7 +113,7 @@ def median_slope(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     ).join(ties, keys)
     of = of.withColumn("pairs", (F.col("n") * (F.col("n") - 1) / 2 - F.col("ties")).cast("long")).withColumn("unit", F.when(F.col("unit") > 0, F.col("unit")).otherwise(F.lit(1e-9)))
     order = Window.partitionBy(*keys).orderBy(draw_key(1, F.concat_ws(":", F.col("x").cast("string"), F.col("y").cast("string"))))
-    few = points.select(*keys, "x", "y", F.row_number().over(order).alias("k")).filter(F.col("k") <= TRIED)
+    few = points.select(*keys, "x", "y", F.row_number().over(order).alias("_k")).filter(F.col("_k") <= TRIED).drop("_k")
     other = few.select(*keys, F.col("x").alias("x2"), F.col("y").alias("y2"))
     tried = few.join(other, keys).filter("x2 > x").groupBy(*keys).agg(F.percentile((F.col("y2") - F.col("y")) / (F.col("x2") - F.col("x")), list(AROUND)).alias("q"))
     nudge = F.col("unit") * RESOLUTION

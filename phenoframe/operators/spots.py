@@ -107,7 +107,7 @@ def radial_centres(px: DataFrame, sites: DataFrame, image: list[str], half: int)
     p = p.withColumn("ground", F.median(F.when(border, F.col("value"))).over(all_)).withColumn("up", F.greatest(F.col("value") - F.col("ground"), F.lit(0.0)))
     r2 = (F.col("y") - F.coalesce("py", F.col("y") - F.col("dy"))) ** 2 + (F.col("x") - F.coalesce("px", F.col("x") - F.col("dx"))) ** 2
     spread = F.sum(F.col("up") * r2) / F.nullif(F.sum("up"), F.lit(0.0))
-    found = p.groupBy(*key).agg(F.first("py").alias("y"), F.first("px").alias("x"), F.coalesce(F.sqrt(F.greatest(spread / 2, F.lit(1e-12))), F.lit(0.0)).alias("sigma"))
+    found = p.groupBy(*key).agg(F.first("py").alias("y"), F.first("px").alias("x"), F.when(spread.isNotNull(), F.sqrt(F.greatest(spread / 2, F.lit(1e-12)))).otherwise(F.lit(0.0)).alias("sigma"))
     return sites.select(*key).join(found, key, "left")
 
 
