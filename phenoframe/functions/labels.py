@@ -93,10 +93,13 @@ def run_id_of(path: Column) -> Column:
     return F.when(near.isin("04_features", "features"), F.try_element_at(parts, F.lit(-3))).otherwise(near)
 
 
-def class_label(gene: Column, drug: Column, concentration: Column, condition: Column) -> Column:
-    """The gene, else the drug with its concentration, else the whole condition; blanks count as absent."""
+def class_label(gene: Column, drug: Column, concentration: Column, condition: Column, source: str = "auto") -> Column:
+    """The gene, else the drug with its concentration, else the whole condition; blanks count as absent. ``source`` (gene, drug or condition) takes one of them only."""
     full = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return F.coalesce(full(gene), F.when(full(drug).isNotNull(), F.concat_ws("_", full(drug), full(concentration))), full(condition))
+    of = {"gene": full(gene), "drug": F.when(full(drug).isNotNull(), F.concat_ws("_", full(drug), full(concentration))), "condition": full(condition)}
+    if source != "auto" and source not in of:
+        raise ValueError(f"no such source of a class: {source}")
+    return F.coalesce(*of.values()) if source == "auto" else of[source]
 
 
 def control_tokens(lists: Column) -> Column:

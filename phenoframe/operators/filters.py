@@ -35,6 +35,14 @@ def filter_in(df: DataFrame, chosen: dict[str, list]) -> DataFrame:
     return df
 
 
+def unknown_values(df: DataFrame, chosen: dict[str, list]) -> DataFrame:
+    """(field, value) of chosen values that no row has, in one pass over the table."""
+    wanted = [(f, v) for f, values in sorted(chosen.items()) for v in values]
+    hits = df.agg(*[F.coalesce(F.bool_or(F.col(f).eqNullSafe(F.lit(v))), F.lit(False)).alias(f"h{k}") for k, (f, v) in enumerate(wanted)])
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(str(v)).alias("value"), F.col(f"h{k}").alias("hit")) for k, (f, v) in enumerate(wanted)])
+    return hits.select(F.inline(rows)).filter("NOT hit").select("field", "value")
+
+
 def natural_key(column: Column) -> Column:
     """Sorts text with its numbers by value: runs of digits are padded."""
     return F.regexp_replace(F.regexp_replace(F.lower(column), r"([0-9]+)", "0000000000$1"), r"0*([0-9]{10})(?![0-9])", "$1")

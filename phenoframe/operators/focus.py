@@ -55,6 +55,14 @@ def pick_slice(scores: DataFrame, stack: list[str], metric: str) -> DataFrame:
     return x.filter(F.col(metric) >= F.col("_best") - 1e-12).groupBy(*stack).agg(F.min_by("z", near).alias("z"))
 
 
+def parse_grid(text: str) -> tuple[int, int]:
+    """(rows, columns) of a grid as "NxM", in any case and with blanks; anything else, and numbers below one, are an error."""
+    parts = text.lower().replace(" ", "").split("x")
+    if len(parts) != 2 or not all(p.isdigit() and int(p) for p in parts):
+        raise ValueError(f"a grid is rows x columns, like 2x3, not {text!r}")
+    return int(parts[0]), int(parts[1])
+
+
 def tile_id(px: DataFrame, rows: int, cols: int, height: int, width: int) -> DataFrame:
     """Adds tile_y and tile_x; the last row and column take the remainder."""
     if rows < 1 or cols < 1 or height // rows < 1 or width // cols < 1:

@@ -85,6 +85,35 @@ def merge_sources(scenes: DataFrame, well: str, source: str, order: str, scene:
     return first.select("well", f"s.{source}", "s.scenes", "conflicts")
 
 
+def layout_template(merged: DataFrame, well: str, scenes: str) -> DataFrame:
+    """(well, n_positions, order): the wells of ``merge_sources`` with their numbers of positions; ``order`` sorts them as the plate does, letter then number."""
+    k = L.well_key(F.col(well))
+    return merged.select(F.col(well).alias("well"), F.size(scenes).alias("n_positions"), F.struct(k["letter"].alias("letter"), k["number"].alias("number")).alias("order"))
+
+
+#: The column of a layout that names the well, and the columns that it must have.
+WELL, REQUIRED = "well", ("well", "condition")
+
+
+def clean_layout(raw: DataFrame, scenes: str = "scene_indices", required: tuple[str, ...] = REQUIRED) -> tuple[DataFrame, DataFrame]:
+    """(layout, issues (issue, detail)) of a plate layout's rows as text: wells normalised, scene lists as numbers.
+
+    A lacking column or a well that is named twice is an error. Rows without a well are left out. An issue is a layout in which no row has a condition, and each
+    well with a scene list of which nothing could be read."""
+    lacking = [c for c in required if c not in raw.columns]
+    if lacking:
+        raise ValueError(f"the layout lacks columns: {lacking}")
+    own = raw.filter(F.trim(WELL) != "").withColumn(WELL, L.norm_well(F.col(WELL)))
+    twice = own.groupBy(WELL).agg(F.count("*").alias("n")).filter("n > 1").orderBy(WELL).limit(5).collect()
+    if twice:
+        raise ValueError(f"wells named more than once: {[r[WELL] for r in twice]}")
+    text = F.coalesce(F.col(scenes), F.lit("")) if scenes in raw.columns else F.lit("")
+    layout = own.withColumn("_text", text).withColumn(scenes, L.parse_int_list(F.col("_text")))
+    bad = layout.filter((F.trim("_text") != "") & (F.size(scenes) == 0)).select(F.lit("unreadable scenes").alias("issue"), F.concat_ws(": ", WELL, "_text").alias("detail"))
+    none = layout.agg(F.count_if(F.coalesce(F.trim("condition") != "", F.lit(False))).alias("n")).filter("n = 0").select(F.lit("no condition").alias("issue"), F.lit("no row has a condition").alias("detail"))
+    return layout.drop("_text"), none.unionByName(bad)
+
+
 def backfill_times(artefacts: DataFrame, layout: DataFrame, scenes: DataFrame) -> DataFrame:
     """(stem, times): acquisition times of an artefact's scenes, in scene order, through the layout (stem, scenes); unmatched ones keep an empty list."""
     bare = F.regexp_replace("stem", "(_focused|_filtered)$", "")

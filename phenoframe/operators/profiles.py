@@ -87,6 +87,19 @@ def embedding_profiles(df: DataFrame, key: str, vector: str, centred: bool = Tru
     return sums.select(key, "dim", mean.alias("value"))
 
 
+#: Fixed value: what the first word of a control's label looks like.
+CONTROL = r"^(?i:NT|WT|DMSO|CTRL|UNT)[0-9]*$"
+
+
+def control_relative(profiles: DataFrame, key: str) -> DataFrame:
+    """(key, dim, value) less the mean over the control profiles of each dimension; without any control there are no rows.
+
+    Controls are told by the first word of their label. Profiles count alike, however many cells they have."""
+    control = F.split(F.trim(key), r"\s+")[0].rlike(CONTROL)
+    anchor = profiles.filter(control).groupBy("dim").agg(F.avg("value").alias("_a"))  # one row a dimension
+    return profiles.join(anchor, "dim").select(key, "dim", (F.col("value") - F.col("_a")).alias("value"))
+
+
 def label_counts(df: DataFrame, split: str, label: str) -> DataFrame:
     """Counts per split and label and overall (split null); a split other than test counts as train."""
     known = df.withColumn("split", F.when(F.col(split) == "test", "test").otherwise("train"))
@@ -107,6 +120,24 @@ def binary_metrics(df: DataFrame, y: str, p: str, keys: list[str]) -> DataFrame:
     })
 
 
+def class_balance(df: DataFrame, y: str, keys: list[str]) -> DataFrame:
+    """(keys, n_bad, n_good, single_class): rows of label 0 and 1, and whether an evaluation sees one class only."""
+    c = df.groupBy(*keys).agg(F.count_if(F.col(y) == 0).alias("n_bad"), F.count_if(F.col(y) == 1).alias("n_good"))
+    return c.withColumn("single_class", (F.col("n_bad") == 0) | (F.col("n_good") == 0))
+
+
+def flips(df: DataFrame, a: str, b: str, names: list) -> DataFrame:
+    """(label, again, n) for all pairs of ``names``: how rows of one label were labelled again; rows with another label on either side have no part."""
+    counts = df.filter(F.col(a).isin(names) & F.col(b).isin(names)).groupBy(F.col(a).alias("label"), F.col(b).alias("again")).agg(F.count("*").alias("n"))
+    every = df.sparkSession.createDataFrame([(x, y) for x in names for y in names], counts.drop("n").schema)  # as many rows as pairs of labels
+    return every.join(counts, ["label", "again"], "left").fillna(0, ["n"])
+
+
+def disagreements(df: DataFrame, a: str, b: str, row: str) -> DataFrame:
+    """(row, a, b) of rows with both labels where they differ."""
+    return df.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(row, a, b)
+
+
 #: The upper ends of Cohen's kappa bands.
 BANDS = ((0.0, "poor"), (0.2, "slight"), (0.4, "fair"), (0.6, "moderate"), (0.8, "substantial"))
 

@@ -87,14 +87,37 @@ def draw_key(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def build_pool(df: DataFrame, key: str, mode: str, n: int, seed: int, score: str | None = None, exclude: DataFrame | None = None) -> DataFrame:
-    """n candidates: at random, the most uncertain (least confident class first) or the best; ties keep the seeded order."""
+def build_pool(
+    df: DataFrame, key: str, mode: str, n: int, seed: int, score: str | None = None, exclude: DataFrame | None = None, threshold: float | None = None,
+) -> DataFrame:
+    """n candidates: at random, the most uncertain (least confident class first) or the best; ties keep the seeded order.
+
+    ``exclude`` are keys seen already. Under uncertain, ``threshold`` leaves out rows of which the model is at least so sure."""
     if exclude is not None:
         df = df.join(exclude.select(key), key, "left_anti")
-    order = {"random": [], "uncertain": [F.greatest(F.col(score), 1 - F.col(score)).asc()] if score else [], "good": [F.desc(score)] if score else []}[mode]
+    sure = F.greatest(F.col(score), 1 - F.col(score)) if score else None
+    if mode == "uncertain" and threshold is not None:
+        df = df.filter(sure < threshold)
+    order = {"random": [], "uncertain": [sure.asc()] if score else [], "good": [F.desc(score)] if score else []}[mode]
     return df.orderBy(*order, draw_key(seed, F.col(key)), key).limit(n)
 
 
+def pool_counts(df: DataFrame, key: str, exclude: DataFrame | None = None) -> DataFrame:
+    """One row: n_matching rows of the filtered table and n_candidates that were not seen yet."""
+    if exclude is None:
+        return df.agg(F.count("*").alias("n_matching"), F.count("*").alias("n_candidates"))
+    seen = exclude.select(key).distinct().withColumn("_seen", F.lit(True))
+    return df.join(seen, key, "left").agg(F.count("*").alias("n_matching"), F.count_if(F.col("_seen").isNull()).alias("n_candidates"))
+
+
+def stratified_cap(df: DataFrame, group: str, key: str, most: int, seed: int) -> DataFrame:
+    """All rows if there are ``most`` or fewer; else of each group max(1, most // groups) rows by the seeded order. Rows whose group is null are left out then."""
+    size = df.agg(F.count("*").alias("n"), F.countDistinct(group).alias("groups")).first()
+    if size["n"] <= most:
+        return df
+    return cap_sample(df, group, key, max(1, most // max(1, size["groups"])), 1, seed)
+
+
 def seeded_rank(df: DataFrame, groups: list[str], key: str, seed: int, most: int | None = None) -> DataFrame:
     """Adds ``_rank`` (from 1) and ``_size`` within each group, in the seeded order.
 

@@ -23,6 +23,12 @@ def match_regions(pairs: DataFrame, image: list[str], least: float = 0.5) -> Dat
     return iou.select(*image, "la", "lb", "iou")
 
 
+def unmatched(regions: DataFrame, matches: DataFrame, image: list[str], side: str) -> DataFrame:
+    """(image, label) of the regions of a segmentation's pixels (image, label) that no match has on its ``side`` (la or lb)."""
+    own = regions.filter("label > 0").select(*image, "label").distinct()
+    return own.join(matches.select(*image, F.col(side).alias("label")), [*image, "label"], "left_anti")
+
+
 def splits_merges(pairs: DataFrame, image: list[str], share: float = 0.5) -> DataFrame:
     """(image, splits, merges): regions of a (of b) that hold two or more regions of the other, each with ``share`` of itself inside."""
     split = pairs.filter(F.col("inter") >= share * F.col("nb")).groupBy(*image, "la").agg(F.count("*").alias("_n")).filter("_n > 1").groupBy(*image).agg(F.count("*").alias("splits"))

@@ -8,12 +8,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import provenance
-from ..operators import components, models, outlines, ranking, robust, spots, transport_job
-from ..sources import results
+from ..operators import components, digests, filters, joins, layout, models, outlines, profiles, ranking, regions, robust, spots, transport_job
+from ..sources import results, tables
+from ..streaming import intake
 from ..worktable import new_path
+from .layouts import WELLS, wells
+from .library import distances
 from .measures import points
-from .registry import PIXELS, query, r, table
-from .summaries import pixels
+from .registry import PIXELS, RANKED, query, r, table
+from .summaries import LABELLED, labelled, pixels
 
 BLEED = """s AS (SELECT o_orderpriority AS well, CASE WHEN o_orderpriority LIKE '5%' AND o_orderkey > 60 THEN -o_totalprice ELSE o_totalprice END AS src,
   CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderpriority LIKE '1%' THEN 0.6 ELSE 0.03 END * CASE WHEN o_orderpriority LIKE '2%' THEN -o_totalprice ELSE o_totalprice END + o_custkey * 7 % 500 AS tgt FROM orders)"""
@@ -198,3 +201,212 @@ def b25_crop_provenance(spark, d):
 @query("""WITH s AS (SELECT DISTINCT o_custkey AS file, o_orderkey AS scene FROM orders) SELECT file, scene FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY md5('5:' || file || ':' || scene), file || ':' || scene) AS k FROM s) WHERE k <= 3""")
 def h11_review_sample(spark, d):
     return ranking.review_sample(table(spark, d, "orders"), "o_custkey", "o_orderkey", 3, 5).select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("scene"))
+
+
+@query(f"""WITH v AS (SELECT CASE WHEN label < 2 THEN 'nt' || label || ' x' ELSE 'c' || label END AS label, UNNEST(embedding)::DOUBLE AS x, UNNEST(range(len(embedding))) AS dim FROM embeddings),
+m AS (SELECT label, dim, avg(x) AS m FROM v GROUP BY ALL), a AS (SELECT dim, avg(m) AS a FROM m WHERE label LIKE 'nt%' GROUP BY ALL) SELECT label, dim::INT AS dim, round(m - a, 6) AS value FROM m JOIN a USING (dim)""")
+def d7_control_relative(spark, d):
+    e = table(spark, d, "embeddings").withColumn("label", F.expr("CASE WHEN label < 2 THEN concat('nt', label, ' x') ELSE concat('c', label) END"))
+    p = profiles.control_relative(profiles.embedding_profiles(e, "label", "embedding", centred=False), "label")
+    return p.withColumn("value", r(F.col("value")))
+
+
+@query("""SELECT l_returnflag AS k, count(*) FILTER (l_linestatus = 'F') AS n_bad, count(*) FILTER (l_linestatus = 'O') AS n_good, count(*) FILTER (l_linestatus = 'F') = 0 OR count(*) FILTER (l_linestatus = 'O') = 0 AS single_class FROM lineitem GROUP BY ALL
+UNION ALL SELECT 'only', 0, count(*), true FROM orders""")
+def d13_class_balance(spark, d):
+    x = table(spark, d, "lineitem").selectExpr("l_returnflag AS k", "CASE l_linestatus WHEN 'O' THEN 1 WHEN 'F' THEN 0 END AS y")
+    return profiles.class_balance(x.unionByName(table(spark, d, "orders").selectExpr("'only' AS k", "1 AS y")), "y", ["k"])
+
+
+@query("""WITH n AS (SELECT unnest([0, 1]) AS a), p AS (SELECT x.a AS label, y.a AS again FROM n x, n y) SELECT label, again, (SELECT count(*) FROM labels WHERE quality = label AND toxic = again) AS n,
+(SELECT count(*) FROM labels WHERE quality <> toxic AND quality = label AND toxic = again) AS listed FROM p""")
+def d14_flips(spark, d):
+    l = table(spark, d, "labels")
+    apart = profiles.disagreements(l, "quality", "toxic", "doc_id").groupBy(F.col("quality").alias("label"), F.col("toxic").alias("again")).agg(F.count("doc_id").alias("listed"))
+    return profiles.flips(l, "quality", "toxic", [0, 1]).join(apart, ["label", "again"], "left").fillna(0, ["listed"])
+
+
+@query("""SELECT (SELECT sha256(string_agg(o_orderkey || chr(9) || o_orderpriority, chr(10) ORDER BY o_orderkey || chr(9) || o_orderpriority)) FROM (SELECT DISTINCT o_orderkey, o_orderpriority FROM orders)) AS by_text,
+(SELECT sha256(string_agg(c_name, chr(10) ORDER BY c_custkey, c_name)) FROM customer) AS in_order""")
+def d15_lines_sha256(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority").distinct()
+    by_text = digests.lines_sha256(o, F.concat_ws("\t", F.col("o_orderkey").cast("string"), "o_orderpriority"))
+    in_order = digests.lines_sha256(table(spark, d, "customer"), F.col("c_name"), F.col("c_custkey"))
+    return table(spark, d, "region").limit(1).select(F.lit(by_text).alias("by_text"), F.lit(in_order).alias("in_order"))
+
+
+@query(f"""WITH {PIXELS}, p AS (SELECT vec_id, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.999) AS hi FROM px GROUP BY ALL) SELECT vec_id AS image, y::INT AS y, x::INT AS x, round(greatest(0, least(1, (v - lo) / (hi - lo))), 6) AS value FROM px JOIN p USING (vec_id)""")
+def d19_rescale(spark, d):
+    return spots.rescale(pixels(spark, d).select("image", "y", "x", "value"), ["image"]).withColumn("value", r(F.col("value")))
+
+
+@query("""WITH c AS (SELECT o_orderkey, (o_custkey % 101) / 100.0 AS p FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2)), n AS (SELECT (SELECT count(*) FROM orders) AS n_matching, (SELECT count(*) FROM c) AS n_candidates)
+SELECT * FROM (SELECT o_orderkey, round(p, 6) AS p FROM c WHERE greatest(p, 1 - p) < 0.8 ORDER BY greatest(p, 1 - p), md5('7:' || o_orderkey), o_orderkey LIMIT 200), n""")
+def e11_uncertain_pool(spark, d):
+    o = table(spark, d, "orders").selectExpr("o_orderkey", "(o_custkey % 101) / 100.0D AS p")
+    seen = table(spark, d, "lineitem").filter("l_linenumber = 2").select(F.col("l_orderkey").alias("o_orderkey"))
+    pool = ranking.build_pool(o, "o_orderkey", "uncertain", 200, 7, "p", seen, 0.8).select("o_orderkey", r(F.col("p")).alias("p"))
+    return pool.join(F.broadcast(ranking.pool_counts(o, "o_orderkey", seen)), F.lit(True))  # one row
+
+
+@query("""WITH g AS (SELECT count(DISTINCT o_orderpriority) AS g FROM orders), x AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('3:' || o_orderkey), o_orderkey) AS k FROM orders)
+SELECT o_orderkey, o_orderpriority FROM x, g WHERE k <= greatest(1, 700 // g)""")
+def e16_stratified_cap(spark, d):
+    return ranking.stratified_cap(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 700, 3)
+
+
+@query(f"""WITH {WELLS}, f AS (SELECT well, p_brand, min(p_partkey) AS first, count(DISTINCT p_size) AS n FROM w GROUP BY ALL) SELECT well, min_by(n, first)::INT AS n_positions, (row_number() OVER (ORDER BY left(well, 1), substr(well, 2)::INT))::INT AS place FROM f GROUP BY well""")
+def e25_layout_template(spark, d):
+    m = layout.merge_sources(wells(spark, d), "well", "p_brand", "p_partkey", "p_size")
+    t = layout.layout_template(m, "well", "scenes")
+    return t.select("well", "n_positions", F.row_number().over(Window.orderBy("order")).alias("place"))  # the wells of one plate
+
+
+@query("""SELECT 'o_orderpriority' AS field, '9-NONE' AS value UNION ALL SELECT 'o_orderstatus', 'X'""")
+def b16_unknown_values(spark, d):
+    return filters.unknown_values(table(spark, d, "orders"), {"o_orderstatus": ["F", "X"], "o_orderpriority": ["1-URGENT", "9-NONE"]})
+
+
+@query(f"""WITH {LABELLED}, i AS (SELECT a.vec_id, a.label AS la, b.label AS lb, count(*) AS n FROM a JOIN b ON a.vec_id = b.vec_id AND a.y = b.y AND a.x = b.x WHERE a.label > 0 AND b.label > 0 GROUP BY ALL),
+na AS (SELECT vec_id, label, count(*) AS n FROM a WHERE label > 0 GROUP BY ALL), nb AS (SELECT vec_id, label, count(*) AS n FROM b WHERE label > 0 GROUP BY ALL), u AS (SELECT i.vec_id, la, lb, i.n / (na.n + nb.n - i.n) AS iou FROM i JOIN na ON na.vec_id = i.vec_id AND na.label = la JOIN nb ON nb.vec_id = i.vec_id AND nb.label = lb),
+ra AS (SELECT *, row_number() OVER (PARTITION BY vec_id, la ORDER BY iou DESC, lb) AS r FROM u WHERE iou >= 0.5), rb AS (SELECT *, row_number() OVER (PARTITION BY vec_id, lb ORDER BY iou DESC, la) AS s FROM ra WHERE r = 1), mt AS (SELECT * FROM rb WHERE s = 1)
+SELECT 'a' AS side, vec_id AS image, label FROM na WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.vec_id = na.vec_id AND la = label) UNION ALL SELECT 'b', vec_id, label FROM nb WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.vec_id = nb.vec_id AND lb = label)""")
+def c10_unmatched(spark, d):
+    a, b = labelled(spark, d)
+    m = regions.match_regions(regions.overlaps(a, b, ["image"]), ["image"])
+    parts = [regions.unmatched(px, m, ["image"], side).select(F.lit(name).alias("side"), "image", "label") for px, side, name in ((a, "la", "a"), (b, "lb", "b"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"""WITH {WELLS}, one AS (SELECT well, p_partkey, p_size FROM (SELECT *, row_number() OVER (PARTITION BY well ORDER BY p_partkey) AS k FROM w) WHERE k = 1)
+SELECT well, CASE WHEN p_partkey % 4 = 0 THEN '' WHEN p_partkey % 4 = 1 THEN '' ELSE p_size || ';' || p_partkey END AS scenes, CASE WHEN p_partkey % 4 = 1 THEN 1 ELSE 0 END AS issues FROM one""")
+def a9_clean_layout(spark, d):
+    first = Window.partitionBy("well").orderBy("p_partkey")
+    one = wells(spark, d).withColumn("k", F.row_number().over(first)).filter("k = 1")
+    raw = one.selectExpr("concat(' ', lower(well), ' ') AS well", "'x' AS condition", "CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'none' ELSE concat('[', p_size, ', ', p_partkey, ']') END AS scene_indices")
+    clean, issues = layout.clean_layout(raw)
+    n = issues.groupBy(F.split("detail", ": ")[0].alias("well")).agg(F.count("*").cast("int").alias("issues"))
+    return clean.join(n, "well", "left").select("well", F.array_join("scene_indices", ";").alias("scenes"), F.coalesce("issues", F.lit(0)).alias("issues"))
+
+
+@query(f"WITH {RANKED}, f AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS place FROM dist WHERE i < 4 AND j IN (2, 4, 5)) SELECT i AS query, 'run' || i % 3 AS query_run, place::INT AS rank, j AS match, 'run' || j % 3 AS match_run, round(d, 5) AS distance FROM f WHERE place <= 2")
+def e4_matches_of_sets(spark, d):
+    runs = table(spark, d, "embeddings").selectExpr("label AS id", "concat('run', label % 3) AS run").distinct()
+    return joins.rank_matches(distances(spark, d), "euclidean", 2, [0, 1, 2, 3], [2, 4, 5], runs).withColumn("distance", r(F.col("distance"), 5))
+
+
+@query(f"WITH {RANKED} SELECT i AS key, j AS other, round(d, 5) AS distance FROM dist WHERE i < j")
+def a14_wide_distances(spark, d):
+    """To the wide form, written, and back."""
+    pairs, path = distances(spark, d), new_path(spark, "wide")
+    groups = pairs.selectExpr("i AS key").union(pairs.selectExpr("j")).distinct().withColumn("place", F.col("key"))
+    tables.wide_distances(pairs, groups, "place", "euclidean").write.parquet(path)
+    back = tables.long_distances(spark.read.parquet(path), "place")
+    return back.select(F.col("i").alias("key"), F.col("j").alias("other"), r(F.col("distance"), 5).alias("distance"))
+
+
+@query("""SELECT c_mktsegment AS k, count(*) AS n, count(*) FILTER (c_custkey % 3 > 0) AS n_bal, round(avg(c_acctbal) FILTER (c_custkey % 3 > 0), 4) AS mean FROM customer GROUP BY ALL""")
+def a1_read_features(spark, d):
+    """The same table as Parquet and as CSV, NaN without a value in both; an error if they differ."""
+    path = new_path(spark, "features")
+    c = table(spark, d, "customer").selectExpr("c_custkey", "c_mktsegment AS k", "CASE WHEN c_custkey % 3 > 0 THEN c_acctbal ELSE double('NaN') END AS bal")
+    c.write.parquet(f"{path}/f.parquet")
+    c.write.option("header", True).csv(f"{path}/f.csv")
+    a, b = tables.read_features(spark, f"{path}/f.parquet"), tables.read_features(spark, f"{path}/f.csv")
+    both = a.selectExpr("c_custkey", "k", "bal").exceptAll(b.selectExpr("cast(c_custkey AS long) AS c_custkey", "k", "cast(bal AS double) AS bal"))
+    out = a.groupBy("k").agg(F.count("*").alias("n"), F.count("bal").alias("n_bal"), r(F.avg("bal"), 4).alias("mean"))
+    return out.join(both.select("k").distinct(), "k", "left_anti")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_brand, 'kind' || substr(p_brand, 7, 1) AS kind FROM part) SELECT p_brand AS run_id, kind AS experiment_type, count(*) AS n FROM p JOIN lineitem ON l_partkey = p_partkey WHERE kind = (SELECT min(kind) FROM p) GROUP BY ALL""")
+def a4_load_library(spark, d):
+    """Brands are runs, the first digit of their number the species."""
+    p = table(spark, d, "part").withColumn("kind", F.concat(F.lit("kind"), F.substring("p_brand", 7, 1)))
+    index = p.selectExpr("p_brand AS run_id", "kind AS species", "kind AS experiment_type").distinct()
+    species = p.agg(F.min("kind")).first()[0]
+    runs = table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).selectExpr("p_brand AS run_id", "l_orderkey")
+    own = tables.load_library(index, runs, species.upper())
+    return own.groupBy(F.col("_library_run_id").alias("run_id"), F.col("_library_experiment_type").alias("experiment_type")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT split, model_at_label, count(*) AS n, (SELECT count(*) FROM labels WHERE doc_id % 10 = 0) AS n_bad FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, CASE WHEN doc_id % 2 = 0 THEN 'none' ELSE 'm1' END AS model_at_label
+FROM labels WHERE doc_id % 10 > 0) GROUP BY ALL""")
+def a8_label_log(spark, d):
+    """A CSV log with rows that don't hold a label, read, and appended to a table in which older files lack the later columns."""
+    path = new_path(spark, "labels")
+    raw = table(spark, d, "labels").selectExpr("doc_id AS cell_uid", "CASE WHEN doc_id % 10 = 0 THEN 'x' ELSE cast(quality AS string) END AS label_idx", "'name' AS label_name", "'2024-01-01T00:00:00' AS labeled_at", "CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE ' ' END AS split")
+    raw.write.option("header", True).csv(f"{path}/log")
+    sound, counts = tables.valid_labels(tables.read_labels(spark, f"{path}/log"))
+    old = sound.filter("cast(cell_uid AS long) % 2 = 0").drop("split").join(sound.select("cell_uid", "split"), "cell_uid")
+    old.write.parquet(f"{path}/table")
+    tables.append_labels(sound.filter("cast(cell_uid AS long) % 2 = 1").withColumn("model_at_label", F.lit("m1")), f"{path}/table")
+    out = tables.read_label_table(spark, f"{path}/table").groupBy("split", "model_at_label").agg(F.count("*").alias("n"))
+    return out.join(F.broadcast(counts.select("n_bad")), F.lit(True))  # one row
+
+
+@query("SELECT n_name AS name, n_regionkey AS region, length(n_name) AS n FROM nation WHERE n_nationkey % 5 > 0")
+def a12_scan_json(spark, d):
+    """A file for each nation, of which every fifth is broken."""
+    path = new_path(spark, "json")
+    n = table(spark, d, "nation").withColumn("text", F.when(F.col("n_nationkey") % 5 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("n_name").alias("name"), F.struct(F.col("n_regionkey").alias("region")).alias("at")))))
+    n.select("n_nationkey", "text").repartition(25, "n_nationkey").write.partitionBy("n_nationkey").text(path)
+    found = tables.scan_json(spark, f"{path}/*/*.txt", "name string, at struct<region: long>")
+    return found.select("name", F.col("at.region").alias("region"), F.length("name").cast("long").alias("n"))
+
+
+@query("SELECT r_name AS name, sha256(r_name || chr(10)) AS sha256, length(r_name) + 1 AS length FROM region")
+def a13_fingerprint_files(spark, d):
+    path = new_path(spark, "files")
+    table(spark, d, "region").select("r_regionkey", "r_name").repartition(5, "r_regionkey").write.partitionBy("r_regionkey").text(path)
+    f = tables.fingerprint_files(spark, f"{path}/*/*.txt").withColumn("key", F.regexp_extract("path", "r_regionkey=([0-9]+)", 1).cast("long"))
+    names = table(spark, d, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
+    return f.join(names, "key").select("name", "sha256", "length")
+
+
+@query("""SELECT c_custkey AS session_id, CASE WHEN s_suppkey IS NULL THEN c_mktsegment ELSE s_name END AS note FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)""")
+def a18_record_session(spark, d):
+    log = table(spark, d, "customer").selectExpr("c_custkey AS session_id", "c_mktsegment AS note")
+    return tables.record_session(log, table(spark, d, "supplier").selectExpr("s_suppkey AS session_id", "s_name AS note"))
+
+
+@query("""WITH m AS (SELECT p_partkey AS position, p_name AS model_name, p_brand AS model_type FROM part WHERE p_partkey > 1), n AS (SELECT p_name, p_brand FROM part WHERE p_partkey = 1)
+SELECT model_type, max(position)::BIGINT AS position FROM (SELECT position, model_type FROM m WHERE model_name NOT IN (SELECT p_name FROM n) UNION ALL SELECT (SELECT max(position) FROM m) + 1, p_brand FROM n) WHERE model_type = (SELECT p_brand FROM n) GROUP BY ALL""")
+def e20_model_registry(spark, d):
+    """The first part registered again as the last model; the last of its type."""
+    p = table(spark, d, "part").selectExpr("p_partkey AS position", "p_name AS model_name", "p_brand AS model_type")
+    new = p.filter("position = 1").drop("position")
+    registry = tables.register_model(p.filter("position > 1"), new)
+    return tables.latest_model(registry, new.first()["model_type"]).select("model_type", F.col("position").cast("long").alias("position"))
+
+
+@query("""WITH s AS (SELECT (c_acctbal > 3000)::INT AS y FROM customer WHERE c_custkey % 4 = 0) SELECT count(*) FILTER (y = 0) AS tn, 0 AS fp, 0 AS fn, count(*) FILTER (y = 1) AS tp, 1.0 AS accuracy, 1.0 AS auc, 'b' AS feature FROM s""")
+def g11_evaluate_model(spark, d):
+    """A model of a label that one measure gives: no error on the hold-out, and that measure alone matters."""
+    c = table(spark, d, "customer").selectExpr("c_custkey", "cast(c_nationkey AS double) AS a", "CASE WHEN c_acctbal > 3000 THEN 2D ELSE 1D END AS b", "cast(c_acctbal > 3000 AS int) AS y", "CASE WHEN c_custkey % 4 > 0 THEN 'train' ELSE 'test' END AS split")
+    model, used = models.train_feature_model(c, ["a", "b"], "y", "split", rounds=3, depth=2)
+    held = c.filter("split = 'test'")
+    e = models.evaluate_model(model, held, used, "y").select("tn", "fp", "fn", "tp", "accuracy", "auc")
+    top = models.permutation_importance(model, held, used, "y", "c_custkey", 2).agg(F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("feature"))
+    return e.join(F.broadcast(top), F.lit(True))  # one row each
+
+
+@query("SELECT user_id, max(value) AS value, count(*) OVER () AS n FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1 GROUP BY user_id")
+def s1_latest_labels(spark, d):
+    """Events arrive in three batches of files; the table has the latest of each user."""
+    path = new_path(spark, "stream")
+    e = table(spark, d, "events").selectExpr("user_id", "cast(ts AS timestamp) AS ts", "event_id", "value")
+    for part in (2, 0, 1):
+        e.filter(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{path}/in")
+        intake.stream_latest_labels(spark, f"{path}/in", e.schema.simpleString()[7:-1].replace(":", " "), f"{path}/latest", "user_id", "ts", "event_id", f"{path}/checkpoint").awaitTermination()
+    now = intake.current_labels(spark, f"{path}/latest")
+    return now.select("user_id", "value").join(F.broadcast(now.agg(F.count("*").alias("n"))), F.lit(True))  # one row
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal >= 1000 AND c_nationkey >= 3")
+def s2_sample_intake(spark, d):
+    path = new_path(spark, "intake")
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    for part in (0, 1):
+        c.filter(F.col("c_custkey") % 2 == part).write.mode("append").parquet(f"{path}/in")
+        intake.stream_intake(spark, f"{path}/in", "c_custkey long, c_acctbal double, c_nationkey long", {"c_acctbal": 1000, "c_nationkey": 3}, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("c_custkey", "c_acctbal")
