@@ -46,7 +46,7 @@ class FactorizationMachine:
 
     @classmethod
     def fit(
-        cls, docs: list[np.ndarray], labels: np.ndarray, prior_shift: float, k: int = 4, least: int = 4, apart: float = 4.0, epochs: int = 12, decay: float = 2e-4,
+        cls, docs: list[np.ndarray], labels: np.ndarray, prior_shift: float, k: int = 4, least: int = 4, apart: float = 4.0, epochs: int = 6, decay: float = 2e-4,
         seed: int = 3,
     ):
         """``docs``: distinct buckets of each text. Only terms of fewer than ``least`` texts are left out.
@@ -62,14 +62,16 @@ class FactorizationMachine:
         rate = labels.mean()
         z = np.abs(bad - counts * rate) / np.sqrt(counts * rate * (1 - rate))
         often = counts >= least
-        index, clear = values[often], ((z >= apart) | (counts >= 0.2 * len(docs)))[often]
+        index, told = values[often], (z >= apart)[often]
+        clear = told | (counts[often] >= 0.2 * len(docs))
         every = [np.searchsorted(index, d[np.isin(d, index, assume_unique=True)]).astype(np.int32) for d in docs]
         rng = np.random.default_rng(seed)
         n = len(index)
         w, v = np.zeros(n, np.float64), rng.normal(0, 0.01, (n, k))
-        # Large first sums keep the steps of unclear terms in proportion to their evidence.
-        gw, gv, bias, gb = np.where(clear, 1e-6, 1e-2), np.where(clear[:, None], np.full(k, 1e-6), 0.3), 0.0, 1e-6
-        rate_w, rate_v = np.where(clear, 0.3, 0.03), np.where(clear, 0.02, 0.1)[:, None]
+        # Large first sums keep the steps of terms in proportion to their evidence. Of single terms only those that tell a class go without: first steps of
+        # all frequent ones together would drown them, and what pairs then made up for held for the sample alone.
+        gw, gv, bias, gb = np.where(told, 1e-6, 1e-2), np.where(clear[:, None], np.full(k, 1e-6), 0.3), 0.0, 1e-6
+        rate_w, rate_v = np.where(told, 0.3, 0.03), np.where(clear, 0.02, 0.1)[:, None]
         number = np.zeros(n, np.int64)  # of a step's terms
         for own in ([x[clear[x]] for x in every], every):
             length = np.array([len(x) for x in own])
