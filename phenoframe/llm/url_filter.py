@@ -105,22 +105,32 @@ def tokens_of(host: str, path: str, segmenter: Segmenter) -> list[str]:
     return out + [f"p:#{len(part)}" if part[0].isdecimal() else f"p:{part}" for part in _PARTS.findall(path.lower())]
 
 
+#: Letters of a piece in which places of words are sought, and of what is kept behind a place to compare words with.
+PIECE, REACH = 256, 48
+
+
 def segmented(hosts: DataFrame, words: DataFrame) -> DataFrame:
     """(host, words) of distinct hosts: each part of a name is split once, by the words that stand in it.
 
-    Words meet the names by a join: shorter ones on their letters, longer ones on their first HEAD letters. So no task holds the table of words."""
+    Words meet the names by a join: shorter ones on their letters, longer ones on their first HEAD letters. So no task holds the table of words. Names go in
+    pieces and by number, with REACH letters behind each place, so the rows of a name grow with its length alone; words that are longer than that and begin
+    as the name does there are looked for in the whole name."""
     cut = materialize(hosts.select("host", F.posexplode(F.regexp_extract_all("host", F.lit(PARTS), F.lit(0))).alias("at", "part")), "url-parts")
-    parts = materialize(cut.select("part").distinct(), "url-names")
-    size = F.length("part")
-    total, longest = words.agg(F.coalesce(F.sum("n"), F.lit(0)) + 1, F.coalesce(F.max(F.length("w")), F.lit(0))).first()
-    at = parts.select("part", F.explode(F.sequence(F.lit(1), size)).alias("i"))
-    short = at.select("part", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD - 1), size - F.col("i") + 1)), lambda n: F.col("part").substr(F.col("i"), n))).alias("w"))
-    short = short.distinct().join(words.filter(F.length("w") < HEAD), "w").select("part", "w", "n")
-    slices = at.filter(size - F.col("i") + 1 >= HEAD).select("part", F.col("part").substr(F.col("i"), F.lit(longest)).alias("slice"))
-    slices = slices.withColumn("head", F.substring("slice", 1, HEAD))
-    long = words.filter(F.length("w") >= HEAD).withColumn("head", F.substring("w", 1, HEAD))
-    long = slices.join(long, "head").filter(F.col("slice").startswith(F.col("w"))).select("part", "w", "n").distinct()
-    found = short.unionByName(long).groupBy("part").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    parts = materialize(cut.select("part").distinct().withColumn("id", F.monotonically_increasing_id()), "url-names")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)) + 1).first()[0]
+    starts = F.sequence(F.lit(0), F.floor((F.length("part") - 1) / PIECE).cast("int"))
+    pieces = parts.select("id", F.explode(F.transform(starts, lambda k: F.col("part").substr(k * PIECE + 1, F.lit(PIECE + REACH)))).alias("piece"))
+    size = F.length("piece")
+    at = pieces.select("id", "piece", F.explode(F.sequence(F.lit(1), F.least(F.lit(PIECE), size))).alias("i"))
+    short = at.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD - 1), size - F.col("i") + 1)), lambda n: F.col("piece").substr(F.col("i"), n))).alias("w"))
+    short = short.distinct().join(words.filter(F.length("w") < HEAD), "w").select("id", "w", "n")
+    slices = at.filter(size - F.col("i") + 1 >= HEAD).select("id", F.col("piece").substr(F.col("i"), F.lit(REACH)).alias("slice"))
+    slices = slices.distinct().withColumn("head", F.substring("slice", 1, HEAD))
+    long = words.filter(F.length("w") >= HEAD).select("w", "n", F.substring("w", 1, HEAD).alias("head"), F.substring("w", 1, REACH).alias("begin"))
+    long = slices.join(long, "head").filter(F.col("slice").startswith(F.col("begin"))).select("id", "w", "n").distinct()
+    longest = long.filter(F.length("w") > REACH).join(parts, "id").filter(F.contains("part", "w")).select("id", "w", "n")
+    long = long.filter(F.length("w") <= REACH).unionByName(longest)
+    found = short.unionByName(long).groupBy("id").agg(F.collect_list(F.struct("w", "n")).alias("known"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,7 +138,7 @@ def segmented(hosts: DataFrame, words: DataFrame) -> DataFrame:
             out = [Segmenter([(k["w"], k["n"]) for k in x or []], total).split(p) for p, x in zip(b.column(0).to_pylist(), known, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["part", "pieces"])
 
-    pieces = parts.join(found, "part", "left").select("part", "known").mapInArrow(split, "part string, pieces array<string>")
+    pieces = parts.join(found, "id", "left").select("part", "known").mapInArrow(split, "part string, pieces array<string>")
     back = cut.join(materialize(pieces, "url-pieces"), "part").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "pieces"))).alias("all"))
     return materialize(back.select("host", F.flatten("all.pieces").alias("words")), "url-hosts")
 

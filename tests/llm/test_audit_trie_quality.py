@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from phenoframe.llm import filter_audit as A
 from phenoframe.llm import prefix_trie as P
+from phenoframe.llm import language_id, toxicity, url_filter
 from phenoframe.llm import quality as Q
 from phenoframe.llm import queries
 from phenoframe.llm import textops as T
@@ -269,3 +270,74 @@ def test_held_out_quality(spark):
     df = queries.op13_quality(spark, "/root/testdata/sf0.01").filter("held_out").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     rows = df.select("quality", "predicted").collect()
     assert sum(r["quality"] == r["predicted"] for r in rows) >= 0.95 * len(rows)
+
+
+# --- earlier operators against plain loops
+
+
+def test_a_long_host_is_split_like_a_short_one(spark):
+    """10^5 letters within seconds, a word across two pieces and one longer than what is kept behind a place included."""
+    import time
+
+    giant = "ab" * 40
+    words = {"cheap": 50, "pills": 40, "che": 2, "news": 30, giant: 3, giant + "zz": 2, "é" * 60: 1}
+    table = spark.createDataFrame(list(words.items()), "w string, n long")
+    hosts = ["cheapnews.com", "x" * 254 + "cheappills.com", giant + "cheap.org", "cheappillsnews" * 7000 + ".net", "é" * 60 + "news." + giant + "z"]
+    began = time.time()
+    got = {r["host"]: r["words"] for r in url_filter.segmented(spark.createDataFrame([(h,) for h in hosts], "host string"), table).collect()}
+    assert time.time() - began < 60
+    segmenter = url_filter.Segmenter([(w, n) for w, n in words.items()], sum(words.values()) + 1)
+    for h in hosts:
+        assert got[h] == [w for part in re.findall(url_filter._PARTS, h) for w in segmenter.split(part)]
+
+
+def test_toxicity_scores_equal_the_sum_over_pairs():
+    rng = np.random.default_rng(1)
+    index = np.sort(rng.choice(1 << toxicity.BITS, 40, replace=False))
+    m = toxicity.FactorizationMachine(-0.3, index, rng.normal(0, 0.5, 40).astype(np.float32), rng.normal(0, 0.3, (40, 4)).astype(np.float32))
+    docs = [index[:7], index[5:30], np.array([1, 2, 3]), np.zeros(0, np.int64), index[[3, 3, 9]]]
+    got = m.score(np.repeat(np.arange(5), [len(d) for d in docs]), np.concatenate(docs).astype(np.int64), 5)
+    for d, g in zip(docs, got, strict=True):
+        at = [int(np.searchsorted(index, b)) for b in sorted(set(d.tolist())) if b in index]
+        y = m.bias + sum(float(m.w[i]) for i in at) + sum(float(m.v[i].astype(float) @ m.v[j].astype(float)) for n, i in enumerate(at) for j in at[n + 1 :])
+        assert abs(g - 1 / (1 + math.exp(-y))) < 1e-6
+
+
+def test_the_toxicity_sample_is_bounded_in_bytes(spark):
+    rows = spark.createDataFrame([(i, 0, bytes(4 * (i % 5 + 1))) for i in range(50)], "id long, label int, terms binary")
+    draw = F.xxhash64("id")
+    taken = toxicity.taken_rows(rows, draw, 200)
+    order = [r["id"] for r in rows.orderBy(draw).collect()]
+    assert 0 < sum(len(r["terms"]) for r in taken) <= 200 and {r["id"] for r in taken} == set(order[: len(taken)])
+    assert len(toxicity.taken_rows(rows, draw, 10**6)) == 50 and toxicity.taken_rows(rows, draw, 0) == []
+
+
+def test_language_tags_equal_a_loop_over_bytes():
+    """Both directions byte by byte with every unit spelled out, then the mean over a text's bytes."""
+    texts = ["Ein Text", "", "x é" * 40]
+    tagger = language_id.ByteTagger(["de", "en", "fr"], hidden=3)
+    soft = lambda v: v / (1 + abs(v))
+
+    def states(layer, window):
+        own, out, n = [0.0] * 3, [], range(3)
+        p = {k: v.astype(float) for k, v in layer.p.items()}
+        for byte in window:
+            z = [0.5 + 0.5 * soft(p["xz"][byte][j] + sum(own[i] * p["uz"][i][j] for i in n)) for j in n]
+            r = [0.5 + 0.5 * soft(p["xr"][byte][j] + sum(own[i] * p["ur"][i][j] for i in n)) for j in n]
+            c = [soft(p["xc"][byte][j] + sum(r[i] * own[i] * p["uc"][i][j] for i in n)) for j in n]
+            own = [own[j] + z[j] * (c[j] - own[j]) for j in n]
+            out.append(own)
+        return out
+
+    data, offsets = block(texts)
+    pooled = tagger.pool(data, offsets)
+    for k, t in enumerate(texts):
+        raw, sums = t.encode(), np.zeros(3)
+        for at in range(0, len(raw), language_id.WINDOW):
+            window = raw[at : at + language_id.WINDOW]
+            padded = window.ljust(language_id.WINDOW, bytes(1))
+            f, b = states(tagger.forward, padded), states(tagger.backward, padded[::-1])[::-1]
+            for i in range(len(window)):
+                e = [math.exp(sum((f[i] + b[i])[h] * float(tagger.head[h][m]) for h in range(6)) + float(tagger.bias[m])) for m in range(3)]
+                sums += np.array(e) / sum(e)
+        assert np.allclose(pooled[k], sums / max(1, len(raw)), atol=1e-4)
