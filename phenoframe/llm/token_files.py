@@ -99,6 +99,20 @@ class ShardReader:
             self.at, self.flat = k, ids.flatten().to_numpy(zero_copy_only=True)
         return self.flat
 
+    def __len__(self) -> int:
+        """Sequences of the shard."""
+        batches = self.reader.num_record_batches
+        return (batches - 1) * BATCH + self.reader.get_batch(batches - 1).num_rows if batches else 0
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Sequence ``i``: its ids and its mask, both views of the mapped file (the mask in bits, as it is stored)."""
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        k, row = divmod(i, BATCH)
+        batch = self.reader.get_batch(k)
+        ids, mask = (batch.column(c).flatten().slice(row * self.sequence, self.sequence) for c in (0, 1))
+        return ids.to_numpy(zero_copy_only=True), mask
+
     def read(self, place: int, n: int) -> np.ndarray:
         size, parts = self.sequence * BATCH, []
         while n > 0:

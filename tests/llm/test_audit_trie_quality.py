@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from phenoframe.llm import filter_audit as A
 from phenoframe.llm import prefix_trie as P
-from phenoframe.llm import language_id, toxicity, url_filter
+from phenoframe.llm import language_id, token_files, toxicity, url_filter
 from phenoframe.llm import quality as Q
 from phenoframe.llm import queries
 from phenoframe.llm import textops as T
@@ -341,3 +341,25 @@ def test_language_tags_equal_a_loop_over_bytes():
                 e = [math.exp(sum((f[i] + b[i])[h] * float(tagger.head[h][m]) for h in range(6)) + float(tagger.bias[m])) for m in range(3)]
                 sums += np.array(e) / sum(e)
         assert np.allclose(pooled[k], sums / max(1, len(raw)), atol=1e-4)
+
+
+def test_sequences_are_views_of_the_file(tmp_path):
+    """Any sequence by its number, its mask telling ids from padding, without a copy of either."""
+    ids = np.random.default_rng(3).integers(0, 50000, 16 * token_files.BATCH + 37)
+    w = token_files.ShardWriter(f"file://{tmp_path}", 4, pa.uint16(), sequence=16)
+    for part in np.array_split(ids, 7):
+        w.add(part)
+    w.close()
+    before = pa.total_allocated_bytes()
+    shard = token_files.ShardReader(f"file://{tmp_path}", 4)
+    assert len(shard) == token_files.BATCH + 3
+    kept = [shard[i] for i in range(len(shard))]
+    assert pa.total_allocated_bytes() - before < 4096  # neither ids nor masks were copied
+    flat = np.concatenate([x for x, _ in kept])
+    mask = np.concatenate([m.to_numpy(zero_copy_only=False) for _, m in kept])
+    assert (flat[mask] == ids).all() and not flat[~mask].any() and mask.sum() == len(ids)
+    with pytest.raises(IndexError):
+        shard[len(shard)]
+    empty = token_files.ShardWriter(f"file://{tmp_path}", 5, pa.uint16())
+    empty.close()
+    assert len(token_files.ShardReader(f"file://{tmp_path}", 5)) == 0
