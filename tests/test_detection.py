@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phenoframe.functions import provenance as P
-from phenoframe.operators import components, joins, models, outlines, quantiles, ranking, robust, spots, transport_job
+from phenoframe.operators import components, joins, models, outlines, quantiles, ranking, robust, spots, transport, transport_job
 from phenoframe.sources import results, tables
 
 
@@ -352,3 +352,36 @@ def test_labels_of_a_split(spark):
         joins.labelled_rows(cells, labels, "uid", "test")
     layout = spark.createDataFrame([("A1", "x"), ("A2", "y")], "well string, drug string")
     assert {tuple(r) for r in joins.set_fields(layout, "well", ["A2"], {"drug": "z"}).collect()} == {("A1", "x"), ("A2", "z")}
+
+
+def plain_transport(a, b, reg):
+    """Scaling of the kernel itself, to the end."""
+    cost = ((a[:, None] - b[None]) ** 2).sum(2)
+    kernel, u, v = np.exp(-cost / reg), np.ones(len(a)), np.ones(len(b))
+    for _ in range(5000):
+        v = (1 / len(b)) / (kernel.T @ u)
+        u = (1 / len(a)) / (kernel @ v)
+    return float((u[:, None] * kernel * v * cost).sum())
+
+
+def test_transport_matrix_equals_plain_scaling(spark, monkeypatch):
+    monkeypatch.setattr(transport, "BLOCK", 2)
+    rng = np.random.default_rng(11)
+    sets = {f"k{n}": rng.normal(n % 3, 1, (8 + n, 3)) for n in range(5)}
+    cloud = spark.createDataFrame([(k, [[float(x) for x in p] for p in v]) for k, v in sets.items()], "key string, points array<array<double>>")
+    got = {(r["i"], r["j"]): (r["divergence"], r["distance"]) for r in transport.sinkhorn_matrix(cloud, absolute=1.5).collect()}
+    assert set(got) == {(a, b) for a in sets for b in sets if a < b}
+    for (i, j), (d, root) in got.items():
+        a, b = sets[i], sets[j]
+        plain = max(0.0, plain_transport(a, b, 1.5) - (plain_transport(a, a, 1.5) + plain_transport(b, b, 1.5)) / 2)
+        assert abs(d - plain) < 1e-3 * max(1, plain) and abs(root - math.sqrt(d)) < 1e-12
+
+
+def test_permutations_tell_apart_clouds_from_like_ones(spark):
+    rng = np.random.default_rng(12)
+    sets = {"a": rng.normal(0, 1, (15, 2)), "far": rng.normal(9, 1, (15, 2)), "like": rng.normal(0, 1, (15, 2))}
+    cloud = spark.createDataFrame([(k, [[float(x) for x in p] for p in v]) for k, v in sets.items()], "key string, points array<array<double>>")
+    pairs = spark.createDataFrame([("a", "far"), ("a", "like"), ("a", "gone")], "query string, match string")
+    got = {r["match"]: r["p_perm"] for r in transport.permutation_test(cloud, pairs, n_perm=99).collect()}
+    # p counts shuffles at most as far apart as the data: all of them for clouds far apart, some for clouds alike; pairs without a cloud have none.
+    assert set(got) == {"far", "like"} and got["far"] == 1.0 and 0.01 < got["like"] < 1.0
