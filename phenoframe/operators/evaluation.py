@@ -144,6 +144,24 @@ def unit_view(spots: DataFrame, fov: Column, channel: Column, method: Column, re
     return spots.filter(fov & channel & method & (F.col(region) > 0)).groupBy(F.col(region).alias("region_id")).agg(F.count("*").alias("spots"))
 
 
+#: The columns that name a spot in a label file, in their order there.
+SPOT = ("well", "fov", "channel_index", "detector", "cell_id", "focus_id")
+
+
+def save_spot_labels(stored: DataFrame, session: DataFrame, at: Column) -> DataFrame:
+    """The stored labels (the six columns of a spot, label, labeled_at) with those of a session (six columns, label) in place of older ones, sorted by spot.
+
+    All labels of the session bear the time ``at``. Of a spot that a session labels more than once the largest label stays."""
+    key = list(SPOT)
+    now = session.groupBy(*key).agg(F.max("label").alias("label")).withColumn("labeled_at", at)
+    return stored.join(now.select(*key), key, "left_anti").select(*key, "label", "labeled_at").unionByName(now).orderBy(*key)
+
+
+def with_spot_labels(spots: DataFrame, labels: DataFrame) -> DataFrame:
+    """Spots with their label and its time; null where they have none."""
+    return spots.join(labels.select(*SPOT, "label", "labeled_at"), list(SPOT), "left")
+
+
 def resolve_channel(channels: DataFrame, want: str | int, keys: list[str], strict: bool = False) -> DataFrame:
     """(keys, idx, name, how) of the channel that a name or an index asks for: the exact name first, then the first that contains it; case is ignored.
 

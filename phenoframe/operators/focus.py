@@ -22,10 +22,14 @@ def gradients(px: DataFrame, by: list[str]) -> DataFrame:
     return p.withColumns({"lap": F.col("_ly") + F.col("_lx"), "sobel": F.col("_gy") ** 2 + F.col("_gx") ** 2}).drop("_dy", "_ly", "_gy", "_dx", "_lx", "_gx")
 
 
-def sharpness(px: DataFrame, by: list[str]) -> DataFrame:
-    """Per image laplacian_variance, tenengrad (sum), tenengrad_mean and relative_variance = var / (mean^2 + 1e-9)."""
-    return gradients(px, by).groupBy(*by).agg(
-        F.var_pop("lap").alias("laplacian_variance"), F.sum("sobel").alias("tenengrad"), F.avg("sobel").alias("tenengrad_mean"),
+def sharpness(px: DataFrame, by: list[str], mask: str | None = None) -> DataFrame:
+    """Per image laplacian_variance, tenengrad (sum), tenengrad_mean and relative_variance = var / (mean^2 + 1e-9), over the pixels of ``mask`` if it is given."""
+    g = gradients(px, by)
+    if mask:
+        g = g.withColumns({c: F.when(F.col(mask), F.col(c)) for c in ("lap", "sobel", "v")})
+    spread = lambda c: F.coalesce(F.var_pop(c), F.lit(0.0))
+    return g.groupBy(*by).agg(
+        spread("lap").alias("laplacian_variance"), F.coalesce(F.sum("sobel"), F.lit(0.0)).alias("tenengrad"), F.avg("sobel").alias("tenengrad_mean"),
         (F.var_pop("v") / (F.avg("v") ** 2 + 1e-9)).alias("relative_variance"),
     )
 

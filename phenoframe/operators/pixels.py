@@ -6,20 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def focus_metrics(px: DataFrame, by: list[str]) -> DataFrame:
+def focus_metrics(px: DataFrame, by: list[str], mask: str | None = None) -> DataFrame:
     """Per image: normalised variance, Brenner, Vollath F4 and the sum of the modified Laplacian.
 
-    One shuffle by (image, column) serves the vertical neighbours and one by (image, row) the horizontal ones."""
+    With ``mask`` (a boolean column) only the foreground counts: its pixels' variance, Laplacians about them, Brenner's differences whose middle lies in it and
+    products of which both ends do. One shuffle by (image, column) serves the vertical neighbours and one by (image, row) the horizontal ones."""
     down = Window.partitionBy(*by, "x").orderBy("y")
     across = Window.partitionBy(*by, "y").orderBy("x")
-    v = F.col("value").cast("double")
-    d = px.withColumn("v", v).withColumn("y1", F.lead("v", 1).over(down)).withColumn("y2", F.lead("v", 2).over(down)).withColumn("y_1", F.lag("v", 1).over(down))
-    d = d.withColumn("x1", F.lead("v", 1).over(across)).withColumn("x_1", F.lag("v", 1).over(across))
+    d = px.withColumn("v", F.col("value").cast("double")).withColumn("_in", F.coalesce(F.col(mask), F.lit(False)) if mask else F.lit(True))
+    d = d.withColumns({f"y{k}": F.lead("v", k).over(down) for k in (1, 2)} | {f"_in{k}": F.lead("_in", k).over(down) for k in (1, 2)} | {"y_1": F.lag("v", 1).over(down)})
+    d = d.withColumns({"x1": F.lead("v", 1).over(across), "x_1": F.lag("v", 1).over(across)})
+    v, on = F.col("v"), F.col("_in")
+    where = lambda ok, c: F.coalesce(F.sum(F.when(ok, c)), F.lit(0.0))
+    foreground = F.when(on, v)
     return d.groupBy(*by).agg(
-        F.when(F.avg("v") > 0, F.var_pop("v") / F.avg("v")).otherwise(F.lit(0.0)).alias("normalized_variance"),
-        F.sum((F.col("y2") - F.col("v")) ** 2).alias("brenner"),
-        (F.sum(F.col("v") * F.col("y1")) - F.sum(F.col("v") * F.col("y2"))).alias("vollath_f4"),
-        (F.coalesce(F.sum(F.abs(2 * F.col("v") - F.col("y1") - F.col("y_1"))), F.lit(0.0)) + F.coalesce(F.sum(F.abs(2 * F.col("v") - F.col("x1") - F.col("x_1"))), F.lit(0.0))).alias("sml"),
+        F.when(F.avg(foreground) > 0, F.var_pop(foreground) / F.avg(foreground)).otherwise(F.lit(0.0)).alias("normalized_variance"),
+        where(F.col("_in1"), (F.col("y2") - v) ** 2).alias("brenner"),
+        (where(on & F.col("_in1"), v * F.col("y1")) - where(on & F.col("_in2"), v * F.col("y2"))).alias("vollath_f4"),
+        (where(on, F.abs(2 * v - F.col("y1") - F.col("y_1"))) + where(on, F.abs(2 * v - F.col("x1") - F.col("x_1")))).alias("sml"),
     )
 
 

@@ -38,13 +38,29 @@ def rank_metrics(pairs: DataFrame, distance: str, groups: DataFrame, k: int, sco
     ).filter("ap IS NOT NULL")
 
 
-def benjamini_hochberg(df: DataFrame, p: str, family: list[str], row: str) -> DataFrame:
-    """Adds q = min over later ranks of p * n / rank, at most 1, within each family of tests, and ``significant`` (q <= 0.05)."""
-    w = Window.partitionBy(*family)
-    ranked = w.orderBy(p, row)
-    raw = F.col(p) * F.count("*").over(w) / F.row_number().over(ranked)
-    out = df.withColumn("_raw", raw).withColumn("q", F.least(F.lit(1.0), F.min("_raw").over(ranked.rowsBetween(Window.currentRow, Window.unboundedFollowing))))
-    return out.drop("_raw").withColumn("significant", F.col("q") <= 0.05)
+def benjamini_hochberg(df: DataFrame, p: str, family: list[str]) -> DataFrame:
+    """Adds q = min over larger or equal p of p * n / rank, at most 1, within each family of tests, and ``significant`` (q <= 0.05).
+
+    Equal p have one q, that of their last rank, so p are counted before they are sorted; ranges of a family's distinct p are sorted by a task each, and what
+    goes on from range to range is a row a range. Without ``family`` all rows are one. Tests without p are not counted and have no q."""
+    whole = F.to_json(F.struct(*family), {"ignoreNullFields": "false"}) if family else F.lit("")
+    x = df.withColumn("_family", whole)
+    by = x.filter(F.col(p).isNotNull()).groupBy("_family", F.col(p).cast("double").alias("_p")).agg(F.count("*").alias("_k"))
+    edges = by.groupBy("_family").agg(F.percentile_approx("_p", [k / RANGES for k in range(1, RANGES)], 100 * RANGES).alias("_edges"))
+    by = by.join(edges, "_family").withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col("_p")))).drop("_edges")
+    every = Window.partitionBy("_family")  # over ranges, RANGES a family
+    before = every.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = by.groupBy("_family", "_range").agg(F.sum("_k").alias("_m"))
+    sizes = sizes.select("_family", "_range", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"), F.sum("_m").over(every).alias("_n"))
+    inside = Window.partitionBy("_family", "_range").orderBy("_p")
+    rank = F.col("_before") + F.sum("_k").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    raw = by.join(sizes, ["_family", "_range"]).withColumn("_raw", F.col("_p") * F.col("_n") / rank)
+    after = every.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    least = raw.groupBy("_family", "_range").agg(F.min("_raw").alias("_least")).select("_family", "_range", F.min("_least").over(after).alias("_later"))
+    here = F.min("_raw").over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    q = raw.join(least, ["_family", "_range"]).select("_family", "_p", F.least(F.lit(1.0), here, "_later").alias("q"))
+    out = x.withColumn("_p", F.col(p).cast("double")).join(q, ["_family", "_p"], "left").drop("_family", "_p")
+    return out.withColumn("significant", F.col("q") <= 0.05)
 
 
 def roc_curve(df: DataFrame, y: str, score: str, keys: list[str] | None = None) -> DataFrame:

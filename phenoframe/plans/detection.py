@@ -8,7 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import provenance
-from ..operators import components, digests, filters, joins, layout, models, outlines, profiles, ranking, regions, robust, spots, transport_job
+from ..operators import components, digests, evaluation, filters, focus, joins, layout, models, outlines, profiles, ranking, regions, robust, spots, transport_job
+from ..operators import pixels as px_metrics
 from ..sources import results, tables
 from ..streaming import intake
 from ..worktable import new_path
@@ -16,7 +17,7 @@ from .layouts import WELLS, wells
 from .library import distances
 from .measures import points
 from .registry import PIXELS, RANKED, query, r, table
-from .summaries import LABELLED, labelled, pixels
+from .summaries import GRAD, LABELLED, labelled, pixels
 
 BLEED = """s AS (SELECT o_orderpriority AS well, CASE WHEN o_orderpriority LIKE '5%' AND o_orderkey > 60 THEN -o_totalprice ELSE o_totalprice END AS src,
   CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderpriority LIKE '1%' THEN 0.6 ELSE 0.03 END * CASE WHEN o_orderpriority LIKE '2%' THEN -o_totalprice ELSE o_totalprice END + o_custkey * 7 % 500 AS tgt FROM orders)"""
@@ -410,3 +411,28 @@ def s2_sample_intake(spark, d):
         c.filter(F.col("c_custkey") % 2 == part).write.mode("append").parquet(f"{path}/in")
         intake.stream_intake(spark, f"{path}/in", "c_custkey long, c_acctbal double, c_nationkey long", {"c_acctbal": 1000, "c_nationkey": 3}, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/out").select("c_custkey", "c_acctbal")
+
+
+FOREGROUND = "(y * 3 + x * 5 + vec_id) % 7 < 4"
+
+
+@query(f"""WITH {GRAD}, m AS (SELECT *, {FOREGROUND} AS m FROM g3), f AS (SELECT *, lead(v, 1) OVER c AS y1, lead(v, 2) OVER c AS y2, lag(v) OVER c AS y_1, lead(v) OVER r AS x1, lag(v) OVER r AS x_1, lead(m, 1) OVER c AS m1, lead(m, 2) OVER c AS m2
+FROM m WINDOW c AS (PARTITION BY vec_id, x ORDER BY y), r AS (PARTITION BY vec_id, y ORDER BY x))
+SELECT vec_id AS image, round(var_pop(v) FILTER (m) / avg(v) FILTER (m), 6) AS normalized_variance, round(sum((y2 - v) * (y2 - v)) FILTER (m1), 5) AS brenner, round(sum(v * y1) FILTER (m AND m1) - sum(v * y2) FILTER (m AND m2), 4) AS vollath_f4,
+round(sum(abs(2 * v - y1 - y_1)) FILTER (m) + sum(abs(2 * v - x1 - x_1)) FILTER (m), 5) AS sml, round(var_pop(lap) FILTER (m), 4) AS laplacian_variance, round(sum(gx * gx + gy * gy) FILTER (m), 3) AS tenengrad FROM f GROUP BY vec_id""")
+def h1_masked_metrics(spark, d):
+    px = pixels(spark, d).withColumn("fg", F.expr(FOREGROUND.replace("vec_id", "image")))
+    m = px_metrics.focus_metrics(px, ["image"], "fg").join(focus.sharpness(px, ["image"], "fg").select("image", "laplacian_variance", "tenengrad"), "image")
+    digits = {"normalized_variance": 6, "brenner": 5, "vollath_f4": 4, "sml": 5, "laplacian_variance": 4, "tenengrad": 3}
+    return m.select("image", *[r(F.col(c), n).alias(c) for c, n in digits.items()])
+
+
+@query("""WITH k AS (SELECT DISTINCT 'w' || l_suppkey % 5 AS well, l_orderkey AS fov, l_linenumber AS channel_index, l_returnflag AS detector, l_partkey AS cell_id, l_suppkey AS focus_id FROM lineitem),
+s AS (SELECT *, CASE WHEN focus_id % 3 = 0 THEN 'new' WHEN focus_id % 2 = 0 THEN 'old' END AS label FROM k) SELECT well, label, CASE label WHEN 'new' THEN '2024-02-01T00:00:00' WHEN 'old' THEN '2024-01-01T00:00:00' END AS labeled_at, count(*) AS n FROM s GROUP BY ALL""")
+def b32_spot_labels(spark, d):
+    """Every second spot has an old label, every third gets a new one."""
+    names = {"well": "concat('w', l_suppkey % 5)", "fov": "l_orderkey", "channel_index": "l_linenumber", "detector": "l_returnflag", "cell_id": "l_partkey", "focus_id": "l_suppkey"}
+    s = table(spark, d, "lineitem").selectExpr(*[f"{v} AS {k}" for k, v in names.items()]).distinct()
+    old = s.filter("focus_id % 2 = 0").withColumn("label", F.lit("old")).withColumn("labeled_at", F.lit("2024-01-01T00:00:00"))
+    labels = evaluation.save_spot_labels(old, s.filter("focus_id % 3 = 0").withColumn("label", F.lit("new")), F.lit("2024-02-01T00:00:00"))
+    return evaluation.with_spot_labels(s, labels).groupBy("well", "label", "labeled_at").agg(F.count("*").alias("n"))

@@ -330,7 +330,7 @@ def e3_disambiguate(spark, d):
 SELECT s_suppkey, round(least(1.0, min(raw) OVER w), 6) AS q, least(1.0, min(raw) OVER w) <= 0.05 AS significant FROM x WINDOW w AS (PARTITION BY s_nationkey ORDER BY p, s_suppkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
 def e7_benjamini_hochberg(spark, d):
     s = table(spark, d, "supplier").selectExpr("s_suppkey", "s_nationkey", "(s_suppkey * 37 % 1000 + 1) / 1000.0D AS p")
-    return ranking.benjamini_hochberg(s, "p", ["s_nationkey"], "s_suppkey").select("s_suppkey", r(F.col("q")).alias("q"), "significant")
+    return ranking.benjamini_hochberg(s, "p", ["s_nationkey"]).select("s_suppkey", r(F.col("q")).alias("q"), "significant")
 
 
 @query("""WITH s AS (SELECT l_quantity / 51.0 AS s, count(*) FILTER (l_discount > 0.05) AS p, count(*) FILTER (l_discount <= 0.05) AS n FROM lineitem GROUP BY ALL),

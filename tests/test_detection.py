@@ -385,3 +385,26 @@ def test_permutations_tell_apart_clouds_from_like_ones(spark):
     got = {r["match"]: r["p_perm"] for r in transport.permutation_test(cloud, pairs, n_perm=99).collect()}
     # p counts shuffles at most as far apart as the data: all of them for clouds far apart, some for clouds alike; pairs without a cloud have none.
     assert set(got) == {"far", "like"} and got["far"] == 1.0 and 0.01 < got["like"] < 1.0
+
+
+def test_corrected_p_values(spark, monkeypatch):
+    """One family without a name, ties over the edges of ranges, null p, and null families."""
+    monkeypatch.setattr(ranking, "RANGES", 4)
+    rng = random.Random(13)
+    rows = [(i, rng.choice(["a", None]), rng.choice([0.001, 0.01, 0.2, 0.2, 1.0, rng.random()])) for i in range(120)] + [(999, "a", None)]
+    df = spark.createDataFrame(rows, "id long, f string, p double")
+
+    def plain(ps):
+        order = sorted(range(len(ps)), key=lambda i: ps[i])
+        q, least = [0.0] * len(ps), 1.0
+        for k in range(len(ps), 0, -1):
+            least = min(least, ps[order[k - 1]] * len(ps) / k)
+            q[order[k - 1]] = least
+        return q
+
+    for family in ([], ["f"]):
+        got = {r["id"]: r["q"] for r in ranking.benjamini_hochberg(df, "p", family).collect()}
+        assert len(got) == 121 and got[999] is None
+        for key in ("a", None) if family else ("all",):
+            own = [r for r in rows if r[2] is not None and (not family or r[1] == key)]
+            assert np.allclose([got[r[0]] for r in own], plain([r[2] for r in own]))
