@@ -46,7 +46,7 @@ class FactorizationMachine:
 
     @classmethod
     def fit(
-        cls, docs: list[np.ndarray], labels: np.ndarray, prior_shift: float, k: int = 4, least: int = 4, apart: float = 4.0, epochs: int = 6, decay: float = 2e-4,
+        cls, docs: list[np.ndarray], labels: np.ndarray, prior_shift: float, k: int = 4, least: int = 4, apart: float = 4.0, epochs: int = 8, decay: float = 2e-4,
         seed: int = 3,
     ):
         """``docs``: distinct buckets of each text. Only terms of fewer than ``least`` texts are left out.
