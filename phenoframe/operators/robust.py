@@ -134,7 +134,7 @@ def median_slope(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
         ends |= {"hi": F.when(F.expr("c1 > b"), F.col("p1")).when(F.expr("c2 > b"), F.col("p2")).otherwise(F.col("hi")), "chi": F.expr("CASE WHEN c1 > b THEN c1 WHEN c2 > b THEN c2 ELSE chi END")}
         s = s.withColumns({f"_{k}": v for k, v in ends.items()}).drop(*ends).withColumnsRenamed({f"_{k}": k for k in ends})
         width, far = F.col("hi") - F.col("lo"), F.col("unit") * float(4 ** (step + 1))
-        margin = 0.02 if step % 2 else 0.1  # one that moves, should both middle ranks lie on either side of a probe
+        margin = 0.25 if step % 3 == 2 else 0.01  # one that moves, should the middle ranks lie on either side of a probe
         at = lambda rank, m: F.col("lo") + width * F.greatest(F.lit(0.001), F.least(F.lit(0.999), (rank - F.col("clo")) / (F.col("chi") - F.col("clo")) + m))
         next1 = F.when(F.expr("lo IS NULL AND hi IS NULL"), -far).when(F.col("lo").isNull(), F.col("hi") - far).when(F.col("hi").isNull(), F.col("lo") + far / 2).otherwise(at(F.col("a"), -margin))
         next2 = F.when(F.expr("lo IS NULL AND hi IS NULL"), far).when(F.col("lo").isNull(), F.col("hi") - far / 2).when(F.col("hi").isNull(), F.col("lo") + far).otherwise(at(F.col("b") + 1, margin))
@@ -154,13 +154,13 @@ def _in_bracket(points: DataFrame, keys: list[str], state: DataFrame) -> DataFra
     tight = F.expr("chi - clo") > MOST
     x = points.join(state.filter(~tight).select(*keys, "x0", "lo", "hi"), keys)
     x = x.withColumn("r", F.col("y") - F.col("lo") * F.col("x")).withColumn("reach", (F.col("hi") - F.col("lo")) * (F.col("x") - F.col("x0")) * (1 + 1e-9))
-    x = x.withColumn("reach", F.greatest("reach", F.lit(1e-300))).withColumn("level", F.ceil(F.log2("reach")).cast("int"))
+    x = x.withColumn("slack", F.abs("r") * 1e-12).withColumn("reach", F.greatest(F.col("reach") + 2 * F.col("slack"), F.lit(1e-300))).withColumn("level", F.ceil(F.log2("reach")).cast("int"))
     levels = x.groupBy(*keys).agg(F.collect_set("level").alias("levels"))  # exponents of doubles: a few hundred at most
     cell = lambda v, level: F.floor(v / F.pow(F.lit(2.0), level))
     left = x.join(levels, keys).select(*keys, F.col("x").alias("lx"), F.col("y").alias("ly"), "r", F.explode("levels").alias("level"))
     left = left.select(*keys, "lx", "ly", "level", cell(F.col("r"), F.col("level")).alias("cell"))
-    slack = F.abs("r") * 1e-12
-    right = x.select(*keys, "lo", "hi", "x", "y", "level", F.explode(F.sequence(cell(F.col("r") - F.col("reach") - slack, F.col("level")), cell(F.col("r") + slack, F.col("level")))).alias("cell"))
+    back, on = cell(F.col("r") - F.col("reach"), F.col("level")), cell(F.col("r") + F.col("slack"), F.col("level"))  # three cells at most
+    right = x.select(*keys, "lo", "hi", "x", "y", "level", F.explode(F.sequence(back, on)).alias("cell"))
     slope = (F.col("y") - F.col("ly")) / (F.col("x") - F.col("lx"))
     pairs = right.join(left, [*keys, "level", "cell"]).filter("lx < x").withColumn("s", slope).filter("s >= lo AND s < hi")
     found = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("s")).join(state.select(*keys, "a", "b", "clo"), keys)
