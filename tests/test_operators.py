@@ -228,3 +228,14 @@ def test_percentiles_are_exact(spark):
     plain = df.groupBy("k").agg(F.count("*").alias("n"), *[F.percentile(c, F.lit(q)).alias(name) for name, (c, q) in wanted.items()]).collect()
     assert {r["k"]: tuple(got[r["k"]][c] for c in ["n", *wanted]) for r in plain} == {r["k"]: tuple(r[c] for c in ["n", *wanted]) for r in plain}
     assert percentiles(df.filter("false"), ["k"], wanted).count() == 0
+
+
+def test_pairs_of_items_are_made_whole(spark, monkeypatch):
+    """Blocks of three items: every pair once, with its share rounded, noise and null items apart."""
+    monkeypatch.setattr(transport, "ITEMS", 3)
+    rows = [(s, i, -1 if (s + i) % 5 == 0 else i * (s + 1) % 3) for s in range(4) for i in range(11)]
+    df = spark.createDataFrame([*rows, (0, None, 1)], "seed int, id long, label int")
+    at = {(s, i): l for s, i, l in rows}
+    share = {(i, j): sum(at[s, i] == at[s, j] >= 0 for s in range(4)) / 4 for i in range(11) for j in range(i + 1, 11)}
+    assert sorted(map(tuple, transport.co_association(df, 4, 1).collect())) == sorted((*k, round(v, 1)) for k, v in share.items() if v)
+    assert transport.co_association(df.filter("label < 0"), 4).count() == 0
