@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import seeded_rank
@@ -14,13 +14,18 @@ def _smallest(df: DataFrame, label: str) -> DataFrame:
     return sizes.select(label, F.min("_n").over(Window.partitionBy()).alias("_least"))  # one row a class
 
 
+def share_of(size: Column, share: float) -> Column:
+    """``share`` of a size, to whole rows, half to even. The product is taken to nine decimals first: a half of a decimal share is a half, also where its double lies beside it."""
+    return F.bround(F.round(size * share, 9))
+
+
 def nested_subsets(df: DataFrame, label: str, key: str, fractions: list[float], seed: int, least: int = 8) -> DataFrame:
     """(key, label, fraction): for each fraction the first rows of each class, so smaller subsets lie in larger ones.
 
     A class gives round(fraction * n) rows (half to even), at least min(``least``, n); a fraction in which a class would have fewer than
     ``least`` rows is left out."""
     r = seeded_rank(df.select(key, label), [label], key, seed)
-    take = lambda f: F.greatest(F.bround(F.col("_size") * f), F.least(F.lit(least), F.col("_size")))
+    take = lambda f: F.greatest(share_of(F.col("_size"), f), F.least(F.lit(least), F.col("_size")))
     chosen = F.array(*[F.struct(F.lit(f).alias("fraction"), take(f).alias("take")) for f in fractions])
     r = r.join(_smallest(df, label), label).filter(F.col("_least") >= least)
     return r.select(key, label, "_rank", F.inline(chosen)).filter(F.col("_rank") <= F.col("take")).select(key, label, "fraction")
@@ -29,9 +34,9 @@ def nested_subsets(df: DataFrame, label: str, key: str, fractions: list[float],
 def stratified_split(df: DataFrame, label: str, key: str, validation: float, test: float, seed: int) -> DataFrame:
     """Adds ``split``: train, val and test in each class's proportion, or train and val only where the smallest class has under four rows."""
     r = seeded_rank(df, [label], key, seed).join(_smallest(df, label), label)
-    cut = F.when(F.col("_least") >= 4, F.bround(F.col("_size") * test)).otherwise(F.lit(0))
+    cut = F.when(F.col("_least") >= 4, share_of(F.col("_size"), test)).otherwise(F.lit(0))
     place = F.col("_rank")
-    split = F.when(place <= cut, "test").when(place <= cut + F.bround(F.col("_size") * validation), "val").otherwise("train")
+    split = F.when(place <= cut, "test").when(place <= cut + share_of(F.col("_size"), validation), "val").otherwise("train")
     return r.withColumn("split", split).drop("_rank", "_size", "_least")
 
 
