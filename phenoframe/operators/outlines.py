@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 SLOT = 4096
 #: Fixed values of a width profile: places after densifying, places of each pole, and the places between which the middle lies.
 DENSE, POLE, MIDDLE = 200, 20, (80, 120)
+PROFILE = ("width_median", "width_mean", "width_max", "width_min", "width_std", "width_pos_max", "width_pos_min", "pole_width", "pole_taper")
 
 
 def _with_next(df: DataFrame, keys: list[str], order: str, columns: list[str], after: Column) -> DataFrame:
@@ -72,23 +77,67 @@ def _dense(samples: DataFrame, keys: list[str], order: str, value: str, n: int)
     return at.select(*keys, F.col("_k").cast("int").alias("_k"), between.alias("_value"))
 
 
+def _places(m: int) -> tuple[np.ndarray, ...]:
+    """Of a midline of ``m`` samples: the places' (left sample, right sample, part of the way), numbered among the samples that lie beside a place."""
+    if m == 1:
+        return np.zeros(1, int), np.zeros(1, int), np.zeros(1)
+    k = np.arange(DENSE)
+    left = k * (m - 1) // (DENSE - 1)
+    right = np.minimum(left + 1, m - 1)
+    used = np.arange(m) if m <= DENSE else np.union1d(left, right)
+    return np.searchsorted(used, left), np.searchsorted(used, right), k * (m - 1) / (DENSE - 1) - left
+
+
+def _statistics(v: np.ndarray, k: np.ndarray, single: bool) -> np.ndarray:
+    """A row a midline from its values ``v`` at places ``k``; NaN is the largest value."""
+    s, n = np.sort(v, 1), v.shape[1]
+    high, low = v.argmax(1), np.where(np.isnan(v), np.inf, v).argmin(1)
+    fold = lambda at: np.minimum(k[at] / (DENSE - 1), 1 - k[at] / (DENSE - 1))
+    mean = lambda a: np.cumsum(a, 1)[:, -1] / a.shape[1]  # noqa: E731  (added up in order, as SQL does)
+    out = [0.5 * s[:, (n - 1) // 2] + 0.5 * s[:, n // 2], mean(v), s[:, -1], s[:, 0], v.std(1), fold(high), fold(low)]
+    pole, mid = v[:, (k < POLE) | (k >= DENSE - POLE)], v[:, (k >= MIDDLE[0]) & (k < MIDDLE[1])]
+    if single or not pole.shape[1]:
+        return np.column_stack([*out, np.full((len(v), 2), np.nan)])
+    pole, mid = mean(pole), mean(mid) if mid.shape[1] else np.zeros(len(v))
+    return np.column_stack([*out, pole, np.where(mid <= 1e-9, 0.0, pole / np.where(mid <= 1e-9, 1.0, mid))])
+
+
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        m, lists = b.column("_m").to_numpy(), b.column("_w")
+        flat = lists.flatten()
+        gap, w = flat.is_null().to_numpy(zero_copy_only=False), flat.fill_null(0.0).to_numpy()
+        start = np.cumsum(lists.value_lengths().to_numpy()) - lists.value_lengths().to_numpy()
+        out, none = np.zeros((len(m), len(PROFILE))), np.ones((len(m), len(PROFILE)), bool)
+        for size in np.unique(m):
+            (left, right, part), rows, k = _places(int(size)), np.flatnonzero(m == size), np.arange(DENSE if size > 1 else 1)
+            at = start[rows][:, None]
+            a, c, lacks = w[at + left], w[at + right], gap[at + left]
+            v = a + part * (np.where(gap[at + right], a, c) - a)
+            full = ~lacks.any(1)
+            out[rows[full]] = _statistics(v[full], k, size == 1)
+            none[rows[full], : 7 if size == 1 else None] = False
+            for n in np.flatnonzero(~full & ~lacks.all(1)):
+                out[rows[n]] = _statistics(v[n : n + 1, ~lacks[n]], k[~lacks[n]], False)[0]
+                none[rows[n]] = False
+                none[rows[n], 7] = not ((k[~lacks[n]] < POLE) | (k[~lacks[n]] >= DENSE - POLE)).any()
+        keys = [c for c in b.schema.names if c not in ("_m", "_w")]
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keys], *[pa.array(out[:, n], mask=none[:, n]) for n in range(len(PROFILE))]], names=[*keys, *PROFILE])
+
+
 def width_profile(samples: DataFrame, keys: list[str], order: str, width: str) -> DataFrame:
     """(keys, width_median, width_mean, width_max, width_min, width_std, width_pos_max, width_pos_min, pole_width, pole_taper) of widths along a midline.
 
     Statistics are over ``DENSE`` interpolated places. Positions of the first largest and first smallest one are folded: 0 is a pole, 0.5 the
     middle. The pole's width is the mean of both outer tenths, its taper that over the mean of the middle fifth (0 where that is not
-    positive); both are null for a single sample."""
-    dense = _dense(samples, keys, order, width, DENSE)
-    k, v = F.col("_k"), F.col("_value")
-    a = dense.groupBy(*keys).agg(
-        F.median(v).alias("width_median"), F.avg(v).alias("width_mean"), F.max(v).alias("width_max"), F.min(v).alias("width_min"), F.stddev_pop(v).alias("width_std"),
-        F.max_by("_k", F.struct(v, -k)).alias("_max"), F.min_by("_k", F.struct(v, k)).alias("_min"), F.count("*").alias("_n"),
-        F.avg(F.when((k < POLE) | (k >= DENSE - POLE), v)).alias("_pole"), F.avg(F.when((k >= MIDDLE[0]) & (k < MIDDLE[1]), v)).alias("_mid"),
-    )
-    fold = lambda c: F.least(F.col(c) / (DENSE - 1), 1 - F.col(c) / (DENSE - 1))
-    long = F.col("_n") > 1
-    taper = F.when(F.col("_mid") > 1e-9, F.col("_pole") / F.col("_mid")).otherwise(F.lit(0.0))
-    return a.select(
-        *keys, "width_median", "width_mean", "width_max", "width_min", "width_std", fold("_max").alias("width_pos_max"), fold("_min").alias("width_pos_min"),
-        F.when(long, F.col("_pole")).alias("pole_width"), F.when(long, taper).alias("pole_taper"),
-    )
+    positive); both are null for a single sample. A midline is one row with its samples (of a longer one than ``DENSE`` those beside a place, 2 * ``DENSE``
+    at most); its places are made and measured where it stands, and none is sent, sorted or spilled. Other numbers than 0, 1, 2 and so on in ``order`` are not looked for."""
+    last, i = F.col("_m") - 1, F.col("_i")
+    first = lambda i: F.floor((i * (DENSE - 1) + last - 1) / last)
+    makes = lambda i: first(i + 1) > first(i)
+    s = samples.select(*keys, F.col(order).cast("long").alias("_i"), F.col(width).cast("double").alias("_w")).withColumn("_m", F.count("*").over(Window.partitionBy(*keys)))
+    s = s.filter((F.col("_m") <= DENSE) | (i == last) | makes(i) | makes(i - 1))
+    line = s.groupBy(*keys).agg(F.max("_m").alias("_m"), F.array_sort(F.collect_list(F.struct("_i", "_w"))).alias("_s"))
+    line = line.select(*keys, "_m", F.transform("_s", lambda p: p["_w"]).alias("_w"))
+    kind = ", ".join([*[f"`{c}` {line.schema[c].dataType.simpleString()}" for c in keys], *[f"{c} double" for c in PROFILE]])
+    return line.mapInArrow(_profiles, kind)

@@ -408,3 +408,20 @@ def test_corrected_p_values(spark, monkeypatch):
         for key in ("a", None) if family else ("all",):
             own = [r for r in rows if r[2] is not None and (not family or r[1] == key)]
             assert np.allclose([got[r[0]] for r in own], plain([r[2] for r in own]))
+
+
+def test_a_midline_is_measured_in_one_row(spark):
+    """No generated place is sent, and long midlines and null widths give the values of all places."""
+    draw = np.random.default_rng(3)
+    long = draw.random(1000).tolist()
+    df = spark.createDataFrame([("long", i, v) for i, v in enumerate(long)] + [("gap", i, v) for i, v in enumerate([1.0, None, 3.0, 2.0])] + [("none", 0, None), ("none", 1, None)], "k string, i int, w double")
+    p = outlines.width_profile(df, ["k"], "i", "w")
+    plan = p._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    got = {r["k"]: r for r in p.collect()}
+    for k in ("long", "gap"):
+        d = np.array([r["value"] for r in outlines.densify(df.filter(f"k = '{k}'"), ["k"], "i", "w").filter("value IS NOT NULL").orderBy("k").collect()])
+        assert np.allclose([got[k]["width_median"], got[k]["width_mean"], got[k]["width_max"], got[k]["width_std"]], [np.median(d), d.mean(), d.max(), d.std()])
+    d = np.interp(np.linspace(0, 1, 200), np.linspace(0, 1, 1000), long)
+    assert np.allclose([got["long"][c] for c in ("width_mean", "pole_width", "width_pos_max")], [d.mean(), np.r_[d[:20], d[180:]].mean(), min(d.argmax() / 199, 1 - d.argmax() / 199)])
+    assert got["none"]["width_mean"] is None and got["none"]["pole_width"] is None
