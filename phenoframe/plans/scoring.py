@@ -9,6 +9,7 @@ from ..functions import labels as L
 from ..functions import naming as N
 from ..operators import evaluation, focus, profiles
 from ..operators import pixels as px_metrics
+from ..worktable import materialize
 from .library import distances
 from .registry import CELLS, PIXELS, RANKED, SSCORE, BOXES, boxes, cell_profiles, cells, query, r, table
 from .summaries import GRAD, pixels
@@ -139,7 +140,9 @@ def d26_compare_report(spark, d):
     names = {"n_a": "o_custkey", "n_b": "o_custkey % 100", "matched": "o_custkey % 50", "only_a": "o_orderkey % 7", "only_b": "o_orderkey % 5", "splits": "o_orderkey % 3", "merges": "o_orderkey % 2"}
     names |= {"good_a": "o_custkey % 20", "good_b": "o_custkey % 10", "good_matched_both": "o_custkey % 8", "seconds": "o_totalprice"}
     fields = o.selectExpr("o_orderpriority AS k", *[f"{v} AS {k}" for k, v in names.items()])
-    j = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_discount", "l_quantity", "l_extendedprice", "l_linenumber", "l_partkey", "l_suppkey")
+    j = l.join(o.select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey", "o_orderkey")
+    j = materialize(j, "compared")  # read by each count and percentile, joined once
     m = j.selectExpr("o_orderpriority AS k", "l_discount * 10 AS iou", "l_quantity * 1000 AS area_a", "l_extendedprice AS area_b", "l_linenumber * 5.0D AS length_a", "l_quantity + 1 AS length_b")
     side = "CASE l_partkey % 3 WHEN 0 THEN 'matched_ref_sample' WHEN 1 THEN 'only_A' ELSE 'only_B' END AS side"
     qc = "CASE l_suppkey % 5 WHEN 0 THEN 'edge_cell' WHEN 1 THEN 'debris' WHEN 2 THEN 'bad' WHEN 3 THEN 'good' END AS qc"
