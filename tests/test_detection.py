@@ -42,6 +42,38 @@ def test_median_slope_equals_all_pairs(spark, monkeypatch):
         assert (got[k] is None) if not s else abs(got[k] - float(np.median(s))) <= 1e-9 * max(1, abs(got[k])), k
 
 
+def test_median_slope_in_blocks(spark, monkeypatch):
+    """Keys of several blocks: with copies and far points, whole numbers, one slope for many pairs, and middle slopes far apart."""
+    for name, value in (("SIZE", 64), ("SAMPLE", 110), ("DRAWN", 5_000), ("MOST", 3_000)):
+        monkeypatch.setattr(robust, name, value)
+    rng = random.Random(5)
+    sets = {
+        "far": [(math.exp(9 * rng.random()), rng.gauss(0, 1)) for _ in range(140)] * 2 + [(1e9, 5.0)], "whole": [(float(rng.randrange(30)), float(rng.randrange(9))) for _ in range(250)],
+        "bleed": [(x, 0.03 * x + rng.randrange(3)) for x in (rng.uniform(900, 5e5) for _ in range(150))], "few": [(0.0, 0.0), (1.0, 3.0)],
+        "fan": [(0.0, 0.0)] * 100 + [(1.0, 1.0)] * 50 + [(1.0, 2.0)] * 50 + [(1.0, 100.0 + i) for i in range(60)] + [(1.0, -100.0 - i) for i in range(60)],
+    }
+    rows = [(k, *p) for k, v in sets.items() for p in v]
+    got = {r["the key"]: r["slope"] for r in robust.median_slope(spark.createDataFrame(rows, "`the key` string, x double, y double"), ["the key"], "x", "y").collect()}
+    assert set(got) == set(sets)
+    for k, v in sets.items():
+        middle = float(np.median(slopes(v)))
+        assert abs(got[k] - middle) <= 1e-9 * max(1, abs(middle)), (k, got[k], middle)
+
+
+def test_slopes_below_equals_all_pairs(spark):
+    """Blocks of x that cut one x in two, residuals on the edges of blocks, and weights."""
+    rng = random.Random(6)
+    points = sorted({(float(rng.randrange(9)), float(rng.randrange(9))) for _ in range(60)})
+    w = [rng.randrange(1, 400) for _ in points]
+    packed = lambda a, b: [np.array(v).tobytes() for v in zip(*points[a:b])] + [robust._bytes(np.array(w[a:b]))]
+    blocks = spark.createDataFrame([("k", n, *map(bytearray, packed(a, a + 7))) for n, a in enumerate(range(0, len(points), 7))], "k string, xb long, x binary, y binary, w binary")
+    ts = [-1.5, -1.0, 0.0, 0.3, 1.0, 7.0]
+    probes = spark.createDataFrame([("k", 0, n, t, [-3.0, 0.0, 1.0, 2.0, 6.0]) for n, t in enumerate(ts)], "k string, part int, probe int, t double, edges array<double>")
+    got = {r["probe"]: r["below"] for r in robust.slopes_below(blocks, ["k"], probes).collect()}
+    pairs = [((q[1] - p[1]) / (q[0] - p[0]), w[i] * w[j]) for i, p in enumerate(points) for j, q in enumerate(points) if p[0] < q[0]]
+    assert got == {n: sum(m for s, m in pairs if s < t) for n, t in enumerate(ts)}
+
+
 def test_crosstalk_modes(spark):
     rng = random.Random(1)
     rows = [("few", 100.0 + i, 5.0 * i) for i in range(19)] + [("few", -5.0, 1.0), ("few", 7.0, None)]
