@@ -241,6 +241,21 @@ def test_pairs_of_items_are_made_whole(spark, monkeypatch):
     assert transport.co_association(df.filter("label < 0"), 4).count() == 0
 
 
+def test_blocks_of_items_are_sent_not_items(spark, monkeypatch):
+    """More blocks than some have items for, small batches, text as ids: every pair once, and items do not meet as rows of a join."""
+    rows = [(s, f"k{i * 7 % 23}", -1.0 if (s + i) % 5 == 0 else i * (s + 1) % 4 / 2) for s in range(4) for i in range(23) if (s, i) != (2, 4)]
+    at = {(s, i): l for s, i, l in rows}
+    ids = sorted({i for _, i, _ in rows})
+    share = {(i, j): sum(at.get((s, i), -1) == at.get((s, j), -2) >= 0 for s in range(4)) / 4 for k, i in enumerate(ids) for j in ids[k + 1 :]}
+    df = spark.createDataFrame(rows, "seed int, id string, label double")
+    for least, blocks, largest, batch in ((1, 60, 9, 5), (1, 1, 5, 1), (100, 16, 16_384, 10_000)):
+        for name, value in (("ITEMS", least), ("BLOCKS", blocks), ("LARGEST", largest), ("BATCH", batch)):
+            monkeypatch.setattr(transport, name, value, raising=False)
+        pairs = transport.co_association(df, 4)
+        assert "Join" not in pairs._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(map(tuple, pairs.collect())) == sorted((*k, v) for k, v in share.items() if v)
+
+
 def test_angularity_beside_nulls_and_repeated_points(spark):
     """A null vertex leaves its neighbours without a tangent; beside a tangent without length a negative zero is half a turn."""
     null = [(0, 0.0, 0.0), (1, None, 1.0), (2, 2.0, 2.0), (3, 0.0, 2.0), (4, -1.0, 1.0)]
